@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import packing, simhash, suffix
+from . import langid, packing, simhash, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,21 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(_table(spark, sf_dir, "pages"))
+
+
+def _remainder(divisor: int):
+    """crc32 of doc_id as text, modulo divisor; a null id has none and is never held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(F.coalesce(_remainder(5) != 0, F.lit(True))))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id)}
 ORACLE_SQL: dict = {}
