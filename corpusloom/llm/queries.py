@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import langid, packing, simhash, suffix, warc
+from . import langid, outliers, packing, simhash, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.reject_outliers(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dc.digest(dc.decontaminate(docs, _table(spark, sf_dir, "benchmark")))
@@ -47,5 +52,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id)}
 ORACLE_SQL: dict = {}
