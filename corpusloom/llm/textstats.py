@@ -77,11 +77,17 @@ def vector() -> dict[str, Column]:
     }
 
 
-def more() -> dict[str, Column]:
-    """Further statistics, for classifiers."""
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+def steady() -> dict[str, Column]:
+    """Statistics for classifiers. Those of short texts are drawn to what is usual, by a few imagined words, lines and characters."""
+    words, chars, lines = (F.col(c).cast("double") for c in ("n_words", "word_chars", "n_lines"))
     return {
-        "distinct": F.log1p(F.col("n_distinct_words")) - F.log1p(words),
-        "marks": F.sqrt(F.col("n_marks") / chars),
-        "line_length": F.log1p(words / lines),
+        "length": F.log1p(words),
+        "word_length": F.log((chars + 100) / (words + 20)),
+        "symbols": F.sqrt(F.col("n_symbols") / (chars + 40)),
+        "dup_lines": F.sqrt(F.col("n_dup_lines") / (lines + 4)),
+        "repeats": F.sqrt(F.col("n_repeat_words") / (words + 20)),
+        "capitals": F.sqrt((F.col("n_capitals") + 2) / (chars + 100)),
+        "distinct": F.log((F.col("n_distinct_words") + 16) / (words + 20)),
+        "marks": F.sqrt((F.col("n_marks") + 3) / (chars + 100)),
+        "line_length": F.log((words + 40) / (lines + 1)),
     }
