@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import langid, outliers, packing, quality, simhash, suffix, warc
+from . import langid, outliers, packing, quality, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(_remainder(4) != 2, F.lit(True)))
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model, cuts = toxicity.fit(_training(docs), _table(spark, sf_dir, "labels"))
+    found = toxicity.flag(toxicity.score(docs, model), cuts)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(_training(docs), _table(spark, sf_dir, "labels"))
@@ -63,5 +71,5 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("_keep0").alias("doc_id"), F.col("_keep1").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda)}
+QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda, op5_toxicity_cnn)}
 ORACLE_SQL: dict = {}
