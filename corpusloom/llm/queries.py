@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import langid, outliers, packing, quality, simhash, suffix, toxicity, warc
+from . import langid, licenses, outliers, packing, quality, simhash, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,15 @@ def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("_keep0").alias("doc_id"), F.col("_keep1").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda, op5_toxicity_cnn)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_sort(F.transform("licenses", lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"),
+        F.get(best, F.lit(0))["license"].alias("best_license"), F.round(-F.get(best, F.lit(0))["d"], 6).alias("best_dice"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda, op5_toxicity_cnn, op10_license_scan)}
 ORACLE_SQL: dict = {}
