@@ -8,6 +8,7 @@ travel: token ids are counted and digested where they are made.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -19,56 +20,116 @@ from pyspark.sql import types as T
 
 from ._columns import named, text_blocks
 from ._store import Scratch
-from ._words import BLANK_SPLIT, word_ranges
+from ._words import word_ranges
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task remembers, and the longest such word in bytes.
-_KNOWN, _KNOWN_BYTES = 400_000, 64
+#: Pieces whose ids a task remembers, and the longest such piece in bytes.
+_KNOWN, _KNOWN_BYTES = 500_000, 40
+
+#: Classes of bytes: blank, letter, sign, anything that asks for the whole tokenizer.
+_BLANK, _LETTER, _SIGN, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = _SIGN
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space and never joins words across it, so that each
-    blank-separated word is encoded once and looked up after that."""
+    """Ids of whole texts by a tokenizer that drops white space, lower-cases, and takes runs of letters and runs of signs as
+    words of their own. Such runs are cut out here, and each different one is encoded once. Blank-separated words with a digit,
+    an apostrophe, a `<` or a character beyond Latin-1 letters are given to the tokenizer whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def lookup(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        missing = [w for w in words if w not in known]
-        if len(known) + len(missing) > _KNOWN:
-            self.known = known = {}
-            missing = words
-        new = dict(zip(missing, (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(missing, add_special_tokens=False))))
-        out = [known[w] if w in known else new[w] for w in words]
-        known.update((w, i) for w, i in new.items() if len(w) <= _KNOWN_BYTES)
-        return out
+        self.ends_word = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.count = 0
+        self.ids, self.sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+
+    def learn(self, plain: list[str], whole: list[str]) -> None:
+        encode = self.model.encode_batch_fast
+        if plain:
+            joined = [" ".join(plain[k : k + 500]) for k in range(0, len(plain), 500)]
+            for k in range(0, len(joined), 16):
+                ids = np.concatenate([np.array(e.ids, np.uint32) for e in encode(joined[k : k + 16], add_special_tokens=False)])
+                self.ids.append(ids)
+                self.sizes.append(np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+        for k in range(0, len(whole), 1000):
+            own = [np.array(e.ids, np.uint32) for e in encode(whole[k : k + 1000], add_special_tokens=False)]
+            self.ids += own
+            self.sizes.append(np.array([len(i) for i in own], np.int64))
+        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        for w in (*plain, *whole):
+            self.known[w] = self.count
+            self.count += 1
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of a block without blanks, lower-cased where that is plain; where each piece begins in them; whether it is one
+        run; and each text's first piece."""
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        tail = data[lead + 1]
+        lead, tail = lead[(tail != 0x97) & (tail != 0xB7)], tail[(tail != 0x97) & (tail != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
+        up = lead[(tail >= 0x80) & (tail <= 0x9E)] + 1
+        data[up] += 0x20
+        inside = kind != _BLANK
+        begins, ends, first = word_ranges(inside.view(np.uint8), offsets, np.arange(256) == 1)
+        odd = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+        whole = odd[ends] > odd[begins]
+        own = kind[inside]
+        own[np.repeat(whole, ends - begins)] = _OTHER
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        starts = np.cumsum(ends - begins) - (ends - begins)
+        new[starts] = True
+        at = np.flatnonzero(new)
+        return data[inside], at, own[at] != _OTHER, np.searchsorted(at, np.concatenate([starts, [len(own)]])[first])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, end_id after each text, and where each text begins in them."""
-        begins, ends, first = word_ranges(data, offsets, BLANK_SPLIT)
-        where = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
-        if len(begins):
-            words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(where), pa.py_buffer(data[BLANK_SPLIT[data]])).dictionary_encode()
-            ids = self.lookup(words.dictionary.to_pylist())
-            index = np.asarray(words.indices)
-            sizes = np.array([len(i) for i in ids], np.int64)
-            flat = np.concatenate(ids)
-            at, size = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        own, at, plain, first = self.split(data, offsets)
+        if len(at):
+            where = np.concatenate([at, [len(own)]]).astype(np.int64)
+            coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(where), pa.py_buffer(own)).dictionary_encode()
+            index, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+            if self.count > _KNOWN:
+                self.forget()
+            run = np.zeros(len(words), bool)
+            run[index] = plain
+            new = [k for k, w in enumerate(words) if w not in self.known]
+            self.learn([words[k] for k in new if run[k]], [words[k] for k in new if not run[k]])
+            number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[index]
+            for k in new:
+                if len(words[k]) > _KNOWN_BYTES:
+                    del self.known[words[k]]
+            sizes = self.sizes[0]
+            at, size = (np.cumsum(sizes) - sizes)[number], sizes[number]
         else:
-            flat, at, size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+            at, size = np.empty(0, np.int64), np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
         out_at = before[:-1] + np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         starts = before[first] + np.arange(len(offsets))
         out = np.full(starts[-1], end_id, np.uint32)
-        out[np.repeat(out_at - before[:-1], size) + np.arange(before[-1])] = flat[np.repeat(at - before[:-1], size) + np.arange(before[-1])]
+        inner = np.arange(before[-1])
+        out[np.repeat(out_at - before[:-1], size) + inner] = self.ids[0][np.repeat(at - before[:-1], size) + inner]
         return out, starts
 
 
+@functools.lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, which keeps what it has learnt for its next tasks."""
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 (and ids). A document's ids, end_id last, are cut
     only where they exceed the capacity. A null or empty text is the end_id alone; repeated rows give repeated pieces."""
@@ -79,7 +140,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        model = WordTokenizer(path)
+        model = _tokenizer(path)
         for b in batches:
             for lo, hi, data, offsets in text_blocks(b.column(1), 1 << 21):
                 ids, starts = model.encode(data, offsets, end_id)
