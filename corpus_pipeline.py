@@ -1,16 +1,92 @@
-"""Training corpus from raw documents, in stages."""
+"""Training sequences from raw documents, in five stages.
+
+Each stage is one operator of corpusloom.llm over all that the stage before has kept, and its decisions hold: documents
+go, or their texts change. The first four return the columns of `documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, packing, quality, queries, simhash, suffix
+from corpusloom.llm._store import Scratch
+
+#: Documents with a lower quality score go.
+LEAST_QUALITY = 0.7
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key that tells its rows apart, repeated or null ids included: rows with one id and text are alike."""
+    return docs.withColumn("_text_hash", F.xxhash64("text"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the discriminant scores at LEAST_QUALITY or more. It is fitted on the labelled ones of this stage's input that are
+    not held out; with too few labels nothing is rejected. A null text scores as an empty one."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(queries.training(docs), labels)
+    if model is None:
+        return docs
+    names = docs.columns
+    scored = quality.score(docs, model, [F.col(c) for c in names])
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(names)])
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (linked fingerprints): the one with the smallest doc_id, and of
+    rows that share it the one with the smallest text hash. Rows that agree in both keep one."""
+    own = _rows(docs)
+    found = simhash.near_duplicates(docs)
+    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = own.join(lead.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    first = kept.groupBy("doc_id").agg(F.min("_text_hash").alias("_least"), F.count("*").alias("_n"))
+    repeated = first.where("_n > 1")
+    if not repeated.head(1):  # no repeated ids
+        return kept.select(*docs.columns)
+    met = kept.join(first.select(F.col("doc_id").alias("_id"), "_least"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_least")))
+    return met.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes covered by any 400-byte string that also starts elsewhere (whole characters only). Documents of which
+    nothing but white space is left go; those that had no text before stay. n_chars follows the text."""
+    cut = suffix.remove_repeats(docs.withColumn("_before", F.octet_length("text")))
+    emptied = (F.octet_length("text") < F.col("_before")) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
+    left = cut.where(~F.coalesce(emptied, F.lit(False))).drop("_before")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs, benchmark)
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: the pieces of all documents with their places."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_dedup", simhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No SQL for tokenizers and fingerprints; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from `documents` on."""
+    """All stages, from `documents` on; what a stage returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
     return docs

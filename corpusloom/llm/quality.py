@@ -110,4 +110,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[Column], text: str =
     """The columns `keep`, as _keep0, ..., and score: the probability of label 1. A null text counts as empty. With no model all score 0.5."""
     stats = statistics(docs, keep, text)
     logit = F.lit(0.0) if model is None else F.greatest(F.least(model.logit(), F.lit(30.0)), F.lit(-30.0))
-    return stats.select(*[f"_keep{k}" for k in range(len(keep))], (1 / (1 + F.exp(-logit))).alias("score"))
+    # as the output of a generator, so that a filter on the score stays above it: pushed below the projections, it would turn every
+    # use of a column in them into a copy of that column's whole expression
+    kept = [f"_keep{k}" for k in range(len(keep))]
+    return stats.select(*kept, (1 / (1 + F.exp(-logit))).alias("_score")).select(*kept, F.explode(F.array("_score")).alias("score"))

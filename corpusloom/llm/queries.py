@@ -52,13 +52,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
-def _training(docs: DataFrame) -> DataFrame:
+def training(docs: DataFrame) -> DataFrame:
     return docs.where(F.coalesce(_remainder(4) != 2, F.lit(True)))
 
 
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model, cuts = toxicity.fit(_training(docs), _table(spark, sf_dir, "labels"))
+    model, cuts = toxicity.fit(training(docs), _table(spark, sf_dir, "labels"))
     found = toxicity.flag(toxicity.score(docs, model), cuts)
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
@@ -66,7 +66,7 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(_training(docs), _table(spark, sf_dir, "labels"))
+    model = quality.train(training(docs), _table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, [F.col("doc_id"), F.coalesce(_remainder(4) == 2, F.lit(False))])
     return scored.select(F.col("_keep0").alias("doc_id"), F.col("_keep1").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
