@@ -1,6 +1,471 @@
-"""All registered queries with their DuckDB SQL."""
+"""All registered queries with their DuckDB SQL. A query takes (spark, sf_dir); its name is its key."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import catalog, chunks, graph, search, symbols, telemetry, vectors
+from ..sources import tables as t
+from ..streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_NOW = "2024-01-31 00:00:00"
+
+_FILES = """files AS (SELECT source || '/' || lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.' || ['py','ts','go','sql'][CAST(doc_id % 4 AS INT) + 1] AS path,
+  text AS content, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents)"""
+_LINES = _FILES + """, parts AS (SELECT path, string_split(content, chr(10)) AS p FROM files),
+ numbered AS (SELECT path, p, unnest(range(1, len(p) + 1)) AS line FROM parts),
+ lines AS (SELECT path, CAST(line AS INT) AS line, regexp_replace(p[line], '\\r$', '') AS text FROM numbered WHERE NOT (line = len(p) AND p[line] = ''))"""
+_CLAMP = "substring(regexp_replace(text, '\\s+$', ''), 1, 200)"
+_SYMBOLS = """symbols AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, ['function','class','method','constant','type'][CAST(p_partkey % 5 AS INT) + 1] AS kind,
+  p_brand AS file, p_size AS line, p_type AS signature, string_split(p_name, ' ') AS keywords, sha256(p_name || '|' || p_type) AS content_hash FROM part)"""
+_EDGES = """edges AS (SELECT DISTINCT l_suppkey AS source, l_partkey % (SELECT count(*) FROM supplier) AS target FROM lineitem
+  WHERE l_orderkey % 97 = 0 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))"""
+_LINKS = """links AS (SELECT 'page_' || CAST(page_id AS VARCHAR) AS source_file, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS specifier FROM pages)"""
+_CALLS = """calls AS (SELECT ts AS captured_at, event_type AS tool_name, user_id AS session, abs(value) AS duration_ms,
+  CAST(floor(abs(value)) AS BIGINT) AS request_tokens, CAST(floor(abs(value)) AS BIGINT) * 2 AS response_tokens, CAST(floor(abs(value)) AS BIGINT) * 3 AS total_tokens,
+  CAST(floor(abs(value)) AS BIGINT) + 5 AS input_tokens_saved, CAST(event_id % 7 AS BIGINT) AS output_tokens_saved,
+  CAST(floor(abs(value)) AS BIGINT) + 5 + CAST(event_id % 7 AS BIGINT) AS tokens_saved, event_id FROM events)"""
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- lexical search ------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_LINES} SELECT path, line, {_CLAMP} AS text, CAST(greatest((length(text) - length(replace(lower(text), 'the', ''))) / 3, 1) AS INT) AS score
+  FROM lines WHERE contains(lower(text), 'the')""")
+def search_text_lexical(spark, sf_dir):
+    return search.matching_lines(t.lines(t.files(spark, sf_dir)), "the")
+
+
+@_query(f"""WITH {_LINES} SELECT path, line, {_CLAMP} AS text, CAST(len(regexp_extract_all(text, '(?i)th[a-z]+ing')) AS INT) AS score
+  FROM lines WHERE regexp_matches(text, '(?i)th[a-z]+ing')""")
+def search_text_regex(spark, sf_dir):
+    return search.matching_lines(t.lines(t.files(spark, sf_dir)), "th[a-z]+ing", is_regex=True)
+
+
+@_query(f"""WITH {_LINES}, hits AS (SELECT path, line, {_CLAMP} AS text, CAST(greatest((length(text) - length(replace(lower(text), 'idiot', ''))) / 5, 1) AS INT) AS score FROM lines WHERE contains(lower(text), 'idiot')),
+ near AS (SELECT h.path, h.line, l.line AS pos, substring(regexp_replace(l.text, '\\s+$', ''), 1, 200) AS t FROM hits h JOIN lines l ON h.path = l.path AND l.line BETWEEN h.line - 2 AND h.line + 2 AND l.line <> h.line),
+ a AS (SELECT path, line, string_agg(t, '|' ORDER BY pos) FILTER (WHERE pos < line) AS before, string_agg(t, '|' ORDER BY pos) FILTER (WHERE pos > line) AS after FROM near GROUP BY 1, 2)
+ SELECT h.path, h.line, h.text, h.score, coalesce(a.before, '') AS before, coalesce(a.after, '') AS after FROM hits h LEFT JOIN a ON h.path = a.path AND h.line = a.line""")
+def search_text_context(spark, sf_dir):
+    lines = t.lines(t.files(spark, sf_dir))
+    found = search.with_context(lines, search.matching_lines(lines, "idiot"), 2)
+    return found.select("path", "line", "text", "score", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+@_query(f"""WITH {_LINES}, h AS (SELECT path, line, {_CLAMP} AS text, CAST(greatest((length(text) - length(replace(lower(text), 'license', ''))) / 7, 1) AS INT) AS score
+  FROM lines WHERE contains(lower(text), 'license') ORDER BY path, line LIMIT 20) SELECT *, (SELECT count(*) FROM h) >= 20 AS truncated FROM h""")
+def search_text_first(spark, sf_dir):
+    return search.first_lines(search.matching_lines(t.lines(t.files(spark, sf_dir)), "license"), 20)
+
+
+@_query(f"""WITH {_LINES} SELECT path, count(*) AS match_count, CAST(min(line) AS INT) AS first_line, CAST(sum(CAST(greatest((length(text) - length(replace(lower(text), 'and', ''))) / 3, 1) AS INT)) AS BIGINT) AS score
+  FROM lines WHERE contains(lower(text), 'and') AND regexp_matches(path, '^src1[^/]*/en/[^/]*\\.py$') GROUP BY path""")
+def search_text_by_file(spark, sf_dir):
+    return search.by_file(search.matching_lines(t.lines(t.files(spark, sf_dir)), "and", file_pattern="src1*/en/*.py"))
+
+
+def _vector_sql(k: int, queries: str) -> str:
+    return f"""q AS (SELECT vec_id AS query_id, label AS q_label, embedding AS qe FROM embeddings WHERE {queries}),
+ pairs AS (SELECT query_id, q_label, vec_id, label, list_sum(list_transform(range(1, len(qe) + 1), lambda i: CAST(qe[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) /
+   (sqrt(list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score FROM q, embeddings),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM pairs), topk AS (SELECT * FROM ranked WHERE rank <= {k})"""
+
+
+def _vector_queries(spark, sf_dir, most: int) -> DataFrame:
+    v = t.vectors(spark, sf_dir)
+    return v.where(F.col("id").cast("long") < most).select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
+
+
+@_query("WITH " + _vector_sql(5, "vec_id < 5") + " SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM topk")
+def vector_topk(spark, sf_dir):
+    found = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 5)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    v = t.vectors(spark, sf_dir)
+    return _vector_queries(spark, sf_dir, 5).select("query_id", "q_label").join(v, F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
+
+
+@_query("WITH " + _vector_sql(10, "vec_id < 5") + """ SELECT CAST(r.query_id AS VARCHAR) AS query_id, round(count(*) FILTER (WHERE r.label = r.q_label) / (SELECT count(*) FROM embeddings e WHERE e.label = r.q_label), 6) AS recall FROM topk r GROUP BY r.query_id, r.q_label""")
+def recall_at_k(spark, sf_dir):
+    ranked = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 10)
+    return vectors.recall_at_k(ranked, _judged(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@_query("WITH " + _vector_sql(10, "vec_id < 5") + """ SELECT CAST(query_id AS VARCHAR) AS query_id, round(coalesce(1.0 / min(rank) FILTER (WHERE label = q_label), 0), 6) AS reciprocal_rank FROM topk GROUP BY query_id""")
+def mrr_at_k(spark, sf_dir):
+    ranked = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 10)
+    return vectors.mrr_at_k(ranked, _judged(spark, sf_dir), 10).select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0) AS n_valid FROM embeddings")
+def vector_validation(spark, sf_dir):
+    return t.vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.count(F.when(vectors.valid(F.col("embedding")), 1)).alias("n_valid"))
+
+
+@_query("""SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 3 = 0 THEN -label ELSE label END AS label FROM embeddings WHERE vec_id % 5 <> 1""")
+def vector_upsert_delete(spark, sf_dir):
+    v = t.vectors(spark, sf_dir)
+    rows = v.where("cast(id as bigint) % 3 = 0").select("namespace", "id", "embedding", (-F.col("label")).alias("label"), F.lit(1).alias("seq"))
+    after = vectors.upsert(v, rows)
+    gone = after.where("cast(id as bigint) % 5 = 1").select("namespace", "id")
+    return after.join(gone, ["namespace", "id"], "left_anti").select("id", "label")
+
+
+@_query(f"""WITH {_LINES}, lx AS (SELECT path, line, {_CLAMP} AS text, greatest((length(text) - length(replace(lower(text), 'stupid', ''))) / 6, 1) AS score FROM lines WHERE contains(lower(text), 'stupid') ORDER BY path, line LIMIT 250),
+ sm AS (SELECT path, line, {_CLAMP} AS text, 1.0 / line AS score FROM lines WHERE contains(lower(text), 'clown') ORDER BY path, line LIMIT 60),
+ m AS (SELECT coalesce(lx.path, sm.path) AS path, coalesce(lx.line, sm.line) AS line, coalesce(lx.text, sm.text) AS text, lx.score AS l, sm.score AS s FROM lx FULL OUTER JOIN sm ON lx.path = sm.path AND lx.line = sm.line),
+ n AS (SELECT path, line, text, CASE WHEN l IS NULL THEN 0.0 WHEN max(l) OVER () = min(l) OVER () THEN 1.0 ELSE (l - min(l) OVER ()) / (max(l) OVER () - min(l) OVER ()) END AS lexical_score,
+   CASE WHEN s IS NULL THEN 0.0 WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS semantic_score FROM m),
+ f AS (SELECT path, line, text, lexical_score, semantic_score, 0.5 * lexical_score + 0.5 * semantic_score AS score FROM n ORDER BY 6 DESC, 4 DESC, 5 DESC, 1, 2, 3 LIMIT 20)
+ SELECT path, line, text, round(lexical_score, 6) AS lexical_score, round(semantic_score, 6) AS semantic_score, round(score, 6) AS score FROM f""")
+def search_text_hybrid(spark, sf_dir):
+    lines = t.lines(t.files(spark, sf_dir))
+    lexical = search.matching_lines(lines, "stupid").orderBy("path", "line").limit(250)
+    semantic = search.matching_lines(lines, "clown").orderBy("path", "line").limit(60).withColumn("score", 1.0 / F.col("line"))
+    found = search.fuse(lexical, semantic, search.hybrid_weights(None, None), 20)
+    return found.select("path", "line", "text", *[F.round(c, 6).alias(c) for c in ("lexical_score", "semantic_score", "score")])
+
+
+# ---- catalog -------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_FILES}, p AS (SELECT string_split(path, '/') AS p, size_bytes FROM files), d AS (SELECT unnest(['(root)', p[1] || '/', p[1] || '/' || p[2] || '/']) AS directory, size_bytes FROM p)
+ SELECT directory, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM d GROUP BY 1""")
+def file_tree(spark, sf_dir):
+    return catalog.file_tree(t.files(spark, sf_dir))
+
+
+@_query(f"""WITH {_FILES}, {_SYMBOLS} SELECT 'directories' AS section, string_split(path, '/')[1] || '/' AS key, count(*) AS n FROM files GROUP BY 2
+ UNION ALL SELECT 'kinds', kind, count(*) FROM symbols GROUP BY 2
+ UNION ALL SELECT 'languages', CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' ELSE 'sql' END, count(*) FROM files GROUP BY 2""")
+def repo_outline(spark, sf_dir):
+    return catalog.repo_outline(t.files(spark, sf_dir), t.symbols(spark, sf_dir))
+
+
+@_query(f"""WITH {_FILES}, p AS (SELECT path, string_split(content, chr(10)) AS p FROM files), c AS (SELECT path, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM p)
+ SELECT path, CAST(least(2, greatest(len(p), 1)) AS INT) AS start_line, CAST(least(4, greatest(len(p), 1)) AS INT) AS end_line, CAST(len(p) AS INT) AS line_count, array_to_string(p[least(2, greatest(len(p), 1)):least(4, greatest(len(p), 1))], chr(10)) AS content FROM c""")
+def file_content_slice(spark, sf_dir):
+    return catalog.content_slice(t.files(spark, sf_dir), 2, 4)
+
+
+@_query(f"""WITH {_SYMBOLS}, f AS (SELECT DISTINCT p_brand AS path FROM part), s AS (SELECT file, count(*) AS n, string_agg(name, ',' ORDER BY line, id) AS names FROM symbols GROUP BY 1)
+ SELECT f.path, CAST(NULL AS VARCHAR) AS language, coalesce(s.n, 0) AS symbol_count, coalesce(s.names, '') AS names FROM f LEFT JOIN s ON f.path = s.file""")
+def file_outline(spark, sf_dir):
+    files = t.table(spark, sf_dir, "part").select(F.col("p_brand").alias("path")).distinct()
+    return catalog.file_outline(files, t.symbols(spark, sf_dir))
+
+
+@_query(f"""WITH {_FILES}, a AS (SELECT path, sha256(content) AS h FROM files WHERE size_bytes % 10 <> 1), b AS (SELECT path, CASE WHEN size_bytes % 7 = 0 THEN sha256(content || '!') ELSE sha256(content) END AS h FROM files WHERE size_bytes % 10 <> 2)
+ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.h <> b.h""")
+def file_diff(spark, sf_dir):
+    f = t.files(spark, sf_dir)
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    a = f.where("size_bytes % 10 <> 1").select("path", hashed(F.col("content")).alias("content_hash"))
+    b = f.where("size_bytes % 10 <> 2").select("path", F.when(F.col("size_bytes") % 7 == 0, hashed(F.concat("content", F.lit("!")))).otherwise(hashed(F.col("content"))).alias("content_hash"))
+    return catalog.file_diff(a, b)
+
+
+@_query(f"""WITH {_SYMBOLS}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, kind ORDER BY file, line, id) AS rn FROM symbols WHERE CAST(id AS BIGINT) % 10 <> 1) WHERE rn = 1),
+ b AS (SELECT * REPLACE (CASE WHEN line % 4 = 0 THEN 'x' || content_hash ELSE content_hash END AS content_hash) FROM (SELECT *, row_number() OVER (PARTITION BY name, kind ORDER BY file, line, id) AS rn FROM symbols WHERE CAST(id AS BIGINT) % 10 <> 2) WHERE rn = 1)
+ SELECT coalesce(a.name, b.name) AS name, coalesce(a.kind, b.kind) AS kind, coalesce(b.file, a.file) AS file, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'unchanged' END AS status,
+  a.content_hash <> b.content_hash AS hash_changed FROM a FULL OUTER JOIN b ON a.name = b.name AND a.kind = b.kind""")
+def symbol_diff(spark, sf_dir):
+    s = t.symbols(spark, sf_dir)
+    b = s.where("cast(id as bigint) % 10 <> 2").withColumn("content_hash", F.when(F.col("line") % 4 == 0, F.concat(F.lit("x"), "content_hash")).otherwise(F.col("content_hash")))
+    return catalog.symbol_diff(s.where("cast(id as bigint) % 10 <> 1"), b)
+
+
+@_query(f"""WITH {_FILES} SELECT string_split(path, '/')[1] AS directory, sha256(string_agg(path || chr(0) || sha256(content) || chr(10), '' ORDER BY path)) AS tree_sha256, count(*) AS file_count FROM files GROUP BY 1""")
+def tree_hash(spark, sf_dir):
+    return catalog.tree_hash(t.files(spark, sf_dir))
+
+
+@_query(f"""WITH {_FILES} SELECT path, sha256(content) AS sha256, sha1(path) AS sha1, regexp_replace(regexp_replace(path, '[^A-Za-z0-9._-]', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM files""")
+def content_hashes(spark, sf_dir):
+    return t.files(spark, sf_dir).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.sha1(F.col("path").cast("binary")).alias("sha1"), tx.slug(F.col("path")).alias("slug"))
+
+
+@_query(f"""WITH {_FILES} SELECT path, CASE WHEN regexp_matches(path, '^src3/') THEN 'gitignore' WHEN regexp_matches(path, '[^/]*_1[^/]*\\.sql$') THEN 'extra_ignore' WHEN size_bytes > 512000 THEN 'too_large' END AS skip_reason FROM files WHERE path NOT LIKE 'src4/%' AND lang_ok""".replace(" AND lang_ok", " AND path LIKE '%/en/%'"))
+def discovery_filter(spark, sf_dir):
+    f = t.files(spark, sf_dir).where("path not like 'src4/%' and path like '%/en/%'")
+    return catalog.discover(f, ignore=["src3/"], extra_ignore=["*_1*.sql"]).select("path", "skip_reason")
+
+
+# ---- symbols -------------------------------------------------------------------------------------------------------
+
+_TOKENS = "list_transform(regexp_extract_all(regexp_replace({0}, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[a-zA-Z0-9]{{2,}}'), lambda x: lower(x))"
+_SCORE = f"""WITH {_SYMBOLS}, n AS (SELECT file, count(*) AS n FROM symbols GROUP BY 1), s AS (SELECT s.*, CASE WHEN n.n > 1 THEN 0.3 * ln(n.n) ELSE 0 END AS centrality,
+  CAST(3 * len(list_filter({_TOKENS.format('name')}, lambda x: x = 'blue')) + 2 * len(list_filter(flatten(list_transform(keywords, lambda k: {_TOKENS.format('k')})), lambda x: x = 'blue')) + 2 * len(list_filter({_TOKENS.format('signature')}, lambda x: x = 'blue')) + CASE WHEN lower(name) = 'blue' THEN 50 ELSE 0 END AS DOUBLE) AS lexical
+  FROM symbols s JOIN n ON s.file = n.file)"""
+
+
+@_query(f"{_SCORE} SELECT id, name, kind, file, line, lexical, round(lexical + centrality, 6) AS score FROM s WHERE lexical > 0")
+def search_symbols_scored(spark, sf_dir):
+    found = symbols.search(t.symbols(spark, sf_dir), "blue")
+    return found.select("id", "name", "kind", "file", "line", "lexical", F.round("score", 6).alias("score"))
+
+
+@_query(f"{_SCORE} SELECT id, name, kind, file, line, round(lexical + centrality, 6) AS score FROM s WHERE lexical > 0 AND kind = 'class' ORDER BY lexical + centrality DESC, file, line, name, id LIMIT 10")
+def search_symbols_ranked(spark, sf_dir):
+    found = symbols.ranked(symbols.search(t.symbols(spark, sf_dir), "blue", kind="class"), 10)
+    return found.select("id", "name", "kind", "file", "line", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_SYMBOLS}, n AS (SELECT file, count(*) AS n FROM symbols GROUP BY 1) SELECT id, round(CASE WHEN n > 1 THEN 0.3 * ln(n) ELSE 0 END, 6) AS centrality FROM symbols s JOIN n ON s.file = n.file")
+def symbol_centrality(spark, sf_dir):
+    return symbols.centrality(t.symbols(spark, sf_dir)).select("id", F.round("centrality", 6).alias("centrality"))
+
+
+@_query()
+def search_symbols_budget(spark, sf_dir):
+    return symbols.pack_budget(symbols.search(t.symbols(spark, sf_dir), "blue"), 4000)
+
+
+@_query(f"""WITH {_SYMBOLS}, tg AS (SELECT file, {_TOKENS.format('name')} AS tk FROM symbols WHERE id = '7'),
+ s AS (SELECT s.id, s.name, s.kind, s.file, s.line, CASE WHEN s.file = tg.file THEN 3.0 ELSE 0.0 END + 0.5 * len(list_intersect(list_distinct({_TOKENS.format('s.name')}), tg.tk)) AS score FROM symbols s, tg WHERE s.id <> '7')
+ SELECT id, name, kind, file, line, CAST(round(score, 2) AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, file, name, id LIMIT 10""")
+def related_symbols(spark, sf_dir):
+    none = t.links(spark, sf_dir)
+    return symbols.related(t.symbols(spark, sf_dir), none, "7", 10)
+
+
+@_query(f"WITH {_SYMBOLS}, k AS (SELECT unnest(keywords) AS k FROM symbols) SELECT lower(trim(k)) AS keyword, count(*) AS n FROM k WHERE trim(k) <> '' GROUP BY 1 ORDER BY n DESC, keyword LIMIT 15")
+def keyword_histogram(spark, sf_dir):
+    return symbols.keyword_histogram(t.symbols(spark, sf_dir))
+
+
+@_query(f"""WITH {_SYMBOLS}, a AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols WHERE CAST(id AS BIGINT) % 100 = 1), b AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols),
+ x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS overlap FROM a, b WHERE a.id <> b.id) SELECT a, b, CAST(overlap AS INT) AS overlap FROM x WHERE overlap > 0""")
+def token_overlap(spark, sf_dir):
+    s = t.symbols(spark, sf_dir).select("id", F.explode(F.array_distinct(tx.tokenize(F.col("name")))).alias("token"))
+    asked = s.where("cast(id as bigint) % 100 = 1").select(F.col("id").alias("a"), "token")
+    return asked.join(s.withColumnRenamed("id", "b"), "token").where("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("overlap"))
+
+
+@_query("""WITH RECURSIVE b AS (SELECT n_name AS name, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region),
+ up AS (SELECT base AS name, 1 AS level FROM b WHERE name = (SELECT min(n_name) FROM nation) UNION ALL SELECT b.base, up.level + 1 FROM up JOIN b ON up.name = b.name)
+ SELECT name, CAST(min(level) AS INT) AS level FROM up GROUP BY 1""")
+def class_ancestors(spark, sf_dir):
+    return symbols.closure(_bases(spark, sf_dir), _first_nation(spark, sf_dir))
+
+
+@_query("""WITH RECURSIVE b AS (SELECT n_name AS name, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region),
+ dn AS (SELECT name, 1 AS level FROM b WHERE base = 'WORLD' UNION ALL SELECT b.name, dn.level + 1 FROM dn JOIN b ON dn.name = b.base)
+ SELECT name, CAST(min(level) AS INT) AS level FROM dn GROUP BY 1""")
+def class_descendants(spark, sf_dir):
+    return symbols.closure(_bases(spark, sf_dir), "WORLD", up=False)
+
+
+def _bases(spark, sf_dir) -> DataFrame:
+    """Nations as classes that extend their regions, which extend WORLD, parsed from signatures."""
+    n, r = t.table(spark, sf_dir, "nation"), t.table(spark, sf_dir, "region")
+    own = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("name"), F.concat(F.lit("class N("), F.initcap("r_name"), F.lit(")")).alias("signature"), F.col("r_name").alias("_r"))
+    up = r.select(F.col("r_name").alias("name"), F.lit("class R extends WORLD").alias("signature"))
+    parsed = symbols.class_bases(own.withColumn("signature", F.concat(F.lit("class "), F.lit("N extends "), F.replace("_r", F.lit(" "), F.lit("_")))).drop("_r").unionByName(up).withColumn("kind", F.lit("class")))
+    return parsed.select("name", F.replace("base", F.lit("_"), F.lit(" ")).alias("base"))
+
+
+def _first_nation(spark, sf_dir) -> str:
+    return t.table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
+
+
+# ---- imports and graph ---------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_LINKS} SELECT specifier AS file, count(*) AS imported_by FROM links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def most_imported(spark, sf_dir):
+    return symbols.most_imported(t.links(spark, sf_dir))
+
+
+@_query(f"""WITH {_LINKS}, top AS (SELECT specifier AS s, count(*) AS n FROM links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+ SELECT DISTINCT source_file AS file, specifier, false AS has_importers FROM links, top WHERE specifier = top.s ORDER BY file, specifier LIMIT 50""")
+def importers(spark, sf_dir):
+    links = t.links(spark, sf_dir)
+    top = symbols.most_imported(links, 1).first()
+    return graph.importers(links, top.file if top else "").select("file", "specifier", "has_importers")
+
+
+def _graph_sql(depth: int, forward: bool) -> str:
+    e = _EDGES if forward else _EDGES.replace("edges AS (", "fwd AS (") + ", edges AS (SELECT target AS source, source AS target FROM fwd)"
+    return f"WITH RECURSIVE {e}, walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS level UNION SELECT e.target, w.level + 1 FROM walk w JOIN edges e ON w.node = e.source WHERE w.level < {depth}), nodes AS (SELECT node, min(level) AS level FROM walk GROUP BY 1)"
+
+
+def _start(spark) -> DataFrame:
+    return spark.range(1, 2).select(F.col("id").alias("node"))
+
+
+@_query(_graph_sql(2, True) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
+def dependency_nodes(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[0]
+
+
+@_query(_graph_sql(2, True) + " SELECT e.source, e.target FROM edges e JOIN nodes n ON e.source = n.node WHERE n.level < 2")
+def dependency_edges(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[1]
+
+
+@_query(_graph_sql(3, False) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
+def dependency_importers(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 3, "importers")[0]
+
+
+@_query(_graph_sql(1, True) + """, i AS (SELECT e.source, e.target FROM edges e WHERE source IN (SELECT node FROM nodes) AND target IN (SELECT node FROM nodes))
+ SELECT coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n_imports, coalesce(b.n, 0) AS n_imported_by FROM (SELECT source AS node, count(*) AS n FROM i GROUP BY 1) a FULL OUTER JOIN (SELECT target AS node, count(*) AS n FROM i GROUP BY 1) b ON a.node = b.node""")
+def dependency_neighbours(spark, sf_dir):
+    e = t.edges(spark, sf_dir)
+    found = graph.neighbours(e, graph.bfs(e, _start(spark), 1)[0])
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return found.select("node", F.when(F.col("imports").isNull(), 0).otherwise(size("imports")).cast("long").alias("n_imports"), F.when(F.col("imported_by").isNull(), 0).otherwise(size("imported_by")).cast("long").alias("n_imported_by"))
+
+
+@_query(_graph_sql(2, False) + """ SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(level AS INT) AS level, CAST(len(regexp_extract_all(s_name, '\\bSupplier\\b')) AS INT) AS references, CASE WHEN regexp_matches(s_name, '\\bSupplier\\b') THEN 'confirmed' ELSE 'potential' END AS status FROM supplier JOIN nodes ON s_suppkey = node WHERE level > 0""")
+def blast_radius(spark, sf_dir):
+    files = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_name").alias("content"))
+    e = t.edges(spark, sf_dir).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
+    return graph.blast_radius(files, e, "Supplier", "1", 2)
+
+
+@_query(f"""WITH {_FILES}, w AS (SELECT unnest(['idiot', 'license', 'zzzz']) AS identifier) SELECT identifier, CAST(0 AS BIGINT) AS import_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) AS content_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) > 0 AS is_referenced FROM w""")
+def check_references(spark, sf_dir):
+    return graph.check_references(t.links(spark, sf_dir), t.files(spark, sf_dir), t.symbols(spark, sf_dir), ["idiot", "license", "zzzz"])
+
+
+# ---- chunks and columns --------------------------------------------------------------------------------------------
+
+
+@_query()
+def chunk_documents(spark, sf_dir):
+    return chunks.chunk(t.files(spark, sf_dir), "corpus").select("path", "chunk_id", "start_line", "end_line", F.octet_length("chunk_text").alias("chunk_bytes"))
+
+
+@_query("""WITH c AS (SELECT DISTINCT p_brand AS model, p_type AS col FROM part), s AS (SELECT model, col, CASE WHEN lower(col) = 'standard' THEN 30 WHEN contains(lower(col), 'standard') THEN 15 ELSE 5 * CAST(contains(lower(col), 'standard') AS INT) END + CASE WHEN contains(lower(model), 'standard') THEN 8 ELSE 0 END AS score FROM c)
+ SELECT 'parts' AS source, model, col AS "column", model AS description, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, model, col LIMIT 20""")
+def column_search(spark, sf_dir):
+    p = t.table(spark, sf_dir, "part").select(F.lit("parts").alias("source"), F.col("p_brand").alias("model"), F.col("p_type").alias("column"), F.col("p_brand").alias("description")).distinct()
+    return chunks.search_columns(p, "standard")
+
+
+# ---- telemetry -----------------------------------------------------------------------------------------------------
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    return telemetry.normalise_calls(t.call_events(spark, sf_dir))
+
+
+_ROLLUP = """count(*) AS call_count, CAST(sum(request_tokens) AS BIGINT) AS request_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens_saved) AS BIGINT) AS input_tokens_saved,
+ CAST(sum(output_tokens_saved) AS BIGINT) AS output_tokens_saved, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, count(*) AS logical_calls, round(sum(duration_ms), 6) AS duration_ms, min(captured_at) AS first_call_at, max(captured_at) AS last_call_at"""
+
+
+@_query(f"WITH {_CALLS} SELECT session, {_ROLLUP} FROM calls GROUP BY session")
+def session_rollup(spark, sf_dir):
+    return telemetry.rollup(_calls(spark, sf_dir), "session")
+
+
+@_query(f"WITH {_CALLS} SELECT tool_name, {_ROLLUP} FROM calls GROUP BY tool_name")
+def tool_breakdown(spark, sf_dir):
+    return telemetry.rollup(_calls(spark, sf_dir), "tool_name")
+
+
+@_query(f"""WITH {_CALLS}, s AS (SELECT tool_name, CAST(sum(input_tokens_saved) AS BIGINT) AS i, CAST(sum(output_tokens_saved) AS BIGINT) AS o FROM calls GROUP BY 1), p AS (SELECT * FROM (VALUES ('claude_code', 3.0, 15.0), ('codex', 1.5, 6.0), ('amp', 1.5, 6.0)) v(competitor, pi, po))
+ SELECT tool_name, i AS input_tokens_saved, o AS output_tokens_saved, competitor, CAST(round((i * CAST(pi AS DOUBLE) + o * CAST(po AS DOUBLE)) / 1e6, 12) AS DOUBLE) AS cost_avoided_usd FROM s, p""")
+def competitor_costs(spark, sf_dir):
+    return telemetry.competitor_costs(_calls(spark, sf_dir), "tool_name")
+
+
+def _trend_sql(span: int, step: int) -> str:
+    return f"""WITH {_CALLS}, b AS (SELECT CAST(unnest(generate_series(CAST(epoch(TIMESTAMP '{_NOW}') AS BIGINT) - {span} - (CAST(epoch(TIMESTAMP '{_NOW}') AS BIGINT) - {span}) % {step}, CAST(epoch(TIMESTAMP '{_NOW}') AS BIGINT) - 1, {step})) AS BIGINT) AS b),
+ s AS (SELECT CAST(floor(epoch(captured_at) / {step}) AS BIGINT) * {step} AS b, count(*) AS n, CAST(sum(total_tokens) AS BIGINT) AS tt, CAST(sum(tokens_saved) AS BIGINT) AS ts FROM calls WHERE captured_at >= TIMESTAMP '{_NOW}' - INTERVAL {span} SECOND AND captured_at < TIMESTAMP '{_NOW}' GROUP BY 1)
+ SELECT TIMESTAMP '1970-01-01 00:00:00' + to_seconds(b.b) AS bucket, coalesce(n, 0) AS call_count, coalesce(tt, 0) AS total_tokens, coalesce(ts, 0) AS tokens_saved FROM b LEFT JOIN s ON b.b = s.b"""
+
+
+@_query(_trend_sql(86_400, 3_600))
+def trend_last_24h(spark, sf_dir):
+    return telemetry.trend(_calls(spark, sf_dir), "last_24h", _NOW)
+
+
+@_query(_trend_sql(604_800, 86_400))
+def trend_last_7d(spark, sf_dir):
+    return telemetry.trend(_calls(spark, sf_dir), "last_7d", _NOW)
+
+
+@_query(_trend_sql(2_592_000, 86_400))
+def trend_last_30d(spark, sf_dir):
+    return telemetry.trend(_calls(spark, sf_dir), "last_30d", _NOW)
+
+
+@_query(f"""WITH {_CALLS} SELECT """ + ", ".join(f"count(*) FILTER (WHERE captured_at >= TIMESTAMP '{_NOW}' - INTERVAL {s} SECOND AND captured_at < TIMESTAMP '{_NOW}') AS {n}_calls, CAST(coalesce(sum(tokens_saved) FILTER (WHERE captured_at >= TIMESTAMP '{_NOW}' - INTERVAL {s} SECOND AND captured_at < TIMESTAMP '{_NOW}'), 0) AS BIGINT) AS {n}_tokens_saved" for n, (s, _) in telemetry.WINDOWS.items()) + " FROM calls")
+def trend_windows(spark, sf_dir):
+    return telemetry.trends(_calls(spark, sf_dir), _NOW)
+
+
+@_query(f"""WITH {_CALLS}, d AS (SELECT CAST(captured_at AS DATE) AS day, CAST(sum(tokens_saved) % 5000 AS BIGINT) AS total FROM calls GROUP BY 1), l AS (SELECT day, total, lag(total) OVER (ORDER BY day) AS p FROM d)
+ SELECT day, total, CASE WHEN p IS NULL OR total < p THEN total ELSE total - p END AS total_delta FROM l""")
+def snapshot_delta(spark, sf_dir):
+    daily = _calls(spark, sf_dir).groupBy(F.to_date("captured_at").alias("day")).agg((F.sum("tokens_saved") % 5000).alias("total"))
+    return telemetry.snapshot_deltas(daily, ["total"], at="day")
+
+
+@_query(f"WITH {_CALLS} SELECT tool_name, round(avg(duration_ms), 6) AS mean, round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95 FROM calls GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return telemetry.latency(_calls(spark, sf_dir), "duration_ms", "tool_name")
+
+
+@_query(f"WITH {_CALLS} SELECT tool_name, count(*) AS n FROM calls WHERE captured_at >= TIMESTAMP '{_NOW}' - INTERVAL 10 DAY GROUP BY 1")
+def retention(spark, sf_dir):
+    return telemetry.retain(_calls(spark, sf_dir), _NOW, 10).groupBy("tool_name").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_CALLS} SELECT event_id, captured_at FROM calls ORDER BY captured_at DESC, event_id DESC LIMIT 2048")
+def pending_buffer(spark, sf_dir):
+    return telemetry.newest(_calls(spark, sf_dir)).select("event_id", "captured_at")
+
+
+@_query(f"""WITH {_CALLS}, r AS (SELECT session, CAST(sum(total_tokens) AS BIGINT) AS bi, CAST(sum(response_tokens) AS BIGINT) AS bo, CAST(sum(request_tokens) AS BIGINT) AS ti, CAST(sum(total_tokens) AS BIGINT) AS tt FROM calls GROUP BY 1)
+ SELECT session, bi + bo - ti - tt AS tokens_saved, CASE WHEN bi + bo <= 0 THEN 0.0 ELSE round((bi + bo - ti - tt) / (bi + bo), 6) END AS saved_ratio, round(((bi - ti) * 3.0::DOUBLE + (bo - tt) * 15.0::DOUBLE) / 1e6, 9) AS usd FROM r""")
+def benchmark_delta(spark, sf_dir):
+    runs = _calls(spark, sf_dir).groupBy("session").agg(F.sum("total_tokens").alias("baseline_in"), F.sum("response_tokens").alias("baseline_out"), F.sum("request_tokens").alias("tool_in"), F.sum("total_tokens").alias("tool_out"))
+    return telemetry.benchmark_delta(runs).select("session", "tokens_saved", "saved_ratio", F.round("claude_code_usd", 9).alias("usd"))
+
+
+# ---- streams -------------------------------------------------------------------------------------------------------
+
+
+@_query("""WITH e AS (SELECT CAST(user_id % 10 AS INT) AS folder, ts, lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts) AS p FROM events), s AS (SELECT folder, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY folder ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+ SELECT folder, min(ts) AS batch_start, max(ts) + INTERVAL 1 HOUR AS batch_end, count(*) AS n_changes FROM s GROUP BY folder, g""")
+def session_debounce(spark, sf_dir):
+    return changes.debounce(t.changes(spark, sf_dir), "1 hour")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def tumbling_buckets(spark, sf_dir):
+    return changes.buckets(t.table(spark, sf_dir, "events"))
+
+
+@_query()
+def change_coalescing(spark, sf_dir):
+    return changes.coalesce(t.changes(spark, sf_dir), "folder")
+
+
+@_query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes FROM conversations GROUP BY role")
+def conversation_roles(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.octet_length("text")).cast("long").alias("size_bytes"))
