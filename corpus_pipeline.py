@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the discriminant scores at LEAST_QUALITY or more. It is fitted on the labelled ones of this stage's input that are
     not held out; with too few labels nothing is rejected. A null text scores as an empty one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.train(queries.training(docs), labels)
+    model = quality.train(quality.statistics(queries.training(docs), [F.col("doc_id")]), labels)
     if model is None:
         return docs
     names = docs.columns

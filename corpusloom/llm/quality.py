@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import textstats
 from ._columns import named
+from ._store import Scratch
 
 #: Statistics, and the standard deviation of measurement that is added to each class: rare values of a statistic that is
 #: nearly always zero stay possible.
@@ -94,23 +95,25 @@ def calibrate(model: Model, labelled: DataFrame, label: str, cuts: int = 200) ->
     return Model(model.means, model.inverses, model.constant, float(w[0]), float(w[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    """Fit and calibrate on all rows of docs that have a label. Rows without one, or with another than 0 and 1, are left out.
-    Repeated ids of docs count each; labels has one row for each id."""
-    known = labels.select(named(doc_id).alias("_id"), named(label).cast("int").alias("_label")).where("_label in (0, 1)")
-    own = docs.select(named(doc_id).alias("_doc"), named(text).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
-    from ._store import Scratch
-
-    rows = Scratch(docs.sparkSession, "quality").save(statistics(own, [F.col("_label")], "_text").withColumnRenamed("_keep0", "label"), "labelled")
+def train(stats: DataFrame, labels: DataFrame, doc_id: str = "_keep0", label_id: str = "doc_id", label: str = "quality") -> Model | None:
+    """Fit and calibrate on all rows of statistics whose id has a label. Only numbers and ids are joined, never texts. Rows without a
+    label, or with another than 0 and 1, are left out. Repeated ids count each; labels has one row for each id."""
+    known = labels.select(named(label_id).alias("_id"), named(label).cast("int").alias("label")).where("label in (0, 1)")
+    rows = Scratch(stats.sparkSession, "quality").save(stats.join(known, named(doc_id) == F.col("_id")).select("label", *_X), "labelled")
     model = fit(rows, "label")
     return model and calibrate(model, rows, "label")
 
 
+def logistic(model: Model | None) -> Column:
+    """The probability of label 1, as an expression over the statistics; 0.5 with no model."""
+    logit = F.lit(0.0) if model is None else F.greatest(F.least(model.logit(), F.lit(30.0)), F.lit(-30.0))
+    return 1 / (1 + F.exp(-logit))
+
+
 def score(docs: DataFrame, model: Model | None, keep: list[Column], text: str = "text") -> DataFrame:
     """The columns `keep`, as _keep0, ..., and score: the probability of label 1. A null text counts as empty. With no model all score 0.5."""
     stats = statistics(docs, keep, text)
-    logit = F.lit(0.0) if model is None else F.greatest(F.least(model.logit(), F.lit(30.0)), F.lit(-30.0))
     # as the output of a generator, so that a filter on the score stays above it: pushed below the projections, it would turn every
     # use of a column in them into a copy of that column's whole expression
     kept = [f"_keep{k}" for k in range(len(keep))]
-    return stats.select(*kept, (1 / (1 + F.exp(-logit))).alias("_score")).select(*kept, F.explode(F.array("_score")).alias("score"))
+    return stats.select(*kept, logistic(model).alias("_score")).select(*kept, F.explode(F.array("_score")).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import langid, licenses, outliers, packing, quality, simhash, suffix, toxicity, warc
+from ._store import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,11 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(training(docs), _table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, [F.col("doc_id"), F.coalesce(_remainder(4) == 2, F.lit(False))])
-    return scored.select(F.col("_keep0").alias("doc_id"), F.col("_keep1").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    stats = Scratch(spark, "quality").save(quality.statistics(docs, [F.col("doc_id"), held_out]), "statistics")
+    model = quality.train(stats.where("not _keep1"), _table(spark, sf_dir, "labels"))
+    scored = stats.select(F.col("_keep0").alias("doc_id"), F.col("_keep1").alias("held_out"), quality.logistic(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
