@@ -196,12 +196,12 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 
 def _same_row_names(doc_id: str):
     """Rows of documents are told apart by id and text, so that repeated or null ids do no harm."""
-    return named(doc_id).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    return named(doc_id).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, doc_id: str, length: int) -> DataFrame:
     """The bytes of the wanted segments. wanted: id, text_hash, at, first, last, gram, segment, n."""
-    lists = wanted.groupBy(named(doc_id).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("gram", "segment", "n", F.col("at").cast("long").alias("at"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("want"))
+    lists = wanted.groupBy(named(doc_id).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("gram", "segment", "n", F.col("at").cast("long").alias("at"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("want"))
     met = _squeezed(docs).join(lists, _same_row_names(doc_id)).select("z", "want")
 
     def run(batches):
@@ -294,7 +294,7 @@ def _crowded(segments: DataFrame, scratch: Scratch, length: int, most: int, widt
     for width in widths:
         rows = scratch.save(_classes(segments, width, length), f"classes{width}")
         groups = rows.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-        met = scratch.save(rows.join(groups, "key"), f"met{width}")
+        met = scratch.save(rows.join(scratch.save(groups, f"groups{width}"), "key"), f"met{width}")
         whole = met.where("c0 = c1").select("gram", "segment", F.col("first").alias("begin"), (F.col("first") + F.octet_length("bytes") - length + 1).alias("end"))
         few = met.where((F.col("c0") != F.col("c1")) & (F.col("rows") <= most)).select("key", "gram", "segment", "n", "first", "bytes")
         found += [whole, _sort_segments(few.repartition("key").sortWithinPartitions("key"), length)]
@@ -312,25 +312,27 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id_field = own.schema[0].name
     rows = scratch.save(_anchor_rows(own.where(F.octet_length("text") >= length), length, gram), "anchors")
     groups = rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min("segment").alias("s0"), F.max("segment").alias("s1")).where("rows > 1")
-    met = scratch.save(rows.join(groups.select("gram", (F.col("s0") == F.col("s1")).alias("whole")), "gram"), "met")
+    # written first, here and below: a join whose sides are both fresh shuffles can split a hot key
+    groups = scratch.save(groups.select("gram", (F.col("s0") == F.col("s1")).alias("whole")), "groups")
+    met = scratch.save(rows.join(groups, "gram"), "met")
     mixed = met.where("not whole")
     one = F.min_by(F.struct(named(doc_id_field), "text_hash", "at", "first", "last"), F.struct(F.xxhash64(named(doc_id_field)), "text_hash", "at"))
     distinct = scratch.save(mixed.groupBy("gram", "segment").agg(F.count("*").alias("n"), one.alias("one")).select("gram", "segment", "n", "one.*"), "distinct")
     bytes_ = scratch.save(_fetch(own, distinct, doc_id_field, length), "segments")
     crowd = bytes_.groupBy("gram").agg(F.count("*").alias("segments"))
-    sized = scratch.save(bytes_.join(crowd, "gram"), "sized")
+    sized = scratch.save(bytes_.join(scratch.save(crowd, "crowd"), "gram"), "sized")
     few = sized.where(F.col("segments") <= most).select(F.col("gram").alias("key"), "gram", "segment", "n", "first", "bytes")
     found = [_sort_segments(few.repartition("key").sortWithinPartitions("key"), length)]
     many = sized.where(F.col("segments") > most)
     if many.head(1):
-        found += _crowded(many, scratch, length, most, (32, 1))
+        found += _crowded(many, scratch, length, most, (96, 24, 6, 1))
     starts = found[0]
     for f in found[1:]:
         starts = starts.unionByName(f)
     starts = scratch.save(starts, "starts").groupBy("gram", "segment").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    exact = mixed.join(starts, ["gram", "segment"]).select(named(doc_id_field), "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["begin"]).alias("begin"), (F.col("at") + r["end"] - 1 + length).alias("end"))).alias("spans"))
+    exact = mixed.join(scratch.save(starts, "ranges"), ["gram", "segment"]).select(named(doc_id_field), "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["begin"]).alias("begin"), (F.col("at") + r["end"] - 1 + length).alias("end"))).alias("spans"))
     whole = met.where("whole").select(named(doc_id_field), "text_hash", F.array(F.struct(F.col("first").alias("begin"), (F.col("last") + length).alias("end"))).alias("spans"))
-    spans = exact.unionByName(whole).groupBy(named(doc_id_field).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = exact.unionByName(whole).groupBy(named(doc_id_field).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return scratch.save(spans, "spans")
 
 
@@ -370,8 +372,8 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 
 
 def _joined(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    keyed = docs.withColumn("_text_hash", F.hash(named(text)))
-    return keyed.join(spans, named(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash")
+    keyed = docs.withColumn("__text_hash", F.hash(named(text)))
+    return keyed.join(spans, named(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "__text_hash")
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = 256) -> DataFrame:
@@ -404,9 +406,9 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs, all columns and rows, without the repeated bytes in their texts. Spans shrink to whole characters; a null
-    text stays null."""
+    text stays null. Names of columns that begin with two underscores are kept for this function."""
     spans = repeated_spans(docs, doc_id, text, length)
-    met = _joined(docs, spans.withColumnRenamed("spans", "_spans"), doc_id, text)
+    met = _joined(docs, spans.withColumnRenamed("spans", "__spans"), doc_id, text)
     names, schema = docs.columns, docs.schema
     at = names.index(text)
 
