@@ -16,11 +16,6 @@ from corpusloom.llm._store import Scratch
 LEAST_QUALITY = 0.7
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with a key that tells its rows apart, repeated or null ids included: rows with one id and text are alike."""
-    return docs.withColumn("_text_hash", F.xxhash64("text"))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant scores at LEAST_QUALITY or more. It is fitted on the labelled ones of this stage's input that are
     not held out; with too few labels nothing is rejected. A null text scores as an empty one."""
@@ -34,26 +29,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (linked fingerprints): the one with the smallest doc_id, and of
-    rows that share it the one with the smallest text hash. Rows that agree in both keep one."""
-    own = _rows(docs)
+    """One document of each group of near-duplicates (linked fingerprints): the one with the smallest doc_id (a null one is the
+    largest), then with the smallest text hash. Of rows that agree in both one stays."""
     found = simhash.near_duplicates(docs)
-    lead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = own.join(lead.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min("_text_hash").alias("_least"), F.count("*").alias("_n"))
-    repeated = first.where("_n > 1")
-    if not repeated.head(1):  # no repeated ids
-        return kept.select(*docs.columns)
-    met = kept.join(first.select(F.col("doc_id").alias("_id"), "_least"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_least")))
-    return met.dropDuplicates(["doc_id"]).select(*docs.columns)
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    leads = found.groupBy("root").agg(lead).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    own = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = own.join(leads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id", "__text_hash"])
+    return kept.select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes covered by any 400-byte string that also starts elsewhere (whole characters only). Documents of which
     nothing but white space is left go; those that had no text before stay. n_chars follows the text."""
-    cut = suffix.remove_repeats(docs.withColumn("_before", F.octet_length("text")))
-    emptied = (F.octet_length("text") < F.col("_before")) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
-    left = cut.where(~F.coalesce(emptied, F.lit(False))).drop("_before")
+    cut = suffix.remove_repeats(docs.withColumn("__before", F.octet_length("text")))
+    emptied = (F.octet_length("text") < F.col("__before")) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
+    left = cut.where(~F.coalesce(emptied, F.lit(False))).drop("__before")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)

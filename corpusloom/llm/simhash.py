@@ -201,17 +201,18 @@ def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, bits: int = 2) -> DataFrame:
-    """doc_id, simhash and component_id (the smallest doc_id reachable over links, itself included) of each row.
+    """doc_id, text_hash, simhash, root and component_id (the smallest doc_id reachable over links, itself included) of each row.
+    root is the component's smallest fingerprint: it tells components apart even where ids repeat.
 
     A null or empty text has fingerprint 0 and is linked like any other. Rows with a null doc_id take part, but are
     never the smallest unless all are null. Repeated rows fall in one component. Other columns are not carried.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     docs = docs.select(named(doc_id), named(text))
-    rows = scratch.save(fingerprints(docs, text, size).select(named(doc_id), "simhash"), "prints")
+    rows = scratch.save(fingerprints(docs, text, size).select(named(doc_id), F.xxhash64(named(text)).alias("text_hash"), "simhash"), "prints")
     groups = scratch.save(rows.groupBy("simhash").agg(F.min(named(doc_id)).alias("least")), "groups")
     roots = connect(links(groups.select("simhash"), scratch, bits), scratch)
     labelled = groups.join(roots, groups.simhash == roots.node, "left").select("simhash", "least", F.coalesce("root", "simhash").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.select("simhash", "root").join(smallest, "root").select("simhash", "component_id")
-    return rows.join(by_print, "simhash").select(named(doc_id), "simhash", "component_id")
+    by_print = labelled.select("simhash", "root").join(smallest, "root").select("simhash", "root", "component_id")
+    return rows.join(by_print, "simhash").select(named(doc_id), "text_hash", "simhash", "root", "component_id")
