@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, chunks, graph, search, symbols, telemetry, vectors
+from ..operators import catalog, chunks, evaluation, graph, search, symbols, telemetry, vectors
 from ..sources import tables as t
 from ..streaming import changes
 
@@ -469,3 +469,104 @@ def change_coalescing(spark, sf_dir):
 def conversation_roles(spark, sf_dir):
     c = t.table(spark, sf_dir, "conversations")
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"), F.sum(F.octet_length("text")).cast("long").alias("size_bytes"))
+
+
+# ---- more of discovery, imports, sources, evaluation ---------------------------------------------------------------
+
+
+def _modules(spark, sf_dir) -> DataFrame:
+    """Parts as Python modules that import each other."""
+    k = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("from pkg.m"), ((F.col("p_partkey") * 7) % 50).cast("string"), F.lit(" import n"), k, F.lit(" as x, other\nimport os.path as osp, pkg.m3\n# nothing\n"))
+    return t.table(spark, sf_dir, "part").select(F.concat(F.lit("pkg/m"), k, F.lit(".py")).alias("path"), body.alias("content"), F.octet_length(body).cast("long").alias("size_bytes"))
+
+
+@_query("""SELECT 'pkg/m' || p_partkey || '.py' AS source_file, 'pkg/m' || CAST((p_partkey * 7) % 50 AS VARCHAR) AS specifier, 'n' || p_partkey || ',other' AS names FROM part
+ UNION ALL SELECT 'pkg/m' || p_partkey || '.py', 'os/path', 'osp' FROM part UNION ALL SELECT 'pkg/m' || p_partkey || '.py', 'pkg/m3', 'm3' FROM part""")
+def import_extraction(spark, sf_dir):
+    found = graph.extract_imports(_modules(spark, sf_dir))
+    return found.select("source_file", "specifier", F.array_join("names", ",").alias("names"))
+
+
+@_query("""WITH i AS (SELECT 'pkg/m' || p_partkey || '.py' AS source_file, 'pkg/m' || CAST((p_partkey * 7) % 50 AS VARCHAR) AS specifier FROM part UNION ALL SELECT 'pkg/m' || p_partkey || '.py', 'os/path' FROM part UNION ALL SELECT 'pkg/m' || p_partkey || '.py', 'pkg/m3' FROM part)
+ SELECT i.source_file, i.specifier, 'pkg/m' || p.p_partkey || '.py' AS resolved FROM i LEFT JOIN part p ON i.specifier = 'pkg/m' || p.p_partkey""")
+def import_resolution(spark, sf_dir):
+    files = _modules(spark, sf_dir)
+    return graph.resolve_imports(graph.extract_imports(files), files).select("source_file", "specifier", "resolved")
+
+
+@_query("""SELECT 'n5' AS identifier, 'pkg/m5.py' AS file, 'pkg/m' || CAST((5 * 7) % 50 AS VARCHAR) AS specifier, 'named' AS match_type
+ UNION ALL SELECT 'm3', 'pkg/m' || p_partkey || '.py', 'pkg/m3', 'named' FROM part""")
+def find_references(spark, sf_dir):
+    return graph.references(graph.extract_imports(_modules(spark, sf_dir)), ["n5", "m3"])
+
+
+@_query(f"""WITH {_FILES}, k AS (SELECT unnest(['skip_dir','symlink','symlink_escape','path_traversal','skip_file','gitignore','extra_ignore','secret','wrong_extension','too_large','unreadable','binary','file_limit']) AS skip_reason),
+ f AS (SELECT CASE WHEN path LIKE 'src3/%' THEN 'gitignore' WHEN size_bytes > 512000 THEN 'too_large' END AS r FROM files WHERE path LIKE '%/en/%') SELECT k.skip_reason, (SELECT count(*) FROM f WHERE f.r = k.skip_reason) AS n FROM k""")
+def skip_counts(spark, sf_dir):
+    return catalog.skip_counts(catalog.discover(t.files(spark, sf_dir).where("path like '%/en/%'"), ignore=["src3/"]))
+
+
+@_query(f"""WITH {_FILES}, f AS (SELECT path, row_number() OVER (ORDER BY path) AS rn FROM files WHERE path LIKE '%/en/%') SELECT path, CASE WHEN rn > 100 THEN 'file_limit' END AS skip_reason FROM f""")
+def file_cap(spark, sf_dir):
+    return catalog.discover(t.files(spark, sf_dir).where("path like '%/en/%'"), cap=100).select("path", "skip_reason")
+
+
+@_query(f"""WITH {_FILES}, r AS (SELECT DISTINCT string_split(path, '/')[1] AS root FROM files UNION ALL SELECT DISTINCT string_split(path, '/')[1] || '/en' FROM files WHERE path LIKE '%/en/%')
+ SELECT path, root, 'repo:' || root AS repo FROM (SELECT f.path, r.root, row_number() OVER (PARTITION BY f.path ORDER BY length(r.root) DESC) AS rn FROM files f JOIN r ON starts_with(f.path, r.root || '/')) WHERE rn = 1""")
+def longest_root(spark, sf_dir):
+    f = t.files(spark, sf_dir)
+    top = F.split_part("path", F.lit("/"), F.lit(1))
+    roots = f.select(top.alias("root")).distinct().unionByName(f.where("path like '%/en/%'").select(F.concat(top, F.lit("/en")).alias("root")).distinct())
+    return catalog.latest_per_root(f, roots.withColumn("repo", F.concat(F.lit("repo:"), "root")))
+
+
+@_query(f"""WITH {_FILES}, {_SYMBOLS.replace('FROM part', 'FROM part WHERE p_partkey <= 50')}, x AS (SELECT path, string_split(content, chr(10)) AS p, row_number() OVER (ORDER BY path) AS k FROM files), j AS (SELECT s.id, s.name, x.path, s.line, x.p FROM symbols s JOIN x ON CAST(s.id AS BIGINT) = x.k)
+ SELECT id, name, path, CAST(greatest(least(line, len(p)), 1) AS INT) AS start_line, CAST(greatest(least(line + 3, len(p)), 1) AS INT) AS end_line, array_to_string(p[greatest(least(line, len(p)), 1):greatest(least(line + 3, len(p)), 1)], chr(10)) AS source FROM j""")
+def symbol_source(spark, sf_dir):
+    f = t.files(spark, sf_dir)
+    firsts = f.select("path").orderBy("path").limit(50).selectExpr("path", "row_number() over (order by path) as k")
+    s = t.symbols(spark, sf_dir).where("cast(id as bigint) <= 50").join(firsts, F.col("id").cast("long") == F.col("k")).withColumn("file", F.col("path")).drop("path", "k")
+    return chunks.symbol_source(s, f, [str(k) for k in range(1, 51)]).select("id", "name", "path", "start_line", "end_line", "source")
+
+
+@_query("""SELECT 'blank_document' AS fault, count(*) FILTER (WHERE trim(text) = '') AS n FROM documents UNION ALL SELECT 'repeated_document', 0 UNION ALL SELECT 'unknown_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) AND doc_id % 3 = 0
+ UNION ALL SELECT 'unknown_query', 0 UNION ALL SELECT 'relevance_range', 0 UNION ALL SELECT 'query_without_judgment', CAST(1 AS BIGINT)""".replace("count(*) FILTER (WHERE trim(text) = '') AS n FROM documents", "count(*) FILTER (WHERE trim(text) = '') AS n FROM documents WHERE doc_id % 3 <> 0"))
+def fixture_faults(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "text")
+    judged = t.table(spark, sf_dir, "labels").select(F.lit("q").alias("query_id"), F.col("doc_id").alias("id"), F.col("quality").alias("relevance"))
+    queries = spark.range(2).select(F.when(F.col("id") == 0, "q").otherwise("none").alias("query_id"))
+    return evaluation.fixture_faults(docs, queries, judged)
+
+
+_RUNS = "SELECT event_type, user_id % 2 AS mode, 1 AS items, abs(value) + 1 AS ms, event_id % 50 = 0 AS failed FROM events"
+
+
+@_query(f"SELECT event_type, round(sum(items) / (sum(ms) / 1000), 6) AS items_per_s, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(avg(CAST(failed AS INT)), 6) AS error_rate FROM ({_RUNS}) GROUP BY 1")
+def slo_metrics(spark, sf_dir):
+    return evaluation.throughput(_runs(spark, sf_dir), "event_type")
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    e = t.table(spark, sf_dir, "events")
+    return e.select("event_type", (F.col("user_id") % 2).alias("mode"), F.lit(1).alias("items"), (F.abs("value") + 1).alias("ms"), (F.col("event_id") % 50 == 0).alias("failed"))
+
+
+@_query(f"""WITH r AS ({_RUNS}), m AS (SELECT event_type, mode, round(sum(items) / (sum(ms) / 1000), 6) AS t, round(quantile_cont(ms, 0.95), 6) AS p, round(avg(CAST(failed AS INT)), 6) AS e FROM r GROUP BY 1, 2),
+ x AS (SELECT a.event_type, round(a.t / b.t, 6) AS throughput_ratio, round(a.p / b.p, 6) AS p95_ratio, round(a.e - b.e, 6) AS error_delta FROM m a JOIN m b ON a.event_type = b.event_type WHERE a.mode = 1 AND b.mode = 0) SELECT *, throughput_ratio >= 1.10 AND p95_ratio <= 1.25 AND error_delta <= 0 AS passed FROM x""")
+def slo_baseline(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    return evaluation.against_baseline(evaluation.throughput(r.where("mode = 1"), "event_type"), evaluation.throughput(r.where("mode = 0"), "event_type"), "event_type")
+
+
+@_query("SELECT user_id AS run_id, max(value) AS v, CASE WHEN user_id % 4 = 0 THEN 'new' ELSE 'stored' END AS origin FROM events GROUP BY 1")
+def benchmark_runs_upsert(spark, sf_dir):
+    runs = t.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.max("value").alias("v"))
+    return evaluation.combine_runs(runs.withColumn("origin", F.lit("stored")), runs.where("run_id % 4 = 0").withColumn("origin", F.lit("new")))
+
+
+@_query(f"""WITH {_FILES}, k AS (SELECT unnest(['reports/api_key.txt', 'src/token.py', 'docs/secret-santa.md', 'docs/my_secret_password.md', 'a/b/plain.py', '.env.local', 'id_rsa.pub']) AS path) SELECT path, path IN ('reports/api_key.txt', 'src/token.py', '.env.local', 'id_rsa.pub') AS likely_secret FROM k""")
+def secret_paths(spark, sf_dir):
+    names = ["reports/api_key.txt", "src/token.py", "docs/secret-santa.md", "docs/my_secret_password.md", "a/b/plain.py", ".env.local", "id_rsa.pub"]
+    paths = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("path"))
+    return paths.select("path", catalog.likely_secret(F.col("path")).alias("likely_secret"))
