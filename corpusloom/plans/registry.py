@@ -235,9 +235,11 @@ def symbol_centrality(spark, sf_dir):
     return symbols.centrality(t.symbols(spark, sf_dir)).select("id", F.round("centrality", 6).alias("centrality"))
 
 
-@_query()
+@_query(f"""{_SCORE.replace("WITH symbols", "WITH RECURSIVE symbols")}, b AS (SELECT s.*, CAST(floor(p_retailprice) AS BIGINT) AS size, row_number() OVER (ORDER BY lexical + centrality DESC, file, line, name, s.id) AS rn FROM s JOIN part ON CAST(p_partkey AS VARCHAR) = s.id WHERE lexical > 0),
+ f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS id UNION ALL SELECT b.rn, CASE WHEN f.used + b.size <= 16000 THEN f.used + b.size ELSE f.used END, CASE WHEN f.used + b.size <= 16000 THEN b.id END FROM f JOIN b ON b.rn = f.rn + 1)
+ SELECT id, CAST((SELECT max(used) FROM f) // 4 AS BIGINT) AS tokens_used FROM f WHERE id IS NOT NULL""")
 def search_symbols_budget(spark, sf_dir):
-    return symbols.pack_budget(symbols.search(t.symbols(spark, sf_dir), "blue"), 4000)
+    return symbols.pack_budget(symbols.search(t.symbols(spark, sf_dir), "blue"), 4000).select("id", "tokens_used")
 
 
 @_query(f"""WITH {_SYMBOLS}, tg AS (SELECT file, {_TOKENS.format('name')} AS tk FROM symbols WHERE id = '7'),
@@ -352,7 +354,11 @@ def check_references(spark, sf_dir):
 # ---- chunks and columns --------------------------------------------------------------------------------------------
 
 
-@_query()
+@_query("WITH RECURSIVE " + _LINES + """, f AS (SELECT path, line, text, 1 AS start, 1 AS n, strlen(text) AS size FROM lines WHERE line = 1
+ UNION ALL SELECT l.path, l.line, l.text, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN l.line ELSE f.start END, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN 1 ELSE f.n + 1 END,
+  CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN strlen(l.text) ELSE f.size + 1 + strlen(l.text) END FROM f JOIN lines l ON l.path = f.path AND l.line = f.line + 1),
+ c AS (SELECT path, start, max(line) AS stop, string_agg(text, chr(10) ORDER BY line) AS t FROM f GROUP BY 1, 2)
+ SELECT path, sha1('corpus' || chr(0) || path || chr(0) || CAST(start AS VARCHAR) || chr(0) || CAST(stop AS VARCHAR) || chr(0) || regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS chunk_id, CAST(start AS INT) AS start_line, CAST(stop AS INT) AS end_line, CAST(strlen(t) AS INT) AS chunk_bytes FROM c WHERE trim(t) <> ''""")
 def chunk_documents(spark, sf_dir):
     return chunks.chunk(t.files(spark, sf_dir), "corpus").select("path", "chunk_id", "start_line", "end_line", F.octet_length("chunk_text").alias("chunk_bytes"))
 
@@ -460,7 +466,10 @@ def tumbling_buckets(spark, sf_dir):
     return changes.buckets(t.table(spark, sf_dir, "events"))
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT CAST(user_id % 10 AS INT) AS folder, CAST(user_id AS VARCHAR) AS path, CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'modified' WHEN 'signup' THEN 'added' WHEN 'purchase' THEN 'added' ELSE 'deleted' END AS c,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), f AS (SELECT folder, path, rn, c AS s FROM e WHERE rn = 1
+ UNION ALL SELECT e.folder, e.path, e.rn, CASE WHEN f.s = 'added' AND e.c = 'deleted' THEN 'none' WHEN f.s = 'added' AND e.c = 'modified' THEN 'added' WHEN f.s = 'deleted' AND e.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND e.c = 'modified' THEN 'deleted' ELSE e.c END FROM f JOIN e ON e.path = f.path AND e.rn = f.rn + 1)
+ SELECT folder, path, s AS change_type FROM (SELECT *, max(rn) OVER (PARTITION BY path) AS m FROM f) WHERE rn = m AND s <> 'none'""")
 def change_coalescing(spark, sf_dir):
     return changes.coalesce(t.changes(spark, sf_dir), "folder")
 
