@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +15,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop), one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        own = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, own, True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -23,6 +28,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Delete all tables, at the latest when the driver's Python ends; nothing reads them after that."""
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            self.drop("")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again: what follows starts from the files."""
@@ -33,5 +44,5 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

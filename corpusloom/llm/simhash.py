@@ -186,7 +186,8 @@ def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFr
     state = None
     for k in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first: the join's sides are then both fresh shuffles, and a root with very many nodes can be split
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{k}")
         large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).where("u < v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").unionByName(down.select("v", F.col("m").alias("u"))).distinct()
@@ -194,6 +195,7 @@ def connect(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFr
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if k > 1:
             scratch.drop(f"round{k - 2}")
+            scratch.drop(f"least{k - 2}")
         if now == state:
             return pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))
         state = now

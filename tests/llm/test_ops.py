@@ -126,6 +126,27 @@ def test_repeats(docs, texts, most):
     assert rows(found) == sorted(brute.repeated_spans(list(enumerate(texts))), key=repr)
 
 
+@pytest.mark.parametrize("bits", [22, 11])
+def test_anchors_cover(monkeypatch, bits):
+    """Every string has one anchor, with any size of slices; equal strings have equal k-grams at equal places."""
+    monkeypatch.setattr(suffix, "_POSITION_BITS", bits)
+    rng = np.random.default_rng(5)
+    a = rng.integers(97, 101, 3000).astype(np.uint8)
+    texts = [a, rng.integers(97, 101, 399).astype(np.uint8), np.concatenate([rng.integers(97, 101, 777), a[500:1400], rng.integers(97, 101, 900)]).astype(np.uint8), np.full(1500, 97, np.uint8)]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    text, at, gram, first, last = suffix.anchors(data, offsets, 400, 32)
+    seen: dict = {}
+    for t, p, g, f, e in zip(*(x.tolist() for x in (text, at, gram, first, last))):
+        assert offsets[t] <= f <= e and e + 400 <= offsets[t + 1] and f <= p <= e + 368
+        for s in range(f, e + 1):
+            assert s not in seen
+            seen[s] = (g, p - s)
+    assert set(seen) == {s for a, z in zip(offsets[:-1], offsets[1:]) for s in range(a, z - 399)}
+    by: dict = {}
+    for s, own in seen.items():
+        assert by.setdefault(data[s : s + 400].tobytes(), own) == own
+
+
 def test_crowded_passage(spark):
     """One passage in many texts, each with its own surroundings, and each k-gram of it in all of them."""
     import random
