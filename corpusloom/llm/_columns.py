@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,32 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[named(c) for c in df.columns if c.lower() not in new])
 
 
+#: Bytes and rows of one Arrow batch between the JVM and Python. Texts are long: at Spark's own limits a batch is tens of MB on both sides.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the batch limits of this session where they have Spark's defaults."""
+    for key, value in _BATCH.items():
+        with contextlib.suppress(Exception):  # a version that lacks one of them
+            if spark.conf.get(key) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key):
+                spark.conf.set(key, value)
+
+
+def released(run: Callable) -> Callable:
+    """run, an iterator of batches, that hands unused memory back to the system when it ends: a Python worker lives on for other tasks."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other systems
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return outer
+
+
 def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """df with more columns. make() runs once a task and returns a function from a batch to one array for each field."""
     base = without(df, [f.name for f in fields])
@@ -37,7 +65,8 @@ def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callab
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *work(b)], names)
 
-    return base.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return base.mapInArrow(released(run), schema)
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

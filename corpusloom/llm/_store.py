@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._columns import small_batches
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop), one of our own."""
@@ -29,6 +31,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
+        small_batches(spark)
 
     def clear(self) -> None:
         """Delete all tables, at the latest when the driver's Python ends; nothing reads them after that."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._columns import append, named, text_blocks
+from ._columns import append, named, released, text_blocks
 from ._words import LOWER
 
 GRAM = 4
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", capacity: int =
                 part = codes[k : k + 50_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[k : k + 50_000])], ["lang", "gram", "n"])
 
-    by_gram = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    by_gram = rows.mapInArrow(released(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     by_gram = by_gram.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))  # as many as there are languages
     from ._store import Scratch
 

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._columns import named, text_blocks
+from ._columns import named, released, small_batches, text_blocks
 from ._store import Scratch
 from ._words import word_ranges
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces whose ids a task remembers, and the longest such piece in bytes.
-_KNOWN, _KNOWN_BYTES = 500_000, 40
+_KNOWN, _KNOWN_BYTES = 250_000, 40
 
 #: Classes of bytes: blank, letter, sign, anything that asks for the whole tokenizer.
 _BLANK, _LETTER, _SIGN, _OTHER = range(4)
@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     """One row for each piece: doc_id, piece, start, length, ids_crc32 (and ids). A document's ids, end_id last, are cut
     only where they exceed the capacity. A null or empty text is the end_id alone; repeated rows give repeated pieces."""
     docs = docs.select(named(doc_id), named(text))
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     schema = T.StructType([docs.schema[0], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if with_ids:
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     def run(batches):
         model = _tokenizer(path)
         for b in batches:
-            for lo, hi, data, offsets in text_blocks(b.column(1), 1 << 21):
+            for lo, hi, data, offsets in text_blocks(b.column(1)):
                 ids, starts = model.encode(data, offsets, end_id)
                 rows, piece, start, length, crc, own = [], [], [], [], [], []
                 for d in range(hi - lo):
@@ -160,7 +161,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                     out.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +229,7 @@ def _round(bins: DataFrame, capacity: int, slack: int, most_items: int, level: i
         if held:
             yield from packed(parts)
 
-    return bins.mapInArrow(run, schema)
+    return bins.mapInArrow(released(run), schema)
 
 
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, slack: int = 8, fan_in: int = 8, most_items: int = 400_000) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._columns import append, named, text_blocks
+from ._columns import append, named, released, text_blocks
 from ._store import Scratch
 from ._words import LOWER
 
@@ -121,7 +121,7 @@ def _keys(prints: DataFrame) -> DataFrame:
             new[:, 1:] = keys[:, 1:] != keys[:, :-1]
             yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.repeat(values.view(np.int64), new.sum(axis=1)))], ["key", "simhash"])
 
-    return prints.select("simhash").mapInArrow(run, "key long, simhash long")
+    return prints.select("simhash").mapInArrow(released(run), "key long, simhash long")
 
 
 def _links_within(rows: DataFrame, bits: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _links_within(rows: DataFrame, bits: int) -> DataFrame:
         if len(keys):
             yield linked(keys, prints)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(released(run), "a long, b long")
 
 
 def links(prints: DataFrame, scratch: Scratch, bits: int = 2, most: int = 256) -> DataFrame:

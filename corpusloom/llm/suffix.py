@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._columns import named, text_blocks
+from ._columns import named, released, text_blocks
 from ._store import Scratch
 from ._words import prefix_sums, range_hashes
 
 LENGTH = 400
 GRAM = 32
 #: Bytes in one suffix array, about; a k-gram's segments are never dealt over two.
-_SORT_BYTES = 384 << 10
+_SORT_BYTES = 256 << 10
 _POSITION_BITS = 22
 
 
@@ -169,14 +169,14 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offsets in text_blocks(b.column(2), 2 << 20):
+            for lo, hi, data, offsets in text_blocks(b.column(2)):
                 text, at, grams, first, last = anchors(data, offsets, length, gram)
                 raw, h = data.tobytes(), xxhash.xxh3_64_intdigest
                 segment = np.array([h(raw[f : e + length], p - f) for p, f, e in zip(at.tolist(), first.tolist(), last.tolist())], np.uint64).view(np.int64)
                 rows, base = pa.array(text + lo), offsets[text]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array((x - base).astype(np.int32)) for x in (at, first, last)), pa.array(grams), pa.array(segment)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 # ---- segments and classes ------------------------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress((x or "").encode()) for x in b.column(2).to_pylist()], pa.binary())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _same_row_names(doc_id: str):
@@ -216,7 +216,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, doc_id: str, length: int) -> Data
                 own += [text[f : e + length] for f, e in zip(first[ends[k] : ends[k + 1]].tolist(), last[ends[k] : ends[k + 1]].tolist())]
             yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("segment"), flat.field("n"), pa.array((first - at).astype(np.int32)), pa.array(own, pa.binary())], ["gram", "segment", "n", "first", "bytes"])
 
-    return met.mapInArrow(run, "gram long, segment long, n long, first int, bytes binary")
+    return met.mapInArrow(released(run), "gram long, segment long, n long, first int, bytes binary")
 
 
 _FOUND = "gram long, segment long, begin int, end int"
@@ -254,7 +254,7 @@ def _sort_segments(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return rows.mapInArrow(run, _FOUND)
+    return rows.mapInArrow(released(run), _FOUND)
 
 
 def _classes(segments: DataFrame, width: int, length: int) -> DataFrame:
@@ -285,7 +285,7 @@ def _classes(segments: DataFrame, width: int, length: int) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return segments.select("gram", "segment", "n", "first", "bytes").mapInArrow(run, "gram long, segment long, n long, first int, bytes binary, key long, content long")
+    return segments.select("gram", "segment", "n", "first", "bytes").mapInArrow(released(run), "gram long, segment long, n long, first int, bytes binary, key long, content long")
 
 
 def _crowded(segments: DataFrame, scratch: Scratch, length: int, most: int, widths: tuple[int, ...]) -> list[DataFrame]:
@@ -401,7 +401,7 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 out.append((len(data), sum(e - a for a, e in own), len(own), hashlib.sha256(_cut(data, own)).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], schema.names)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(released(run), schema)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -424,4 +424,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(released(run), schema)
