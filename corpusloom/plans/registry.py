@@ -315,25 +315,33 @@ def _start(spark) -> DataFrame:
     return spark.range(1, 2).select(F.col("id").alias("node"))
 
 
+def _sampled_edges(spark, sf_dir) -> DataFrame:
+    """The edges of the queries with SQL: those of one order in 97, as in _EDGES. The queries *_whole have all edges."""
+    return t.edges(spark, sf_dir, "l_orderkey % 97 = 0")
+
+
 @_query(_graph_sql(2, True) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
 def dependency_nodes(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[0]
+    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 2)[0]
 
 
 @_query(_graph_sql(2, True) + " SELECT e.source, e.target FROM edges e JOIN nodes n ON e.source = n.node WHERE n.level < 2")
 def dependency_edges(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[1]
+    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 2)[1]
 
 
 @_query(_graph_sql(3, False) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
 def dependency_importers(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 3, "importers")[0]
+    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 3, "importers")[0]
 
 
 @_query(_graph_sql(1, True) + """, i AS (SELECT e.source, e.target FROM edges e WHERE source IN (SELECT node FROM nodes) AND target IN (SELECT node FROM nodes))
  SELECT coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n_imports, coalesce(b.n, 0) AS n_imported_by FROM (SELECT source AS node, count(*) AS n FROM i GROUP BY 1) a FULL OUTER JOIN (SELECT target AS node, count(*) AS n FROM i GROUP BY 1) b ON a.node = b.node""")
 def dependency_neighbours(spark, sf_dir):
-    e = t.edges(spark, sf_dir)
+    return _neighbours(spark, _sampled_edges(spark, sf_dir))
+
+
+def _neighbours(spark, e: DataFrame) -> DataFrame:
     found = graph.neighbours(e, graph.bfs(e, _start(spark), 1)[0])
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return found.select("node", F.when(F.col("imports").isNull(), 0).otherwise(size("imports")).cast("long").alias("n_imports"), F.when(F.col("imported_by").isNull(), 0).otherwise(size("imported_by")).cast("long").alias("n_imported_by"))
@@ -341,11 +349,40 @@ def dependency_neighbours(spark, sf_dir):
 
 @_query(_graph_sql(2, False) + """ SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(level AS INT) AS level, CAST(len(regexp_extract_all(s_name, '\\bSupplier\\b')) AS INT) AS references, CASE WHEN regexp_matches(s_name, '\\bSupplier\\b') THEN 'confirmed' ELSE 'potential' END AS status FROM supplier JOIN nodes ON s_suppkey = node WHERE level > 0""")
 def blast_radius(spark, sf_dir):
+    return _blast_radius(spark, sf_dir, _sampled_edges(spark, sf_dir))
+
+
+def _blast_radius(spark, sf_dir, edges: DataFrame) -> DataFrame:
     files = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_name").alias("content"))
-    e = t.edges(spark, sf_dir).select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
+    e = edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
     return graph.blast_radius(files, e, "Supplier", "1", 2)
 
 
+@_query()
+def dependency_nodes_whole(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[0]
+
+
+@_query()
+def dependency_edges_whole(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[1]
+
+
+@_query()
+def dependency_importers_whole(spark, sf_dir):
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 3, "importers")[0]
+
+
+@_query()
+def dependency_neighbours_whole(spark, sf_dir):
+    return _neighbours(spark, t.edges(spark, sf_dir))
+
+
+@_query()
+def blast_radius_whole(spark, sf_dir):
+    return _blast_radius(spark, sf_dir, t.edges(spark, sf_dir))
+
+
 @_query(f"""WITH {_FILES}, w AS (SELECT unnest(['idiot', 'license', 'zzzz']) AS identifier) SELECT identifier, CAST(0 AS BIGINT) AS import_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) AS content_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) > 0 AS is_referenced FROM w""")
 def check_references(spark, sf_dir):
     return graph.check_references(t.links(spark, sf_dir), t.files(spark, sf_dir), t.symbols(spark, sf_dir), ["idiot", "license", "zzzz"])

@@ -49,10 +49,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directed graph of suppliers from line items: source, target; distinct, no loops."""
+def edges(spark: SparkSession, sf_dir: str, orders: str = "true") -> DataFrame:
+    """A directed graph of suppliers from line items (those that meet the condition `orders`): source, target; distinct, no loops."""
     suppliers = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0").crossJoin(F.broadcast(suppliers))  # one row
+    li = table(spark, sf_dir, "lineitem").where(orders).crossJoin(F.broadcast(suppliers))  # one row
     found = li.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
     return found.where("source <> target").distinct()
 
