@@ -55,9 +55,9 @@ def search_columns(columns: DataFrame, query: str, model_pattern: str = "", most
     return own.withColumn("score", by_name + by_text).where("score > 0").orderBy(F.desc("score"), "model", "column", "source").limit(max(1, min(most, 500)))
 
 
-def symbol_source(symbols: DataFrame, files: DataFrame, ids: list[str], context: int = 0) -> DataFrame:
-    """id, file, start_line, end_line, source, verified: the symbol's lines with `context` lines around. All ids in one join by file."""
-    own = symbols.where(F.col("id").isin(*dict.fromkeys(ids))).select("id", "name", F.col("file").alias("path"), "line", "end_line", "content_hash")
+def symbol_source(symbols: DataFrame, files: DataFrame, ids: list[str] | None, context: int = 0) -> DataFrame:
+    """id, file, start_line, end_line, source, verified: the symbol's lines with `context` lines around. All ids (None: every symbol) in one join by file."""
+    own = (symbols if ids is None else symbols.where(F.col("id").isin(*dict.fromkeys(ids)))).select("id", "name", F.col("file").alias("path"), "line", "end_line", "content_hash")
     met = own.join(files.select("path", F.split("content", "\n", -1).alias("parts")), "path")
     n = F.size("parts")
     first, last = tx.clamp(F.col("line") - context, 1, n), tx.clamp(F.col("end_line") + context, 1, n)

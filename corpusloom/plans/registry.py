@@ -258,8 +258,13 @@ def keyword_histogram(spark, sf_dir):
 @_query(f"""WITH {_SYMBOLS}, a AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols WHERE CAST(id AS BIGINT) % 100 = 1), b AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols),
  x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS overlap FROM a, b WHERE a.id <> b.id) SELECT a, b, CAST(overlap AS INT) AS overlap FROM x WHERE overlap > 0""")
 def token_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "cast(id as bigint) % 100 = 1")
+
+
+def _overlap(spark, sf_dir, some: str) -> DataFrame:
+    """Pairs of symbols that share tokens; the first is one of those that meet the condition."""
     s = t.symbols(spark, sf_dir).select("id", F.explode(F.array_distinct(tx.tokenize(F.col("name")))).alias("token"))
-    asked = s.where("cast(id as bigint) % 100 = 1").select(F.col("id").alias("a"), "token")
+    asked = s.where(some).select(F.col("id").alias("a"), "token")
     return asked.join(s.withColumnRenamed("id", "b"), "token").where("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("overlap"))
 
 
@@ -616,3 +621,66 @@ def secret_paths(spark, sf_dir):
     names = ["reports/api_key.txt", "src/token.py", "docs/secret-santa.md", "docs/my_secret_password.md", "a/b/plain.py", ".env.local", "id_rsa.pub"]
     paths = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("path"))
     return paths.select("path", catalog.likely_secret(F.col("path")).alias("likely_secret"))
+
+
+# ---- whole tables: the queries above that their SQL restricts to some ids or paths ----------------------------------
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Every vector whose id is divisible by 20, as a query."""
+    v = t.vectors(spark, sf_dir)
+    return v.where("cast(id as bigint) % 20 = 0").select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
+
+
+def _ranked_whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest of each query, and what is relevant to it: the vectors of its label."""
+    v, q = t.vectors(spark, sf_dir), _asked(spark, sf_dir)
+    judged = q.select("query_id", "q_label").join(v, F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
+    return vectors.top_k(v, q, 10), judged
+
+
+@_query()
+def vector_topk_whole(spark, sf_dir):
+    found = vectors.top_k(t.vectors(spark, sf_dir), _asked(spark, sf_dir), 5)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@_query()
+def recall_at_k_whole(spark, sf_dir):
+    return vectors.recall_at_k(*_ranked_whole(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@_query()
+def mrr_at_k_whole(spark, sf_dir):
+    return vectors.mrr_at_k(*_ranked_whole(spark, sf_dir), 10).select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query()
+def token_overlap_whole(spark, sf_dir):
+    return _overlap(spark, sf_dir, "cast(id as bigint) % 20 = 0")
+
+
+@_query()
+def discovery_filter_whole(spark, sf_dir):
+    return catalog.discover(t.files(spark, sf_dir), ignore=["src3/"], extra_ignore=["*_1*.sql"]).select("path", "skip_reason")
+
+
+@_query()
+def skip_counts_whole(spark, sf_dir):
+    return catalog.skip_counts(catalog.discover(t.files(spark, sf_dir), ignore=["src3/"]))
+
+
+@_query()
+def file_cap_whole(spark, sf_dir):
+    return catalog.discover(t.files(spark, sf_dir), cap=100).select("path", "skip_reason")
+
+
+@_query()
+def symbol_source_whole(spark, sf_dir):
+    """Every symbol, in the file of the document whose id is the symbol's modulo the number of documents."""
+    f = t.files(spark, sf_dir)
+    number = F.regexp_extract("path", r"/doc_(\d+)\.[a-z]+$", 1).cast("long")
+    n = f.agg(F.count("*").alias("n"))  # one row
+    s = t.symbols(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("k", F.col("id").cast("long") % F.col("n"))
+    s = s.join(f.select("path", number.alias("k")), "k").withColumn("file", F.col("path")).drop("path", "k", "n")
+    return chunks.symbol_source(s, f, None).select("id", "name", "path", "start_line", "end_line", "source")
