@@ -1,6 +1,7 @@
 """Licence notices: normalised text compared to templates by the Dice coefficient over word bigrams.
 
-Units are the lines of a text, and the whole text. Two bigram multisets of sizes a and b have a Dice coefficient of at most
+Units are the lines of a text, the whole text, and every run of consecutive lines: a notice is often wrapped and stands inside other
+text. Runs are also compared with the full texts of licences. Two bigram multisets of sizes a and b have a Dice coefficient of at most
 2 min(a, b) / (a + b), so a template is compared only with units whose size is within the bound that the threshold sets; most lines of
 prose fall to that and to the next bound, the bigrams that any template has at all. The templates are a fixed, small table.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ._columns import append, text_blocks
 from ._words import ALNUM_SPLIT, LOWER, mix, prefix_sums, range_hashes, word_ranges
+from .license_bodies import BODIES
 
 THRESHOLD = 0.7
 
@@ -62,7 +64,7 @@ def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Templates:
     """Template multisets, sorted by size."""
 
-    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], threshold: float, bodies: list[tuple[str, str]] = ()):
         texts = [t.encode() for _, t in templates]
         grams, first = _bigrams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         own = [(b - a, name, Counter(grams[a:b].tolist())) for (name, _), a, b in zip(templates, first[:-1].tolist(), first[1:].tolist()) if b > a]
@@ -72,6 +74,90 @@ class Templates:
         self.threshold = threshold
         # 2 min(a, b) / (a + b) >= t  <=>  a within [b t / (2 - t), b (2 - t) / t]
         self.ratio = threshold / (2 - threshold)
+        self._of_runs([*templates, *bodies])
+
+    def _of_runs(self, templates: list[tuple[str, str]]) -> None:
+        """What runs are compared with: each template's count of each bigram that any of them has."""
+        texts = [t.encode() for _, t in templates]
+        grams, first = _bigrams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        self.run_grams, index = np.unique(grams, return_inverse=True)
+        full = np.flatnonzero(np.diff(first) > 0)
+        self.run_names = [templates[k][0] for k in full]
+        self.run_sizes = np.diff(first)[full]
+        self.run_counts = np.zeros((len(full), len(self.run_grams)), np.int32)
+        for row, k in enumerate(full):
+            np.add.at(self.run_counts[row], index[first[k] : first[k + 1]], 1)
+        # the smallest unit within the bounds shares this many bigrams
+        self.run_least = self.threshold / 2 * (1 + self.ratio) * self.run_sizes - 1e-9
+
+    def runs_of(self, gram: np.ndarray, line: np.ndarray, wanted: np.ndarray) -> list[tuple[float, str, int, int]]:
+        """(dice, licence, first line, last line) of the runs of a text's lines that reach the threshold, against the templates `wanted`.
+        gram: the index of each bigram in run_grams, or -1; line: that of each word. A run that begins or ends with lines that share
+        nothing is left to the shorter one without them, which is better."""
+        out = []
+        begin, end = np.searchsorted(line, line, "left"), np.searchsorted(line, line, "right")
+        for t in wanted.tolist():
+            size, counts = int(self.run_sizes[t]), self.run_counts[t]
+            hit = np.flatnonzero((gram >= 0) & (counts[gram] > 0))
+            if not len(hit):
+                continue
+            ends = np.unique(end[hit + 1])
+            for a in np.unique(begin[hit]).tolist():
+                lo, hi = np.searchsorted(ends, [a + 1 + size * self.ratio - 1e-9, a + 1 + size / self.ratio + 1e-9])
+                stop = ends[lo:hi]
+                own = hit[np.searchsorted(hit, a) :]
+                if not len(stop) or 2 * len(own) + 1e-9 < self.threshold * size:
+                    continue
+                until = np.searchsorted(own, stop - 1)  # bigrams of a run end before its last word
+                units = stop - 1 - a
+                able = 2 * until + 1e-9 >= self.threshold * (units + size)
+                if not able.any():
+                    continue
+                own = own[: until.max()]
+                g = gram[own]
+                order = np.argsort(g, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+                nth = np.empty(len(g), np.int64)
+                nth[order] = np.arange(len(g)) - np.repeat(starts, np.diff([*starts, len(g)]))
+                shared = np.concatenate([[0], np.cumsum(nth < counts[g])])
+                dice = 2 * shared[until[able]] / (units[able] + size)
+                for d, z in zip(dice.tolist(), stop[able].tolist()):
+                    if d >= self.threshold:
+                        out.append((d, self.run_names[t], int(line[a]), int(line[z - 1])))
+        return out
+
+    def add_runs(self, data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, grams: np.ndarray, first: np.ndarray, out: list[list[dict]]) -> None:
+        """Add to each text's matches the best runs of lines. Of runs that overlap the best stays; one goes if a line in it matches the same
+        licence, or any at least as well, or if the whole text matches the same licence."""
+        at = np.minimum(np.searchsorted(self.run_grams, grams), len(self.run_grams) - 1)
+        at = np.where(self.run_grams[at] == grams, at, -1) if len(self.run_grams) else np.full(len(grams), -1)
+        known = np.flatnonzero(at >= 0)
+        text = np.searchsorted(first, known, "right") - 1
+        words = None
+        bounds = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else np.empty(0, np.int64)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if hi - lo < self.run_least.min():
+                continue
+            d = int(text[lo])
+            has, n = np.unique(at[known[lo:hi]], return_counts=True)
+            wanted = np.flatnonzero(np.minimum(self.run_counts[:, has], n).sum(axis=1) >= self.run_least)
+            if not len(wanted):
+                continue
+            if words is None:
+                begins, _, words = word_ranges(LOWER[data], offsets, ALNUM_SPLIT)
+                lines = np.searchsorted(ends, begins, "right")
+            if words[d + 1] - words[d] < 2:
+                continue  # its one word was compared as a line
+            line = lines[words[d] : words[d + 1]] - np.searchsorted(ends, offsets[d], "right") + 1
+            taken: dict[int, tuple[float, str]] = {m["line"]: (m["dice"], m["license"]) for m in out[d] if m["line"]}
+            whole = {m["license"] for m in out[d] if not m["line"]}
+            free = np.ones(int(line[-1]) + 1, bool)
+            for dice, name, a, z in sorted(self.runs_of(at[first[d] : first[d + 1]], line, wanted), key=lambda x: (-x[0], x[3] - x[2], x[2], x[1])):
+                if not free[a : z + 1].all() or any(k in taken and (taken[k][1] == name or taken[k][0] >= dice) for k in range(a, z + 1)):
+                    continue
+                free[a : z + 1] = False
+                if name not in whole:
+                    out[d].append({"line": a, "license": name, "dice": dice})
 
     def best(self, unit: np.ndarray) -> tuple[float, str] | None:
         lo, hi = np.searchsorted(self.sizes, [len(unit) * self.ratio - 1e-9, len(unit) / self.ratio + 1e-9])
@@ -106,6 +192,7 @@ class Templates:
                 if found:
                     line = 0 if whole else int(np.searchsorted(ends, cuts[k], "right") - np.searchsorted(ends, offsets[d], "right")) + 1
                     out[d].append({"line": line, "license": found[1], "dice": found[0]})
+        self.add_runs(data, offsets, ends, grams, first, out)
         return out
 
 
@@ -113,15 +200,16 @@ _MATCHES = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.S
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with licenses: line (from 1; 0 for a text of several lines as a whole), license and dice of each unit whose best template
-    reaches the threshold; of equal templates the first by name. A null or empty text has none. A column of this name is replaced;
+    """docs with licenses: line (from 1; 0 for a text of several lines as a whole; the first of a run of lines), license and dice of each
+    unit whose best template reaches the threshold, and of runs as add_runs says. The full texts of licences are templates of runs unless
+    templates are given. Of equal templates the first by name. A null or empty text has none. A column of this name is replaced;
     repeated rows have equal results."""
     own = TEMPLATES if templates is None else templates
     at = [c for c in docs.columns if c.lower() != "licenses"].index(text)
     kind = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
 
     def make():
-        wanted = Templates(own, threshold)
+        wanted = Templates(own, threshold, BODIES if templates is None else [])
 
         def work(batch: pa.RecordBatch) -> list:
             out = []

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, langid, licenses, outliers, packing, quality, simhash, suffix, textstats, toxicity, warc
 from corpusloom.llm._store import Scratch
+from corpusloom.llm.license_bodies import BODIES
 from tests.llm import brute
 
 
@@ -361,3 +364,35 @@ def test_licenses(docs, none, spark):
                 want.append((line, best[1], round(-best[0], 9)))
         assert sorted((m.line, m.license, round(m.dice, 9)) for m in r.licenses) == sorted(want)
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(none).count() == 0
+
+
+def test_licenses_in_runs_of_lines():
+    code = [f"value_{k} = compute({k}, other_{k})" for k in range(40)]
+    header = textwrap.wrap(next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program")), 60)
+    body = dict(BODIES)
+    texts = ["Copyright (c) 2020 A. Person\n\n" + body["MIT"], "\n".join(code[:3] + ["# " + x for x in header] + code), "\n".join(code), body["GPL-3.0"], "\n".join(code + body["BSD-3-Clause"].split("\n") + code), " ".join(body["ISC"].split())]
+    data = [t.encode() for t in texts]
+    found = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD, BODIES).scan(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [{m["license"] for m in f} for f in found] == [{"MIT"}, {"GPL-3.0"}, set(), {"GPL-3.0"}, {"BSD-3-Clause"}, {"ISC"}]
+    assert found[1][0]["line"] == 4 and found[1][0]["dice"] > 0.95 and found[4][0]["line"] == 41
+
+    # every run of lines of small random texts, by brute force: the best dice of each text
+    grams = lambda t: Counter(zip(w, w[1:])) if len(w := brute.ALNUM.findall(t.lower())) > 1 else Counter(w)
+    r = random.Random(3)
+    templates = [("A", "a b c d e f"), ("B", "c d a a b"), ("C", "e f g")]
+    texts = ["".join(r.choice("abcdefgxy") + r.choice("  \n") for _ in range(r.randint(1, 25))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    found = licenses.Templates(templates, 0.7).scan(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    several = 0
+    for text, matches in zip(texts, found):
+        lines, best = text.split("\n"), 0
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                u = grams("\n".join(lines[a:z]))
+                for _, t in templates:
+                    v = grams(t)
+                    best = max(best, 2 * (u & v).total() / (u.total() + v.total()) if u else 0)
+                    several += z - a > 1 and best >= 0.7
+        own = max((m["dice"] for m in matches), default=0)
+        assert (best >= 0.7) == bool(matches) and own <= best + 1e-9
+    assert several > 20
