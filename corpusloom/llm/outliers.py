@@ -76,15 +76,20 @@ def _meet(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _leaning(params: DataFrame, keys: list[str], weight: int) -> DataFrame:
-    """Means and covariances drawn towards the level above (one key less), which counts as `weight` rows."""
+    """Means and covariances drawn towards the level above, which counts as `weight` rows: first those of each value of the first key
+    towards the overall ones, then those of two keys towards these, and so on."""
     values = [f"m_{a}" for a in _X] + [f"c_{a}_{b}" for a, b in _PAIRS]
-    for above in range(1, len(keys) + 1):
-        upper = keys[:above - 1]
-        means = params.groupBy(*upper).agg(*[(F.sum(F.col("n") * F.col(v)) / F.sum("n")).alias(f"u_{v}") for v in values])
-        met = _meet(params, means, upper) if upper else params.crossJoin(means)  # one row
-        if above == len(keys):
-            params = met.select(*keys, "n", *[((F.col("n") * F.col(v) + weight * F.col(f"u_{v}")) / (F.col("n") + weight)).alias(v) for v in values])
-    return params
+
+    def level(own: list[str]) -> DataFrame:
+        return params.groupBy(*own).agg(F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.col(v)) / F.sum("n")).alias(v) for v in values])
+
+    above = level([])
+    for depth in range(1, len(keys) + 1):
+        own = params.select(*keys, "n", *values) if depth == len(keys) else level(keys[:depth])
+        upper = above.drop("n").withColumnsRenamed({v: f"u_{v}" for v in values})
+        met = _meet(own, upper, keys[: depth - 1]) if depth > 1 else own.crossJoin(F.broadcast(upper))  # one row
+        above = met.select(*keys[:depth], "n", *[((F.col("n") * F.col(v) + weight * F.col(f"u_{v}")) / (F.col("n") + weight)).alias(v) for v in values])
+    return above
 
 
 def estimates(rows: DataFrame, keys: list[str], scratch: Scratch, share: float = 0.75, steps: int = 3, weight: int = 20) -> DataFrame:

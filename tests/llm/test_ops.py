@@ -30,6 +30,17 @@ def test_statistics(docs, texts):
     assert rows(got) == sorted(((k, *brute.base_stats(t)) for k, t in enumerate(texts)), key=repr)
 
 
+def test_outliers_of_small_languages(spark):
+    """Junk that is all that its language and source have does not set its own centre; ordinary texts of such a language stay."""
+    rng = np.random.default_rng(2)
+    clean = [" ".join("word"[: rng.integers(2, 5)] + "%d" % x for x in rng.integers(0, 5000, rng.integers(40, 400))) for _ in range(300)]
+    junk = [" ".join("#%d$|&<>*" % x for x in rng.integers(0, 5000, 100)) for _ in range(4)]
+    rows = [(k, t, "en", f"s{k % 2}") for k, t in enumerate(clean[:-1])]
+    rows += [(1000, junk[0], "xx", "s0"), (1001, junk[1], None, None), (1002, junk[2], "yy", "s1"), (1003, junk[3], "yy", "s1"), (1004, clean[-1], "zz", "s0")]
+    kept = {r.doc_id for r in outliers.reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert not kept & {1000, 1001, 1002, 1003} and 1004 in kept and len(kept) > 290
+
+
 def test_outliers(spark, docs, none):
     found = outliers.reject_outliers(docs)
     assert found.count() == docs.count()
