@@ -19,7 +19,10 @@ from ._columns import append, named, released, text_blocks
 from ._words import LOWER
 
 GRAM = 4
-_BITS, _HASHES = 19, 3
+#: Address bits of a filter at least, and n-grams of a language for each slot at most.
+_BITS, _HASHES, _LOAD = 19, 3, 0.12
+#: Languages of one plane of masks, and n-grams that are brought to the driver at once.
+_PLANE, _AT_ONCE = 64, 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 _LETTER = np.zeros(256, bool)
@@ -51,35 +54,36 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes[inner], np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def _slots(codes: np.ndarray, k: int) -> np.ndarray:
-    return ((codes.astype(np.uint64) + np.uint64(1)) * _FACTORS[k] >> np.uint64(64 - _BITS)).astype(np.int64)
+def _slots(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return ((codes.astype(np.uint64) + np.uint64(1)) * _FACTORS[k] >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # a row for each 64 languages, a column for each slot
     false_positives: np.ndarray
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language, the corrected share of n-grams; and whether each text has an n-gram of letters."""
         codes, starts = grams(data, offsets)
-        found = self.masks[_slots(codes, 0)]
-        for k in range(1, _HASHES):
-            found &= self.masks[_slots(codes, k)]
+        slots = [_slots(codes, k, self.masks.shape[1].bit_length() - 1) for k in range(_HASHES)]
         total = np.diff(starts)
         out = np.empty((len(total), len(self.languages)))
         for lang in range(len(self.languages)):
-            hits = np.concatenate([[0], np.cumsum(found >> found.dtype.type(lang) & found.dtype.type(1), dtype=np.int64)])
+            if lang % _PLANE == 0:
+                plane = self.masks[lang // _PLANE]
+                found = plane[slots[0]] & plane[slots[1]] & plane[slots[2]]
+            hits = np.concatenate([[0], np.cumsum(found >> found.dtype.type(lang % _PLANE) & found.dtype.type(1), dtype=np.int64)])
             out[:, lang] = (hits[starts[1:]] - hits[starts[:-1]]) / np.maximum(total, 1)
         return np.clip((out - self.false_positives) / (1 - self.false_positives), 0, 1), total > 1
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", capacity: int = 60_000, least_share: float = 2e-6, against_best: float = 0.1) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: float = 2e-6, against_best: float = 0.1) -> Model:
     """Count the n-grams of every row with a language, and fill the filters.
 
     A language's filter takes the n-grams that have at least `least_share` of its n-grams and at least `against_best` of the share that they have in
-    any language, the `capacity` most frequent ones at most. At most 64 languages, the most frequent ones."""
+    any language; the filters are as large as the language with the most of them needs. Every language has a filter."""
     rows = docs.where(named(lang).isNotNull() & named(text).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
 
     def count(batches):
@@ -109,22 +113,36 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", capacity: int =
     from ._store import Scratch
 
     by_gram = Scratch(docs.sparkSession, "langid").save(by_gram, "grams").select("gram", F.explode("langs").alias("x")).select("gram", "x.*")
-    totals = sorted(((r.n, r.lang) for r in by_gram.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()), key=lambda x: x[1])
-    languages = [x[1] for x in totals]
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
-    masks = np.zeros(1 << _BITS, kind)
-    if not languages:
-        return Model([], masks, np.empty(0))
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(v) for n, name in totals for v in (name, float(n))]), F.col("lang"))
-    shares = by_gram.where(F.col("lang").isin(languages)).select("gram", "lang", share.alias("share"))
+    totals = by_gram.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = by_gram.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
     best = shares.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("langs"))
-    chosen = best.select("gram", "best", F.explode("langs").alias("x")).where((F.col("x.share") >= least_share) & (F.col("x.share") >= against_best * F.col("best"))).select("gram", "x.lang", "x.share")
-    fills = []
-    for k, name in enumerate(languages):
-        own = np.array([r.gram for r in chosen.where(F.col("lang") == name).orderBy(F.desc("share"), "gram").limit(capacity).select("gram").collect()], np.uint64)
-        for h in range(_HASHES):
-            masks[_slots(own, h)] |= kind(1 << k)
-        fills.append(np.count_nonzero(masks >> kind(k) & kind(1)) / len(masks))
+    chosen = best.select("gram", "best", F.explode("langs").alias("x")).where((F.col("x.share") >= least_share) & (F.col("x.share") >= against_best * F.col("best"))).select("gram", "x.lang")
+    chosen = Scratch(docs.sparkSession, "langid").save(chosen, "chosen")
+    counts = {r.lang: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(r.lang for r in totals.select("lang").collect())
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), _PLANE) <= np.iinfo(k).bits)
+    bits = max(_BITS, int(np.ceil(np.log2(max(counts.values(), default=1) / _LOAD))))
+    masks = np.zeros((-(-len(languages) // _PLANE), 1 << bits), kind)
+    number = {name: k for k, name in enumerate(languages)}
+    groups: list[list[str]] = []
+    room = 0
+    for name in counts:
+        if not groups or counts[name] > room:
+            groups.append([])
+            room = _AT_ONCE
+        groups[-1].append(name)
+        room -= counts[name]
+    for names in groups:
+        own = chosen.where(F.col("lang").isin(names)).toArrow()
+        codes = own.column("gram").to_numpy().astype(np.uint64)
+        coded = own.column("lang").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        of = coded.indices.to_numpy()
+        for j, name in enumerate(coded.dictionary.to_pylist()):
+            k = number[name]
+            for h in range(_HASHES):
+                masks[k // _PLANE][_slots(codes[of == j], h, bits)] |= kind(1 << k % _PLANE)
+    fills = [np.count_nonzero(masks[k // _PLANE] >> kind(k % _PLANE) & kind(1)) / (1 << bits) for k in range(len(languages))]
     return Model(languages, masks, np.array(fills) ** _HASHES)
 
 

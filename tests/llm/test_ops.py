@@ -356,6 +356,17 @@ def test_grams():
     assert own[0][:3] == [b" ab ", b"ab c", b"b c "] and own[1] == own[2] == [b"    "] and own[3][0] == b" \xc3\xa9 "
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = np.random.default_rng(4)
+    names = ["l%02d" % k for k in range(70)]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+    table = [(n, " ".join(rng.choice(words[n], 40))) for n in names for _ in range(3)]
+    df = spark.createDataFrame(table, "lang string, text string").repartition(2)
+    model = langid.fit(df)
+    assert model.languages == names
+    assert {(r.lang, r.lang_pred) for r in langid.identify(df, model).collect()} == {(n, n) for n in names}
+
+
 def test_licenses(docs, none, spark):
     def dice(a, b):
         grams = lambda t: Counter(zip(w, w[1:])) if len(w := brute.ALNUM.findall(t.lower())) > 1 else Counter(w)
