@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -339,8 +340,10 @@ class Corpus:
         asked = _ids(identifier, identifiers, "identifier")
         found = graph.references(self.imports, asked)
         best = found.groupBy("identifier", "file").agg(F.min("match_type").alias("match_type"), F.array_sort(F.collect_list(F.struct("specifier", "match_type"))).alias("matches"))
-        rows = _list(catalog.first_per_key(best, ["identifier", "file"], ["match_type"]).orderBy("identifier", "file").limit(max_results * len(asked)))
-        per = [{"identifier": i, "references": [{k: r[k] for k in ("file", "matches" if identifier else "match_type")} for r in rows if r["identifier"] == i][:max_results]} for i in asked]
+        rank = F.row_number().over(W.partitionBy("identifier").orderBy("file"))
+        first = best.withColumn("_rank", rank).where(F.col("_rank") <= max_results).drop("_rank")
+        rows = _list(first.orderBy("identifier", "file"))
+        per = [{"identifier": i, "references": [{k: r[k] for k in ("file", "matches" if identifier else "match_type")} for r in rows if r["identifier"] == i]} for i in asked]
         return per[0] if identifier else {"results": per}
 
     def check_references(self, identifier, identifiers) -> dict:

@@ -94,3 +94,11 @@ def test_index_folder(spark, tmp_path):
     assert corpus.call("index_repo", {"url": "https://example.org/x"}) == {"error": "only stores that Spark reads can be indexed"}
     (tmp_path / "b.py").write_text("y = 2\n")
     assert corpus.call("index_file", {"path": str(tmp_path / "b.py")})["success"]
+
+
+def test_references_of_each_identifier(spark):
+    """An identifier with many files leaves the others their own."""
+    rows = [(f"f{k}.ts", "import { aaa } from './a'") for k in range(5)] + [("g.ts", "import { bbb } from './b'")]
+    files = spark.createDataFrame([(p, c, len(c)) for p, c in rows], "path string, content string, size_bytes long")
+    found = api.Corpus(files, None).call("find_references", {"identifiers": ["aaa", "bbb"], "max_results": 1})
+    assert [[x["file"] for x in r["references"]] for r in found["results"]] == [["f0.ts"], ["g.ts"]]
