@@ -41,10 +41,10 @@ def _block_hashes(words: np.ndarray, size: int) -> np.ndarray:
 class Patterns:
     """The patterns of one length: shift table, suffix buckets and texts."""
 
-    def __init__(self, length: int, texts: dict[bytes, list[str]]):
+    def __init__(self, length: int, texts: dict[bytes, list[str | None]]):
         self.length, self.size = length, min(2, length)
         self.texts = sorted(texts)
-        self.items = [sorted(set(texts[t])) for t in self.texts]
+        self.items = [_ordered(set(texts[t])) for t in self.texts]
         data = np.frombuffer(b"".join(self.texts), np.uint8)
         offsets = np.cumsum([0, *map(len, self.texts)])
         begins, ends, _ = word_ranges(data, offsets, ALNUM_SPLIT)
@@ -94,9 +94,14 @@ class Patterns:
         return out
 
 
-def windows_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[int, dict[bytes, list[str]]]:
+def _ordered(items: set[str | None]) -> list[str | None]:
+    """Ids sorted, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
+def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[int, dict[bytes, list[str | None]]]:
     """By length in words: each distinct pattern and the items that it stands in."""
-    out: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
+    out: dict[int, dict[bytes, list[str | None]]] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
         begins, ends, _ = word_ranges(data, np.array([0, len(data)]), ALNUM_SPLIT)
@@ -144,7 +149,7 @@ def _scan(docs: DataFrame, text: str, groups: list[Patterns], more: bool) -> Dat
                         else:
                             runs.append({"begin": a, "end": b})
                     spans.append(runs)
-                    items.append(sorted({i for _, s, k in hits[d] for i in s.items[k]}) if d in hits else [])
+                    items.append(_ordered({i for _, s, k in hits[d] for i in s.items[k]}) if d in hits else [])
             return [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
 
         return work
@@ -168,7 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     strings, sorted), n_hit and contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     Columns of docs with these names are replaced; others stay. A null or empty text has no words and is clean; a null or
-    empty item has no window; items that repeat count once by id; an empty benchmark leaves all clean. Repeated rows of docs each get a result.
+    empty item text has no window; items that repeat count once by id; items without an id count as one, a null at the end of hit_items, which
+    n_items counts and items_sha256 leaves out; an empty benchmark leaves all clean. Repeated rows of docs each get a result.
     """
     items = benchmark.select(named(item_id).cast("string").alias("item"), named(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -177,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out = docs
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        groups = [Patterns(m, texts) for m, texts in sorted(windows_of([(r.item, r.text) for r in own.collect() if r.item is not None], window).items())]
+        groups = [Patterns(m, texts) for m, texts in sorted(windows_of([(r.item, r.text) for r in own.collect()], window).items())]
         out = _scan(out, text, groups, k > 0)
         if parts > 1:
             out = scratch.save(out, f"block{k}")

@@ -418,3 +418,14 @@ def test_licenses_in_runs_of_lines():
         own = max((m["dice"] for m in matches), default=0)
         assert (best >= 0.7) == bool(matches) and own <= best + 1e-9
     assert several > 20
+
+
+def test_contamination_by_items_without_id(spark):
+    passage = " ".join(f"w{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, "before " + passage + " after"), (2, "nothing of it"), (3, passage + " x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, "y z"), ("a", "x y z")], "item_id string, text string")
+    empty = hashlib.sha256(b"").hexdigest()
+    want = [(1, 17, 15, 1, empty, True), (2, 3, 0, 0, empty, False), (3, 18, 18, 2, hashlib.sha256(b"a").hexdigest(), True)]
+    for most in (32 << 20, 40):  # in one block and in several
+        found = decontaminate.digest(decontaminate.decontaminate(docs, items, max_pattern_bytes=most))
+        assert sorted(map(tuple, found.collect())) == want
