@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 #: USD for a million input and output tokens.
 PRICING = {"claude_code": (3.00, 15.00), "codex": (1.50, 6.00), "amp": (1.50, 6.00)}
 
@@ -69,7 +71,8 @@ def trends(calls: DataFrame, now: str) -> DataFrame:
 
 
 def snapshot_deltas(snapshots: DataFrame, counters: list[str], at: str = "captured_at", series: list[str] | None = None) -> DataFrame:
-    """The growth of counters since the snapshot before; if any of them fell, the counters were reset and the present values count."""
+    """The growth of counters since the snapshot before; if any of them fell, the counters were reset and the present values count.
+    Snapshots of one series are in one task: they are rollups, one for each day or hour. With no series all rows are one."""
     w = W.partitionBy(*(series or [F.lit(0)])).orderBy(at)
     before = {c: F.lag(c).over(w) for c in counters}
     df = snapshots.withColumns({f"_{c}": v for c, v in before.items()})
@@ -81,8 +84,19 @@ def snapshot_deltas(snapshots: DataFrame, counters: list[str], at: str = "captur
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean, median and 95th percentile with linear interpolation; negatives count as 0."""
-    v = F.greatest(F.col(value), F.lit(0.0))
-    return rows.groupBy(*keys).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"))
+    own = rows.select(*keys, F.greatest(F.col(value), F.lit(0.0)).alias("v"))
+    return with_quantiles(own.groupBy(*keys).agg(F.round(F.avg("v"), 6).alias("mean")), exact_quantiles(own, "v", [0.5, 0.95], *keys), *keys).select(*keys, "mean", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"))
+
+
+def with_quantiles(sums: DataFrame, quantiles: DataFrame, *keys: str) -> DataFrame:
+    """Both by key; keys may be null, and with no key there is one row."""
+    if not keys:
+        return sums.crossJoin(quantiles)  # one row each
+    q = quantiles.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(q, on, "left").drop(*[f"_{k}" for k in keys])
 
 
 def retain(calls: DataFrame, now: str, days: int = 30) -> DataFrame:

@@ -19,14 +19,38 @@ def _merge(before: Column, now: Column) -> Column:
     )
 
 
-def coalesce(changes: DataFrame, *keys: str) -> DataFrame:
-    """The net change of each path: a fold over its changes in order of event_time and seq.
+_STATES = ("none", "added", "modified", "deleted")
+
+
+def _effect(start: Callable[[str], Column], apply: Callable[[Column], Column]) -> Column:
+    """What a part of a path's history makes of each state that it may find."""
+    return F.struct(*[apply(start(s)).alias(s) for s in _STATES])
 
-    A change's effect depends only on the one before, and four states are closed under it, so runs of the same change are first
-    reduced; one path's list holds its changes of one batch."""
-    ordered = F.array_sort(F.collect_list(F.struct("event_time", "seq", "change_type")))
-    net = F.aggregate(ordered, F.lit(None).cast("string"), lambda a, x: _merge(a, x["change_type"]))
-    return changes.where(F.col("change_type").isin("added", "modified", "deleted")).groupBy(*keys, "path").agg(net.alias("change_type")).where("change_type <> 'none'")
+
+def coalesce(changes: DataFrame, *keys: str) -> DataFrame:
+    """The net change of each path over its changes in order of event_time and seq.
+
+    Four states are closed under changes, so the effect of a stretch of a path's history is a map from state to state, and maps compose: changes
+    are folded within seconds, seconds within hours, and hours at last. No list grows with all changes of one path."""
+    own = changes.where(F.col("change_type").isin("added", "modified", "deleted"))
+    hour = F.floor(F.unix_micros(F.col("event_time").cast("timestamp")) / 3_600_000_000)
+    second = F.floor(F.unix_micros(F.col("event_time").cast("timestamp")) / 1_000_000)
+    first = F.array_sort(F.collect_list(F.struct("event_time", "seq", "change_type")))
+    same = F.struct(*[F.lit(s).alias(s) for s in _STATES])
+    effect = F.aggregate(first, same, lambda a, x: _effect(lambda s: a[s], lambda now: _merge(now, x["change_type"])))
+    parts = own.groupBy(*keys, "path", hour.alias("_h"), second.alias("_s")).agg(effect.alias("_e"))
+
+    def after(e: Column, state: Column) -> Column:
+        out = e["none"]
+        for s in _STATES[1:]:
+            out = F.when(state == s, e[s]).otherwise(out)
+        return out
+
+    for level in (["_h"], []):
+        at = "_s" if level else "_h"
+        whole = F.aggregate(F.array_sort(F.collect_list(F.struct(at, "_e"))), same, lambda a, x: _effect(lambda s: a[s], lambda now: after(x["_e"], now)))
+        parts = parts.groupBy(*keys, "path", *level).agg(whole.alias("_e"))
+    return parts.select(*keys, "path", F.col("_e.none").alias("change_type")).where("change_type <> 'none'")
 
 
 def debounce(changes: DataFrame, gap: str = "200 milliseconds", watermark: str | None = None) -> DataFrame:
