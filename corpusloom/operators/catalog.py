@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Directories that are never entered, and hints of secrets in a base name.
+#: Directories that are never entered, hints of secrets in a base name, suffixes of documentation, directories that come first, the
+#: size of a file at most, and the reasons why files are left out.
 SKIPPED_DIRECTORIES = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "dist", "build", "target", "coverage", "__pycache__")
 SECRET_HINTS = (".env", "api_key", "apikey", "credential", "credentials", "id_rsa", "passwd", "password", "private_key", "secret", "token")
 DOCUMENT_SUFFIXES = (".adoc", ".markdown", ".md", ".mdown", ".mkd", ".mkdn", ".rst", ".text", ".txt", ".wiki")
@@ -80,23 +81,52 @@ def symbol_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
-    """Matches a subset of ignore files: `dir/` is a prefix, a glob matches path or base name, else a literal prefix or equal."""
+    """Matches a subset of ignore files: `dir/` is a folder at the start of the path, a glob matches the path, or the base name if it has no
+    slash, anything else is also a path or a folder at its start."""
     out = F.lit(False)
     for raw in patterns:
         p = raw.strip().replace("\\", "/").removeprefix("./").removeprefix("/")
         if not p or p.startswith(("#", "!")):
             continue
         if p.endswith("/"):
-            out = out | F.startswith(path, F.lit(p)) | F.contains(path, F.lit(f"/{p}"))
-        elif any(c in p for c in "*?["):
-            regex = tx.glob_to_regex(p)
-            if regex:
-                out = out | path.rlike(regex) | tx.path_base(path).rlike(regex)
-        else:
-            out = out | (path == p) | F.startswith(path, F.lit(f"{p}/")) | (tx.path_base(path) == p)
+            out = out | (path == p[:-1]) | F.startswith(path, F.lit(p))
+            continue
+        regex = tx.glob_to_regex(p)
+        if regex:
+            out = out | path.rlike(regex)
+            if "/" not in p:
+                out = out | tx.path_base(path).rlike(regex)
+        if not any(c in p for c in "*?[]"):
+            out = out | F.startswith(path, F.lit(f"{p}/"))
     return out
 
 
+def ignore_rules(files: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """root, rules: the folder of each ignore file among the files (blank: the top), and its patterns as regular expressions: on_path for paths
+    below the folder, on_base for base names (null where the pattern has a slash). The same subset of patterns as in ignored()."""
+    own = files.where(tx.path_base(F.col("path")) == name).select(F.regexp_replace("path", r"/?[^/]*$", "").alias("root"), F.split("content", r"\r?\n", -1).alias("lines"))
+    bare = lambda x: F.regexp_replace(F.replace(tx.trim_unicode(x), F.lit("\\"), F.lit("/")), r"^(\./)?/?", "")
+    patterns = F.filter(F.transform("lines", bare), lambda p: (p != "") & ~p.rlike("^[#!]"))
+    literal = lambda p: F.regexp_replace(p, r"([.+^${}()|\\])", r"\\$1")
+    glob = lambda p: F.replace(F.replace(literal(p), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
+    folder = lambda p: F.concat(F.lit("^"), literal(F.regexp_replace(p, "/$", "")), F.lit("(/.*)?$"))
+    whole = lambda p: F.concat(F.lit("^"), glob(p), F.when(p.rlike(r"[*?\[\]]"), "$").otherwise("(/.*)?$"))
+    rule = lambda p: F.struct(F.when(F.endswith(p, F.lit("/")), folder(p)).otherwise(whole(p)).alias("on_path"), F.when(~F.contains(p, F.lit("/")), F.concat(F.lit("^"), glob(p), F.lit("$"))).alias("on_base"))
+    return own.select("root", F.transform(patterns, rule).alias("rules")).where(F.size("rules") > 0)
+
+
+def scoped_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """path of the files that an ignore file in one of their folders leaves out. A path meets the rules of its folders by equality: one row for
+    each folder on its way, never all rules."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    met = files.select("path", F.explode(above).alias("root")).join(rules, "root")
+    below = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring(F.col("path"), F.length("root") + 2, F.length("path")))
+    base = tx.path_base(F.col("path"))
+    hit = F.exists("rules", lambda r: F.rlike(below, r["on_path"]) | F.coalesce(F.rlike(base, r["on_base"]), F.lit(False)))
+    return met.where(hit).select("path").distinct()
+
+
 def likely_secret(path: Column, excluded: list[str] | None = None) -> Column:
     """A hint in the base name; not for documentation whose path has `secret`. An excluded hint or glob lets a match pass."""
     low = F.lower(tx.trim_unicode(path))
@@ -152,9 +182,23 @@ def skip_counts(discovered: DataFrame) -> DataFrame:
     return keys.join(counts, "skip_reason", "left").select("skip_reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _entry() -> Column:
+    return F.concat("path", F.lit("\0"), F.sha2(F.col("content").cast("binary"), 256), F.lit("\n"))
+
+
+def tree_digest(files: DataFrame) -> DataFrame:
+    """tree_sha256 and file_count by top directory, of any number of files: entries as in tree_hash, in blocks by the first three digits of the path's
+    SHA-256; each block's sorted entries are digested, then the digests of a directory's blocks (4096 at most) in order. Equal trees have equal
+    digests; they are not those of tree_hash."""
+    block = F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 3)
+    parts = files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory"), block.alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_entry())), ""), 256).alias("d"), F.count("*").alias("n"))
+    return parts.groupBy("directory").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ""), 256).alias("tree_sha256"), F.sum("n").alias("file_count"))
+
+
 def tree_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted `path NUL hash LF` entries, by top directory: a directory's list of paths and digests is one row."""
-    entry = F.concat("path", F.lit("\0"), F.sha2(F.col("content").cast("binary"), 256), F.lit("\n"))
+    """SHA-256 over the sorted `path NUL hash LF` entries, by top directory: one digest over one sequence, so a directory's list of paths and
+    digests is one row. For directories of very many files there is tree_digest."""
+    entry = _entry()
     return files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("tree_sha256"), F.count("*").alias("file_count"))
 
 

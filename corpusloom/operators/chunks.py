@@ -55,6 +55,13 @@ def search_columns(columns: DataFrame, query: str, model_pattern: str = "", most
     return own.withColumn("score", by_name + by_text).where("score > 0").orderBy(F.desc("score"), "model", "column", "source").limit(max(1, min(most, 500)))
 
 
+def model_files(columns: DataFrame, symbols: DataFrame) -> DataFrame:
+    """columns with file: the first (by file) of the .sql files with symbols whose name without suffix is the model; null where there is none."""
+    base = tx.path_base(F.col("file"))
+    known = symbols.where(F.endswith(F.lower("file"), F.lit(".sql"))).select(F.regexp_replace(base, r"\.[^.]*$", "").alias("model"), "file").where("model <> ''")
+    return columns.join(known.groupBy("model").agg(F.min("file").alias("file")), "model", "left")
+
+
 def symbol_source(symbols: DataFrame, files: DataFrame, ids: list[str] | None, context: int = 0) -> DataFrame:
     """id, file, start_line, end_line, source, verified: the symbol's lines with `context` lines around. All ids (None: every symbol) in one join by file."""
     own = (symbols if ids is None else symbols.where(F.col("id").isin(*dict.fromkeys(ids)))).select("id", "name", F.col("file").alias("path"), "line", "end_line", "content_hash")
@@ -72,9 +79,11 @@ IMPORT_LINES = {
     "python": r"^\s*(import |from \S+ import )",
     "javascript": r"^\s*(import |.*\brequire\s*\()",
     "typescript": r"^\s*(import |.*\brequire\s*\()",
+    "tsx": r"^\s*(import |.*\brequire\s*\()",
     "go": r"^\s*import\b",
     "rust": r"^\s*use \S",
     "java": r"^\s*import \S",
+    "kotlin": r"^\s*import \S",
     "csharp": r"^\s*using \S",
     "c": r"^\s*#\s*include\b",
     "cpp": r"^\s*#\s*include\b",
@@ -82,6 +91,9 @@ IMPORT_LINES = {
     "ruby": r"^\s*(require |require_relative )",
     "php": r"^\s*(use |require|include)\b",
     "elixir": r"^\s*(import |alias |use |require )\S",
+    "scala": r"^\s*import \S",
+    "haskell": r"^\s*import \S",
+    "lua": r"^\s*(require\s*[\(\"])",
     "dart": r"^\s*import \S",
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -130,6 +131,21 @@ def check_references(imports: DataFrame, files: DataFrame, symbols: DataFrame, i
     return asked.join(by_import, "identifier", "left").join(by_content, "identifier", "left").select("identifier", zero("import_files"), zero("content_files"), (zero("import_files") + zero("content_files") > 0).alias("is_referenced"))
 
 
+def content_references(files: DataFrame, symbols: DataFrame, identifiers: list[str], most_files: int = 20) -> DataFrame:
+    """identifier, file, line, text (clamped) of the lines that contain an identifier without regard to case, in files that do not define a symbol of
+    that name: those of the first `most_files` (1 to 100) such files by path for each identifier."""
+    most_files = max(1, min(most_files, 100))
+    asked = F.array(*[F.struct(F.lit(i).alias("identifier"), F.lit(i.strip().lower()).alias("low")) for i in dict.fromkeys(identifiers) if i.strip()])
+    content = F.lower("content")
+    holds = files.select("path", F.explode(F.filter(asked, lambda w: F.contains(content, w["low"]))).alias("w")).select("path", "w.*")
+    defines = symbols.select(F.col("file").alias("path"), F.lower(tx.trim_unicode(F.col("name"))).alias("low")).distinct()
+    loose = holds.join(defines, ["path", "low"], "left_anti")
+    first = loose.withColumn("_k", F.row_number().over(W.partitionBy("identifier").orderBy("path"))).where(F.col("_k") <= most_files).drop("_k")
+    lines = files.join(first, "path").select("path", "identifier", "low", F.posexplode(F.split("content", "\n", -1)).alias("at", "raw"))
+    found = lines.where(F.contains(F.lower("raw"), F.col("low")))
+    return found.select("identifier", F.col("path").alias("file"), (F.col("at") + 1).alias("line"), tx.clamp_line(F.col("raw")).alias("text"))
+
+
 def bfs(edges: DataFrame, start: DataFrame, depth: int, direction: str = "imports") -> tuple[DataFrame, DataFrame]:
     """(nodes with level, edges met) within `depth` (1 to 3) steps of the start nodes. Each step is a join of the frontier with the edges
     and an anti-join with what was seen; edges from nodes of a level below depth are kept, also to nodes already seen."""

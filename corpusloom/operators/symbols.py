@@ -102,27 +102,44 @@ def most_imported(imports: DataFrame, most: int = 8) -> DataFrame:
     return imports.where("resolved is not null and resolved <> ''").groupBy(F.col("resolved").alias("file")).agg(F.count("*").alias("imported_by")).orderBy(F.desc("imported_by"), "file").limit(most)
 
 
+#: Where a signature names bases.
+_EXTENDS = r"(?i)\bextends\s+([A-Za-z0-9_$.,\s]+)"
+_IMPLEMENTS = r"(?i)\bimplements\s+([A-Za-z0-9_$.,\s]+)"
+_IN_PARENTHESES = r"(?i)\bclass\s+\w[\w$]*\s*\(([^)]+)\)"
+_EXTERNAL = r"^[A-Z][\w.]*$"
+
+
 def class_bases(symbols: DataFrame) -> DataFrame:
-    """name, base of each class: after extends and implements, else the capitalised ones in the parentheses of a definition."""
+    """name, base of each class: what follows extends (up to implements, which is no base) and implements, else the capitalised names in the
+    parentheses of a definition."""
     own = symbols.where(F.lower("kind") == "class").select("name", F.coalesce("signature", F.lit("")).alias("sig"))
-    list_of = lambda pattern: F.split(F.regexp_extract("sig", pattern, 1), r"\s*,\s*")
-    named = F.concat(list_of(r"(?i)\bextends\s+([A-Za-z0-9_$., \t]+?)(?=\s+implements\b|\s*\{|$)"), list_of(r"(?i)\bimplements\s+([A-Za-z0-9_$., \t]+)"))
-    named = F.filter(F.transform(named, F.trim), lambda b: b != "")
-    inside = F.filter(F.transform(list_of(r"(?i)\bclass\s+\w[\w$]*\s*\(([^)]+)\)"), F.trim), lambda b: b.rlike(r"^[A-Z][\w.]*$"))
+    names = lambda text: F.filter(F.transform(F.split(text, ","), tx.trim_unicode), lambda b: b != "")
+    extends = F.regexp_replace(F.regexp_extract("sig", _EXTENDS, 1), r"(?is)(^|\s)implements\b.*$", "")
+    named = F.concat(names(extends), names(F.regexp_extract("sig", _IMPLEMENTS, 1)))
+    inside = F.filter(names(F.regexp_extract("sig", _IN_PARENTHESES, 1)), lambda b: b.rlike(_EXTERNAL))
     return own.select("name", F.explode(F.array_distinct(F.when(F.size(named) > 0, named).otherwise(inside))).alias("base")).where("name <> base").distinct()
 
 
-def closure(bases: DataFrame, start: str, up: bool = True, most_levels: int = 32) -> DataFrame:
-    """All ancestors (or descendants) of a class with the level at which each is first met. The frontier is a table: each level is one
-    join with the bases, and only classes not met before go on."""
+def closure(bases: DataFrame, start: str, up: bool = True) -> DataFrame:
+    """All ancestors (or descendants) of a class with the level at which each is first met, however many levels there are. The frontier is a table:
+    each level is one join with the bases, and only classes not met before go on, so that cycles end."""
+    spark = bases.sparkSession
     near, far = ("name", "base") if up else ("base", "name")
-    steps = bases.select(F.col(near).alias("near"), F.col(far).alias("far"))
-    seen = bases.sparkSession.createDataFrame([(start, 0)], "name string, level int")
-    front = seen
-    for level in range(1, most_levels + 1):
+    steps = bases.select(F.col(near).alias("near"), F.col(far).alias("far")).persist()
+    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    seen = spark.createDataFrame([(start, 0)], "name string, level int")
+    front, held, level = seen, None, 0
+    while True:
+        level += 1
         met = front.join(steps, front.name == steps.near).select(F.col("far").alias("name")).distinct()
-        front = met.join(seen, "name", "left_anti").withColumn("level", F.lit(level)).checkpoint() if met.sparkSession.sparkContext.getCheckpointDir() else met.join(seen, "name", "left_anti").withColumn("level", F.lit(level)).cache()
-        if not front.head(1):
+        front = met.join(seen, "name", "left_anti").withColumn("level", F.lit(level))
+        grown = keep(seen.unionByName(front))
+        more = grown.where(F.col("level") == level).head(1)
+        if held is not None:
+            held.unpersist()
+        seen = held = grown
+        front = seen.where(F.col("level") == level)
+        if not more:
             break
-        seen = seen.unionByName(front)
+    steps.unpersist()
     return seen.where("level > 0")

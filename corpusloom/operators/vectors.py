@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def _double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -32,24 +36,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.least(F.greatest(checked, F.lit(-1.0)), F.lit(1.0))
 
 
+def _checked(v: Column) -> Column:
+    """The vector; an error if it is empty, not finite or of zero norm."""
+    return F.when(valid(v), v).otherwise(F.raise_error(F.lit("a vector is empty, not finite or of zero norm")).cast("array<double>"))
+
+
 #: Bytes of queries that are sent to every task at most.
 MOST_QUERY_BYTES = 64 << 20
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """query_id, id, score, rank of the k nearest of each query in its namespace; ties by id.
+    """query_id, id, score, rank of the k nearest of each query in its namespace; ties by id. Vectors that are not valid, and queries of another
+    size than the vectors, are errors.
 
     queries (query_id, namespace, embedding) is a stated set: it is collected in blocks of bounded bytes, and each block goes once over all vectors, which keep
     k rows for each query and task before anything is shuffled."""
-    q = queries.select("query_id", "namespace", _double(F.col("embedding")).alias("q")).withColumn("qn", norm(F.col("q")))
+    q = queries.select("query_id", "namespace", _double(_checked(F.col("embedding"))).alias("q")).withColumn("qn", norm(F.col("q")))
     size = q.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
     parts = max(1, -(-size // MOST_QUERY_BYTES))
     out = None
-    v = vectors.select("namespace", "id", _double(F.col("embedding")).alias("v")).withColumn("vn", norm(F.col("v")))
+    v = vectors.select("namespace", "id", _double(_checked(F.col("embedding"))).alias("v")).withColumn("vn", norm(F.col("v")))
     for p in range(parts):
         own = q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
         met = v.join(F.broadcast(own), "namespace")
-        score = F.least(F.greatest(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), F.lit(-1.0)), F.lit(1.0))
+        sizes = F.when(F.size("q") == F.size("v"), dot(F.col("q"), F.col("v"))).otherwise(F.raise_error(F.lit("vectors of unequal sizes")).cast("double"))
+        score = F.least(F.greatest(sizes / (F.col("qn") * F.col("vn")), F.lit(-1.0)), F.lit(1.0))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         best = met.select("query_id", "id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
@@ -71,6 +82,32 @@ def delete(vectors: DataFrame, namespace: str, ids: list[str] | None) -> tuple[D
     return vectors.where(~gone), vectors.where(gone).count()
 
 
+def hashed_embedding(text: Column, dimensions: int = 64, bucket: Callable[[Column], Column] | None = None) -> Column:
+    """A deterministic embedding without a model: how often the text's tokens fall in each bucket of their hashes; a text without a token has
+    the first bucket. bucket: from a token to a number."""
+    bucket = bucket or F.xxhash64
+    own = F.transform(tx.tokenize(text), lambda x: F.pmod(bucket(x), F.lit(dimensions)).cast("int"))
+    own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(0)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(own, lambda b: b == d)).cast("double"))
+
+
+def embed_chunks(chunks: DataFrame, namespace: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """Vector rows (namespace, id, embedding, path, start_line, end_line, chunk_text) of chunks. embed: an expression, or a pandas UDF around a model;
+    it sees all texts of a batch at once. A vector that is not valid is an error."""
+    return chunks.select(F.lit(namespace).alias("namespace"), F.col("chunk_id").alias("id"), _checked(embed(F.col("chunk_text"))).alias("embedding"), "path", "start_line", "end_line", "chunk_text")
+
+
+def sync_chunks(stored: DataFrame, chunks: DataFrame, touched: DataFrame, namespace: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """stored vector rows after files have changed. touched (path): files that are new, changed or deleted; chunks: those of touched files as they are
+    now. Of touched files only chunks that are not stored yet are embedded, and stored ones that are gone go; other files and namespaces stay."""
+    own = stored.where(F.col("namespace") == namespace)
+    now = chunks.join(touched.select("path").distinct(), "path", "left_semi")
+    gone = own.join(touched.select("path").distinct(), "path", "left_semi").join(now.select("path", F.col("chunk_id").alias("id")), ["path", "id"], "left_anti")
+    kept = stored.join(gone.select("namespace", "path", "id"), ["namespace", "path", "id"], "left_anti").select(*stored.columns)
+    new = now.join(own.select("path", F.col("id").alias("chunk_id")), ["path", "chunk_id"], "left_anti")
+    return kept.unionByName(embed_chunks(new, namespace, embed).select(*stored.columns))
+
+
 def recall_at_k(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
     """query_id, recall: distinct relevant ids in the first k over all relevant ones (relevance above 0)."""
     relevant = judged.where("relevance > 0").select("query_id", "id").distinct()

@@ -23,8 +23,11 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
 
-    def replace(self, rows: DataFrame) -> None:
-        """The partitions that rows have, with these rows only."""
+    def replace(self, rows: DataFrame, **key: str) -> None:
+        """The partitions that rows have, with these rows only. With a key, that partition is deleted if there are no rows."""
+        if key and not rows.head(1):
+            self.drop(**key)
+            return
         rows.select(*self.schema.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.keys).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
@@ -37,7 +40,8 @@ class Table:
 
 
 def _slug(repo: str) -> str:
-    return repo.replace("/", "__")
+    """A folder's name for a repository; two repositories have two."""
+    return repo.replace("_", "_u").replace("/", "_s")
 
 
 class RepoStore:
@@ -50,7 +54,7 @@ class RepoStore:
     def save(self, repo: str, files: DataFrame, git_head: str = "", indexed_at: str | None = None) -> None:
         key = F.lit(_slug(repo)).alias("repo")
         own = files.select("path", "content", "size_bytes", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), key)
-        self.files.replace(own)
+        self.files.replace(own, repo=_slug(repo))
         now = F.lit(indexed_at).cast("timestamp") if indexed_at else F.current_timestamp()
         self.repos.replace(self.load(repo).agg(F.count("*").alias("file_count")).select(F.lit(repo).alias("display_name"), now.alias("indexed_at"), F.lit(git_head).alias("git_head"), "file_count", key))
 
@@ -105,12 +109,49 @@ class CallStore:
         return self.calls.read().where((F.col("day") >= F.to_date(at)) & (F.col("captured_at") >= at)).drop("day")
 
     def prune(self, now: str, days: int = 30) -> int:
-        """Delete the days that are wholly beyond retention; how many. Rows of the day on the border are left out by readers."""
-        limit = F.date_sub(F.to_date(F.lit(now)), days)
-        old = [str(r.day) for r in self.calls.read().select("day").distinct().where(F.col("day") < limit).collect()]  # days
+        """Delete what is older than so many days: whole days go, and the day on the border is written again without its older calls. How many days
+        went."""
+        limit = F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
+        border = F.to_date(limit)
+        old = [str(r.day) for r in self.calls.read().select("day").distinct().where(F.col("day") < border).collect()]  # days
+        on = self.calls.read().where(F.col("day") == border)
+        if on.where(F.col("captured_at") < limit).head(1):
+            day = str(on.first().day)
+            staged = f"{self.calls.path}-staging-{day}"
+            on.where(F.col("captured_at") >= limit).write.mode("overwrite").parquet(staged)
+            self.calls.replace(self.calls.spark.read.schema(self.calls.schema).parquet(staged), day=day)
         return sum(self.calls.drop(day=d) for d in old)
 
 
+class SnapshotStore:
+    """Rollups of calls as they stood at a moment, appended; those of a benchmark are told apart and left out of deltas."""
+
+    SCHEMA = "captured_at timestamp, tool_name string, call_count long, total_tokens long, tokens_saved long, run_id string, day date"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.rows = Table(spark, path, self.SCHEMA, ["day"])
+
+    def capture(self, rollup: DataFrame, at: str, run_id: str = "") -> None:
+        """rollup: tool_name, call_count, total_tokens, tokens_saved."""
+        when = F.lit(at).cast("timestamp")
+        self.rows.append(rollup.select(when.alias("captured_at"), "tool_name", "call_count", "total_tokens", "tokens_saved", F.lit(run_id).alias("run_id"), F.to_date(when).alias("day")))
+
+    def deltas(self) -> DataFrame:
+        """Growth by tool since the snapshot before, of snapshots that no benchmark run made."""
+        from ..operators.telemetry import snapshot_deltas
+
+        own = self.rows.read().where(F.coalesce("run_id", F.lit("")) == "").drop("run_id", "day")
+        return snapshot_deltas(own, ["call_count", "total_tokens", "tokens_saved"], series=["tool_name"])
+
+
+def read_index_json(spark: SparkSession, path: str) -> DataFrame:
+    """Symbols of JSON index files (one object each, with repo, source_files and symbols): repo and the fields of every symbol. Fields that a symbol
+    lacks are null; a file without symbols has no rows; a file that is not JSON is an error."""
+    symbol = "struct<id:string,name:string,kind:string,file:string,language:string,line:int,end_line:int,signature:string,summary:string,docstring:string,keywords:array<string>,byte_length:int,content_hash:string>"
+    rows = spark.read.schema(f"repo string, symbols array<{symbol}>").option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    return rows.select("repo", F.explode("symbols").alias("s")).select("repo", "s.*")
+
+
 def report(rows: DataFrame, title: str, most: int = 1000) -> tuple[str, str]:
     """(JSON, Markdown) of a small result; more than `most` rows is an error."""
     found = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
