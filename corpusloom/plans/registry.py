@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, chunks, evaluation, graph, search, symbols, telemetry, vectors
+from ..sources import ingest
 from ..sources import tables as t
 from ..streaming import changes
 
@@ -26,7 +27,7 @@ _CLAMP = "substring(regexp_replace(text, '\\s+$', ''), 1, 200)"
 _SYMBOLS = """symbols AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, ['function','class','method','constant','type'][CAST(p_partkey % 5 AS INT) + 1] AS kind,
   p_brand AS file, p_size AS line, p_type AS signature, string_split(p_name, ' ') AS keywords, sha256(p_name || '|' || p_type) AS content_hash FROM part)"""
 _EDGES = """edges AS (SELECT DISTINCT l_suppkey AS source, l_partkey % (SELECT count(*) FROM supplier) AS target FROM lineitem
-  WHERE l_orderkey % 97 = 0 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))"""
+  WHERE l_suppkey <> l_partkey % (SELECT count(*) FROM supplier))"""
 _LINKS = """links AS (SELECT 'page_' || CAST(page_id AS VARCHAR) AS source_file, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS specifier FROM pages)"""
 _CALLS = """calls AS (SELECT ts AS captured_at, event_type AS tool_name, user_id AS session, abs(value) AS duration_ms,
   CAST(floor(abs(value)) AS BIGINT) AS request_tokens, CAST(floor(abs(value)) AS BIGINT) * 2 AS response_tokens, CAST(floor(abs(value)) AS BIGINT) * 3 AS total_tokens,
@@ -88,32 +89,47 @@ def _vector_sql(k: int, queries: str) -> str:
  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM pairs), topk AS (SELECT * FROM ranked WHERE rank <= {k})"""
 
 
-def _vector_queries(spark, sf_dir, most: int) -> DataFrame:
+_ASKED = "vec_id % 20 = 0"
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Every vector whose id is divisible by 20, as a query."""
     v = t.vectors(spark, sf_dir)
-    return v.where(F.col("id").cast("long") < most).select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
+    return v.where("cast(id as bigint) % 20 = 0").select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
 
 
-@_query("WITH " + _vector_sql(5, "vec_id < 5") + " SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM topk")
+@_query("WITH " + _vector_sql(5, _ASKED) + " SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM topk")
 def vector_topk(spark, sf_dir):
-    found = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 5)
+    found = vectors.top_k(t.vectors(spark, sf_dir), _asked(spark, sf_dir), 5)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _judged(spark, sf_dir) -> DataFrame:
-    v = t.vectors(spark, sf_dir)
-    return _vector_queries(spark, sf_dir, 5).select("query_id", "q_label").join(v, F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
+def _ranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest of each query, and what is relevant to it: the vectors of its label."""
+    v, q = t.vectors(spark, sf_dir), _asked(spark, sf_dir)
+    judged = q.select("query_id", "q_label").join(v, F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
+    return vectors.top_k(v, q, 10), judged
+
 
+_RECALL = "SELECT CAST(r.query_id AS VARCHAR) AS query_id, count(*) FILTER (WHERE r.label = r.q_label) / (SELECT count(*) FROM embeddings e WHERE e.label = r.q_label) AS recall FROM topk r GROUP BY r.query_id, r.q_label"
+_MRR = "SELECT CAST(query_id AS VARCHAR) AS query_id, coalesce(1.0 / min(rank) FILTER (WHERE label = q_label), 0) AS reciprocal_rank FROM topk GROUP BY query_id"
 
-@_query("WITH " + _vector_sql(10, "vec_id < 5") + """ SELECT CAST(r.query_id AS VARCHAR) AS query_id, round(count(*) FILTER (WHERE r.label = r.q_label) / (SELECT count(*) FROM embeddings e WHERE e.label = r.q_label), 6) AS recall FROM topk r GROUP BY r.query_id, r.q_label""")
+
+@_query(f"WITH {_vector_sql(10, _ASKED)}, x AS ({_RECALL}) SELECT query_id, round(recall, 6) AS recall FROM x")
 def recall_at_k(spark, sf_dir):
-    ranked = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 10)
-    return vectors.recall_at_k(ranked, _judged(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
+    return vectors.recall_at_k(*_ranked(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
-@_query("WITH " + _vector_sql(10, "vec_id < 5") + """ SELECT CAST(query_id AS VARCHAR) AS query_id, round(coalesce(1.0 / min(rank) FILTER (WHERE label = q_label), 0), 6) AS reciprocal_rank FROM topk GROUP BY query_id""")
+@_query(f"WITH {_vector_sql(10, _ASKED)}, x AS ({_MRR}) SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank FROM x")
 def mrr_at_k(spark, sf_dir):
-    ranked = vectors.top_k(t.vectors(spark, sf_dir), _vector_queries(spark, sf_dir, 5), 10)
-    return vectors.mrr_at_k(ranked, _judged(spark, sf_dir), 10).select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return vectors.mrr_at_k(*_ranked(spark, sf_dir), 10).select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query(f"WITH {_vector_sql(10, _ASKED)}, x AS ({_RECALL}), y AS ({_MRR}) SELECT (SELECT count(*) FROM x) AS query_count, (SELECT CAST(round(avg(recall), 6) AS DOUBLE) FROM x) AS mean_recall, (SELECT CAST(round(avg(reciprocal_rank), 6) AS DOUBLE) FROM y) AS mean_mrr")
+def mean_measures(spark, sf_dir):
+    ranked, judged = _ranked(spark, sf_dir)
+    found = evaluation.mean_measures(vectors.recall_at_k(ranked, judged, 10), vectors.mrr_at_k(ranked, judged, 10))
+    return found.select("query_count", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_mrr", 6).alias("mean_mrr"))
 
 
 @_query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0) AS n_valid FROM embeddings")
@@ -130,18 +146,27 @@ def vector_upsert_delete(spark, sf_dir):
     return after.join(gone, ["namespace", "id"], "left_anti").select("id", "label")
 
 
-@_query(f"""WITH {_LINES}, lx AS (SELECT path, line, {_CLAMP} AS text, greatest((length(text) - length(replace(lower(text), 'stupid', ''))) / 6, 1) AS score FROM lines WHERE contains(lower(text), 'stupid') ORDER BY path, line LIMIT 250),
- sm AS (SELECT path, line, {_CLAMP} AS text, 1.0 / line AS score FROM lines WHERE contains(lower(text), 'clown') ORDER BY path, line LIMIT 60),
- m AS (SELECT coalesce(lx.path, sm.path) AS path, coalesce(lx.line, sm.line) AS line, coalesce(lx.text, sm.text) AS text, lx.score AS l, sm.score AS s FROM lx FULL OUTER JOIN sm ON lx.path = sm.path AND lx.line = sm.line),
+#: A file's vector is that of the document's id.
+_NEAR = """qv AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), vf AS (SELECT e.vec_id, list_sum(list_transform(range(1, len(qe) + 1), lambda i: CAST(qe[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) /
+   (sqrt(list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score FROM qv, embeddings e),
+ nf AS (SELECT * FROM vf ORDER BY score DESC, CAST(vec_id AS VARCHAR) LIMIT 60)"""
+
+
+@_query(f"""WITH {_LINES}, {_NEAR}, lx AS (SELECT path, line, {_CLAMP} AS text, greatest((length(text) - length(replace(lower(text), 'stupid', ''))) / 6, 1) AS score FROM lines WHERE contains(lower(text), 'stupid') ORDER BY path, line LIMIT 250),
+ sm AS (SELECT l.path, l.line, substring(regexp_replace(l.text, '\\s+$', ''), 1, 200) AS text, nf.score FROM nf JOIN lines l ON regexp_extract(l.path, '/doc_(\\d+)\\.', 1) = CAST(nf.vec_id AS VARCHAR) WHERE l.line = 1),
+ m AS (SELECT coalesce(lx.path, sm.path) AS path, coalesce(lx.line, sm.line) AS line, coalesce(lx.text, sm.text) AS text, lx.score AS l, CASE WHEN sm.score > 0 THEN sm.score END AS s FROM lx FULL OUTER JOIN sm ON lx.path = sm.path AND lx.line = sm.line),
  n AS (SELECT path, line, text, CASE WHEN l IS NULL THEN 0.0 WHEN max(l) OVER () = min(l) OVER () THEN 1.0 ELSE (l - min(l) OVER ()) / (max(l) OVER () - min(l) OVER ()) END AS lexical_score,
    CASE WHEN s IS NULL THEN 0.0 WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS semantic_score FROM m),
- f AS (SELECT path, line, text, lexical_score, semantic_score, 0.5 * lexical_score + 0.5 * semantic_score AS score FROM n ORDER BY 6 DESC, 4 DESC, 5 DESC, 1, 2, 3 LIMIT 20)
- SELECT path, line, text, round(lexical_score, 6) AS lexical_score, round(semantic_score, 6) AS semantic_score, round(score, 6) AS score FROM f""")
+ f AS (SELECT path, line, text, lexical_score, semantic_score, 0.4 * lexical_score + 0.6 * semantic_score AS score FROM n ORDER BY 6 DESC, 4 DESC, 5 DESC, 1, 2, 3 LIMIT 20)
+ SELECT path, line, text, CAST(round(lexical_score, 6) AS DOUBLE) AS lexical_score, CAST(round(semantic_score, 6) AS DOUBLE) AS semantic_score, CAST(round(score, 6) AS DOUBLE) AS score FROM f""")
 def search_text_hybrid(spark, sf_dir):
-    lines = t.lines(t.files(spark, sf_dir))
+    """Lines with a word, fused with the first lines of the files whose vectors are nearest to that of file 0."""
+    lines, v = t.lines(t.files(spark, sf_dir)), t.vectors(spark, sf_dir)
     lexical = search.matching_lines(lines, "stupid").orderBy("path", "line").limit(250)
-    semantic = search.matching_lines(lines, "clown").orderBy("path", "line").limit(60).withColumn("score", 1.0 / F.col("line"))
-    found = search.fuse(lexical, semantic, search.hybrid_weights(None, None), 20)
+    near = vectors.top_k(v, v.where("id = '0'").select(F.col("id").alias("query_id"), "namespace", "embedding"), 60).select("id", "score")
+    first = lines.where("line = 1").withColumn("id", F.regexp_extract("path", r"/doc_(\d+)\.", 1))
+    semantic = first.join(near, "id").select("path", "line", tx.clamp_line(F.col("text")).alias("text"), "score")
+    found = search.fuse(lexical, semantic, search.hybrid_weights(0.4, 0.6), 20)
     return found.select("path", "line", "text", *[F.round(c, 6).alias(c) for c in ("lexical_score", "semantic_score", "score")])
 
 
@@ -204,10 +229,39 @@ def content_hashes(spark, sf_dir):
     return t.files(spark, sf_dir).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.sha1(F.col("path").cast("binary")).alias("sha1"), tx.slug(F.col("path")).alias("slug"))
 
 
-@_query(f"""WITH {_FILES} SELECT path, CASE WHEN regexp_matches(path, '^src3/') THEN 'gitignore' WHEN regexp_matches(path, '[^/]*_1[^/]*\\.sql$') THEN 'extra_ignore' WHEN size_bytes > 512000 THEN 'too_large' END AS skip_reason FROM files WHERE path NOT LIKE 'src4/%' AND lang_ok""".replace(" AND lang_ok", " AND path LIKE '%/en/%'"))
+#: Over 30 % of the first 4096 bytes are no tab, line end or printable ASCII, or there is a NUL.
+_BINARY = """bytes AS (SELECT path, content, size_bytes, substring(hex(encode(content)), 1, 8192) AS h FROM files), judged AS (SELECT path, size_bytes, contains(content, chr(0)) OR
+  len(list_filter(range(0, len(h) // 2), lambda i: NOT regexp_matches(substring(h, 2 * i + 1, 2), '^(09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])$'))) > 0.3 * (len(h) // 2) AS bin FROM bytes)"""
+
+
+@_query(f"""WITH {_FILES}, {_BINARY} SELECT path, CASE WHEN regexp_matches(path, '^src3/') THEN 'gitignore' WHEN regexp_matches(path, '[^/]*_1[^/]*\\.sql$') THEN 'extra_ignore' WHEN size_bytes > 512000 THEN 'too_large' WHEN bin THEN 'binary' END AS skip_reason FROM judged""")
 def discovery_filter(spark, sf_dir):
-    f = t.files(spark, sf_dir).where("path not like 'src4/%' and path like '%/en/%'")
-    return catalog.discover(f, ignore=["src3/"], extra_ignore=["*_1*.sql"]).select("path", "skip_reason")
+    return catalog.discover(t.files(spark, sf_dir), ignore=["src3/"], extra_ignore=["*_1*.sql"]).select("path", "skip_reason")
+
+
+@_query(f"""WITH {_FILES} SELECT path FROM files WHERE regexp_matches(path, '^src3/') OR regexp_matches(path, '_1[^/]*\\.sql$') OR regexp_matches(path, '^src[^/]*/fr/')""")
+def scoped_ignores(spark, sf_dir):
+    """Files that an ignore file of their folder or one above leaves out: one at the top, and one in each top folder."""
+    f = t.files(spark, sf_dir).select("path", "content")
+    top = f.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("d")).distinct()
+    own = top.select(F.concat("d", F.lit("/.gitignore")).alias("path"), F.lit("# made\nfr/\n!kept\n*_1*.sql\n").alias("content"))
+    root = spark.range(1).select(F.lit(".gitignore").alias("path"), F.lit("./src3/\n").alias("content"))
+    return catalog.scoped_ignored(f, catalog.ignore_rules(f.unionByName(own).unionByName(root)))
+
+
+@_query()
+def tree_digest(spark, sf_dir):
+    return catalog.tree_digest(t.files(spark, sf_dir))
+
+
+@_query(f"""WITH {_FILES}, cur AS (SELECT path, CASE WHEN size_bytes % 7 = 0 THEN content || '!' ELSE content END AS content FROM files WHERE size_bytes % 10 <> 1),
+ st AS (SELECT path, content FROM files WHERE size_bytes % 10 <> 2) SELECT cur.path, CASE WHEN st.path IS NULL THEN 'new' WHEN sha256(st.content) <> sha256(cur.content) THEN 'changed' ELSE 'kept' END AS origin, sha256(cur.content) AS content_hash FROM cur LEFT JOIN st ON cur.path = st.path""")
+def incremental_snapshot(spark, sf_dir):
+    """The snapshot after files went, came and changed, with what was done for each file that it has."""
+    f = t.files(spark, sf_dir).select("path", "content", "size_bytes")
+    stored = f.where("size_bytes % 10 <> 2").select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    current = f.where("size_bytes % 10 <> 1").withColumn("content", F.when(F.col("size_bytes") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return ingest.incremental(stored, current.select("path", "content"))
 
 
 # ---- symbols -------------------------------------------------------------------------------------------------------
@@ -242,12 +296,15 @@ def search_symbols_budget(spark, sf_dir):
     return symbols.pack_budget(symbols.search(t.symbols(spark, sf_dir), "blue"), 4000).select("id", "tokens_used")
 
 
-@_query(f"""WITH {_SYMBOLS}, tg AS (SELECT file, {_TOKENS.format('name')} AS tk FROM symbols WHERE id = '7'),
- s AS (SELECT s.id, s.name, s.kind, s.file, s.line, CASE WHEN s.file = tg.file THEN 3.0 ELSE 0.0 END + 0.5 * len(list_intersect(list_distinct({_TOKENS.format('s.name')}), tg.tk)) AS score FROM symbols s, tg WHERE s.id <> '7')
- SELECT id, name, kind, file, line, CAST(round(score, 2) AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, file, name, id LIMIT 10""")
+@_query(f"""WITH {_SYMBOLS}, tg AS (SELECT file, {_TOKENS.format('name')} AS tk FROM symbols WHERE id = '7'), i AS (SELECT DISTINCT substring(p_brand, 1, length(p_brand) - 1) AS who, p_brand AS file FROM part),
+ sh AS (SELECT DISTINCT file FROM i WHERE who IN (SELECT who FROM i, tg WHERE i.file = tg.file)),
+ s AS (SELECT s.id, s.name, s.kind, s.file, s.line, CASE WHEN s.file = tg.file THEN 3.0 WHEN s.file IN (SELECT file FROM sh) THEN 1.5 ELSE 0.0 END + 0.5 * len(list_intersect(list_distinct({_TOKENS.format('s.name')}), tg.tk)) AS score FROM symbols s, tg WHERE s.id <> '7')
+ SELECT id, name, kind, file, line, CAST(round(score, 2) AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, file, name, id LIMIT 50""")
 def related_symbols(spark, sf_dir):
-    none = t.links(spark, sf_dir)
-    return symbols.related(t.symbols(spark, sf_dir), none, "7", 10)
+    """Brands are files; those that differ in their last digit only have an importer in common."""
+    brand = F.col("p_brand")
+    imports = t.table(spark, sf_dir, "part").select(F.substring(brand, F.lit(1), F.length(brand) - 1).alias("source_file"), brand.alias("resolved")).distinct()
+    return symbols.related(t.symbols(spark, sf_dir), imports, "7", 50)
 
 
 @_query(f"WITH {_SYMBOLS}, k AS (SELECT unnest(keywords) AS k FROM symbols) SELECT lower(trim(k)) AS keyword, count(*) AS n FROM k WHERE trim(k) <> '' GROUP BY 1 ORDER BY n DESC, keyword LIMIT 15")
@@ -255,16 +312,12 @@ def keyword_histogram(spark, sf_dir):
     return symbols.keyword_histogram(t.symbols(spark, sf_dir))
 
 
-@_query(f"""WITH {_SYMBOLS}, a AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols WHERE CAST(id AS BIGINT) % 100 = 1), b AS (SELECT id, list_distinct({_TOKENS.format('name')}) AS t FROM symbols),
- x AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS overlap FROM a, b WHERE a.id <> b.id) SELECT a, b, CAST(overlap AS INT) AS overlap FROM x WHERE overlap > 0""")
+@_query(f"""WITH {_SYMBOLS}, b AS (SELECT id, unnest(list_distinct({_TOKENS.format('name')})) AS t FROM symbols), a AS (SELECT * FROM b WHERE CAST(id AS BIGINT) % 20 = 0)
+ SELECT a.id AS a, b.id AS b, CAST(count(*) AS INT) AS overlap FROM a JOIN b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2""")
 def token_overlap(spark, sf_dir):
-    return _overlap(spark, sf_dir, "cast(id as bigint) % 100 = 1")
-
-
-def _overlap(spark, sf_dir, some: str) -> DataFrame:
-    """Pairs of symbols that share tokens; the first is one of those that meet the condition."""
+    """Symbols whose names share tokens with those of the symbols with an id divisible by 20."""
     s = t.symbols(spark, sf_dir).select("id", F.explode(F.array_distinct(tx.tokenize(F.col("name")))).alias("token"))
-    asked = s.where(some).select(F.col("id").alias("a"), "token")
+    asked = s.where("cast(id as bigint) % 20 = 0").select(F.col("id").alias("a"), "token")
     return asked.join(s.withColumnRenamed("id", "b"), "token").where("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("overlap"))
 
 
@@ -303,12 +356,11 @@ def most_imported(spark, sf_dir):
     return symbols.most_imported(t.links(spark, sf_dir))
 
 
-@_query(f"""WITH {_LINKS}, top AS (SELECT specifier AS s, count(*) AS n FROM links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
- SELECT DISTINCT source_file AS file, specifier, false AS has_importers FROM links, top WHERE specifier = top.s ORDER BY file, specifier LIMIT 50""")
+@_query("""WITH i AS (SELECT p_partkey AS k, (p_partkey * 7) % 50 AS to_k FROM part) SELECT 'pkg/m' || k || '.py' AS file, 'pkg/m3' AS specifier, k = 3 OR k IN (SELECT to_k FROM i) AS has_importers FROM i WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = 3) ORDER BY file LIMIT 200""")
 def importers(spark, sf_dir):
-    links = t.links(spark, sf_dir)
-    top = symbols.most_imported(links, 1).first()
-    return graph.importers(links, top.file if top else "").select("file", "specifier", "has_importers")
+    """Modules that import pkg/m3, and whether others import them."""
+    files = _modules(spark, sf_dir)
+    return graph.importers(graph.resolve_imports(graph.extract_imports(files), files), "pkg/m3.py", 200).select("file", "specifier", "has_importers")
 
 
 def _graph_sql(depth: int, forward: bool) -> str:
@@ -320,30 +372,25 @@ def _start(spark) -> DataFrame:
     return spark.range(1, 2).select(F.col("id").alias("node"))
 
 
-def _sampled_edges(spark, sf_dir) -> DataFrame:
-    """The edges of the queries with SQL: those of one order in 97, as in _EDGES. The queries *_whole have all edges."""
-    return t.edges(spark, sf_dir, "l_orderkey % 97 = 0")
-
-
 @_query(_graph_sql(2, True) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
 def dependency_nodes(spark, sf_dir):
-    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 2)[0]
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[0]
 
 
 @_query(_graph_sql(2, True) + " SELECT e.source, e.target FROM edges e JOIN nodes n ON e.source = n.node WHERE n.level < 2")
 def dependency_edges(spark, sf_dir):
-    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 2)[1]
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[1]
 
 
 @_query(_graph_sql(3, False) + " SELECT node, CAST(level AS INT) AS level FROM nodes")
 def dependency_importers(spark, sf_dir):
-    return graph.bfs(_sampled_edges(spark, sf_dir), _start(spark), 3, "importers")[0]
+    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 3, "importers")[0]
 
 
 @_query(_graph_sql(1, True) + """, i AS (SELECT e.source, e.target FROM edges e WHERE source IN (SELECT node FROM nodes) AND target IN (SELECT node FROM nodes))
  SELECT coalesce(a.node, b.node) AS node, coalesce(a.n, 0) AS n_imports, coalesce(b.n, 0) AS n_imported_by FROM (SELECT source AS node, count(*) AS n FROM i GROUP BY 1) a FULL OUTER JOIN (SELECT target AS node, count(*) AS n FROM i GROUP BY 1) b ON a.node = b.node""")
 def dependency_neighbours(spark, sf_dir):
-    return _neighbours(spark, _sampled_edges(spark, sf_dir))
+    return _neighbours(spark, t.edges(spark, sf_dir))
 
 
 def _neighbours(spark, e: DataFrame) -> DataFrame:
@@ -354,7 +401,7 @@ def _neighbours(spark, e: DataFrame) -> DataFrame:
 
 @_query(_graph_sql(2, False) + """ SELECT CAST(s_suppkey AS VARCHAR) AS path, CAST(level AS INT) AS level, CAST(len(regexp_extract_all(s_name, '\\bSupplier\\b')) AS INT) AS references, CASE WHEN regexp_matches(s_name, '\\bSupplier\\b') THEN 'confirmed' ELSE 'potential' END AS status FROM supplier JOIN nodes ON s_suppkey = node WHERE level > 0""")
 def blast_radius(spark, sf_dir):
-    return _blast_radius(spark, sf_dir, _sampled_edges(spark, sf_dir))
+    return _blast_radius(spark, sf_dir, t.edges(spark, sf_dir))
 
 
 def _blast_radius(spark, sf_dir, edges: DataFrame) -> DataFrame:
@@ -363,46 +410,58 @@ def _blast_radius(spark, sf_dir, edges: DataFrame) -> DataFrame:
     return graph.blast_radius(files, e, "Supplier", "1", 2)
 
 
-@_query()
-def dependency_nodes_whole(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[0]
+@_query(f"""WITH {_FILES}, {_LINKS}, w AS (SELECT unnest(['idiot', 'license', 'zzzz', '1']) AS identifier), h AS (SELECT DISTINCT source_file, regexp_extract(specifier, '([^/]*)$', 1) AS name FROM links), f AS (SELECT identifier, count(*) AS n FROM w JOIN files ON contains(lower(content), identifier) GROUP BY 1),
+ g AS (SELECT identifier, count(DISTINCT source_file) AS n FROM w JOIN h ON lower(h.name) = identifier OR regexp_replace(lower(h.name), '\\.[^.]*$', '') = identifier GROUP BY 1)
+ SELECT w.identifier, coalesce(g.n, 0) AS import_files, coalesce(f.n, 0) AS content_files, coalesce(g.n, 0) + coalesce(f.n, 0) > 0 AS is_referenced FROM w LEFT JOIN f ON w.identifier = f.identifier LEFT JOIN g ON w.identifier = g.identifier""")
+def check_references(spark, sf_dir):
+    return graph.check_references(t.links(spark, sf_dir), t.files(spark, sf_dir), t.symbols(spark, sf_dir), ["idiot", "license", "zzzz", "1"])
 
 
-@_query()
-def dependency_edges_whole(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 2)[1]
+@_query(f"""WITH {_LINES}, w AS (SELECT unnest(['idiot', 'license', 'zzzz']) AS identifier), d AS (SELECT path FROM files WHERE path LIKE '%1.py'),
+ h AS (SELECT identifier, path, row_number() OVER (PARTITION BY identifier ORDER BY path) AS k FROM w JOIN files ON contains(lower(content), identifier) WHERE NOT (identifier = 'idiot' AND path IN (SELECT path FROM d)))
+ SELECT h.identifier, l.path AS file, l.line, substring(regexp_replace(l.text, '\\s+$', ''), 1, 200) AS text FROM h JOIN lines l ON l.path = h.path AND contains(lower(l.text), h.identifier) WHERE h.k <= 20""")
+def content_references(spark, sf_dir):
+    """Lines with identifiers in files that do not define them; files with a name that ends in 1.py define one."""
+    f = t.files(spark, sf_dir)
+    defined = f.where("path like '%1.py'").select(F.col("path").alias("file"), F.lit("Idiot").alias("name"))
+    return graph.content_references(f, defined, ["idiot", "license", "zzzz"], 20)
 
 
-@_query()
-def dependency_importers_whole(spark, sf_dir):
-    return graph.bfs(t.edges(spark, sf_dir), _start(spark), 3, "importers")[0]
+# ---- chunks and columns --------------------------------------------------------------------------------------------
 
 
-@_query()
-def dependency_neighbours_whole(spark, sf_dir):
-    return _neighbours(spark, t.edges(spark, sf_dir))
+_CHUNKS = """f AS (SELECT path, line, text, 1 AS start, 1 AS n, strlen(text) AS size FROM lines WHERE line = 1
+ UNION ALL SELECT l.path, l.line, l.text, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN l.line ELSE f.start END, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN 1 ELSE f.n + 1 END,
+  CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN strlen(l.text) ELSE f.size + 1 + strlen(l.text) END FROM f JOIN lines l ON l.path = f.path AND l.line = f.line + 1),
+ c AS (SELECT path, start, max(line) AS stop, string_agg(text, chr(10) ORDER BY line) AS t FROM f GROUP BY 1, 2),
+ chunks AS (SELECT path, sha1('corpus' || chr(0) || path || chr(0) || CAST(start AS VARCHAR) || chr(0) || CAST(stop AS VARCHAR) || chr(0) || regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS chunk_id, CAST(start AS INT) AS start_line, CAST(stop AS INT) AS end_line, CAST(strlen(t) AS INT) AS chunk_bytes FROM c WHERE trim(t) <> '')"""
 
 
-@_query()
-def blast_radius_whole(spark, sf_dir):
-    return _blast_radius(spark, sf_dir, t.edges(spark, sf_dir))
+@_query(f"WITH RECURSIVE {_LINES}, {_CHUNKS} SELECT * FROM chunks")
+def chunk_documents(spark, sf_dir):
+    return chunks.chunk(t.files(spark, sf_dir), "corpus").select("path", "chunk_id", "start_line", "end_line", F.octet_length("chunk_text").alias("chunk_bytes"))
 
 
-@_query(f"""WITH {_FILES}, w AS (SELECT unnest(['idiot', 'license', 'zzzz']) AS identifier) SELECT identifier, CAST(0 AS BIGINT) AS import_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) AS content_files, (SELECT count(*) FROM files WHERE contains(lower(content), identifier)) > 0 AS is_referenced FROM w""")
-def check_references(spark, sf_dir):
-    return graph.check_references(t.links(spark, sf_dir), t.files(spark, sf_dir), t.symbols(spark, sf_dir), ["idiot", "license", "zzzz"])
+_NOW_FILES = """files AS (SELECT path, CASE WHEN size_bytes % 7 = 0 THEN content || ' and more' ELSE content END AS content FROM all_files WHERE size_bytes % 10 <> 1)"""
 
 
-# ---- chunks and columns --------------------------------------------------------------------------------------------
+@_query(f"WITH RECURSIVE {_LINES.replace('files AS (', 'all_files AS (', 1).replace(', parts AS', ', ' + _NOW_FILES + ', parts AS', 1)}, {_CHUNKS} SELECT path, chunk_id AS id FROM chunks")
+def vector_sync(spark, sf_dir):
+    """The vectors' ids after files went and changed: only chunks that are new are embedded."""
+    f = t.files(spark, sf_dir)
+    stored = vectors.embed_chunks(chunks.chunk(f, "corpus"), "main")
+    touched = f.where("size_bytes % 10 = 1 or size_bytes % 7 = 0").select("path")
+    now = f.where("size_bytes % 10 <> 1").withColumn("content", F.when(F.col("size_bytes") % 7 == 0, F.concat("content", F.lit(" and more"))).otherwise(F.col("content")))
+    now = now.join(touched, "path", "left_semi")
+    return vectors.sync_chunks(stored, chunks.chunk(now, "corpus"), touched, "main").select("path", "id")
 
 
-@_query("WITH RECURSIVE " + _LINES + """, f AS (SELECT path, line, text, 1 AS start, 1 AS n, strlen(text) AS size FROM lines WHERE line = 1
- UNION ALL SELECT l.path, l.line, l.text, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN l.line ELSE f.start END, CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN 1 ELSE f.n + 1 END,
-  CASE WHEN f.n >= 80 OR f.size + 1 + strlen(l.text) > 3000 THEN strlen(l.text) ELSE f.size + 1 + strlen(l.text) END FROM f JOIN lines l ON l.path = f.path AND l.line = f.line + 1),
- c AS (SELECT path, start, max(line) AS stop, string_agg(text, chr(10) ORDER BY line) AS t FROM f GROUP BY 1, 2)
- SELECT path, sha1('corpus' || chr(0) || path || chr(0) || CAST(start AS VARCHAR) || chr(0) || CAST(stop AS VARCHAR) || chr(0) || regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS chunk_id, CAST(start AS INT) AS start_line, CAST(stop AS INT) AS end_line, CAST(strlen(t) AS INT) AS chunk_bytes FROM c WHERE trim(t) <> ''""")
-def chunk_documents(spark, sf_dir):
-    return chunks.chunk(t.files(spark, sf_dir), "corpus").select("path", "chunk_id", "start_line", "end_line", F.octet_length("chunk_text").alias("chunk_bytes"))
+@_query(f"""WITH {_FILES}, c AS (SELECT DISTINCT 'doc_' || CAST(p_partkey AS VARCHAR) AS model, p_type AS col FROM part), s AS (SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS model FROM files WHERE path LIKE '%.sql')
+ SELECT c.model, c.col AS "column", s.path AS file FROM c LEFT JOIN s ON c.model = s.model""")
+def column_models(spark, sf_dir):
+    """Columns of models with the .sql file that defines each."""
+    c = t.table(spark, sf_dir, "part").select(F.concat(F.lit("doc_"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_type").alias("column")).distinct()
+    return chunks.model_files(c, t.files(spark, sf_dir).select(F.col("path").alias("file"))).select("model", "column", "file")
 
 
 @_query("""WITH c AS (SELECT DISTINCT p_brand AS model, p_type AS col FROM part), s AS (SELECT model, col, CASE WHEN lower(col) = 'standard' THEN 30 WHEN contains(lower(col), 'standard') THEN 15 ELSE 5 * CAST(contains(lower(col), 'standard') AS INT) END + CASE WHEN contains(lower(model), 'standard') THEN 8 ELSE 0 END AS score FROM c)
@@ -552,15 +611,16 @@ def find_references(spark, sf_dir):
     return graph.references(graph.extract_imports(_modules(spark, sf_dir)), ["n5", "m3"])
 
 
-@_query(f"""WITH {_FILES}, k AS (SELECT unnest(['skip_dir','symlink','symlink_escape','path_traversal','skip_file','gitignore','extra_ignore','secret','wrong_extension','too_large','unreadable','binary','file_limit']) AS skip_reason),
- f AS (SELECT CASE WHEN path LIKE 'src3/%' THEN 'gitignore' WHEN size_bytes > 512000 THEN 'too_large' END AS r FROM files WHERE path LIKE '%/en/%') SELECT k.skip_reason, (SELECT count(*) FROM f WHERE f.r = k.skip_reason) AS n FROM k""")
+@_query(f"""WITH {_FILES}, {_BINARY}, k AS (SELECT unnest(['skip_dir','symlink','symlink_escape','path_traversal','skip_file','gitignore','extra_ignore','secret','wrong_extension','too_large','unreadable','binary','file_limit']) AS skip_reason),
+ f AS (SELECT CASE WHEN path LIKE 'src3/%' THEN 'gitignore' WHEN size_bytes > 512000 THEN 'too_large' WHEN bin THEN 'binary' END AS r FROM judged) SELECT k.skip_reason, (SELECT count(*) FROM f WHERE f.r = k.skip_reason) AS n FROM k""")
 def skip_counts(spark, sf_dir):
-    return catalog.skip_counts(catalog.discover(t.files(spark, sf_dir).where("path like '%/en/%'"), ignore=["src3/"]))
+    return catalog.skip_counts(catalog.discover(t.files(spark, sf_dir), ignore=["src3/"]))
 
 
-@_query(f"""WITH {_FILES}, f AS (SELECT path, row_number() OVER (ORDER BY path) AS rn FROM files WHERE path LIKE '%/en/%') SELECT path, CASE WHEN rn > 100 THEN 'file_limit' END AS skip_reason FROM f""")
+@_query(f"""WITH {_FILES}, {_BINARY}, f AS (SELECT path, CASE WHEN size_bytes > 512000 THEN 'too_large' WHEN bin THEN 'binary' END AS r FROM judged), n AS (SELECT path, r, row_number() OVER (PARTITION BY r IS NULL ORDER BY path) AS rn FROM f)
+ SELECT path, CASE WHEN r IS NULL AND rn > 100 THEN 'file_limit' ELSE r END AS skip_reason FROM n""")
 def file_cap(spark, sf_dir):
-    return catalog.discover(t.files(spark, sf_dir).where("path like '%/en/%'"), cap=100).select("path", "skip_reason")
+    return catalog.discover(t.files(spark, sf_dir), cap=100).select("path", "skip_reason")
 
 
 @_query(f"""WITH {_FILES}, r AS (SELECT DISTINCT string_split(path, '/')[1] AS root FROM files UNION ALL SELECT DISTINCT string_split(path, '/')[1] || '/en' FROM files WHERE path LIKE '%/en/%')
@@ -572,24 +632,37 @@ def longest_root(spark, sf_dir):
     return catalog.latest_per_root(f, roots.withColumn("repo", F.concat(F.lit("repo:"), "root")))
 
 
-@_query(f"""WITH {_FILES}, {_SYMBOLS.replace('FROM part', 'FROM part WHERE p_partkey <= 50')}, x AS (SELECT path, string_split(content, chr(10)) AS p, row_number() OVER (ORDER BY path) AS k FROM files), j AS (SELECT s.id, s.name, x.path, s.line, x.p FROM symbols s JOIN x ON CAST(s.id AS BIGINT) = x.k)
+@_query(f"""WITH {_FILES}, {_SYMBOLS}, x AS (SELECT path, string_split(content, chr(10)) AS p, CAST(regexp_extract(path, '/doc_(\\d+)\\.', 1) AS BIGINT) AS k FROM files), j AS (SELECT s.id, s.name, x.path, s.line, x.p FROM symbols s JOIN x ON CAST(s.id AS BIGINT) % (SELECT count(*) FROM files) = x.k)
  SELECT id, name, path, CAST(greatest(least(line, len(p)), 1) AS INT) AS start_line, CAST(greatest(least(line + 3, len(p)), 1) AS INT) AS end_line, array_to_string(p[greatest(least(line, len(p)), 1):greatest(least(line + 3, len(p)), 1)], chr(10)) AS source FROM j""")
 def symbol_source(spark, sf_dir):
+    """Every symbol, in the file of the document whose id is the symbol's modulo the number of documents."""
     f = t.files(spark, sf_dir)
-    firsts = f.select("path").orderBy("path").limit(50).selectExpr("path", "row_number() over (order by path) as k")
-    s = t.symbols(spark, sf_dir).where("cast(id as bigint) <= 50").join(firsts, F.col("id").cast("long") == F.col("k")).withColumn("file", F.col("path")).drop("path", "k")
-    return chunks.symbol_source(s, f, [str(k) for k in range(1, 51)]).select("id", "name", "path", "start_line", "end_line", "source")
+    number = F.regexp_extract("path", r"/doc_(\d+)\.[a-z]+$", 1).cast("long")
+    n = f.agg(F.count("*").alias("n"))  # one row
+    s = t.symbols(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("k", F.col("id").cast("long") % F.col("n"))
+    s = s.join(f.select("path", number.alias("k")), "k").withColumn("file", F.col("path")).drop("path", "k", "n")
+    return chunks.symbol_source(s, f, None).select("id", "name", "path", "start_line", "end_line", "source")
 
 
-@_query("""SELECT 'blank_document' AS fault, count(*) FILTER (WHERE trim(text) = '') AS n FROM documents UNION ALL SELECT 'repeated_document', 0 UNION ALL SELECT 'unknown_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) AND doc_id % 3 = 0
- UNION ALL SELECT 'unknown_query', 0 UNION ALL SELECT 'relevance_range', 0 UNION ALL SELECT 'query_without_judgment', CAST(1 AS BIGINT)""".replace("count(*) FILTER (WHERE trim(text) = '') AS n FROM documents", "count(*) FILTER (WHERE trim(text) = '') AS n FROM documents WHERE doc_id % 3 <> 0"))
+@_query("""WITH j AS (SELECT CAST(doc_id AS BIGINT) * 2 AS id, quality FROM labels) SELECT 'blank_document' AS fault, count(*) FILTER (WHERE text IS NULL OR trim(text) = '' OR doc_id IS NULL) AS n FROM documents UNION ALL SELECT 'repeated_document', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT 'unknown_document', count(*) FROM j WHERE id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'unknown_query', 0 UNION ALL SELECT 'relevance_range', count(*) FROM j WHERE quality IS NULL OR quality NOT BETWEEN 0 AND 3 UNION ALL SELECT 'query_without_judgment', CAST(1 AS BIGINT)""")
 def fixture_faults(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "text")
-    judged = t.table(spark, sf_dir, "labels").select(F.lit("q").alias("query_id"), F.col("doc_id").alias("id"), F.col("quality").alias("relevance"))
+    """All documents, and judgments of twice the labels' ids, so that some are of no document."""
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    judged = t.table(spark, sf_dir, "labels").select(F.lit("q").alias("query_id"), (F.col("doc_id").cast("long") * 2).alias("id"), F.col("quality").alias("relevance"))
     queries = spark.range(2).select(F.when(F.col("id") == 0, "q").otherwise("none").alias("query_id"))
     return evaluation.fixture_faults(docs, queries, judged)
 
 
+@_query(f"""WITH {_FILES}, c AS (SELECT string_split(path, '/')[1] AS case_id, path, content FROM files) SELECT case_id, CAST(sum(ceil(strlen(content) / 4)) AS BIGINT) AS baseline_tokens, CAST(sum(ceil((strlen(path) + 1) / 4)) AS BIGINT) AS tool_tokens,
+  CAST(sum(ceil(strlen(content) / 4)) - sum(ceil((strlen(path) + 1) / 4)) AS BIGINT) AS tokens_saved, round((sum(ceil(strlen(content) / 4)) - sum(ceil((strlen(path) + 1) / 4))) / sum(ceil(strlen(content) / 4)), 6) AS saved_ratio FROM c GROUP BY 1""")
+def token_savings(spark, sf_dir):
+    """Listing each top folder against reading its files."""
+    f = t.files(spark, sf_dir)
+    cases = f.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("case_id"), "path")
+    return evaluation.token_savings(cases, f, cases.select("case_id", F.concat("path", F.lit("\n")).alias("payload")))
+
+
 _RUNS = "SELECT event_type, user_id % 2 AS mode, 1 AS items, abs(value) + 1 AS ms, event_id % 50 = 0 AS failed FROM events"
 
 
@@ -616,71 +689,11 @@ def benchmark_runs_upsert(spark, sf_dir):
     return evaluation.combine_runs(runs.withColumn("origin", F.lit("stored")), runs.where("run_id % 4 = 0").withColumn("origin", F.lit("new")))
 
 
-@_query(f"""WITH {_FILES}, k AS (SELECT unnest(['reports/api_key.txt', 'src/token.py', 'docs/secret-santa.md', 'docs/my_secret_password.md', 'a/b/plain.py', '.env.local', 'id_rsa.pub']) AS path) SELECT path, path IN ('reports/api_key.txt', 'src/token.py', '.env.local', 'id_rsa.pub') AS likely_secret FROM k""")
-def secret_paths(spark, sf_dir):
-    names = ["reports/api_key.txt", "src/token.py", "docs/secret-santa.md", "docs/my_secret_password.md", "a/b/plain.py", ".env.local", "id_rsa.pub"]
-    paths = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("path"))
-    return paths.select("path", catalog.likely_secret(F.col("path")).alias("likely_secret"))
-
-
-# ---- whole tables: the queries above that their SQL restricts to some ids or paths ----------------------------------
-
-
-def _asked(spark, sf_dir) -> DataFrame:
-    """Every vector whose id is divisible by 20, as a query."""
-    v = t.vectors(spark, sf_dir)
-    return v.where("cast(id as bigint) % 20 = 0").select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
-
-
-def _ranked_whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The ten nearest of each query, and what is relevant to it: the vectors of its label."""
-    v, q = t.vectors(spark, sf_dir), _asked(spark, sf_dir)
-    judged = q.select("query_id", "q_label").join(v, F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
-    return vectors.top_k(v, q, 10), judged
-
-
-@_query()
-def vector_topk_whole(spark, sf_dir):
-    found = vectors.top_k(t.vectors(spark, sf_dir), _asked(spark, sf_dir), 5)
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+_ODD_NAMES = ["api_key.txt", "token.py", "secret-santa.md", "my_secret_password.md", "plain.py", ".env.local", "id_rsa.pub"]
 
 
-@_query()
-def recall_at_k_whole(spark, sf_dir):
-    return vectors.recall_at_k(*_ranked_whole(spark, sf_dir), 10).select("query_id", F.round("recall", 6).alias("recall"))
-
-
-@_query()
-def mrr_at_k_whole(spark, sf_dir):
-    return vectors.mrr_at_k(*_ranked_whole(spark, sf_dir), 10).select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
-
-
-@_query()
-def token_overlap_whole(spark, sf_dir):
-    return _overlap(spark, sf_dir, "cast(id as bigint) % 20 = 0")
-
-
-@_query()
-def discovery_filter_whole(spark, sf_dir):
-    return catalog.discover(t.files(spark, sf_dir), ignore=["src3/"], extra_ignore=["*_1*.sql"]).select("path", "skip_reason")
-
-
-@_query()
-def skip_counts_whole(spark, sf_dir):
-    return catalog.skip_counts(catalog.discover(t.files(spark, sf_dir), ignore=["src3/"]))
-
-
-@_query()
-def file_cap_whole(spark, sf_dir):
-    return catalog.discover(t.files(spark, sf_dir), cap=100).select("path", "skip_reason")
-
-
-@_query()
-def symbol_source_whole(spark, sf_dir):
-    """Every symbol, in the file of the document whose id is the symbol's modulo the number of documents."""
-    f = t.files(spark, sf_dir)
-    number = F.regexp_extract("path", r"/doc_(\d+)\.[a-z]+$", 1).cast("long")
-    n = f.agg(F.count("*").alias("n"))  # one row
-    s = t.symbols(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("k", F.col("id").cast("long") % F.col("n"))
-    s = s.join(f.select("path", number.alias("k")), "k").withColumn("file", F.col("path")).drop("path", "k", "n")
-    return chunks.symbol_source(s, f, None).select("id", "name", "path", "start_line", "end_line", "source")
+@_query(f"""WITH {_FILES}, k AS (SELECT path || '/' || {_ODD_NAMES}[CAST(size_bytes % 7 AS INT) + 1] AS path, size_bytes % 7 IN (0, 1, 5, 6) AS likely_secret FROM files) SELECT * FROM k""")
+def secret_paths(spark, sf_dir):
+    """Every file, as the folder of one whose name may hint at a secret."""
+    name = F.element_at(F.array(*[F.lit(n) for n in _ODD_NAMES]), (F.col("size_bytes") % 7 + 1).cast("int"))
+    return t.files(spark, sf_dir).select(F.concat("path", F.lit("/"), name).alias("path")).select("path", catalog.likely_secret(F.col("path")).alias("likely_secret"))

@@ -35,15 +35,15 @@ def graph(spark):
 def test_whole_graph(spark, graph):
     edges, walk = graph
     rows = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, SF_DIR).collect()]
-    assert sorted(rows("dependency_nodes_whole")) == sorted(walk(2).items())
-    assert sorted(rows("dependency_importers_whole")) == sorted(walk(3, True).items())
+    assert sorted(rows("dependency_nodes")) == sorted(walk(2).items())
+    assert sorted(rows("dependency_importers")) == sorted(walk(3, True).items())
     below = {n for n, k in walk(2).items() if k < 2}
-    assert sorted(rows("dependency_edges_whole")) == sorted(e for e in edges if e[0] in below)
+    assert sorted(rows("dependency_edges")) == sorted(e for e in edges if e[0] in below)
     inside = set(walk(1))
     own = {n: (sum(a == n and b in inside for a, b in edges), sum(b == n and a in inside for a, b in edges)) for n in inside}
-    assert sorted(rows("dependency_neighbours_whole")) == sorted((n, *v) for n, v in own.items() if any(v))
+    assert sorted(rows("dependency_neighbours")) == sorted((n, *v) for n, v in own.items() if any(v))
     names = {r.s_suppkey for r in t.table(spark, SF_DIR, "supplier").collect()}
-    met = {(r[0], r[1]) for r in rows("blast_radius_whole")}
+    met = {(r[0], r[1]) for r in rows("blast_radius")}
     assert met == {(str(n), k) for n, k in walk(2, True).items() if k and n in names}
 
 
@@ -55,36 +55,37 @@ def test_whole_vectors(spark):
     assert max(asked) >= 20
     near = {q: sorted(unit, key=lambda i: (-round(float(unit[q] @ unit[i]), 12), str(i)))[:10] for q in asked}
     found = defaultdict(list)
-    for r in registry.QUERIES["vector_topk_whole"](spark, SF_DIR).orderBy("rank").collect():
+    for r in registry.QUERIES["vector_topk"](spark, SF_DIR).orderBy("rank").collect():
         found[int(r.query_id)].append(int(r.id))
     assert found == {q: n[:5] for q, n in near.items()}
     same = Counter(label.values())
     recall = {q: sum(label[i] == label[q] for i in n) / same[label[q]] for q, n in near.items()}
-    assert {int(r.query_id): r.recall for r in registry.QUERIES["recall_at_k_whole"](spark, SF_DIR).collect()} == pytest.approx(recall, abs=1e-6)
+    assert {int(r.query_id): r.recall for r in registry.QUERIES["recall_at_k"](spark, SF_DIR).collect()} == pytest.approx(recall, abs=1e-6)
     mrr = {q: next((1 / k for k, i in enumerate(n, 1) if label[i] == label[q]), 0) for q, n in near.items()}
-    assert {int(r.query_id): r.reciprocal_rank for r in registry.QUERIES["mrr_at_k_whole"](spark, SF_DIR).collect()} == pytest.approx(mrr, abs=1e-6)
+    assert {int(r.query_id): r.reciprocal_rank for r in registry.QUERIES["mrr_at_k"](spark, SF_DIR).collect()} == pytest.approx(mrr, abs=1e-6)
 
 
 def test_whole_overlap(spark):
     tokens = {r.p_partkey: set(re.findall("[a-z0-9]{2,}", r.p_name.lower())) for r in t.table(spark, SF_DIR, "part").collect()}
     want = {(str(a), str(b), len(tokens[a] & tokens[b])) for a in tokens if a % 20 == 0 for b in tokens if a != b and tokens[a] & tokens[b]}
-    assert {tuple(r) for r in registry.QUERIES["token_overlap_whole"](spark, SF_DIR).collect()} == want
+    assert {tuple(r) for r in registry.QUERIES["token_overlap"](spark, SF_DIR).collect()} == want
 
 
 def test_whole_files(spark):
     paths = sorted(r.path for r in t.files(spark, SF_DIR).select("path").collect())
     rows = lambda name: {r[0]: r[1] for r in registry.QUERIES[name](spark, SF_DIR).collect()}
-    reason = rows("discovery_filter_whole")
+    reason = rows("discovery_filter")
     assert sorted(reason) == paths and len({p.split("/")[1] for p in paths}) > 1
     assert all((reason[p] == "gitignore") == p.startswith("src3/") for p in paths)
-    assert rows("skip_counts_whole")["gitignore"] == sum(p.startswith("src3/") for p in paths)
-    cap = rows("file_cap_whole")
-    assert sorted(p for p, r in cap.items() if r is None) == paths[:100] and sorted(cap) == paths
+    assert rows("skip_counts")["gitignore"] == sum(p.startswith("src3/") for p in paths)
+    cap = rows("file_cap")
+    able = [p for p in paths if cap[p] in (None, "file_limit")]
+    assert sorted(p for p, r in cap.items() if r is None) == able[:100] and sorted(cap) == paths
 
 
 def test_whole_sources(spark):
     d = {r.doc_id: r.text for r in t.table(spark, SF_DIR, "documents").collect()}
-    got = {int(r.id): r for r in registry.QUERIES["symbol_source_whole"](spark, SF_DIR).collect()}
+    got = {int(r.id): r for r in registry.QUERIES["symbol_source"](spark, SF_DIR).collect()}
     parts = t.table(spark, SF_DIR, "part").collect()
     assert sorted(got) == sorted(p.p_partkey for p in parts)
     for p in parts:
