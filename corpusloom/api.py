@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import logging
+import os
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import catalog, chunks, graph, search, symbols, telemetry, vectors
-from .sources import tables
+from .sources import ingest, tables
 
 _TRUE, _FALSE = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
 #: Items of one batch at most.
@@ -47,7 +50,7 @@ class Arg:
                 raise RequestError(f"missing argument: {name}")
             return self.default
         try:
-            if self.kind is bool and not isinstance(value, bool):
+            if self.kind is bool:
                 word = str(value).strip().lower()
                 if word not in _TRUE | _FALSE:
                     raise ValueError
@@ -78,8 +81,8 @@ def _count(default: int, high: int) -> Arg:
 
 
 ARGUMENTS: dict[str, dict[str, Arg]] = {
-    "index_folder": {"path": _text(), "extra_ignore_patterns": Arg(list, [])},
-    "index_repo": {"url": _text(), "extra_ignore_patterns": Arg(list, [])},
+    "index_folder": {"path": _text(), "extra_ignore_patterns": Arg(list, []), "incremental": Arg(bool, True), "follow_symlinks": Arg(bool, False), "changed_paths": Arg(list, [])},
+    "index_repo": {"url": _text(), "extra_ignore_patterns": Arg(list, []), "incremental": Arg(bool, True)},
     "index_file": {"path": _text()},
     "list_repos": {},
     "resolve_repo": {"path": _text()},
@@ -93,7 +96,7 @@ ARGUMENTS: dict[str, dict[str, Arg]] = {
     "get_repo_outline": {},
     "find_importers": {"file_path": _text(False), "file_paths": Arg(list, []), "max_results": _count(50, 200)},
     "find_references": {"identifier": _text(False), "identifiers": Arg(list, []), "max_results": _count(50, 200)},
-    "check_references": {"identifier": _text(False), "identifiers": Arg(list, [])},
+    "check_references": {"identifier": _text(False), "identifiers": Arg(list, []), "search_content": Arg(bool, True), "max_content_results": _count(20, 100)},
     "search_columns": {"query": _text(), "model_pattern": _text(False), "max_results": _count(20, 500)},
     "get_context_bundle": {"symbol_id": _text(False), "symbol_ids": Arg(list, []), "include_callers": Arg(bool, False), "output_format": Arg(str, "json", choices=("json", "markdown"))},
     "get_session_stats": {"now": _text(False)},
@@ -136,6 +139,7 @@ class Corpus:
     embed: Any = None
     chunk_vectors: DataFrame | None = None
     name: str = "local/corpus"
+    root: str = ""
     head: str = ""
     indexed_at: dt.datetime | None = None
     stream: Any = None
@@ -171,6 +175,7 @@ class Corpus:
         except (RequestError, ValueError) as e:
             return {"error": str(e)}
         except Exception:  # as the interface promises: no exception leaves it
+            logging.getLogger(__name__).exception("%s failed", tool)
             return {"error": f"Internal error processing {tool}"}
         meta = {"timing_ms": round((time.monotonic() - began) * 1000, 2), "repo": self.name}
         if self.meta_fields is not None:
@@ -179,30 +184,65 @@ class Corpus:
 
     # ---- ingest
 
-    def index_folder(self, path: str, extra_ignore_patterns: list[str]) -> dict:
-        """Read a folder, keep what discovery takes, and tell what changed against the present files."""
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        root = F.lit(path.rstrip("/") + "/")
-        at = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-        found = raw.select(F.replace(at, root, F.lit("")).alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
-        seen = catalog.discover(found, extra_ignore=extra_ignore_patterns, cap=2000).persist()
-        new = seen.where("skip_reason is null").drop("skip_reason")
-        hashed = lambda df: df.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-        diff = {r.change: r["count"] for r in catalog.file_diff(hashed(self.files), hashed(new)).groupBy("change").count().collect()}
-        skipped = {r.skip_reason: r.n for r in catalog.skip_counts(seen).collect()}
-        self.files, self._imports, self.indexed_at, self.name = new, None, dt.datetime.now(dt.UTC), repo_id(path)
-        return {"success": True, "repo": self.name, "file_count": new.count(), **{k: diff.get(k, 0) for k in ("new", "changed", "deleted")}, "skipped": skipped}
+    def index_folder(self, path: str, extra_ignore_patterns: list[str], incremental: bool, follow_symlinks: bool, changed_paths: list[str]) -> dict:
+        """Read a folder, keep what discovery takes, and tell what changed against the present files. incremental: with changed_paths only these are
+        read, and nothing is replaced where nothing changed."""
+        return self._ingest(path.rstrip("/") or "/", extra_ignore_patterns, incremental, follow_symlinks, changed_paths, ingest.FOLDER_FILES)
 
-    def index_repo(self, url: str, extra_ignore_patterns: list[str]) -> dict:
+    def index_repo(self, url: str, extra_ignore_patterns: list[str], incremental: bool) -> dict:
         if "://" in url and not url.startswith(("file://", "hdfs://", "s3a://", "viewfs://")):
             raise RequestError("only stores that Spark reads can be indexed")
-        return self.index_folder(url.removeprefix("file://"), extra_ignore_patterns)
+        return self._ingest(url.removeprefix("file://").rstrip("/"), extra_ignore_patterns, incremental, False, [], ingest.REPO_FILES)
+
+    def _links(self, root: str, follow: bool) -> DataFrame | None:
+        """Links below a local folder with their reasons; None if there is none. A store that only Spark reads has no links."""
+        if not os.path.isdir(root):
+            return None
+        top = os.path.realpath(root)
+        found = [(os.path.relpath(p, root), os.path.realpath(p)) for d, folders, names in os.walk(root) for n in (*folders, *names) if os.path.islink(p := os.path.join(d, n))]
+        return ingest.link_reason(self.spark.createDataFrame(found, "path string, link_target string"), top, follow) if found else None
+
+    def _ingest(self, root: str, extra_ignore: list[str], incremental: bool, follow: bool, changed: list[str], cap: int) -> dict:
+        old = self.files.select("path", ingest.content_hash(F.col("content")).alias("content_hash"))
+        known = incremental and self.root == root
+        part = [p.strip().removeprefix(root + "/") for p in changed if p.strip()] if known else []
+        if any(p.startswith("/") or ".." in p.split("/") for p in part):
+            raise RequestError("a changed path is outside the folder")
+        try:
+            raw = ingest.read_folder(self.spark, root, part or None, cap).persist()
+        except AnalysisException:
+            raise RequestError(f"Folder not found: {root}") from None
+        seen = catalog.discover(raw, extra_ignore=extra_ignore, cap=cap)
+        why = F.when(F.col("skip_reason").isNull() & F.col("_scoped"), "gitignore").otherwise(F.col("skip_reason"))
+        scoped = catalog.scoped_ignored(raw, catalog.ignore_rules(raw)).withColumn("_scoped", F.lit(True))
+        seen = seen.join(scoped, "path", "left").withColumn("skip_reason", why).drop("_scoped")
+        if (links := self._links(root, follow)) is not None:
+            own = links.where("skip_reason is not null").select(F.col("path").alias("_link"), F.col("skip_reason").alias("_why"))
+            below = (F.col("path") == F.col("_link")) | F.startswith(F.col("path"), F.concat("_link", F.lit("/")))
+            seen = seen.join(F.broadcast(own), below, "left")  # the links of one local folder
+            seen = seen.withColumn("skip_reason", F.coalesce("_why", "skip_reason")).drop("_link", "_why")
+        seen = seen.persist()
+        new = seen.where("skip_reason is null").drop("skip_reason")
+        named = self.spark.createDataFrame([(p,) for p in part], "path string") if part else None
+        diff = ingest.counts(old, ingest.incremental(old, new.select("path", "content"), named))
+        skipped = {r.skip_reason: r.n for r in catalog.skip_counts(seen).collect()}
+        if known and not any(diff[k] for k in ("new", "changed", "deleted")):
+            return {"success": True, "repo": self.name, "message": "No changes detected", "file_count": self.files.count(), "new": 0, "changed": 0, "deleted": 0, "skipped": skipped}
+        if part:
+            new = self.files.join(named, "path", "left_anti").unionByName(new.select(*self.files.columns))
+        self.files, self._imports, self.indexed_at, self.name, self.root = new, None, dt.datetime.now(dt.UTC), repo_id(root), root
+        return {"success": True, "repo": self.name, "file_count": new.count(), **{k: diff[k] for k in ("new", "changed", "deleted")}, "skipped": skipped}
 
     def index_file(self, path: str) -> dict:
-        raw = self.spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
+        """One file of an indexed folder, by its path there or its full path."""
+        full = path if path.startswith("/") or "://" in path or not self.root else f"{self.root}/{path}"
+        own = full.removeprefix(f"{self.root}/") if self.root else path
+        if self.root and not full.startswith(f"{self.root}/"):
+            raise RequestError(f"File is not in an indexed folder: {path}")
+        raw = self.spark.read.format("binaryFile").load(full).select(F.lit(own).alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
         self.files = self.files.join(raw.select("path"), "path", "left_anti").unionByName(raw.select(*self.files.columns))
         self._imports = None
-        return {"success": True, "repo": self.name, "file": path}
+        return {"success": True, "repo": self.name, "file": own}
 
     def list_repos(self) -> dict:
         own = [c for c in (self, self.other) if c is not None]
@@ -318,7 +358,10 @@ class Corpus:
     def search_columns(self, query, model_pattern, max_results) -> dict:
         if self.columns is None:
             raise RequestError("the corpus has no column metadata")
-        rows = _list(chunks.search_columns(self.columns, query, model_pattern, max_results))
+        found = chunks.search_columns(self.columns, query, model_pattern, max_results)
+        if self.symbols is not None:
+            found = chunks.model_files(found, self.symbols).orderBy(F.desc("score"), "model", "column", "source")
+        rows = _list(found)
         many = self.columns.select("source").distinct().count() > 1
         for r in rows:
             if not many:
@@ -346,11 +389,22 @@ class Corpus:
         per = [{"identifier": i, "references": [{k: r[k] for k in ("file", "matches" if identifier else "match_type")} for r in rows if r["identifier"] == i]} for i in asked]
         return per[0] if identifier else {"results": per}
 
-    def check_references(self, identifier, identifiers) -> dict:
+    def check_references(self, identifier, identifiers, search_content, max_content_results) -> dict:
         asked = _ids(identifier, identifiers, "identifier")
         syms = self.symbols if self.symbols is not None else self.spark.createDataFrame([], "file string, name string")
-        found = {r["identifier"]: r for r in _list(graph.check_references(self.imports, self.files, syms, asked))}
-        return found[asked[0]] if identifier else {"results": [found[i] for i in asked]}
+        imported: dict[str, dict[str, list]] = {i: {} for i in asked}
+        for r in graph.references(self.imports, asked).orderBy("identifier", "file", "specifier").collect():
+            imported[r.identifier].setdefault(r.file, []).append({"specifier": r.specifier, "match_type": r.match_type})
+        held: dict[str, dict[str, list]] = {i: {} for i in asked}
+        if search_content:
+            for r in graph.content_references(self.files, syms, asked, max_content_results).orderBy("identifier", "file", "line").collect():
+                held[r.identifier].setdefault(r.file, []).append({"line": r.line, "text": r.text})
+        rows = lambda by: [{"file": f, "matches": m} for f, m in sorted(by.items())]
+        out = []
+        for i in asked:
+            one = {"identifier": i, "is_referenced": bool(imported[i] or held[i]), "import_count": len(imported[i]), "import_references": rows(imported[i]), "content_count": len(held[i])}
+            out.append(one | ({"content_references": rows(held[i])} if search_content else {}))
+        return out[0] if identifier else {"results": out}
 
     def _edges(self) -> DataFrame:
         return self.imports.where("resolved is not null").select(F.col("source_file").alias("source"), F.col("resolved").alias("target"))
@@ -416,3 +470,93 @@ class Corpus:
     def check_freshness(self, current_head: str) -> dict:
         fresh = None if not (current_head and self.head) else current_head == self.head
         return {"fresh": fresh, "indexed_head": self.head or None, "current_head": current_head or None}
+
+
+@dataclass
+class Workspace:
+    """Several corpora by name. Every query takes `repo`: a full name, or a bare one that only one corpus has; with one corpus it may be left out.
+
+    store (a sources.store.RepoStore) keeps what is indexed; what is deleted goes there, too. With embed, chunks of what is indexed get vectors."""
+
+    spark: SparkSession
+    corpora: dict[str, Corpus] = field(default_factory=dict)
+    store: Any = None
+    embed: Any = None  # from a column of texts to one of vectors
+
+    def _query_vector(self, text: str) -> list[float]:
+        return list(self.spark.range(1).select(self.embed(F.lit(text))).first()[0])
+
+    def _find(self, repo: str) -> Corpus:
+        if not repo and len(self.corpora) == 1:
+            return next(iter(self.corpora.values()))
+        if repo in self.corpora:
+            return self.corpora[repo]
+        near = [n for n in sorted(self.corpora) if n.rsplit("/", 1)[-1] == repo or n.rsplit("/", 1)[-1].rsplit("-", 1)[0] == repo]
+        if len(near) > 1:
+            raise RequestError(f"Ambiguous repository name: {repo}")
+        if not near:
+            raise RequestError(f"Repository not found: {repo}")
+        return self.corpora[near[0]]
+
+    def _of_path(self, path: str) -> Corpus | None:
+        """The corpus with the longest root that contains a path."""
+        own = [c for c in self.corpora.values() if c.root and (path == c.root or path.startswith(c.root + "/"))]
+        return max(own, key=lambda c: len(c.root), default=None)
+
+    def call(self, tool: str, arguments: dict[str, Any] | None = None) -> dict[str, Any]:
+        given = dict(arguments or {})
+        repo = str(given.pop("repo", "") or "").strip()
+        try:
+            if tool in ("index_folder", "index_repo"):
+                return self._index(tool, given)
+            if tool == "index_file":
+                own = self._of_path(str(given.get("path", ""))) or (self._find(repo) if repo else None)
+                if own is None:
+                    raise RequestError(f"File is not in an indexed folder: {given.get('path')}")
+                return self._kept(own, own.call(tool, given))
+            if tool == "list_repos":
+                return {"repos": [{"repo": n, "file_count": c.files.count(), "indexed_at": c.indexed_at and c.indexed_at.isoformat()} for n, c in sorted(self.corpora.items())]}
+            if tool == "resolve_repo":
+                path = str(given.get("path", "")).rstrip("/")
+                own = self._of_path(path)
+                return {"repo": own.name if own else repo_id(path), "indexed": own is not None}
+            if tool == "get_symbol_diff":
+                a, b = (self._find(str(given.pop(k, "") or "")) for k in ("repo_a", "repo_b"))
+                return replace(a, other=b).call(tool, given)
+            if tool == "invalidate_cache":
+                own = self._find(repo)
+                own.call(tool)
+                del self.corpora[own.name]
+                if self.store is not None:
+                    self.store.delete(own.name)
+                return {"success": True, "repo": own.name}
+            return self._find(repo).call(tool, given)
+        except RequestError as e:
+            return {"error": str(e)}
+
+    def _index(self, tool: str, given: dict[str, Any]) -> dict[str, Any]:
+        root = str(given.get("path" if tool == "index_folder" else "url", "")).removeprefix("file://").rstrip("/")
+        none = self.spark.createDataFrame([], "path string, size_bytes long, content string")
+        own = self.corpora.get(repo_id(root)) or Corpus(none, embed=self.embed and self._query_vector)
+        before = own.files
+        out = own.call(tool, given)
+        if out.get("success"):
+            self.corpora[own.name] = own
+            if self.embed is not None and own.files is not before:
+                self._vectors(own, before)
+        return self._kept(own, out)
+
+    def _vectors(self, own: Corpus, before: DataFrame) -> None:
+        """Bring the chunk vectors up to date: only chunks of files that differ are embedded."""
+        hashed = lambda df: df.select("path", ingest.content_hash(F.col("content")).alias("content_hash"))
+        touched = catalog.file_diff(hashed(before), hashed(own.files)).select("path")
+        cut = chunks.chunk(own.files.join(touched, "path", "left_semi"), own.name)
+        if own.chunk_vectors is None:
+            own.chunk_vectors = vectors.embed_chunks(cut, "main", self.embed)
+        else:
+            own.chunk_vectors = vectors.sync_chunks(own.chunk_vectors, cut, touched, "main", self.embed)
+
+    def _kept(self, own: Corpus, out: dict[str, Any]) -> dict[str, Any]:
+        if self.store is not None and out.get("success") and out.get("message") is None:
+            self.store.save(own.name, own.files, own.head)
+        return out

@@ -31,15 +31,15 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: list[float], *ke
     whole = W.partitionBy(*own)
     sums = placed.groupBy(*own, "r").agg(F.sum("n").alias("size"))  # `ranges` rows a group at most
     sums = sums.withColumns({"skip": F.coalesce(F.sum("size").over(before), F.lit(0)), "total": F.sum("size").over(whole)})
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for k, p in enumerate(probabilities)])
+    wanted = F.array(*[F.struct(F.lit(k).alias("_n"), (F.lit(float(p)) * (F.col("total") - 1)).alias("_at")) for k, p in enumerate(probabilities)])
     asked = sums.select(*own, "r", "size", "skip", F.explode(wanted).alias("w")).select(*own, "r", "size", "skip", "w.*")
-    asked = asked.select(*own, "r", "size", "skip", "k", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    asked = asked.select(*own, "r", "size", "skip", "_n", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("rank"))
     asked = asked.where((F.col("rank") >= F.col("skip")) & (F.col("rank") < F.col("skip") + F.col("size")))
-    asked = asked.select(*[F.col(k).alias(f"_{k}") for k in own], F.col("r").alias("_r"), "skip", "k", "at", "rank")
+    asked = asked.select(*[F.col(k).alias(f"_{k}") for k in own], F.col("r").alias("_r"), "skip", "_n", "_at", "rank")
     near = placed.join(asked.select(*[f"_{k}" for k in own], "_r").distinct(), _same([*own, "r"]), "left_semi")
     upto = F.sum("n").over(W.partitionBy(*own, "r").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
     ranked = near.withColumn("upto", upto)
     met = ranked.join(asked, _same([*own, "r"])).where((F.col("rank") < F.col("skip") + F.col("upto")) & (F.col("rank") >= F.col("skip") + F.col("upto") - F.col("n")))
     low, high = F.min("v"), F.max("v")
-    by = met.groupBy(*own, "k").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("q"))
-    return by.groupBy(*own).agg(*[F.max(F.when(F.col("k") == k, F.col("q"))).alias(f"q{k}") for k in range(len(probabilities))])
+    by = met.groupBy(*own, "_n").agg((low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("q"))
+    return by.groupBy(*own).agg(*[F.max(F.when(F.col("_n") == k, F.col("q"))).alias(f"q{k}") for k in range(len(probabilities))])

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import SKIPPED_DIRECTORIES
+
+SKIPPED = set(SKIPPED_DIRECTORIES)
+
 #: Files of one corpus at most, for a folder and for a repository.
 FOLDER_FILES, REPO_FILES = 2000, 10_000
 
@@ -13,16 +18,51 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def read_folder(spark: SparkSession, root: str, changed_paths: list[str] | None = None) -> DataFrame:
+#: Bytes of a file at most that the driver reads itself.
+_HIDDEN_BYTES = 500 * 1024
+
+
+def _hidden(spark: SparkSession, root: str, most: int) -> list[tuple[str, int, str]]:
+    """Files whose names begin with a dot or an underscore, which Spark's readers leave out: ignore files, package files and the like, at most
+    `most`, none above _HIDDEN_BYTES. They are few and small, so the driver reads them."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    out, found = [], fs.listFiles(top, True)
+    while found.hasNext() and len(out) < most:
+        at = found.next()
+        path = at.getPath().toUri().getPath().removeprefix(base)
+        hidden = any(p[0] in "._" for p in path.split("/") if p)
+        if hidden and not SKIPPED & set(path.split("/")[:-1]) and at.getLen() <= _HIDDEN_BYTES:
+            stream = fs.open(at.getPath())
+            try:
+                out.append((path, int(at.getLen()), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return out
+
+
+def read_folder(spark: SparkSession, root: str, changed_paths: list[str] | None = None, most: int = REPO_FILES) -> DataFrame:
     """path (below the root), size_bytes, content, of all files or of the given ones that exist. Spark lists and reads them; bytes that are not
     UTF-8 become replacement characters."""
     clean = root.rstrip("/")
     at = f"{clean}/{{{','.join(p.replace(',', '?') for p in changed_paths)}}}" if changed_paths else clean
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    schema = "path string, size_bytes long, content string"
+    hidden = [h for h in _hidden(spark, clean, most) if changed_paths is None or h[0] in changed_paths or h[0].endswith(".gitignore")]
+    more = spark.createDataFrame(hidden, schema)
+    try:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    except AnalysisException:
+        if not changed_paths:
+            raise
+        return more  # the named files are gone
     bare = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
     plain = clean.split(":", 1)[-1] if "://" in clean else clean
     below = F.substring(bare, F.length(F.lit("/" + plain.strip("/") + "/")) + 1, F.length(bare))
-    return raw.select(below.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
+    return raw.select(below.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content")).unionByName(more)
 
 
 def link_reason(listing: DataFrame, root: str, follow: bool = False) -> DataFrame:

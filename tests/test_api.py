@@ -102,3 +102,51 @@ def test_references_of_each_identifier(spark):
     files = spark.createDataFrame([(p, c, len(c)) for p, c in rows], "path string, content string, size_bytes long")
     found = api.Corpus(files, None).call("find_references", {"identifiers": ["aaa", "bbb"], "max_results": 1})
     assert [[x["file"] for x in r["references"]] for r in found["results"]] == [["f0.ts"], ["g.ts"]]
+
+
+def test_workspace(spark, tmp_path):
+    """Several repositories, by name and by path; incremental indexing with changed paths, links, ignore files in folders, and deletion."""
+    from corpusloom.operators.vectors import hashed_embedding
+    from corpusloom.sources.store import RepoStore
+
+    one, two = tmp_path / "one", tmp_path / "two/inner"
+    (one / "pkg").mkdir(parents=True)
+    two.mkdir(parents=True)
+    (one / "pkg/a.py").write_text("import b\n")
+    (one / "pkg/skipped.py").write_text("x\n")
+    (one / "pkg/.gitignore").write_text("skip*.py\n")
+    (one / "__init__.py").write_text("helper = 0\n")
+    (one / "b.py").write_text("helper = 1\n")
+    (two / "c.py").write_text("other = 1\n")
+    (one / "link.py").symlink_to(tmp_path / "outside.py")
+    (tmp_path / "outside.py").write_text("secretive = 1\n")
+    store = RepoStore(spark, str(tmp_path / "store"))
+    w = api.Workspace(spark, store=store, embed=lambda text: hashed_embedding(text, 16))
+    first = w.call("index_folder", {"path": str(one)})
+    assert (first["new"], first["skipped"]["gitignore"], first["skipped"]["symlink"]) == (3, 1, 1)
+    assert w.call("index_folder", {"path": str(one)})["message"] == "No changes detected"
+    second = w.call("index_folder", {"path": str(two)})
+    assert second["new"] == 1 and [r["file_count"] for r in w.call("list_repos")["repos"]] == [1, 3]
+    vectors_before = {r.id for r in w.corpora[first["repo"]].chunk_vectors.collect()}
+    (one / "b.py").write_text("helper = 2\n")
+    (one / "pkg/a.py").write_text("import c\n")
+    part = w.call("index_folder", {"path": str(one), "changed_paths": ["b.py", "gone.py"]})
+    assert (part["new"], part["changed"], part["deleted"], part["file_count"]) == (0, 1, 0, 3)
+    after = {r.id for r in w.corpora[first["repo"]].chunk_vectors.collect()}
+    assert len(after) == 3 and len(after & vectors_before) == 2
+    assert w.call("index_folder", {"path": str(one), "changed_paths": ["../x"]}) == {"error": "a changed path is outside the folder"}
+    assert w.call("resolve_repo", {"path": str(two / "c.py")}) == {"repo": second["repo"], "indexed": True}
+    assert w.call("index_file", {"path": str(two / "c.py")})["repo"] == second["repo"]
+    assert "error" in w.call("index_file", {"path": "/nowhere/x.py"}) and "error" in w.call("get_file_tree", {"repo": "nothing"}) and "error" in w.call("get_file_tree", {})
+    assert w.call("search_text", {"repo": "one", "query": "helper", "retrieval_mode": "semantic"})["result_count"] > 0
+    assert {r.repo for r in store.list().collect()} == {first["repo"], second["repo"]}
+    assert w.call("invalidate_cache", {"repo": second["repo"]})["success"]
+    assert [r.repo for r in store.list().collect()] == [first["repo"]] and list(w.corpora) == [first["repo"]]
+    copy = api.Workspace(spark, dict.fromkeys(["x/lib", "y/lib"], w.corpora[first["repo"]]))
+    assert copy.call("get_file_tree", {"repo": "lib"}) == {"error": "Ambiguous repository name: lib"}
+
+
+def test_content_references(corpus):
+    got = corpus.call("check_references", {"identifier": "helper"})
+    assert got["content_count"] == len(got["content_references"]) and got["import_count"] == len(got["import_references"]) and got["is_referenced"]
+    assert "content_references" not in corpus.call("check_references", {"identifier": "helper", "search_content": False})

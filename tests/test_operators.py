@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +261,55 @@ def test_apply_changes(spark):
     s = lambda rows: spark.createDataFrame(rows, "path string, size long, mtime long")
     got = changes.snapshot_changes(s([("a", 1, 1), ("b", 1, 1), (".h", 1, 1)]), s([("b", 1, 2), ("c", 1, 1), (".h", 2, 2)])).collect()
     assert {(r.path, r.change_type) for r in got} == {("a", "deleted"), ("b", "modified"), ("c", "added")}
+
+
+def test_exact_quantiles(spark):
+    from corpusloom.operators.quantiles import exact_quantiles
+
+    rng = random.Random(4)
+    rows = [(k, None if rng.random() < 0.05 else float(rng.choice([rng.randint(0, 9), rng.random() * 1e6]))) for k in ("a", "b", None) for _ in range({"a": 3000, "b": 7, None: 40}[k])] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for ranges in (3, 200):
+        got = {r.k: r[1:] for r in exact_quantiles(df, "v", [0.0, 0.5, 0.95, 1.0], "k", ranges=ranges).collect()}
+        want = {r.k: tuple(r.q) for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.5, 0.95, 1.0)))).alias("q")).where("q is not null").collect()}
+        assert set(got) == {"a", "b", None} and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert exact_quantiles(df, "v", [0.5]).count() == 1
+
+
+def test_coalesce_is_a_fold(spark):
+    rng = random.Random(6)
+    rows = [(1, f"p{rng.randint(0, 5)}", rng.choice(["added", "modified", "deleted", "other"]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.choice([0, 1, 4000, 9999]), microseconds=rng.randint(0, 3)), k) for k in range(400)]
+    net = {}
+    for _, path, now, _, _ in sorted((r for r in rows if r[2] != "other"), key=lambda r: (r[1], r[3], r[4])):
+        before = net.get(path, "none")
+        net[path] = {("added", "deleted"): "none", ("added", "modified"): "added", ("deleted", "added"): "modified", ("deleted", "modified"): "deleted"}.get((before, now), now)
+    got = changes.coalesce(spark.createDataFrame(rows, "folder int, path string, change_type string, event_time timestamp, seq long"), "folder")
+    assert {r.path: r.change_type for r in got.collect()} == {p: s for p, s in net.items() if s != "none"}
+
+
+def test_hierarchy_of_many_levels(spark):
+    bases = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(45)] + [("c45", "c0")], "name string, base string")
+    assert {r.name: r.level for r in symbols.closure(bases, "c0").collect()} == {f"c{k}": k for k in range(1, 46)}
+
+
+def test_scoped_ignores(spark):
+    rows = [(".gitignore", "build/\n# x\n!keep.py\n"), ("a/.gitignore", "*.log\r\nsub/x?.py\nlit.dir\n\n"), ("a/b/.gitignore", "[ab].py\n"), *[(p, "") for p in ("build/x.py", "a/build/x.py", "t.log", "a/t.log", "a/b/t.log", "a/sub/x1.py", "a/sub/x12.py", "a/lit.dir/y.py", "lit.dir", "a/b/a.py", "a/a.py", "keep.py")]]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = {r.path for r in catalog.scoped_ignored(files, catalog.ignore_rules(files)).collect()}
+    assert got == {"build/x.py", "a/t.log", "a/b/t.log", "a/sub/x1.py", "a/lit.dir/y.py", "a/b/a.py"}
+
+
+def test_tree_digest_tells_trees_apart(spark):
+    files = spark.createDataFrame([(f"d{k % 2}/f{k}", str(k)) for k in range(50)], "path string, content string")
+    digest = lambda df: {r.directory: (r.tree_sha256, r.file_count) for r in catalog.tree_digest(df).collect()}
+    a, b = digest(files.repartition(5)), digest(files.withColumn("content", F.when(F.col("path") == "d1/f7", "x").otherwise(F.col("content"))))
+    assert a == digest(files) and a["d0"] == b["d0"] and a["d1"] != b["d1"] and a["d1"][1] == 25
+
+
+def test_vector_faults_are_errors(spark):
+    v = spark.createDataFrame([("m", "a", [1.0, 0.0]), ("m", "b", [0.0, 0.0])], "namespace string, id string, embedding array<double>")
+    q = spark.createDataFrame([("q", "m", [1.0, 0.0, 0.0])], "query_id string, namespace string, embedding array<double>")
+    with pytest.raises(Exception, match="zero norm"):
+        vectors.top_k(v, q.withColumn("embedding", F.slice("embedding", 1, 2)), 1).collect()
+    with pytest.raises(Exception, match="unequal sizes"):
+        vectors.top_k(v.where("id = 'a'"), q, 1).collect()

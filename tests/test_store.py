@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.sources import store
 
@@ -44,3 +45,33 @@ def test_reports(spark):
     with pytest.raises(ValueError):
         store.report(spark.range(3), "T", 2)
     assert store.payload_tokens({"b": "<", "a": 1}) == 5
+
+
+def test_empty_snapshots_and_names(spark, tmp_path):
+    from corpusloom.sources.store import RepoStore
+
+    store = RepoStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("a.py", "x", 1)], "path string, content string, size_bytes long")
+    store.save("a/b__c", rows)
+    store.save("a__b/c", rows.withColumn("path", F.lit("z.py")))
+    assert [r.path for r in store.load("a/b__c").collect()] == ["a.py"] and [r.path for r in store.load("a__b/c").collect()] == ["z.py"]
+    store.save("a/b__c", rows.where("false"))
+    assert store.load("a/b__c").count() == 0 and store.load("a__b/c").count() == 1
+    assert {r.repo: r.file_count for r in store.list().collect()} == {"a/b__c": 0, "a__b/c": 1}
+
+
+def test_border_day_and_snapshots(spark, tmp_path):
+    from corpusloom.sources.store import CallStore, SnapshotStore, read_index_json
+
+    calls = CallStore(spark, str(tmp_path / "c"))
+    kind = "captured_at timestamp, tool_name string, duration_ms double, request_tokens long, response_tokens long, total_tokens long, input_tokens_saved long, output_tokens_saved long"
+    moments = ["2024-01-01 05:00:00", "2024-01-04 01:00:00", "2024-01-04 23:00:00", "2024-01-05 00:00:00"]
+    calls.record(spark.createDataFrame([(m, "t") for m in moments], "at string, tool_name string").selectExpr("cast(at as timestamp) as captured_at", "tool_name", *[f"cast(0 as {k}) as {n}" for n, k in (x.split() for x in kind.split(", ")[2:])]))
+    assert calls.prune("2024-01-09 12:00:00", 5) == 1
+    assert sorted(str(r.captured_at) for r in calls.since("2023-01-01 00:00:00").collect()) == moments[2:]
+    snaps = SnapshotStore(spark, str(tmp_path / "n"))
+    for day, n, run in ((1, 5, ""), (2, 100, "bench"), (3, 8, ""), (4, 2, "")):
+        snaps.capture(spark.createDataFrame([("t", n, n, n)], "tool_name string, call_count long, total_tokens long, tokens_saved long"), f"2024-01-0{day} 00:00:00", run)
+    assert [r.call_count_delta for r in snaps.deltas().orderBy("captured_at").collect()] == [5, 3, 2]
+    (tmp_path / "i.json").write_text('{"repo": "a/b", "symbols": [{"id": "1", "name": "f", "file": "x.py", "line": 3, "keywords": ["k"]}]}')
+    assert [(r.repo, r.id, r.line, r.keywords, r.kind) for r in read_index_json(spark, str(tmp_path / "i.json")).collect()] == [("a/b", "1", 3, ["k"], None)]
