@@ -23,6 +23,8 @@ GRAM = 4
 _BITS, _HASHES, _LOAD = 19, 3, 0.12
 #: Languages of one plane of masks, and n-grams that are brought to the driver at once.
 _PLANE, _AT_ONCE = 64, 2_000_000
+#: N-grams that a task counts before it hands them on.
+_HELD = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 _LETTER = np.zeros(256, bool)
@@ -83,12 +85,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
     """Count the n-grams of every row with a language, and fill the filters.
 
     A language's filter takes the n-grams that have at least `least_share` of its n-grams and at least `against_best` of the share that they have in
-    any language; the filters are as large as the language with the most of them needs. Every language has a filter."""
+    any language; the filters are as large as the language with the most of them needs. Every language has a filter. Rows without a text or a
+    language are left out; repeated rows count each, and n-grams at a threshold are taken."""
     rows = docs.where(named(lang).isNotNull() & named(text).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
 
     def count(batches):
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+        def counted(sums):
+            for name, (codes, n) in sums.items():
+                for k in range(0, len(codes), 50_000):
+                    part = codes[k : k + 50_000].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[k : k + 50_000])], ["lang", "gram", "n"])
+
         def fold(name, codes, counts):
             codes, index = np.unique(codes, return_inverse=True)
             sums[name] = codes, np.bincount(index, counts, len(codes)).astype(np.int64)
@@ -103,10 +112,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
                     new, n = np.unique(codes[(own == name)[of]], return_counts=True)
                     old = sums.get(name, (np.empty(0, np.uint32), np.empty(0, np.int64)))
                     fold(name, np.concatenate([old[0], new]), np.concatenate([old[1], n]))
-        for name, (codes, n) in sums.items():
-            for k in range(0, len(codes), 50_000):
-                part = codes[k : k + 50_000].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(n[k : k + 50_000])], ["lang", "gram", "n"])
+                if sum(len(codes) for codes, _ in sums.values()) > _HELD:
+                    yield from counted(sums)
+                    sums.clear()
+        yield from counted(sums)
 
     by_gram = rows.mapInArrow(released(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     by_gram = by_gram.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("langs"))  # as many as there are languages
