@@ -5,8 +5,8 @@ share a shift table over blocks of two words: a block that stands in no pattern
 length, so most positions are never looked at. Where the shift is zero, the bucket of patterns that end in this block is
 taken, and each one whose first word agrees is compared directly, word for word.
 
-The documents are read once and never shuffled. Patterns are sent to the tasks only while the benchmark is at most
-`max_pattern_bytes`; a larger one is searched in blocks of whole items, each within that bound.
+The documents are read once and never shuffled. Patterns are sent to the tasks only while the benchmark has at most
+`most_windows`; a larger one is searched in blocks of whole items, each of about so many.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def _scan(docs: DataFrame, text: str, groups: list[Patterns], more: bool) -> Dat
     return out.withColumns({"hit_spans": merged, "hit_items": F.array_sort(F.array_union("hit_items", "_had_items"))}).drop("_had_spans", "_had_items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_pattern_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_windows: int = 100_000) -> DataFrame:
     """docs with n_words, hit_spans (ranges of words inside occurrences of benchmark windows), hit_items (ids as
     strings, sorted), n_hit and contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
@@ -177,8 +177,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     n_items counts and items_sha256 leaves out; an empty benchmark leaves all clean. Repeated rows of docs each get a result.
     """
     items = benchmark.select(named(item_id).cast("string").alias("item"), named(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // max_pattern_bytes))
+    words = F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(F.greatest(words - (window - 1), F.lit(1)))).first()[0] or 0
+    parts = max(1, -(-total // most_windows))
     scratch = Scratch(docs.sparkSession, "decontaminate")
     out = docs
     for k in range(parts):
