@@ -33,11 +33,11 @@ _BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.executi
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set the batch limits of this session where they have Spark's defaults."""
+    """Set the batch limits of this session, which a plan reads when it runs; limits that the caller has set stay."""
+    given = spark.conf.getAll
     for key, value in _BATCH.items():
-        with contextlib.suppress(Exception):  # a version that lacks one of them
-            if spark.conf.get(key) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key):
-                spark.conf.set(key, value)
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def released(run: Callable) -> Callable:
@@ -74,7 +74,8 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
     them (one more than rows). A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if not n:
         return

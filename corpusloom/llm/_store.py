@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,15 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from ._columns import small_batches
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset (tests, a laptop), one of our own for the application."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        own = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, own, True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not at and app not in _own:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own[app] = f"file://{folder}"
+    return (at or _own[app]).rstrip("/")
+
+
+_made: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def cleared():
+    """Delete at the end what operators called inside have written, once the result is in other files."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.clear()
 
 
 class Scratch:
@@ -31,6 +51,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
+        if _made:
+            _made[-1].append(self)
         small_batches(spark)
 
     def clear(self) -> None:

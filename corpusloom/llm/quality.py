@@ -27,7 +27,8 @@ _PAIRS = list(combinations_with_replacement(range(len(_X)), 2))
 
 
 def statistics(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """The columns `keep`, as _keep0, ..., and the classifier's statistics."""
+    """The columns `keep`, as _keep0, ..., and the classifier's statistics. A null text counts as empty; every row has a row, repeated ones equal
+    ones; no other column is read."""
     return textstats.word_statistics(docs, keep, text).select(*[f"_keep{k}" for k in range(len(keep))], *[v.alias(k) for k, v in textstats.steady().items()])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import langid, licenses, oracles, outliers, packing, quality, simhash, suffix, toxicity, warc
+from ._columns import named
 from ._store import Scratch
 
 
@@ -41,9 +42,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(_table(spark, sf_dir, "pages"))
 
 
-def _remainder(divisor: int):
+def _remainder(divisor: int, doc_id: str = "doc_id"):
     """crc32 of doc_id as text, modulo divisor; a null id has none and is never held out."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+    return F.pmod(F.crc32(named(doc_id).cast("string")), F.lit(divisor))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
-def training(docs: DataFrame) -> DataFrame:
-    return docs.where(F.coalesce(_remainder(4) != 2, F.lit(True)))
+def training(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows whose labels may be learnt."""
+    return docs.where(F.coalesce(_remainder(4, doc_id) != 2, F.lit(True)))
 
 
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
