@@ -3,7 +3,8 @@
 Equal strings of `length` bytes have equal minimizers: the smallest hash of the k-grams inside. So each string belongs to one
 anchor (a place of a k-gram), all equal strings belong to anchors with the same k-gram, and a suffix array over the strings
 of each k-gram sees every repeat. An anchor's segment is the bytes that its strings cover; equal segments are counted
-and sorted once. A k-gram whose anchors all have one segment needs no sorting: all its strings repeat. The others go,
+and sorted once. A k-gram whose anchors all have one segment needs no sorting: all its strings repeat. Several lengths can be asked for at
+once: strings are assigned by the least of them, segments reach as far as the greatest, and common prefixes tell them apart. The others go,
 many k-grams together, into suffix arrays:
 
 * stage 1 sorts directly the suffixes that are smaller than their successors,
@@ -13,6 +14,8 @@ many k-grams together, into suffix arrays:
 A k-gram with more than `most` different segments is split: each segment falls into classes of adjacent strings, keyed
 by the bytes that all strings of the class share, so that only strings that can be equal stay together; classes that
 are still crowded are split into single strings, for which counting is enough. Nothing is cut off or left out.
+
+Texts and segments are told apart by 128 bits of hash; within suffix arrays, bytes are compared. Equal texts are one text with a count.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,21 @@ _POSITION_BITS = 22
 # ---- suffix arrays -------------------------------------------------------------------------------------------------
 
 
+def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their first `depth` bytes. Equal beginnings are found by hash, confirmed, and compared once."""
+    data = text.tobytes()
+    size = np.minimum(depth, len(text) - at)
+    hashes = range_hashes(prefix_sums(text), at, at + size)
+    _, one, group = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = at[one][group]
+    if any(data[i : i + n] != data[j : j + n] for i, j, n in zip(at.tolist(), lead.tolist(), size.tolist()) if i != j):
+        one, group = np.arange(len(at)), np.arange(len(at))  # two beginnings with one hash
+    order = sorted(range(len(one)), key=lambda k, p=at[one].tolist(): data[p[k] : p[k] + depth])
+    rank = np.empty(len(one), np.int64)
+    rank[order] = np.arange(len(one))
+    return at[np.argsort(rank[group], kind="stable")]
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of a uint8 text that ends with its smallest byte 0, in the order of their suffixes' first `depth` bytes at
     least. Zeros are separators: their own order is left open."""
@@ -57,9 +74,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     out = np.empty(n, np.int32)
     out[: sizes[0]] = np.flatnonzero(text == 0)
     # stage 1: the smaller suffixes, compared directly
-    direct = np.flatnonzero(smaller & (text > 0))
-    data = text.tobytes()
-    direct = np.array(sorted(direct.tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    direct = _sorted_directly(text, np.flatnonzero(smaller & (text > 0)), depth)
     own = np.bincount(text[direct], minlength=256)
     place = np.arange(len(direct)) - np.repeat(np.cumsum(own) - own, own)
     out[np.repeat(ends - own, own) + place] = direct
@@ -90,38 +105,42 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
-    """For each segment the starts of strings of `length` that begin anywhere else in the segments, or stand in one that
-    occurs twice. No byte of a segment is 0xFF, as in UTF-8."""
+def repeated_starts(segments: list[bytes], own: list[int], weights: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each of the lengths and each segment: which of its first `own` starts begin a string of that length that also begins at another
+    such start of any segment, or stands in a segment that occurs twice. No byte of a segment is 0xFF, as in UTF-8."""
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
     text = np.frombuffer(b"\xff".join([*segments, b""]), np.uint8) + np.uint8(1)
-    order = suffix_array(text, length)
-    room = np.repeat(ends - 1, sizes + 1) - np.arange(len(text))
-    order = order[room[order] >= length].astype(np.int64)
+    order = suffix_array(text, max(lengths))
+    at = np.arange(len(text))
+    room = np.repeat(ends - 1, sizes + 1) - at
+    mine = at - np.repeat(begins, sizes + 1) < np.repeat(np.array(own), sizes + 1)
+    order = order[mine[order]].astype(np.int64)
     sums = prefix_sums(text)
-    hashes = range_hashes(sums, order, order + length)
-    same = np.flatnonzero(hashes[1:] == hashes[:-1])
-    a, b = np.minimum(order[same], order[same + 1]), np.maximum(order[same], order[same + 1])
-    by = np.lexsort((a, b - a))
-    a, b = a[by], b[by]
-    repeats = np.zeros(len(text), bool)
-    cuts = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1
     data = text.tobytes()
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):
-        if hi > lo:
-            i, j, n = int(a[lo]), int(b[lo]), hi - lo
-            if data[i : i + n - 1 + length] == data[j : j + n - 1 + length]:  # adjacent common prefixes, confirmed
-                repeats[i : i + n] = repeats[j : j + n] = True
-            else:
-                for i, j in zip(a[lo:hi].tolist(), b[lo:hi].tolist()):
-                    if data[i : i + length] == data[j : j + length]:
-                        repeats[i] = repeats[j] = True
-    out = []
-    for at, size, w in zip(begins.tolist(), sizes.tolist(), weights):
-        out.append(np.arange(size - length + 1) if w > 1 else np.flatnonzero(repeats[at : at + size - length + 1]))
-    return out
+    found = []
+    for length in lengths:
+        repeats = np.zeros(len(text), bool)
+        have = order[room[order] >= length]
+        hashes = range_hashes(sums, have, have + length)
+        same = np.flatnonzero(hashes[1:] == hashes[:-1])
+        a, b = np.minimum(have[same], have[same + 1]), np.maximum(have[same], have[same + 1])
+        by = np.lexsort((a, b - a))
+        a, b = a[by], b[by]
+        cuts = np.flatnonzero((np.diff(a) != 1) | (np.diff(b) != 1)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):
+            if hi > lo:
+                i, j, n = int(a[lo]), int(b[lo]), hi - lo
+                if data[i : i + n - 1 + length] == data[j : j + n - 1 + length]:  # adjacent common prefixes, confirmed
+                    repeats[i : i + n] = repeats[j : j + n] = True
+                else:
+                    for i, j in zip(a[lo:hi].tolist(), b[lo:hi].tolist()):
+                        if data[i : i + length] == data[j : j + length]:
+                            repeats[i] = repeats[j] = True
+        rows = zip(begins.tolist(), sizes.tolist(), own, weights)
+        found.append([np.arange(max(0, min(k, size - length + 1))) if w > 1 else np.flatnonzero(repeats[p : p + k]) for p, size, k, w in rows])
+    return found
 
 
 # ---- anchors -------------------------------------------------------------------------------------------------------
@@ -163,46 +182,65 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs: id, text_hash, text. One row for each anchor: where its strings start, its k-gram and its segment's hash."""
-    schema = T.StructType([*docs.schema.fields[:2], *(T.StructField(n, T.IntegerType()) for n in ("at", "first", "last")), T.StructField("gram", T.LongType()), T.StructField("segment", T.LongType())])
+#: A text's name: 128 bits of hash in two columns. Rows with one text have one name, whatever their ids.
+_NAME = ["h1", "h2"]
+
+
+def _name(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def _fields(names: list[str], kind: T.DataType) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
+
+
+def _anchor_rows(texts: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """texts: h1, h2, n, z. One row for each anchor: where its strings of the least length start, its k-gram, and 128 bits of hash of its
+    segment: the bytes from its first start on up to `reach`, as far as a string of the greatest length at its last start goes."""
+    names = ["at", "first", "last", "reach", "gram", "s1", "s2"]
+    schema = T.StructType([*_fields([*_NAME, "n"], T.LongType()), *_fields(names[:4], T.IntegerType()), *_fields(names[4:], T.LongType())])
+    least, most = min(lengths), max(lengths)
 
     def run(batches):
+        h, press = xxhash.xxh3_128_digest, zstandard.ZstdDecompressor()
         for b in batches:
-            for lo, hi, data, offsets in text_blocks(b.column(2)):
-                text, at, grams, first, last = anchors(data, offsets, length, gram)
-                raw, h = data.tobytes(), xxhash.xxh3_64_intdigest
-                segment = np.array([h(raw[f : e + length], p - f) for p, f, e in zip(at.tolist(), first.tolist(), last.tolist())], np.uint64).view(np.int64)
+            column = pa.array([press.decompress(z.as_py()) for z in b.column(3)], pa.large_binary())
+            for lo, hi, data, offsets in text_blocks(column):
+                text, at, grams, first, last = anchors(data, offsets, least, gram)
+                raw = data.tobytes()
+                ends = np.minimum(last + most, offsets[text + 1])
+                digests = b"".join([h(raw[f:e], p - f) for p, f, e in zip(at.tolist(), first.tolist(), ends.tolist())])
+                segment = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 rows, base = pa.array(text + lo), offsets[text]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array((x - base).astype(np.int32)) for x in (at, first, last)), pa.array(grams), pa.array(segment)], schema.names)
+                places = [pa.array((x - base).astype(np.int32)) for x in (at, first, last, ends)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), *places, pa.array(grams), *(pa.array(np.ascontiguousarray(segment[:, k])) for k in (0, 1))], schema.names)
 
-    return docs.mapInArrow(released(run), schema)
+    return texts.mapInArrow(released(run), schema)
 
 
 # ---- segments and classes ------------------------------------------------------------------------------------------
 
+_SEGMENT = "gram long, s1 long, s2 long"
+_KEY = ["gram", "s1", "s2"]
+
 
 def _squeezed(docs: DataFrame) -> DataFrame:
-    """docs (id, text_hash, text) with the text compressed, for shuffles."""
+    """docs (h1, h2, text) with the text compressed, for shuffles."""
     schema = T.StructType([*docs.schema.fields[:2], T.StructField("z", T.BinaryType())])
 
     def run(batches):
         press = zstandard.ZstdCompressor(1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress((x or "").encode()) for x in b.column(2).to_pylist()], pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(x.encode()) for x in b.column(2).to_pylist()], pa.binary())], schema.names)
 
     return docs.mapInArrow(released(run), schema)
 
 
-def _same_row_names(doc_id: str):
-    """Rows of documents are told apart by id and text, so that repeated or null ids do no harm."""
-    return named(doc_id).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame, doc_id: str, length: int) -> DataFrame:
-    """The bytes of the wanted segments. wanted: id, text_hash, at, first, last, gram, segment, n."""
-    lists = wanted.groupBy(named(doc_id).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("gram", "segment", "n", F.col("at").cast("long").alias("at"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("want"))
-    met = _squeezed(docs).join(lists, _same_row_names(doc_id)).select("z", "want")
+def _fetch(texts: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
+    """The bytes of the wanted segments. texts: h1, h2, z; wanted: h1, h2, at, first, last, gram, s1, s2, n. own: how many starts a segment has;
+    first: the first of them, from the k-gram."""
+    lists = wanted.groupBy(*_NAME).agg(F.collect_list(F.struct(*_KEY, "n", *[F.col(c).cast("long").alias(c) for c in ("at", "first", "last")])).alias("want"))
+    met = texts.join(lists, _NAME).select("z", "want")
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
@@ -213,13 +251,14 @@ def _fetch(docs: DataFrame, wanted: DataFrame, doc_id: str, length: int) -> Data
             own = []
             for k, z in enumerate(b.column(0)):
                 text = press.decompress(z.as_py())
-                own += [text[f : e + length] for f, e in zip(first[ends[k] : ends[k + 1]].tolist(), last[ends[k] : ends[k + 1]].tolist())]
-            yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("segment"), flat.field("n"), pa.array((first - at).astype(np.int32)), pa.array(own, pa.binary())], ["gram", "segment", "n", "first", "bytes"])
+                own += [text[f : e + longest] for f, e in zip(first[ends[k] : ends[k + 1]].tolist(), last[ends[k] : ends[k + 1]].tolist())]
+            places = [pa.array(x.astype(np.int32)) for x in (first - at, last - first + 1)]
+            yield pa.RecordBatch.from_arrays([*(flat.field(n) for n in (*_KEY, "n")), *places, pa.array(own, pa.binary())], [*_KEY, "n", "first", "own", "bytes"])
 
-    return met.mapInArrow(released(run), "gram long, segment long, n long, first int, bytes binary")
+    return met.mapInArrow(released(run), f"{_SEGMENT}, n long, first int, own int, bytes binary")
 
 
-_FOUND = "gram long, segment long, begin int, end int"
+_FOUND = f"{_SEGMENT}, level int, begin int, end int"
 
 
 def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,16 +269,19 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + 1
 
 
-def _sort_segments(rows: DataFrame, length: int) -> DataFrame:
-    """rows: key, gram, segment, n, first, bytes, sorted by key. Ranges of repeated starts, relative to the anchor."""
+def _sort_segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """rows: key, gram, s1, s2, n, first, own, bytes, sorted by key. Ranges of repeated starts, from the k-gram; level: which of the lengths."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    names = [*_KEY, "level", "begin", "end"]
 
     def work(rows):
-        starts = repeated_starts([r[5] for r in rows], [r[3] for r in rows], length)
+        found = repeated_starts([r[7] for r in rows], [r[6] for r in rows], [r[4] for r in rows], lengths)
         out = []
-        for r, s in zip(rows, starts):
-            for a, e in zip(*_ranges(s)):
-                out.append((r[1], r[2], int(a) + r[4], int(e) + r[4]))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["gram", "segment", "begin", "end"])
+        for level, by_row in enumerate(found):
+            for r, s in zip(rows, by_row):
+                for a, e in zip(*_ranges(s)):
+                    out.append((r[1], r[2], r[3], level, int(a) + r[5], int(e) + r[5]))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 6, kinds)], names)
 
     def run(batches):
         held, size, key = [], 0, None
@@ -250,96 +292,119 @@ def _sort_segments(rows: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
                 key = r[0]
                 held.append(r)
-                size += len(r[5])
+                size += len(r[7])
         if held:
             yield work(held)
 
     return rows.mapInArrow(released(run), _FOUND)
 
 
-def _classes(segments: DataFrame, width: int, length: int) -> DataFrame:
-    """Each segment (gram, segment, n, first, bytes) in classes of `width` adjacent starts: the key of a class is the bytes that
-    all its strings share, with their place; content is the hash of all its bytes."""
+def _classes(segments: DataFrame, width: int, lengths: tuple[int, ...]) -> DataFrame:
+    """Each segment (gram, s1, s2, n, first, own, bytes) in classes of `width` adjacent starts. k1, k2: a hash of the bytes that all strings of a
+    class share, with their place; c1, c2: one of all its bytes."""
+    least, most = min(lengths), max(lengths)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(16), pa.binary(16))
+    names = [*_KEY, "n", "first", "own", "bytes", "k1", "k2", "c1", "c2"]
+
+    def batch(out):
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+        halves = [np.frombuffer(c.buffers()[1], np.int64).reshape(-1, 2)[: len(out)] for c in columns[7:]]
+        return pa.RecordBatch.from_arrays([*columns[:7], *(pa.array(np.ascontiguousarray(h[:, k])) for h in halves for k in (0, 1))], names)
 
     def run(batches):
-        h = xxhash.xxh3_64_intdigest
+        h = xxhash.xxh3_128_digest
         for b in batches:
             out = []
-            for gram, segment, n, first, data in zip(*(c.to_pylist() for c in b.columns)):
-                last = first + len(data) - length
+            for gram, s1, s2, n, first, own, data in zip(*(c.to_pylist() for c in b.columns)):
+                last = first + own - 1
                 for c in range(first // width, last // width + 1):
                     a, z = max(first, c * width), min(last, c * width + width - 1)
-                    low, high = c * width + width - 1 - first, c * width - first + length
-                    key = h(data[low:high], (gram ^ (c & 0xFFFF)) & 0xFFFFFFFFFFFFFFFF)
-                    own = data[a - first : z - first + length]
-                    out.append((gram, segment, n, a, own, key - (1 << 63), h(own, a & 0xFFFF) - (1 << 63)))
+                    low, high = c * width + width - 1 - first, c * width - first + least
+                    key = h(data[max(low, 0) : high], (gram ^ (c & 0xFFFF)) & 0xFFFFFFFFFFFFFFFF)
+                    part = data[a - first : z - first + most]
+                    out.append((gram, s1, s2, n, a, z - a + 1, part, key, h(part, a & 0xFFFF)))
                     if len(out) >= 2000:
                         yield batch(out)
                         out = []
             if out:
                 yield batch(out)
 
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    names = ["gram", "segment", "n", "first", "bytes", "key", "content"]
+    schema = f"{_SEGMENT}, n long, first int, own int, bytes binary, k1 long, k2 long, c1 long, c2 long"
+    return segments.select(*_KEY, "n", "first", "own", "bytes").mapInArrow(released(run), schema)
 
-    def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return segments.select("gram", "segment", "n", "first", "bytes").mapInArrow(released(run), "gram long, segment long, n long, first int, bytes binary, key long, content long")
+def _all_starts(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Of rows all whose starts repeat at every length for which there is room: _FOUND."""
+    own = [F.struct(F.lit(k).alias("level"), F.least(F.col("own"), F.octet_length("bytes") - length + 1).alias("room")) for k, length in enumerate(lengths)]
+    return rows.withColumn("x", F.explode(F.array(*own))).where("x.room > 0").select(*_KEY, F.col("x.level").alias("level"), F.col("first").alias("begin"), (F.col("first") + F.col("x.room")).alias("end"))
 
 
-def _crowded(segments: DataFrame, scratch: Scratch, length: int, most: int, widths: tuple[int, ...]) -> list[DataFrame]:
-    """The repeated starts of segments whose k-gram is crowded."""
+def _crowded(segments: DataFrame, scratch: Scratch, lengths: tuple[int, ...], most: int, widths: tuple[int, ...]) -> list[DataFrame]:
+    """The repeated starts of segments whose k-gram is crowded; the last of the widths is 1."""
     found = []
     for width in widths:
-        rows = scratch.save(_classes(segments, width, length), f"classes{width}")
-        groups = rows.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("total > 1")
-        met = scratch.save(rows.join(scratch.save(groups, f"groups{width}"), "key"), f"met{width}")
-        whole = met.where("c0 = c1").select("gram", "segment", F.col("first").alias("begin"), (F.col("first") + F.octet_length("bytes") - length + 1).alias("end"))
-        few = met.where((F.col("c0") != F.col("c1")) & (F.col("rows") <= most)).select("key", "gram", "segment", "n", "first", "bytes")
-        found += [whole, _sort_segments(few.repartition("key").sortWithinPartitions("key"), length)]
-        segments = met.where((F.col("c0") != F.col("c1")) & (F.col("rows") > most))
+        rows = scratch.save(_classes(segments, width, lengths), f"classes{width}")
+        same = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
+        groups = rows.groupBy("k1", "k2").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), same.alias("same")).where("total > 1")
+        met = scratch.save(rows.join(scratch.save(groups, f"groups{width}"), ["k1", "k2"]), f"met{width}")
+        found.append(_all_starts(met.where("same"), lengths))
+        if width == 1:  # equal strings of the least length; longer ones are counted by all their bytes
+            apart = met.where("not same")
+            found.append(_all_starts(apart, lengths[:1]))
+            for k, length in enumerate(lengths[1:], 1):
+                string = F.substring("bytes", 1, length)
+                long = apart.where(F.octet_length("bytes") >= length).withColumns({"t1": F.xxhash64(string), "t2": F.xxhash64(F.lit(1), string)})
+                twice = scratch.save(long.groupBy("t1", "t2").agg(F.sum("n").alias("copies")).where("copies > 1"), f"strings{k}")
+                found.append(long.join(twice, ["t1", "t2"]).select(*_KEY, F.lit(k).alias("level"), F.col("first").alias("begin"), (F.col("first") + 1).alias("end")))
+            break
+        few = met.where(~F.col("same") & (F.col("rows") <= most)).select(F.col("k1").alias("key"), *_KEY, "n", "first", "own", "bytes")
+        found.append(_sort_segments(few.repartition("key").sortWithinPartitions("key"), lengths))
+        segments = met.where(~F.col("same") & (F.col("rows") > most))
         if not segments.head(1):
             break
     return found
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = 256, scratch: Scratch | None = None) -> DataFrame:
-    """id, text_hash and spans (begin, end in bytes; sorted, apart) of the documents with bytes inside a string of `length`
-    bytes that also starts anywhere else in the corpus."""
+def repeated_spans(docs: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, most: int = 256, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, texts). texts: h1, h2, the number n of rows and the compressed bytes z of each different text that is long enough. spans: h1, h2,
+    and for the k-th of the lengths, which ascend, spans<k> (begin, end in bytes; in any order): the ranges of bytes inside a string of that
+    length that also starts anywhere else in the corpus."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    own = docs.select(named(doc_id), F.hash(named(text)).alias("text_hash"), named(text).alias("text"))
-    doc_id_field = own.schema[0].name
-    rows = scratch.save(_anchor_rows(own.where(F.octet_length("text") >= length), length, gram), "anchors")
-    groups = rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min("segment").alias("s0"), F.max("segment").alias("s1")).where("rows > 1")
+    own = docs.where(F.octet_length(named(text)) >= lengths[0]).select(*_name(named(text)), named(text).alias("text"))
+    texts = scratch.save(_squeezed(own).groupBy(*_NAME).agg(F.count("*").alias("n"), F.first("z").alias("z")), "texts")
+    rows = scratch.save(_anchor_rows(texts, lengths, gram), "anchors")
+    same = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
+    groups = rows.groupBy("gram").agg(F.sum("n").alias("rows"), same.alias("whole")).where("rows > 1").select("gram", "whole")
     # written first, here and below: a join whose sides are both fresh shuffles can split a hot key
-    groups = scratch.save(groups.select("gram", (F.col("s0") == F.col("s1")).alias("whole")), "groups")
-    met = scratch.save(rows.join(groups, "gram"), "met")
+    met = scratch.save(rows.join(scratch.save(groups, "groups"), "gram"), "met")
     mixed = met.where("not whole")
-    one = F.min_by(F.struct(named(doc_id_field), "text_hash", "at", "first", "last"), F.struct(F.xxhash64(named(doc_id_field)), "text_hash", "at"))
-    distinct = scratch.save(mixed.groupBy("gram", "segment").agg(F.count("*").alias("n"), one.alias("one")).select("gram", "segment", "n", "one.*"), "distinct")
-    bytes_ = scratch.save(_fetch(own, distinct, doc_id_field, length), "segments")
-    crowd = bytes_.groupBy("gram").agg(F.count("*").alias("segments"))
-    sized = scratch.save(bytes_.join(scratch.save(crowd, "crowd"), "gram"), "sized")
-    few = sized.where(F.col("segments") <= most).select(F.col("gram").alias("key"), "gram", "segment", "n", "first", "bytes")
-    found = [_sort_segments(few.repartition("key").sortWithinPartitions("key"), length)]
-    many = sized.where(F.col("segments") > most)
-    if many.head(1):
-        found += _crowded(many, scratch, length, most, (96, 24, 6, 1))
+    one = F.min(F.struct(*_NAME, "at", "first", "last"))
+    distinct = scratch.save(mixed.groupBy(*_KEY).agg(F.sum("n").alias("n"), one.alias("one")).select(*_KEY, "n", "one.*"), "distinct")
+    bytes_ = scratch.save(_fetch(texts, distinct, lengths[-1]), "segments")
+    crowd = bytes_.groupBy("gram").agg(F.count("*").alias("segments")).where(F.col("segments") > most)
+    crowd = scratch.save(crowd, "crowd")
+    few = bytes_.join(crowd, "gram", "left_anti").select(F.col("gram").alias("key"), *_KEY, "n", "first", "own", "bytes")
+    found = [_sort_segments(few.repartition("key").sortWithinPartitions("key"), lengths)]
+    if crowd.head(1):
+        found += _crowded(scratch.save(bytes_.join(crowd.select("gram"), "gram"), "many"), scratch, lengths, most, (96, 24, 6, 1))
     starts = found[0]
     for f in found[1:]:
         starts = starts.unionByName(f)
-    starts = scratch.save(starts, "starts").groupBy("gram", "segment").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
-    exact = mixed.join(scratch.save(starts, "ranges"), ["gram", "segment"]).select(named(doc_id_field), "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["begin"]).alias("begin"), (F.col("at") + r["end"] - 1 + length).alias("end"))).alias("spans"))
-    whole = met.where("whole").select(named(doc_id_field), "text_hash", F.array(F.struct(F.col("first").alias("begin"), (F.col("last") + length).alias("end"))).alias("spans"))
-    spans = exact.unionByName(whole).groupBy(named(doc_id_field).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return scratch.save(spans, "spans")
-
-
-_DIGEST = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-
-
-def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    starts = scratch.save(starts, "starts").groupBy(*_KEY, "level").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+    size = F.element_at(F.array(*[F.lit(n) for n in lengths]), F.col("level") + 1)
+    moved = F.transform("ranges", lambda r: F.struct((F.col("at") + r["begin"]).alias("begin"), (F.col("at") + r["end"] - 1 + size).alias("end")))
+    exact = mixed.select(*_NAME, *_KEY, "at").join(scratch.save(starts, "ranges"), _KEY).select(*_NAME, "level", moved.alias("spans"))
+    # a k-gram with one segment: every start repeats, as far as there is room for the length
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(n).alias("size")) for k, n in enumerate(lengths)])
+    whole = met.where("whole").withColumn("x", F.explode(levels)).where("first + x.size <= reach")
+    span = F.struct(F.col("first").alias("begin"), F.least(F.col("last") + F.col("x.size"), F.col("reach")).alias("end"))
+    spans = exact.unionByName(whole.select(*_NAME, F.col("x.level").alias("level"), F.array(span).alias("spans"))).groupBy(*_NAME)
+    return scratch.save(spans.agg(*[F.flatten(F.collect_list(F.when(F.col("level") == k, F.col("spans")))).alias(f"spans{k}") for k in range(len(lengths))]), "spans"), texts
+
+
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Sorted, and apart from each other."""
+    begin, end = (np.array([x[n] for x in spans], np.int64) for n in ("begin", "end"))
     order = np.argsort(begin, kind="stable")
     out: list[list[int]] = []
     for a, e in zip(begin[order].tolist(), end[order].tolist()):
@@ -371,45 +436,53 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def _joined(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    keyed = docs.withColumn("__text_hash", F.hash(named(text)))
-    return keyed.join(spans, named(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__id", "__hash", "__text_hash")
+def _of_words(data: bytes, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """The spans that hold `least` words (what blanks separate) or more."""
+    return [(a, e) for a, e in spans if len(data[a:e].split()) >= least]
+
+
+#: What a long passage is: over 50 words, found by strings that so many words always fill.
+PASSAGE_LENGTH, PASSAGE_WORDS = 240, 51
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, most: int = 256) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) of each row.
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, passage_length: int = PASSAGE_LENGTH, passage_words: int = PASSAGE_WORDS, most: int = 256) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) of each row; and n_passages and passage_bytes: runs of bytes
+    inside strings of `passage_length` bytes that also start elsewhere, those of `passage_words` words or more, and has_passage.
 
-    A null or empty text has no bytes. Repeated rows repeat each other's strings, so texts of `length` bytes or more that
-    occur twice are removed whole. Other columns are not read."""
-    docs = docs.select(named(doc_id), named(text))
-    spans = repeated_spans(docs, doc_id, text, length, most=most)
-    own = docs.select(named(doc_id), F.hash(named(text)).alias("text_hash"), named(text).alias("text"))
-    met = _squeezed(own).join(spans, _same_row_names(doc_id), "left").select(named(doc_id), "z", "spans")
-    schema = T.StructType([docs.schema[0], *_DIGEST])
+    A null or empty text has no bytes. Repeated rows repeat each other's strings, so texts of `length` bytes or more that occur twice are
+    removed whole, whatever their ids; null and repeated ids do no harm. Other columns are not read."""
+    t = F.coalesce(named(text), F.lit(""))
+    spans, texts = repeated_spans(docs, text, (passage_length, length), most=most)
+    own = docs.select(named(doc_id), *_name(t), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("whole_sha256"))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    names = ["n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            lists = b.column(2)
-            flat = lists.flatten()
-            begin, end = (np.asarray(flat.field(n)) for n in ("begin", "end"))
-            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
-            for k, z in enumerate(b.column(1)):
-                data = press.decompress(z.as_py())
-                own = _merged(begin[ends[k] : ends[k + 1]], end[ends[k] : ends[k + 1]])
-                out.append((len(data), sum(e - a for a, e in own), len(own), hashlib.sha256(_cut(data, own)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], schema.names)
-
-    return met.mapInArrow(released(run), schema)
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs, all columns and rows, without the repeated bytes in their texts. Spans shrink to whole characters; a null
-    text stays null. Names of columns that begin with two underscores are kept for this function."""
-    spans = repeated_spans(docs, doc_id, text, length)
-    met = _joined(docs, spans.withColumnRenamed("spans", "__spans"), doc_id, text)
+            for z, passages, spans in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+                data = press.decompress(z)
+                spans, passages = _merged(spans), _of_words(data, _merged(passages), passage_words)
+                out.append((sum(e - a for a, e in spans), len(spans), hashlib.sha256(_cut(data, spans)).hexdigest(), len(passages), sum(e - a for a, e in passages)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 5, kinds))], [*_NAME, *names])
+
+    met = texts.join(spans, _NAME).select(*_NAME, "z", "spans0", "spans1")
+    cut = met.mapInArrow(released(run), "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    kept = F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
+    return own.join(cut, _NAME, "left").select(named(doc_id), "n_bytes", zero("n_removed"), zero("n_spans"), kept, zero("n_passages"), zero("passage_bytes"), (F.coalesce("n_passages", F.lit(0)) > 0).alias("has_passage"))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """docs, all columns and rows, without the repeated bytes in their texts: runs of bytes inside strings of `length` bytes that also start
+    elsewhere, if they hold `least_words` words. Spans shrink to whole characters; a null text stays null; rows with one text are copies of each
+    other. Names of columns that begin with two underscores are kept for this function."""
+    spans, _ = repeated_spans(docs, text, (length,))
+    spans = spans.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("spans0").alias("__spans"))
+    keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(_name(named(text)), _NAME)])
     names, schema = docs.columns, docs.schema
+    met = keyed.join(spans, ["__h1", "__h2"], "left").select(*[named(c) for c in names], "__spans")
     at = names.index(text)
 
     def run(batches):
@@ -418,8 +491,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for k, own in enumerate(b.column(len(names)).to_pylist()):
                 if own:
                     data = texts[k].encode()
-                    own = _merged(np.array([x["begin"] for x in own]), np.array([x["end"] for x in own]))
-                    texts[k] = _cut(data, _whole_characters(data, own)).decode()
+                    texts[k] = _cut(data, _whole_characters(data, _of_words(data, _merged(own), least_words))).decode()
             columns = list(b.columns[: len(names)])
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -44,19 +44,37 @@ def contamination(docs, items, window=13):
     return out
 
 
-def repeated_spans(docs, length=400):
-    """docs: (id, text). (id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    data = [(d, (t or "").encode()) for d, t in docs]
-    seen = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+def repeats(data, length):
+    """For each text which of its bytes are in a string of `length` bytes that is there twice or more."""
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []
-    for d, b in data:
+    for b in data:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        out.append(bytes(gone))
+    return out
+
+
+def repeated_spans(docs, length=400):
+    """docs: (id, text). (id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
+    data = [(t or "").encode() for _, t in docs]
+    out = []
+    for (d, _), b, gone in zip(docs, data, repeats(data, length)):
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def passages(docs, length=240, words=51):
+    """docs: (id, text). (id, n_passages, passage_bytes) for each document."""
+    data = [(t or "").encode() for _, t in docs]
+    out = []
+    for (d, _), b, gone in zip(docs, data, repeats(data, length)):
+        own = [m.span() for m in re.finditer(b"\1+", gone)]
+        own = [(a, z) for a, z in own if len(b[a:z].split()) >= words]
+        out.append((d, len(own), sum(z - a for a, z in own)))
     return out
 
 

@@ -17,6 +17,10 @@ from corpusloom.llm.license_bodies import BODIES
 from tests.llm import brute
 
 
+REMOVED = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+PASSAGES = ("doc_id", "n_passages", "passage_bytes")
+
+
 def rows(df, *names):
     return sorted((tuple(r) for r in df.select(*(names or df.columns)).collect()), key=repr)
 
@@ -41,6 +45,25 @@ def test_outliers_of_small_languages(spark):
     assert not kept & {1000, 1001, 1002, 1003} and 1004 in kept and len(kept) > 290
 
 
+def test_distances_plainly(spark):
+    """Moments, inverse covariance and distances agree with numpy; the estimate of a contaminated group is near that of its clean rows."""
+    rng = np.random.default_rng(11)
+    names = list(outliers.FLOORS)
+    mix = rng.normal(size=(6, 6)) + 3 * np.eye(6)
+    clean = rng.normal(size=(300, 6)) @ mix + rng.normal(size=6)
+    junk = rng.normal(size=(40, 6)) @ mix + 60
+    frame = lambda x: spark.createDataFrame([("g", *map(float, r)) for r in x], ["k", *names]).coalesce(1)
+    plain = lambda x, own: np.einsum("ni,ij,nj->n", x - own.mean(0), np.linalg.inv(np.cov(own.T, bias=True) + np.diag(np.square(list(outliers.FLOORS.values())))), x - own.mean(0))
+    params = outliers._precision(outliers._moments(frame(clean), ["k"]), ["k"])
+    got = [r.d for r in outliers._meet(frame(clean), params, ["k"]).select(outliers._distance().alias("d")).collect()]
+    assert sorted(got) == pytest.approx(sorted(plain(clean, clean)))
+    both = np.concatenate([clean, junk])
+    robust = outliers.estimates(frame(both), ["k"], Scratch(spark, "test"))
+    far = lambda x: np.array([r.d for r in outliers._meet(frame(x), robust, ["k"]).select(outliers._distance().alias("d")).collect()])
+    assert far(junk).min() > 10 * outliers.CHI2_REJECT and np.median(far(clean)) == pytest.approx(np.median(plain(clean, clean)), rel=0.25)
+    assert plain(junk, both).max() < outliers.CHI2_REJECT  # which plain moments of all rows would not see
+
+
 def test_outliers(spark, docs, none):
     found = outliers.reject_outliers(docs)
     assert found.count() == docs.count()
@@ -64,9 +87,9 @@ def items(spark, texts):
     return spark.createDataFrame(own, "item_id long, text string")
 
 
-@pytest.mark.parametrize("most_bytes", [32 << 20, 300])
-def test_decontaminate(docs, texts, items, most_bytes):
-    found = decontaminate.digest(decontaminate.decontaminate(docs, items, max_pattern_bytes=most_bytes))
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_decontaminate(docs, texts, items, most):
+    found = decontaminate.digest(decontaminate.decontaminate(docs, items, most_windows=most))
     want = brute.contamination(list(enumerate(texts)), [tuple(r) for r in items.collect()])
     assert rows(found) == sorted(want, key=repr)
 
@@ -78,7 +101,7 @@ def test_decontaminate_empty(docs, none, items):
 
 def test_repeated_rows_keep_their_results(docs, items):
     twice = docs.unionByName(docs)
-    found = decontaminate.decontaminate(twice, items, max_pattern_bytes=300)
+    found = decontaminate.decontaminate(twice, items, most_windows=20)
     assert found.count() == 2 * docs.count() and found.groupBy("doc_id").agg(F.countDistinct("n_hit").alias("n")).where("n > 1").count() == 0
 
 
@@ -136,8 +159,10 @@ def test_suffix_array(alphabet):
 
 @pytest.mark.parametrize("most", [256, 2])
 def test_repeats(docs, texts, most):
-    found = suffix.digest(docs, most=most)
-    assert rows(found) == sorted(brute.repeated_spans(list(enumerate(texts))), key=repr)
+    found = suffix.digest(docs, most=most).cache()
+    assert rows(found, *REMOVED) == sorted(brute.repeated_spans(list(enumerate(texts))), key=repr)
+    assert rows(found, *PASSAGES) == sorted(brute.passages(list(enumerate(texts))), key=repr)
+    assert found.where("has_passage <> (n_passages > 0)").count() == 0
 
 
 @pytest.mark.parametrize("bits", [22, 11])
@@ -169,8 +194,37 @@ def test_crowded_passage(spark):
     noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage = noise(700)
     texts = [noise(r.randint(0, 300)) + passage[r.randint(0, 90) : r.randint(560, 700)] + noise(r.randint(0, 300)) for _ in range(40)] + [noise(900), noise(399)]
+    texts += [noise(r.randint(0, 300)) + passage[a : a + r.randint(240, 420)] + noise(r.randint(0, 300)) for a in range(0, 280, 9)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert rows(suffix.digest(table, most=4)) == sorted(brute.repeated_spans(list(enumerate(texts))), key=repr)
+    found = suffix.digest(table, most=4, passage_words=20).cache()
+    assert rows(found, *REMOVED) == sorted(brute.repeated_spans(list(enumerate(texts))), key=repr)
+    assert rows(found, *PASSAGES) == sorted(brute.passages(list(enumerate(texts)), words=20), key=repr)
+
+
+def test_repeats_whatever_the_ids(spark):
+    """Rows are told apart by their texts: null and repeated ids do no harm, and a row that is there a thousand times is one text."""
+    import random
+
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared, often = noise(500), noise(450)
+    table = [(None, noise(30) + shared + noise(50)), (None, noise(600)), (7, noise(534)), (7, shared + noise(10)), (None, noise(520)), *[(None, often)] * 1000, (9, noise(20) + often)]
+    got = suffix.digest(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).groupBy(*REMOVED).count().collect()
+    assert {tuple(x)[:-1]: x["count"] for x in got} == dict(Counter(brute.repeated_spans(table)))
+
+
+def test_two_lengths_at_once():
+    """One suffix array answers for each length as an array of its own, for the starts that are asked for only."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        base = rng.integers(97, 100, 60).astype(np.uint8).tobytes()
+        segments = [rng.integers(97, 100, int(rng.integers(0, 9))).astype(np.uint8).tobytes() + base[int(a) : int(a) + 30] for a in rng.integers(0, 30, 6)]
+        own = [int(rng.integers(1, len(s) - 8)) for s in segments]
+        got = suffix.repeated_starts(segments, own, [1] * 6, (8, 14))
+        for length, found in zip((8, 14), got):
+            strings = [[s[i : i + length] for i in range(min(k, len(s) - length + 1))] for s, k in zip(segments, own)]
+            seen = Counter(x for row in strings for x in row)
+            assert [f.tolist() for f in found] == [[i for i, x in enumerate(row) if seen[x] > 1] for row in strings]
 
 
 def test_repeats_edges(spark, docs, none, texts):
@@ -238,14 +292,50 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.score(docs, None, [F.col("doc_id")]).collect()} == {0.5}
 
 
-def test_quality_density():
-    """The expression agrees with normal densities computed plainly."""
+def test_quality_density(spark):
+    """The Spark expression of the logit agrees with normal densities computed plainly."""
     rng = np.random.default_rng(4)
-    model = quality.Model(rng.normal(size=(2, 9)), np.array([np.linalg.inv(np.linalg.cholesky(np.eye(9) * (k + 1) + 0.1)) for k in range(2)]), 0.0)
-    x = rng.normal(size=9)
-    d = [np.square(model.inverses[k] @ (x - model.means[k])).sum() for k in range(2)]
-    want = [(x - model.means[k]) @ np.linalg.inv(np.eye(9) * (k + 1) + 0.1) @ (x - model.means[k]) for k in range(2)]
-    assert d == pytest.approx(want)
+    covs = [np.eye(9) * (k + 1) + 0.1 for k in range(2)]
+    model = quality.Model(rng.normal(size=(2, 9)), np.array([np.linalg.inv(np.linalg.cholesky(c)) for c in covs]), 0.7, 1.5, -0.2)
+    x = rng.normal(size=(20, 9))
+    got = [r[0] for r in spark.createDataFrame([tuple(map(float, r)) for r in x], [f for f in quality._X]).coalesce(1).select(model.logit()).collect()]
+    d = [np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m) for m, c in zip(model.means, covs)]
+    assert got == pytest.approx((1.5 * (0.5 * (d[0] - d[1]) + 0.7) - 0.2).tolist())
+
+
+def test_toxicity_scores_plainly(docs, texts):
+    """The same weights, one window and one filter at a time."""
+    rng = np.random.default_rng(8)
+    own = [t for t in texts if t and len(t) < 3000]
+    model = toxicity.train(own[:30], [int(k % 2) for k in range(30)], epochs=1, least_texts=2)
+    index = {int(s): k + 1 for k, s in enumerate(model.slots)}
+    model.embedding[1:] = rng.normal(size=model.embedding[1:].shape)
+    for text in ["", *own[:12]]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        slots, _ = toxicity.word_slots(data, np.array([0, len(data)]))
+        words = [sum((model.embedding[index.get(int(s), 0)] for s in row), np.zeros(toxicity.SIZE)) for row in slots]
+        features = []
+        for filters, biases in zip(model.filters, model.biases):
+            width = len(filters)
+            blank = [np.zeros(toxicity.SIZE)]
+            padded = blank * (width - 1) + words + blank * max(width - 1, 1)
+            for f in range(toxicity.FILTERS):
+                sums = [biases[f] + sum(float(padded[i + j] @ filters[j][:, f]) for j in range(width)) for i in range(len(padded) - width + 1)]
+                features.append(max(0.0, *sums))
+        want = 1 / (1 + np.exp(-np.clip(np.dot(features, model.out) + model.bias, -30, 30)))
+        assert toxicity.score_texts(model, [text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_thresholds_of_unseen_rows(spark, monkeypatch):
+    """Scores at which thresholds are cut come from models that were not trained on the same rows, and all rows make the model that is returned."""
+    seen, scored = [], []
+    train, score = toxicity.train, toxicity.score_texts
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(set(texts)) or train(texts, labels, epochs=1))
+    monkeypatch.setattr(toxicity, "score_texts", lambda model, texts: scored.append(set(texts)) or score(model, texts))
+    table = spark.createDataFrame([(k, f"text number {k}", "en", k % 2) for k in range(60)], "doc_id long, text string, lang string, toxic int")
+    toxicity.fit(table, table.select("doc_id", "toxic"))
+    assert len(seen) == len(scored) + 1 == 4 and len(seen[-1]) == 60 and set().union(*scored) == seen[-1]
+    assert all(not a & b for a, b in zip(seen, scored))
 
 
 # ---- op6 -----------------------------------------------------------------------------------------------------------
@@ -356,6 +446,25 @@ def test_grams():
     assert own[0][:3] == [b" ab ", b"ab c", b"b c "] and own[1] == own[2] == [b"    "] and own[3][0] == b" \xc3\xa9 "
 
 
+def test_language_shares_plainly(spark):
+    """One n-gram and one language at a time, from the bits of the filters."""
+    rng = np.random.default_rng(5)
+    table = [(n, " ".join("".join(rng.choice(list(letters), 4)) for _ in range(60))) for n, letters in (("a", "abcdef"), ("b", "defghi"), ("c", "xyzab")) for _ in range(8)]
+    model = langid.fit(spark.createDataFrame(table, "lang string, text string"))
+    bits = model.masks.shape[1].bit_length() - 1
+    for text in [t for _, t in table[::5]] + ["", "abc xyz", "qqq"]:
+        codes, _ = langid.grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        want = []
+        for k, false in enumerate(model.false_positives):
+            hits = 0
+            for c in codes.tolist():
+                places = [(c + 1) * int(f) % (1 << 64) >> (64 - bits) for f in langid._FACTORS]
+                hits += all(int(model.masks[0][p]) >> k & 1 for p in places)
+            want.append(min(1, max(0, (hits / max(len(codes), 1) - false) / (1 - false))))
+        shares, _ = model.shares(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert shares[0].tolist() == pytest.approx(want)
+
+
 def test_more_languages_than_a_mask_has_bits(spark):
     rng = np.random.default_rng(4)
     names = ["l%02d" % k for k in range(70)]
@@ -426,6 +535,6 @@ def test_contamination_by_items_without_id(spark):
     items = spark.createDataFrame([(None, passage), (None, "y z"), ("a", "x y z")], "item_id string, text string")
     empty = hashlib.sha256(b"").hexdigest()
     want = [(1, 17, 15, 1, empty, True), (2, 3, 0, 0, empty, False), (3, 18, 18, 2, hashlib.sha256(b"a").hexdigest(), True)]
-    for most in (32 << 20, 40):  # in one block and in several
-        found = decontaminate.digest(decontaminate.decontaminate(docs, items, max_pattern_bytes=most))
+    for most in (100_000, 2):  # in one block and in several
+        found = decontaminate.digest(decontaminate.decontaminate(docs, items, most_windows=most))
         assert sorted(map(tuple, found.collect())) == want

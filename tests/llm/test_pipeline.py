@@ -1,10 +1,12 @@
 """Each stage of the pipeline against a plain version of it, on the stage's own input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import quality, queries, suffix
+from corpusloom.llm import _store, quality, queries, suffix
 from corpusloom.llm._store import Scratch
 from tests.llm import brute
 
@@ -45,7 +47,8 @@ def test_near_duplicates(stages):
 def test_repeats(stages):
     before, after = table(stages[2]), table(stages[3])
     docs = [(k, r.text) for k, r in before.items()]
-    want = {k: n - gone for k, n, gone, _, _ in brute.repeated_spans(docs)}
+    sizes = {k: len((t or "").encode()) for k, t in docs}
+    want = {k: sizes[k] - gone for k, _, gone in brute.passages(docs, corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)}
     for k, r in before.items():
         if want[k] == len(r.text.encode()):
             assert after[k] == r
@@ -94,3 +97,21 @@ def test_odd_rows(spark):
     kept = corpus_pipeline.simhash_dedup(spark, docs, SF_DIR).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept if r.doc_id) == [(1, "another text"), (1, "same text here")] and len(kept) == 3
     assert corpus_pipeline.suffix_dedup(spark, docs, SF_DIR).count() == 5
+
+
+def test_names_of_columns(spark):
+    """Dots in names, and names that operators add, leave stages and values alone."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, n_words string, score string, spans string, hit_items string, root string"
+    docs = spark.createDataFrame([(k, f"some words of text number {k} " * 12, "en", "s", 0, *"abcdef") for k in range(3)], kind)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF_DIR)
+        assert got.columns == docs.columns and got.schema == docs.schema
+        assert {tuple(r)[5:] for r in got.collect()} <= {tuple("abcdef")}
+
+
+def test_run_clears_what_stages_wrote(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:3])
+    monkeypatch.setattr(_store, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+    (left,) = os.listdir(tmp_path)
+    assert left.startswith("pipeline-") and os.listdir(tmp_path / left) == ["suffix_dedup"]
