@@ -59,22 +59,30 @@ def _sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray
     return at[np.argsort(rank[group], kind="stable")]
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
     """Positions of a uint8 text that ends with its smallest byte 0, in the order of their suffixes' first `depth` bytes at
-    least. Zeros are separators: their own order is left open."""
+    least. Zeros are separators: their own order is left open. With begins and ends only the positions in these ranges, which ascend and are apart,
+    and those up to the next suffix that is smaller than its successor, from which they are induced."""
     n = len(text)
     step = np.sign(np.diff(text.astype(np.int16), append=-1)).astype(np.int8)
     runs = np.where(step != 0, np.arange(n), n)
     smaller = step[np.minimum.accumulate(runs[::-1])[::-1]] > 0
     smaller[text == 0] = True
-    larger = ~smaller
-    sizes = np.bincount(text, minlength=256)
+    wanted = np.ones(n, bool)
+    if begins is not None:
+        stops = np.flatnonzero(smaller)
+        marks = np.zeros(n + 1, np.int32)
+        np.add.at(marks, begins, 1)
+        np.add.at(marks, stops[np.searchsorted(stops, ends - 1)] + 1, -1)
+        wanted = np.cumsum(marks)[:n] > 0
+    larger = ~smaller & wanted
+    sizes = np.bincount(text[wanted], minlength=256)
     ends = np.cumsum(sizes)
     heads = ends - sizes
-    out = np.empty(n, np.int32)
-    out[: sizes[0]] = np.flatnonzero(text == 0)
+    out = np.empty(ends[-1], np.int32)
+    out[: sizes[0]] = np.flatnonzero((text == 0) & wanted)
     # stage 1: the smaller suffixes, compared directly
-    direct = _sorted_directly(text, np.flatnonzero(smaller & (text > 0)), depth)
+    direct = _sorted_directly(text, np.flatnonzero(smaller & wanted & (text > 0)), depth)
     own = np.bincount(text[direct], minlength=256)
     place = np.arange(len(direct)) - np.repeat(np.cumsum(own) - own, own)
     out[np.repeat(ends - own, own) + place] = direct
@@ -112,11 +120,11 @@ def repeated_starts(segments: list[bytes], own: list[int], weights: list[int], l
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
     text = np.frombuffer(b"\xff".join([*segments, b""]), np.uint8) + np.uint8(1)
-    order = suffix_array(text, max(lengths))
+    order = suffix_array(text, max(lengths), begins, begins + np.array(own)).astype(np.int64)
     at = np.arange(len(text))
     room = np.repeat(ends - 1, sizes + 1) - at
     mine = at - np.repeat(begins, sizes + 1) < np.repeat(np.array(own), sizes + 1)
-    order = order[mine[order]].astype(np.int64)
+    order = order[mine[order]]
     sums = prefix_sums(text)
     data = text.tobytes()
     found = []
@@ -365,7 +373,7 @@ def _crowded(segments: DataFrame, scratch: Scratch, lengths: tuple[int, ...], mo
     return found
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, most: int = 256, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, text: str = "text", lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, most: int = 2048, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, texts). texts: h1, h2, the number n of rows and the compressed bytes z of each different text that is long enough. spans: h1, h2,
     and for the k-th of the lengths, which ascend, spans<k> (begin, end in bytes; in any order): the ranges of bytes inside a string of that
     length that also starts anywhere else in the corpus."""
@@ -445,7 +453,7 @@ def _of_words(data: bytes, spans: list[tuple[int, int]], least: int) -> list[tup
 PASSAGE_LENGTH, PASSAGE_WORDS = 240, 51
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, passage_length: int = PASSAGE_LENGTH, passage_words: int = PASSAGE_WORDS, most: int = 256) -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, passage_length: int = PASSAGE_LENGTH, passage_words: int = PASSAGE_WORDS, most: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) of each row; and n_passages and passage_bytes: runs of bytes
     inside strings of `passage_length` bytes that also start elsewhere, those of `passage_words` words or more, and has_passage.
 
