@@ -32,7 +32,8 @@ def _field(name: str, value: Column) -> Column:
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+    """Ids are percent-encoded, so that no id ends a header or is taken for another; a null one is a bare percent sign."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("%")), F.lit(">"))
 
 
 def archive(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
@@ -81,7 +82,7 @@ def header_field(name: str, header: str = "header") -> Column:
 
 
 def page_number(urn: Column, kind: str) -> Column:
-    return F.nullif(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1), F.lit("null")).cast(kind)
+    return F.url_decode(F.nullif(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1), F.lit("%"))).cast(kind)
 
 
 def read_back(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

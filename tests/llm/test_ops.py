@@ -408,6 +408,13 @@ def test_warc(spark):
     assert again.count() == 14 and again.where("page_id = 7 and record_type = 'response'").count() == 2
 
 
+def test_warc_ids(spark):
+    ids = [None, "null", "", "a\r\nWARC-Type: x", "é %41>"]
+    df = spark.createDataFrame([(i, "u", f"page {k}") for k, i in enumerate(ids)] + [("z", "u", "page 3")], "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_back(df).collect()}
+    assert got == {(i, "revisit" if k == 3 else "response", "z" if k == 3 else None) for k, i in enumerate(ids)} | {("z", "response", None)}
+
+
 def test_warc_round_trip(spark):
     df = spark.createDataFrame([(1, "u", "one"), (2, "u", "one")], "page_id long, url string, html string")
     records, payloads = warc.archive(df, Scratch(spark, "test"))
