@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import TEMPLATES, THRESHOLD
+from .suffix import LENGTH, PASSAGE_LENGTH, PASSAGE_WORDS
 
 _WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -14,13 +15,26 @@ DECONTAMINATE = f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM
  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AND 20 * coalesce(n.n_hit, 0) >= len(d.w) AS contaminated
  FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
 
-SUFFIX = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
- w AS (SELECT doc_id, k, md5(substring(h, 2 * k + 1, 800)) AS t FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS k FROM d WHERE n >= 400)),
- r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY t) AS c FROM w) WHERE c > 1),
- g AS (SELECT doc_id, k, sum(CASE WHEN p IS NULL OR k > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM r)),
- s AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS z FROM g GROUP BY doc_id, g), o AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s),
- c AS (SELECT o.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS z, string_agg(substring(d.h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY 1)
- SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.h ELSE head || substring(d.h, 2 * c.z + 1) END)) AS kept_sha256 FROM d LEFT JOIN c ON d.doc_id = c.doc_id"""
+
+
+def _repeats(name: str, length: int) -> str:
+    """name: the runs (doc_id, a, z) of bytes in strings of that length that are there twice or more."""
+    return f"""{name}_w AS (SELECT doc_id, k, md5(substring(h, 2 * k + 1, {2 * length})) AS t FROM (SELECT doc_id, h, unnest(range(0, n - {length - 1})) AS k FROM d WHERE n >= {length})),
+ {name}_r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY t) AS c FROM {name}_w) WHERE c > 1),
+ {name}_g AS (SELECT doc_id, k, sum(CASE WHEN p IS NULL OR k > p + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM {name}_r)),
+ {name} AS (SELECT doc_id, min(k) AS a, max(k) + {length} AS z FROM {name}_g GROUP BY doc_id, g)"""
+
+
+_BLANK = "('20', '09', '0A', '0B', '0C', '0D')"
+
+SUFFIX = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents), {_repeats("s", LENGTH)}, {_repeats("ps", PASSAGE_LENGTH)},
+ o AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s),
+ c AS (SELECT o.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS z, string_agg(substring(d.h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head FROM o JOIN d ON o.doc_id = d.doc_id GROUP BY 1),
+ x AS (SELECT ps.doc_id, z - a AS size, substring(d.h, 2 * a + 1, 2 * (z - a)) AS x FROM ps JOIN d ON ps.doc_id = d.doc_id),
+ y AS (SELECT doc_id, size, len(list_filter(range(0, size), lambda k: substring(x, 2 * k + 1, 2) NOT IN {_BLANK} AND (k = 0 OR substring(x, 2 * k - 1, 2) IN {_BLANK}))) AS words FROM x),
+ v AS (SELECT doc_id, count(*) AS n_passages, CAST(sum(size) AS BIGINT) AS passage_bytes FROM y WHERE words >= {PASSAGE_WORDS} GROUP BY 1)
+ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.h ELSE head || substring(d.h, 2 * c.z + 1) END)) AS kept_sha256,
+  coalesce(n_passages, 0) AS n_passages, coalesce(passage_bytes, 0) AS passage_bytes, coalesce(n_passages, 0) > 0 AS has_passage FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
 
 _DIGIT = "(instr('0123456789abcdef', substring(s, 5 * k + {0}, 1)) - 1)"
 _FIVE = " + ".join(f"{_DIGIT.format(j + 1)} * {16 ** (4 - j)}" for j in range(5))
