@@ -307,10 +307,9 @@ def _sort_segments(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return rows.mapInArrow(released(run), _FOUND)
 
 
-def _classes(segments: DataFrame, width: int, lengths: tuple[int, ...]) -> DataFrame:
+def _classes(segments: DataFrame, width: int, length: int) -> DataFrame:
     """Each segment (gram, s1, s2, n, first, own, bytes) in classes of `width` adjacent starts. k1, k2: a hash of the bytes that all strings of a
     class share, with their place; c1, c2: one of all its bytes."""
-    least, most = min(lengths), max(lengths)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(16), pa.binary(16))
     names = [*_KEY, "n", "first", "own", "bytes", "k1", "k2", "c1", "c2"]
 
@@ -327,9 +326,9 @@ def _classes(segments: DataFrame, width: int, lengths: tuple[int, ...]) -> DataF
                 last = first + own - 1
                 for c in range(first // width, last // width + 1):
                     a, z = max(first, c * width), min(last, c * width + width - 1)
-                    low, high = c * width + width - 1 - first, c * width - first + least
-                    key = h(data[max(low, 0) : high], (gram ^ (c & 0xFFFF)) & 0xFFFFFFFFFFFFFFFF)
-                    part = data[a - first : z - first + most]
+                    low, high = c * width + width - 1 - first, c * width - first + length
+                    key = h(data[low:high], (gram ^ (c & 0xFFFF)) & 0xFFFFFFFFFFFFFFFF)
+                    part = data[a - first : z - first + length]
                     out.append((gram, s1, s2, n, a, z - a + 1, part, key, h(part, a & 0xFFFF)))
                     if len(out) >= 2000:
                         yield batch(out)
@@ -341,32 +340,19 @@ def _classes(segments: DataFrame, width: int, lengths: tuple[int, ...]) -> DataF
     return segments.select(*_KEY, "n", "first", "own", "bytes").mapInArrow(released(run), schema)
 
 
-def _all_starts(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """Of rows all whose starts repeat at every length for which there is room: _FOUND."""
-    own = [F.struct(F.lit(k).alias("level"), F.least(F.col("own"), F.octet_length("bytes") - length + 1).alias("room")) for k, length in enumerate(lengths)]
-    return rows.withColumn("x", F.explode(F.array(*own))).where("x.room > 0").select(*_KEY, F.col("x.level").alias("level"), F.col("first").alias("begin"), (F.col("first") + F.col("x.room")).alias("end"))
-
-
-def _crowded(segments: DataFrame, scratch: Scratch, lengths: tuple[int, ...], most: int, widths: tuple[int, ...]) -> list[DataFrame]:
-    """The repeated starts of segments whose k-gram is crowded; the last of the widths is 1."""
+def _crowded(segments: DataFrame, scratch: Scratch, level: int, length: int, most: int, widths: tuple[int, ...]) -> list[DataFrame]:
+    """The repeated starts, for one length, of segments whose k-gram is crowded; the last of the widths is 1."""
+    room = F.least(F.col("own"), F.octet_length("bytes") - length + 1)
+    segments = segments.withColumn("own", room).where("own > 0").withColumn("bytes", F.substring("bytes", F.lit(1), F.col("own") + (length - 1)))
     found = []
     for width in widths:
-        rows = scratch.save(_classes(segments, width, lengths), f"classes{width}")
+        rows = scratch.save(_classes(segments, width, length), f"classes{level}-{width}")
         same = (F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))
         groups = rows.groupBy("k1", "k2").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), same.alias("same")).where("total > 1")
-        met = scratch.save(rows.join(scratch.save(groups, f"groups{width}"), ["k1", "k2"]), f"met{width}")
-        found.append(_all_starts(met.where("same"), lengths))
-        if width == 1:  # equal strings of the least length; longer ones are counted by all their bytes
-            apart = met.where("not same")
-            found.append(_all_starts(apart, lengths[:1]))
-            for k, length in enumerate(lengths[1:], 1):
-                string = F.substring("bytes", 1, length)
-                long = apart.where(F.octet_length("bytes") >= length).withColumns({"t1": F.xxhash64(string), "t2": F.xxhash64(F.lit(1), string)})
-                twice = scratch.save(long.groupBy("t1", "t2").agg(F.sum("n").alias("copies")).where("copies > 1"), f"strings{k}")
-                found.append(long.join(twice, ["t1", "t2"]).select(*_KEY, F.lit(k).alias("level"), F.col("first").alias("begin"), (F.col("first") + 1).alias("end")))
-            break
+        met = scratch.save(rows.join(scratch.save(groups, f"groups{level}-{width}"), ["k1", "k2"]), f"met{level}-{width}")
+        found.append(met.where("same").select(*_KEY, F.lit(level).alias("level"), F.col("first").alias("begin"), (F.col("first") + F.col("own")).alias("end")))
         few = met.where(~F.col("same") & (F.col("rows") <= most)).select(F.col("k1").alias("key"), *_KEY, "n", "first", "own", "bytes")
-        found.append(_sort_segments(few.repartition("key").sortWithinPartitions("key"), lengths))
+        found.append(_sort_segments(few.repartition("key").sortWithinPartitions("key"), (length,)).withColumn("level", F.lit(level)))
         segments = met.where(~F.col("same") & (F.col("rows") > most))
         if not segments.head(1):
             break
@@ -394,7 +380,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", lengths: tuple[int, ...]
     few = bytes_.join(crowd, "gram", "left_anti").select(F.col("gram").alias("key"), *_KEY, "n", "first", "own", "bytes")
     found = [_sort_segments(few.repartition("key").sortWithinPartitions("key"), lengths)]
     if crowd.head(1):
-        found += _crowded(scratch.save(bytes_.join(crowd.select("gram"), "gram"), "many"), scratch, lengths, most, (96, 24, 6, 1))
+        many = scratch.save(bytes_.join(crowd.select("gram"), "gram"), "many")
+        for k, length in enumerate(lengths):
+            found += _crowded(many, scratch, k, length, most, (96, 24, 6, 1))
     starts = found[0]
     for f in found[1:]:
         starts = starts.unionByName(f)
