@@ -60,3 +60,13 @@ LICENSES = f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10
  best AS (SELECT doc_id, line, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, name) AS rn FROM m WHERE dice >= {THRESHOLD}) WHERE rn = 1),
  per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY 1), top AS (SELECT doc_id, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS rn FROM best) WHERE rn = 1)
  SELECT d.doc_id, coalesce(per.n, 0) AS n_matches, coalesce(per.names, '') AS licenses, top.name AS best_license, CAST(round(top.dice, 6) AS DOUBLE) AS best_dice FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN top ON d.doc_id = top.doc_id"""
+
+
+def url_filters(rules: list[tuple[str, str, str]]) -> str:
+    """Every rule against every page; the longest that fits decides."""
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in rules)
+    return f"""WITH p AS (SELECT page_id, url, row_number() OVER () AS k, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ m AS (SELECT k, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS rn
+  FROM p JOIN (VALUES {values}) r(host, path, verdict) ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+ SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.k = m.k AND rn = 1"""

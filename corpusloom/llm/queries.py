@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as dc
-from . import langid, licenses, oracles, outliers, packing, quality, simhash, suffix, toxicity, warc
+from . import langid, licenses, oracles, outliers, packing, quality, simhash, spelling, suffix, toxicity, urls, warc, whitening
 from ._columns import named
 from ._store import Scratch
 
@@ -86,6 +86,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda, op5_toxicity_cnn, op10_license_scan)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(_table(spark, sf_dir, "embeddings"))
+
+
+#: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mcd_outliers, op2_decontaminate, op3_best_fit_packing, op4_suffix_dedup, op6_simhash_golay, op7_warc, op8_language_id, op9_quality_qda, op5_toxicity_cnn,
+        op10_license_scan, op11_embedding_whitening, op12_url_filters, op13_spelling_variants,
+    )
+}
 #: The others need a tokenizer, a fingerprint or a trained model; tests compare them with plain versions or by held-out rows.
-ORACLE_SQL = {"op2_decontaminate": oracles.DECONTAMINATE, "op4_suffix_dedup": oracles.SUFFIX, "op7_warc": oracles.WARC, "op10_license_scan": oracles.LICENSES}
+ORACLE_SQL = {"op2_decontaminate": oracles.DECONTAMINATE, "op4_suffix_dedup": oracles.SUFFIX, "op7_warc": oracles.WARC, "op10_license_scan": oracles.LICENSES, "op12_url_filters": oracles.url_filters(URL_RULES)}
