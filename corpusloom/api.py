@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import catalog, chunks, graph, search, symbols, telemetry, vectors
-from .sources import ingest, tables
+from .sources import ingest, scratch, tables
+from .sources.versions import Snapshots
 
 _TRUE, _FALSE = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
 #: Items of one batch at most.
@@ -144,6 +145,7 @@ class Corpus:
     indexed_at: dt.datetime | None = None
     stream: Any = None
     meta_fields: list[str] | None = None
+    kept: Snapshots | None = None  # the versions that files come from, once a folder is indexed
     _imports: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -202,47 +204,77 @@ class Corpus:
         found = [(os.path.relpath(p, root), os.path.realpath(p)) for d, folders, names in os.walk(root) for n in (*folders, *names) if os.path.islink(p := os.path.join(d, n))]
         return ingest.link_reason(self.spark.createDataFrame(found, "path string, link_target string"), top, follow) if found else None
 
+    def _taken(self, kept: Snapshots, version: int, root: str) -> None:
+        """The files from now on: those of a written version, whatever happens to the folder."""
+        self.files, self.kept, self._imports, self.root, self.name = kept.read(version), kept, None, root, repo_id(root)
+        self.indexed_at = dt.datetime.now(dt.UTC)
+
     def _ingest(self, root: str, extra_ignore: list[str], incremental: bool, follow: bool, changed: list[str], cap: int) -> dict:
-        old = self.files.select("path", ingest.content_hash(F.col("content")).alias("content_hash"))
-        known = incremental and self.root == root
+        known = incremental and self.root == root and self.kept is not None
         part = [p.strip().removeprefix(root + "/") for p in changed if p.strip()] if known else []
         if any(p.startswith("/") or ".." in p.split("/") for p in part):
             raise RequestError("a changed path is outside the folder")
+        at = scratch.folder(self.spark, "ingest")
         try:
-            raw = ingest.read_folder(self.spark, root, part or None, cap).persist()
+            seen = ingest.take(self.spark, root, at, extra_ignore, self._links(root, follow), part or None, cap)
         except AnalysisException:
             raise RequestError(f"Folder not found: {root}") from None
-        seen = catalog.discover(raw, extra_ignore=extra_ignore, cap=cap)
-        why = F.when(F.col("skip_reason").isNull() & F.col("_scoped"), "gitignore").otherwise(F.col("skip_reason"))
-        scoped = catalog.scoped_ignored(raw, catalog.ignore_rules(raw)).withColumn("_scoped", F.lit(True))
-        seen = seen.join(scoped, "path", "left").withColumn("skip_reason", why).drop("_scoped")
-        if (links := self._links(root, follow)) is not None:
-            own = links.where("skip_reason is not null").select(F.col("path").alias("_link"), F.col("skip_reason").alias("_why"))
-            below = (F.col("path") == F.col("_link")) | F.startswith(F.col("path"), F.concat("_link", F.lit("/")))
-            seen = seen.join(F.broadcast(own), below, "left")  # the links of one local folder
-            seen = seen.withColumn("skip_reason", F.coalesce("_why", "skip_reason")).drop("_link", "_why")
-        seen = seen.persist()
-        new = seen.where("skip_reason is null").drop("skip_reason")
+        seen.write.parquet(f"{at}/taken")
+        seen = self.spark.read.schema(seen.schema).parquet(f"{at}/taken")
+        new = seen.where("skip_reason is null").select("path", "content")
         named = self.spark.createDataFrame([(p,) for p in part], "path string") if part else None
-        diff = ingest.counts(old, ingest.incremental(old, new.select("path", "content"), named))
+        old = self.files.select("path", "content_hash" if "content_hash" in self.files.columns else ingest.content_hash(F.col("content")).alias("content_hash"))
+        after = ingest.incremental(old, new, named)
+        diff = ingest.counts(old, after)
         skipped = {r.skip_reason: r.n for r in catalog.skip_counts(seen).collect()}
         if known and not any(diff[k] for k in ("new", "changed", "deleted")):
             return {"success": True, "repo": self.name, "message": "No changes detected", "file_count": self.files.count(), "new": 0, "changed": 0, "deleted": 0, "skipped": skipped}
+        kept = self.kept or Snapshots(self.spark, scratch.folder(self.spark, "corpus"), 64)
+        about = {"head": self.head, "name": repo_id(root), "root": root}
         if part:
-            new = self.files.join(named, "path", "left_anti").unionByName(new.select(*self.files.columns))
-        self.files, self._imports, self.indexed_at, self.name, self.root = new, None, dt.datetime.now(dt.UTC), repo_id(root), root
-        return {"success": True, "repo": self.name, "file_count": new.count(), **{k: diff[k] for k in ("new", "changed", "deleted")}, "skipped": skipped}
+            touched = after.where("origin <> 'kept'").select("path", F.when(F.col("origin") == "new", "added").otherwise("modified").alias("change_type")).join(new, "path")
+            gone = old.join(named, "path", "left_semi").join(new, "path", "left_anti").select("path", F.lit("deleted").alias("change_type"), F.lit(None).cast("string").alias("content"))
+            version = kept.commit(touched.unionByName(gone), **about)
+        else:
+            version = kept.replace(new, **about)
+        self._taken(kept, version, root)
+        return {"success": True, "repo": self.name, "file_count": kept.entry(version)["file_count"], **{k: diff[k] for k in ("new", "changed", "deleted")}, "skipped": skipped}
 
     def index_file(self, path: str) -> dict:
-        """One file of an indexed folder, by its path there or its full path."""
-        full = path if path.startswith("/") or "://" in path or not self.root else f"{self.root}/{path}"
-        own = full.removeprefix(f"{self.root}/") if self.root else path
-        if self.root and not full.startswith(f"{self.root}/"):
-            raise RequestError(f"File is not in an indexed folder: {path}")
-        raw = self.spark.read.format("binaryFile").load(full).select(F.lit(own).alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
-        self.files = self.files.join(raw.select("path"), "path", "left_anti").unionByName(raw.select(*self.files.columns))
-        self._imports = None
-        return {"success": True, "repo": self.name, "file": own}
+        """One file of an indexed folder, by its path there or its full path: only its bucket of the snapshot is read and written."""
+        began = time.monotonic()
+        asked = path.strip()
+        no = lambda why: {"success": False, "error": why}
+        full = asked if asked.startswith("/") or "://" in asked or not self.root else f"{self.root}/{asked}"
+        if "://" not in full:
+            full = os.path.realpath(os.path.expanduser(full))
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(full or "/")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not asked or not fs.exists(at):
+            return no(f"File not found: {asked}")
+        if not fs.getFileStatus(at).isFile():
+            return no(f"Path is not a file: {asked}")
+        if not self.root or self.kept is None or not full.startswith(f"{self.root}/"):
+            return no(f"No indexed folder found that contains {asked}. Run index_folder on the parent directory first.")
+        own = full.removeprefix(f"{self.root}/")
+        if ".." in own.split("/"):
+            return no(f"File path failed security validation: {asked}")
+        row = self.spark.createDataFrame([(own, int(fs.getFileStatus(at).getLen()))], "path string, size_bytes long")
+        if row.where(tx.language_of(F.col("path")).isNull()).head(1):
+            return no(f"Unsupported file type: {os.path.splitext(own)[1].lower() or (own if own.startswith('.') else '')}. File not recognized as a supported language.")
+        try:
+            now = ingest.contents(self.spark, self.root, row, scratch.folder(self.spark, "file")).first()
+        except Exception as e:
+            return no(f"Failed to read file: {e}")
+        before = self.kept.read(paths=[own]).select("content_hash").first()
+        content = now.content.encode("utf-8", "surrogatepass")
+        seconds = lambda: round(time.monotonic() - began, 3)
+        if before is not None and before.content_hash == hashlib.sha256(content).hexdigest():
+            return {"success": True, "message": "File unchanged", "repo": self.name, "file": own, "duration_seconds": seconds()}
+        net = self.spark.createDataFrame([(own, "added" if before is None else "modified", now.content)], "path string, change_type string, content string")
+        self._taken(self.kept, self.kept.commit(net, head=self.head, name=self.name, root=self.root), self.root)
+        return {"success": True, "repo": self.name, "file": own, "is_new": before is None, "symbol_count": 0, "indexed_at": self.indexed_at.isoformat(), "duration_seconds": seconds()}
 
     def list_repos(self) -> dict:
         own = [c for c in (self, self.other) if c is not None]
@@ -510,10 +542,9 @@ class Workspace:
             if tool in ("index_folder", "index_repo"):
                 return self._index(tool, given)
             if tool == "index_file":
-                own = self._of_path(str(given.get("path", ""))) or (self._find(repo) if repo else None)
-                if own is None:
-                    raise RequestError(f"File is not in an indexed folder: {given.get('path')}")
-                return self._kept(own, own.call(tool, given))
+                own = self._of_path(str(given.get("path", "")).strip()) or (self._find(repo) if repo else None)
+                empty = Corpus(self.spark.createDataFrame([], "path string, size_bytes long, content string"))
+                return self._index_file(own, given) if own is not None else empty.call(tool, given)
             if tool == "list_repos":
                 return {"repos": [{"repo": n, "file_count": c.files.count(), "indexed_at": c.indexed_at and c.indexed_at.isoformat()} for n, c in sorted(self.corpora.items())]}
             if tool == "resolve_repo":
@@ -534,29 +565,46 @@ class Workspace:
         except RequestError as e:
             return {"error": str(e)}
 
+    def _open(self, root: str) -> Corpus:
+        """The corpus of a root: the one at hand, the last version of the store, or an empty one."""
+        name = repo_id(root)
+        if name in self.corpora:
+            return self.corpora[name]
+        own = Corpus(self.spark.createDataFrame([], "path string, size_bytes long, content string"), embed=self.embed and self._query_vector)
+        if self.store is not None:
+            own.kept = self.store.snapshots(name)
+            if (entry := own.kept.entry()) is not None:
+                own.files, own.root, own.name, own.head = own.kept.read(entry["version"]), root, name, entry["head"]
+                own.indexed_at = dt.datetime.fromisoformat(entry["indexed_at"]).replace(tzinfo=dt.UTC)
+        return own
+
     def _index(self, tool: str, given: dict[str, Any]) -> dict[str, Any]:
         root = str(given.get("path" if tool == "index_folder" else "url", "")).removeprefix("file://").rstrip("/")
-        none = self.spark.createDataFrame([], "path string, size_bytes long, content string")
-        own = self.corpora.get(repo_id(root)) or Corpus(none, embed=self.embed and self._query_vector)
+        own = self._open(root)
         before = own.files
         out = own.call(tool, given)
         if out.get("success"):
             self.corpora[own.name] = own
-            if self.embed is not None and own.files is not before:
+            if self.embed is not None and (own.files is not before or own.chunk_vectors is None):
                 self._vectors(own, before)
-        return self._kept(own, out)
+        return out
+
+    def _index_file(self, own: Corpus, given: dict[str, Any]) -> dict[str, Any]:
+        """One file, and its chunks' vectors."""
+        before = own.files
+        out = own.call("index_file", given)
+        if out.get("success") and self.embed is not None and own.files is not before:
+            self._vectors(own, before, [out["file"]])
+        return out
 
-    def _vectors(self, own: Corpus, before: DataFrame) -> None:
-        """Bring the chunk vectors up to date: only chunks of files that differ are embedded."""
-        hashed = lambda df: df.select("path", ingest.content_hash(F.col("content")).alias("content_hash"))
-        touched = catalog.file_diff(hashed(before), hashed(own.files)).select("path")
-        cut = chunks.chunk(own.files.join(touched, "path", "left_semi"), own.name)
+    def _vectors(self, own: Corpus, before: DataFrame, paths: list[str] | None = None) -> None:
+        """Bring the chunk vectors up to date: only chunks of files that differ (or of the given ones) are embedded. They are written: a lazy
+        table would be computed anew, and from all earlier ones, in each search."""
+        hashed = lambda df: df.select("path", "content_hash" if "content_hash" in df.columns else ingest.content_hash(F.col("content")).alias("content_hash"))
         if own.chunk_vectors is None:
-            own.chunk_vectors = vectors.embed_chunks(cut, "main", self.embed)
+            found = vectors.embed_chunks(chunks.chunk(own.files, own.name), "main", self.embed)
         else:
-            own.chunk_vectors = vectors.sync_chunks(own.chunk_vectors, cut, touched, "main", self.embed)
-
-    def _kept(self, own: Corpus, out: dict[str, Any]) -> dict[str, Any]:
-        if self.store is not None and out.get("success") and out.get("message") is None:
-            self.store.save(own.name, own.files, own.head)
-        return out
+            touched = catalog.file_diff(hashed(before), hashed(own.files)).select("path") if paths is None else self.spark.createDataFrame([(p,) for p in paths], "path string")
+            cut = chunks.chunk(own.files.join(touched, "path", "left_semi"), own.name)
+            found = vectors.sync_chunks(own.chunk_vectors, cut, touched, "main", self.embed)
+        own.chunk_vectors = scratch.Steps(self.spark, "vectors").save(found)

@@ -153,7 +153,7 @@ def likely_binary(content: Column) -> Column:
 
 
 def discover(files: DataFrame, ignore: list[str] | None = None, extra_ignore: list[str] | None = None, excluded_secrets: list[str] | None = None, cap: int | None = None) -> DataFrame:
-    """files (path, size_bytes, content) with skip_reason, null for those that are taken: the first reason in order counts.
+    """files (path, size_bytes, content or none) with skip_reason, null for those that are taken: the first reason in order counts.
 
     With a cap, the files that come first by priority directory, depth and path are kept. The rank needs all taken files in one
     order; only their paths are sorted."""
@@ -162,15 +162,20 @@ def discover(files: DataFrame, ignore: list[str] | None = None, extra_ignore: li
     reason = (
         F.when(in_skipped, "skip_dir").when(path.rlike(r"(^|/)\.\.(/|$)"), "path_traversal").when(ignored(path, ignore or []), "gitignore").when(ignored(path, extra_ignore or []), "extra_ignore")
         .when(likely_secret(path, excluded_secrets), "secret").when(tx.language_of(path).isNull(), "wrong_extension").when(F.col("size_bytes") > MOST_BYTES, "too_large")
-        .when(F.col("content").isNull(), "unreadable").when(likely_binary(F.col("content")), "binary")
     )
+    if "content" in files.columns:  # without contents, what paths and sizes tell
+        reason = reason.when(F.col("content").isNull(), "unreadable").when(likely_binary(F.col("content")), "binary")
     out = files.withColumn("skip_reason", reason)
-    if cap is None:
-        return out
+    return out if cap is None else limited(out, cap)
+
+
+def limited(discovered: DataFrame, cap: int) -> DataFrame:
+    """discovered with the reason file_limit for what is taken beyond the first `cap` files by priority directory, depth and path."""
+    path = F.col("path")
     first = F.split_part(path, F.lit("/"), F.lit(1))
     rank = F.when(F.array_position(F.array(*[F.lit(x) for x in PRIORITY_DIRECTORIES]), first) > 0, F.array_position(F.array(*[F.lit(x) for x in PRIORITY_DIRECTORIES]), first)).otherwise(len(PRIORITY_DIRECTORIES) + 1)
-    taken = out.where("skip_reason is null").select("path").orderBy(rank, F.size(F.split(path, "/")), "path").limit(cap).withColumn("_in", F.lit(True))
-    met = out.join(taken, "path", "left")
+    taken = discovered.where("skip_reason is null").select("path").orderBy(rank, F.size(F.split(path, "/")), "path").limit(cap).withColumn("_in", F.lit(True))
+    met = discovered.join(taken, "path", "left")
     return met.withColumn("skip_reason", F.when(F.col("skip_reason").isNull() & F.col("_in").isNull(), "file_limit").otherwise(F.col("skip_reason"))).drop("_in")
 
 

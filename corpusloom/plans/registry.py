@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, chunks, evaluation, graph, search, symbols, telemetry, vectors
-from ..sources import ingest
+from ..sources import ingest, scratch, versions
 from ..sources import tables as t
 from ..streaming import changes
 
@@ -264,6 +264,39 @@ def incremental_snapshot(spark, sf_dir):
     return ingest.incremental(stored, current.select("path", "content"))
 
 
+_COMMITS = f"""WITH {_FILES}, first AS (SELECT path, content FROM files WHERE size_bytes % 10 <> 1),
+ second AS (SELECT path, CASE WHEN size_bytes % 7 = 0 AND size_bytes % 10 <> 1 THEN content || '!' ELSE content END AS content, size_bytes FROM files WHERE size_bytes % 10 NOT IN (1, 2) OR (size_bytes % 10 = 1 AND size_bytes % 3 = 0)),
+ third AS (SELECT path, content FROM second WHERE size_bytes % 10 <> 1 OR size_bytes % 2 = size_bytes % 4 UNION ALL SELECT path, 'back' FROM files WHERE size_bytes % 10 = 2 AND size_bytes % 4 = 0)"""
+
+
+def _three_commits(spark, sf_dir) -> versions.Snapshots:
+    """A store with three versions: some files, then changes of all kinds, then files that come back and go."""
+    f = t.files(spark, sf_dir).select("path", "content", "size_bytes")
+    own = versions.Snapshots(spark, scratch.folder(spark, "versions"), 64)
+    size = F.col("size_bytes")
+    own.replace(f.where(size % 10 != 1))
+    kind = F.when(size % 10 == 2, "deleted").when((size % 10 == 1) & (size % 3 == 0), "added").when((size % 10 != 1) & (size % 7 == 0), "modified")
+    own.commit(f.select("path", kind.alias("change_type"), F.when(kind == "modified", F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content")).where("change_type is not null"))
+    kind = F.when((size % 10 == 2) & (size % 4 == 0), "added").when((size % 10 == 1) & (size % 3 == 0) & (size % 2 != size % 4), "deleted")
+    own.commit(f.select("path", kind.alias("change_type"), F.lit("back").alias("content")).where("change_type is not null"))
+    return own
+
+
+@_query(f"""{_COMMITS} SELECT third.path, sha256(third.content) AS content_hash, CAST(strlen(third.content) AS BIGINT) AS size_bytes, first.path IS NOT NULL AS in_first FROM third LEFT JOIN first ON third.path = first.path""")
+def snapshot_versions(spark, sf_dir):
+    """The third version, and whether a reader of the first has the file."""
+    own = _three_commits(spark, sf_dir)
+    first = own.read(1).select("path", F.lit(True).alias("in_first"))
+    return own.read().join(first, "path", "left").select("path", "content_hash", "size_bytes", F.coalesce("in_first", F.lit(False)).alias("in_first"))
+
+
+@_query(f"""{_COMMITS} SELECT coalesce(first.path, third.path) AS path, CASE WHEN first.path IS NULL THEN 'new' WHEN third.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+ FROM first FULL OUTER JOIN third ON first.path = third.path WHERE first.path IS NULL OR third.path IS NULL OR sha256(first.content) <> sha256(third.content)""")
+def snapshot_changes(spark, sf_dir):
+    """What differs between the first version and the third, from the buckets that differ."""
+    return _three_commits(spark, sf_dir).changes(1, 3)
+
+
 # ---- symbols -------------------------------------------------------------------------------------------------------
 
 _TOKENS = "list_transform(regexp_extract_all(regexp_replace({0}, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[a-zA-Z0-9]{{2,}}'), lambda x: lower(x))"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import SKIPPED_DIRECTORIES
+from ..operators import catalog
+from ..operators.catalog import MOST_BYTES, SKIPPED_DIRECTORIES
 
 SKIPPED = set(SKIPPED_DIRECTORIES)
 
@@ -18,51 +18,104 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-#: Bytes of a file at most that the driver reads itself.
-_HIDDEN_BYTES = 500 * 1024
+#: Bytes of hidden files that the driver holds at once, and files that are read by name instead of by folder.
+_HELD_BYTES, _MOST_NAMED = 16 << 20, 20_000
 
 
-def _hidden(spark: SparkSession, root: str, most: int) -> list[tuple[str, int, str]]:
-    """Files whose names begin with a dot or an underscore, which Spark's readers leave out: ignore files, package files and the like, at most
-    `most`, none above _HIDDEN_BYTES. They are few and small, so the driver reads them."""
+def _store_path(spark: SparkSession, root: str):
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    out, found = [], fs.listFiles(top, True)
-    while found.hasNext() and len(out) < most:
+    return fs, top, fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+
+
+def is_hidden(path: str) -> bool:
+    """Whether Spark's readers leave a path out: a part of it begins with a dot or an underscore."""
+    return any(p[0] in "._" for p in path.split("/") if p)
+
+
+def listing(spark: SparkSession, root: str, changed_paths: list[str] | None = None) -> DataFrame:
+    """path (below the root), size_bytes of all files or of the given ones that exist: nothing is opened. Spark lists; the driver adds the files that
+    Spark's readers leave out, but for those in directories that are never entered."""
+    clean = root.rstrip("/")
+    fs, top, base = _store_path(spark, clean)
+    wanted = set(changed_paths or [])
+    hidden, found = [], fs.listFiles(top, True) if fs.exists(top) and fs.getFileStatus(top).isDirectory() else None
+    while found is not None and found.hasNext():
         at = found.next()
         path = at.getPath().toUri().getPath().removeprefix(base)
-        hidden = any(p[0] in "._" for p in path.split("/") if p)
-        if hidden and not SKIPPED & set(path.split("/")[:-1]) and at.getLen() <= _HIDDEN_BYTES:
-            stream = fs.open(at.getPath())
-            try:
-                out.append((path, int(at.getLen()), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            finally:
-                stream.close()
-    return out
-
-
-def read_folder(spark: SparkSession, root: str, changed_paths: list[str] | None = None, most: int = REPO_FILES) -> DataFrame:
-    """path (below the root), size_bytes, content, of all files or of the given ones that exist. Spark lists and reads them; bytes that are not
-    UTF-8 become replacement characters."""
-    clean = root.rstrip("/")
-    at = f"{clean}/{{{','.join(p.replace(',', '?') for p in changed_paths)}}}" if changed_paths else clean
-    schema = "path string, size_bytes long, content string"
-    hidden = [h for h in _hidden(spark, clean, most) if changed_paths is None or h[0] in changed_paths or h[0].endswith(".gitignore")]
-    more = spark.createDataFrame(hidden, schema)
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
-    except AnalysisException:
-        if not changed_paths:
-            raise
-        return more  # the named files are gone
+        if is_hidden(path) and not SKIPPED & set(path.split("/")[:-1]) and (changed_paths is None or path in wanted or path.endswith(".gitignore")):
+            hidden.append((path, int(at.getLen())))
+    more = spark.createDataFrame(hidden, "path string, size_bytes long")
+    at = [p for c in changed_paths if not is_hidden(c) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p := f"{clean}/{c}"))] if changed_paths else [clean]
+    if not at:
+        return more
+    return _files(spark, at, clean).select("path", "size_bytes").unionByName(more)
+
+
+def _files(spark: SparkSession, at: list[str], root: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
     bare = F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "")
-    plain = clean.split(":", 1)[-1] if "://" in clean else clean
+    plain = root.split(":", 1)[-1] if "://" in root else root
     below = F.substring(bare, F.length(F.lit("/" + plain.strip("/") + "/")) + 1, F.length(bare))
-    return raw.select(below.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content")).unionByName(more)
+    return raw.select(below.alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"))
+
+
+def contents(spark: SparkSession, root: str, wanted: DataFrame, folder: str) -> DataFrame:
+    """path, content of the wanted files (path, size_bytes), written to `folder`; bytes that are not UTF-8 become replacement characters. Up to
+    _MOST_NAMED files are opened by name; of more, a folder is read and the rest dropped. Files that Spark's readers leave out go through the driver, a
+    few MB at a time."""
+    clean, schema = root.rstrip("/"), "path string, content string"
+    hidden = F.col("path").rlike(r"(^|/)[._]")
+    names = [r.path for r in wanted.where(~hidden).select("path").limit(_MOST_NAMED + 1).collect()]
+    if len(names) > _MOST_NAMED:
+        _files(spark, [clean], clean).where(F.col("size_bytes") <= MOST_BYTES).join(wanted.select("path"), "path", "left_semi").select("path", "content").write.mode("append").parquet(folder)
+    elif names:
+        _files(spark, [f"{clean}/{n}" for n in names], clean).select("path", "content").write.mode("append").parquet(folder)
+    jvm = spark._jvm
+    fs, _, base = _store_path(spark, clean)
+    held: list[tuple[str, str]] = []
+    size = 0
+    for r in wanted.where(hidden).select("path", "size_bytes").toLocalIterator():
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(base + r.path))
+        try:
+            held.append((r.path, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+        size += r.size_bytes
+        if size > _HELD_BYTES:
+            spark.createDataFrame(held, schema).write.mode("append").parquet(folder)
+            held, size = [], 0
+    if held or not names:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def take(spark: SparkSession, root: str, folder: str, extra_ignore: list[str] | None = None, links: DataFrame | None = None, changed_paths: list[str] | None = None, cap: int = REPO_FILES) -> DataFrame:
+    """path, size_bytes, content, skip_reason of the files below a root (or of the given ones): a null reason for those that are taken. What paths, sizes, ignore
+    files in folders and links (path, skip_reason) tell is settled on the listing, so only files that may be taken are opened, and the cap
+    counts what is left."""
+    listed = listing(spark, root, changed_paths)
+    listed.write.parquet(f"{folder}/listing")
+    listed = spark.read.schema(listed.schema).parquet(f"{folder}/listing")
+    seen = catalog.discover(listed, extra_ignore=extra_ignore)
+    ignore = listed.where((F.col("path").rlike(r"(^|/)\.gitignore$")) & (F.col("size_bytes") <= MOST_BYTES))
+    rules = catalog.ignore_rules(contents(spark, root, ignore, f"{folder}/ignore"))
+    scoped = catalog.scoped_ignored(listed, rules).withColumn("_scoped", F.lit(True))
+    why = F.when(F.col("skip_reason").isNull() & F.col("_scoped"), "gitignore").otherwise(F.col("skip_reason"))
+    seen = seen.join(scoped, "path", "left").select("path", "size_bytes", why.alias("skip_reason"))
+    if links is not None:  # a link, or a file below one: found by equality with one of the path's own folders
+        own = links.where("skip_reason is not null").groupBy(F.col("path").alias("_at")).agg(F.min("skip_reason").alias("_why"))
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        hit = seen.select("path", F.explode(above).alias("_at")).join(own, "_at").groupBy("path").agg(F.min("_why").alias("_why"))
+        seen = seen.join(hit, "path", "left").select("path", "size_bytes", F.coalesce("_why", "skip_reason").alias("skip_reason"))
+    seen.write.parquet(f"{folder}/seen")
+    seen = spark.read.schema(seen.schema).parquet(f"{folder}/seen")
+    able = seen.where("skip_reason is null").drop("skip_reason")
+    judged = catalog.discover(able.join(contents(spark, root, able, f"{folder}/contents"), "path", "left"))
+    out = judged.unionByName(seen.where("skip_reason is not null").withColumn("content", F.lit(None).cast("string")))
+    return catalog.limited(out, cap)
 
 
 def link_reason(listing: DataFrame, root: str, follow: bool = False) -> DataFrame:

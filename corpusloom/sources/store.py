@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import remove
+from .versions import BUCKETS, Snapshots
+
 
 class Table:
     """Rows in partitions that are replaced whole: written beside the old ones, then swapped by a dynamic overwrite."""
@@ -45,43 +49,43 @@ def _slug(repo: str) -> str:
 
 
 class RepoStore:
-    """Snapshots of repositories: one partition of files each, and one row of metadata."""
+    """Repositories, each in versions of its own (see versions): a save writes the buckets that differ, and readers may hold on to an older version."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.files = Table(spark, f"{path}/files", "path string, content string, size_bytes long, content_hash string, repo string", ["repo"])
-        self.repos = Table(spark, f"{path}/repos", "display_name string, indexed_at timestamp, git_head string, file_count long, repo string", ["repo"])
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def save(self, repo: str, files: DataFrame, git_head: str = "", indexed_at: str | None = None) -> None:
-        key = F.lit(_slug(repo)).alias("repo")
-        own = files.select("path", "content", "size_bytes", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), key)
-        self.files.replace(own, repo=_slug(repo))
-        now = F.lit(indexed_at).cast("timestamp") if indexed_at else F.current_timestamp()
-        self.repos.replace(self.load(repo).agg(F.count("*").alias("file_count")).select(F.lit(repo).alias("display_name"), now.alias("indexed_at"), F.lit(git_head).alias("git_head"), "file_count", key))
+    def snapshots(self, repo: str) -> Snapshots:
+        return Snapshots(self.spark, f"{self.path}/repos/{_slug(repo)}", self.buckets)
 
-    def load(self, repo: str) -> DataFrame:
-        return self.files.read().where(F.col("repo") == _slug(repo))
+    def save(self, repo: str, files: DataFrame, git_head: str = "", indexed_at: str | None = None) -> int:
+        """Make files (path, content) the repository's next version; its number."""
+        return self.snapshots(repo).replace(files, head=git_head, name=repo, indexed_at=indexed_at)
+
+    def load(self, repo: str, version: int | None = None) -> DataFrame:
+        return self.snapshots(repo).read(version)
 
     def changes(self, repo: str, files: DataFrame) -> DataFrame:
-        """path, change against the stored snapshot."""
+        """path, change against the last version."""
         from ..operators.catalog import file_diff
 
         return file_diff(self.load(repo), files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")))
 
-    def save_changes(self, repo: str, net: DataFrame, git_head: str = "") -> None:
-        """Apply net changes (path, change_type, content) to the stored snapshot. The new rows are computed from the old files, so they are
-        written to a staging table first."""
-        from ..streaming.changes import apply_changes
-
-        staged = f"{self.files.path}-staging-{_slug(repo)}"
-        apply_changes(self.load(repo).select("path", "content", "size_bytes"), net).write.mode("overwrite").parquet(staged)
-        self.save(repo, self.files.spark.read.parquet(staged), git_head)
+    def save_changes(self, repo: str, net: DataFrame, git_head: str = "") -> int:
+        """Apply net changes (path, change_type, content) to the last version: only the buckets of these paths are written."""
+        return self.snapshots(repo).commit(net, head=git_head, name=repo)
 
     def list(self) -> DataFrame:
-        return self.repos.read().select(F.col("display_name").alias("repo"), "indexed_at", "git_head", "file_count").orderBy("repo")
+        """Each repository's last version."""
+        entry = "version long, name string, indexed_at string, head string, file_count long"
+        try:
+            found = self.spark.read.schema(entry).json(f"{self.path}/repos/*/log/*.json")
+        except AnalysisException:
+            found = self.spark.createDataFrame([], entry)
+        last = found.groupBy(F.col("name").alias("repo")).agg(F.max_by(F.struct("indexed_at", "head", "file_count", "version"), "version").alias("e"))
+        return last.select("repo", F.col("e.indexed_at").cast("timestamp").alias("indexed_at"), F.col("e.head").alias("git_head"), "e.file_count", "e.version").orderBy("repo")
 
     def delete(self, repo: str) -> bool:
-        self.repos.drop(repo=_slug(repo))
-        return self.files.drop(repo=_slug(repo))
+        return remove(self.spark, f"{self.path}/repos/{_slug(repo)}")
 
     def resolve(self, name: str) -> str | None:
         """owner/name as it is, or a bare name that only one repository has; more than one is an error."""

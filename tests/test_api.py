@@ -150,3 +150,63 @@ def test_content_references(corpus):
     got = corpus.call("check_references", {"identifier": "helper"})
     assert got["content_count"] == len(got["content_references"]) and got["import_count"] == len(got["import_references"]) and got["is_referenced"]
     assert "content_references" not in corpus.call("check_references", {"identifier": "helper", "search_content": False})
+
+
+def test_index_file_answers(spark, tmp_path):
+    """Every answer of index_file; the snapshot is a written one, which later changes in the folder do not reach; vectors follow."""
+    from corpusloom.operators.vectors import hashed_embedding
+    from corpusloom.sources.store import RepoStore
+
+    root = tmp_path / "r"
+    (root / "sub").mkdir(parents=True)
+    for name, text in (("a.py", "one = 1\n"), ("sub/b.py", "two = 2\n"), ("_own.py", "three = 3\n")):
+        (root / name).write_text(text)
+    store = RepoStore(spark, str(tmp_path / "store"), 16)
+    w = api.Workspace(spark, store=store, embed=lambda text: hashed_embedding(text, 8))
+    assert w.call("index_file", {"path": str(root / "a.py")})["error"].startswith("No indexed folder found that contains")
+    repo = w.call("index_folder", {"path": str(root)})["repo"]
+    own = w.corpora[repo]
+    (root / "a.py").write_text("changed = 1\n")
+    assert own.files.where("path = 'a.py'").first().content == "one = 1\n"
+    files = lambda: {r.path: r.content for r in store.load(repo).collect()}
+    ask = lambda p: {k: v for k, v in w.call("index_file", {"path": str(root / p)}).items() if k not in ("_meta", "duration_seconds", "indexed_at", "repo")}
+    assert ask("a.py") == {"success": True, "file": "a.py", "is_new": False, "symbol_count": 0} and files()["a.py"] == "changed = 1\n"
+    assert store.snapshots(repo).entry()["touched"] == 1
+    assert ask("a.py") == {"success": True, "message": "File unchanged", "file": "a.py"}
+    (root / "sub/__new__.py").write_text("four = 4\n")
+    assert ask("sub/../sub/__new__.py") == {"success": True, "file": "sub/__new__.py", "is_new": True, "symbol_count": 0}
+    assert {r.path for r in own.chunk_vectors.select("path").collect()} == {"a.py", "sub/b.py", "_own.py", "sub/__new__.py"} == set(files())
+    (root / "pic.BIN").write_bytes(b"\0")
+    (root / ".env.local").write_text("x")
+    assert ask("pic.BIN") == {"success": False, "error": "Unsupported file type: .bin. File not recognized as a supported language."}
+    assert ask(".env.local")["error"].startswith("Unsupported file type: .local.")
+    assert ask("gone.py") == {"success": False, "error": f"File not found: {root}/gone.py"} and ask("sub") == {"success": False, "error": f"Path is not a file: {root}/sub"}
+    assert ask("../store")["success"] is False and len(store.snapshots(repo).versions()) == 3
+    again = api.Workspace(spark, store=store)  # a new process: the last version counts
+    assert again.call("index_folder", {"path": str(root)})["message"] == "No changes detected" and again.call("index_file", {"path": str(root / "a.py")})["message"] == "File unchanged"
+
+
+def test_ingest_opens_what_it_may_take(spark, tmp_path, monkeypatch):
+    """Files that paths and sizes rule out stay unread; no hidden file is lost, however many; ignored files do not count against the cap."""
+    from corpusloom.sources import ingest
+
+    root = tmp_path / "r"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "pkg").mkdir()
+    for k in range(30):
+        (root / f"pkg/_h{k}.py").write_text(f"x = {k}\n" + "#" * 100)
+        (root / f"node_modules/m{k}.js").write_text("x")
+        (root / f"pkg/skip{k}.py").write_text("x")
+    (root / "pkg/.gitignore").write_text("skip*\n")
+    (root / "pkg/large.py").write_text("x" * 600_000)
+    monkeypatch.setattr(ingest, "_HELD_BYTES", 500)
+    read = []
+    real = ingest.contents
+    monkeypatch.setattr(ingest, "contents", lambda s, r, wanted, f: (read.extend(x.path for x in wanted.collect()), real(s, r, wanted, f))[1])
+    seen = {r.path: r.skip_reason for r in ingest.take(spark, str(root), str(tmp_path / "w"), cap=20).collect()}
+    assert sorted(read) == sorted(["pkg/.gitignore", *(f"pkg/_h{k}.py" for k in range(30))])
+    assert sum(v is None for v in seen.values()) == 20 and sum(v == "file_limit" for v in seen.values()) == 10
+    assert sum(v == "gitignore" for v in seen.values()) == 30 and seen["pkg/large.py"] == "too_large" and sum(v == "skip_dir" for v in seen.values()) == 30
+    monkeypatch.setattr(ingest, "_MOST_NAMED", 3)
+    all_seen = {r.path: r.content for r in ingest.take(spark, str(root), str(tmp_path / "w2"), links=spark.createDataFrame([("pkg/_h1.py", "symlink")], "path string, skip_reason string")).where("skip_reason is null").collect()}
+    assert len(all_seen) == 29 and all_seen["pkg/_h7.py"].startswith("x = 7")

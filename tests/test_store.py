@@ -75,3 +75,68 @@ def test_border_day_and_snapshots(spark, tmp_path):
     assert [r.call_count_delta for r in snaps.deltas().orderBy("captured_at").collect()] == [5, 3, 2]
     (tmp_path / "i.json").write_text('{"repo": "a/b", "symbols": [{"id": "1", "name": "f", "file": "x.py", "line": 3, "keywords": ["k"]}]}')
     assert [(r.repo, r.id, r.line, r.keywords, r.kind) for r in read_index_json(spark, str(tmp_path / "i.json")).collect()] == [("a/b", "1", 3, ["k"], None)]
+
+
+def _stored(root):
+    return {str(p.relative_to(root)) for p in (root / "data").rglob("*.parquet")}
+
+
+def test_versions_copy_on_write(spark, tmp_path, monkeypatch):
+    """Ten paths of a hundred thousand rewrite ten buckets at most; readers keep their version; a save that dies changes nothing; two writers."""
+    from corpusloom.sources import versions
+
+    root = tmp_path / "v"
+    own = versions.Snapshots(spark, str(root), buckets=64)
+    assert own.read().count() == 0 and own.versions() == [] and own.history().count() == 0
+    many = spark.range(100_000).select(F.concat(F.lit("d/f"), "id", F.lit(".py")).alias("path"), F.lit("added").alias("change_type"), F.concat(F.lit("x = "), "id").alias("content"))
+    assert own.commit(many, head="a") == 1
+    first = _stored(root)
+    assert len(first) == 64 and own.entry()["file_count"] == 100_000
+    held = own.read(1)
+    net = spark.createDataFrame([(f"d/f{k}.py", "modified", "y") for k in range(8)] + [("d/f9.py", "deleted", None), ("new.py", "added", "z")], "path string, change_type string, content string")
+    assert own.commit(net, head="b") == 2
+    second = _stored(root)
+    assert first < second and 1 <= len(second - first) <= 10 and own.entry()["touched"] == len(second - first)
+    assert own.read().count() == 100_000 and held.count() == 100_000 and held.where("path = 'new.py'").count() == 0
+    assert {r.path: r.content for r in own.read(2, ["new.py", "d/f0.py", "d/f9.py", "nowhere"]).collect()} == {"new.py": "z", "d/f0.py": "y"}
+    assert len(own.read(2, ["new.py"]).inputFiles()) == 1
+    assert {(r.path, r.change) for r in own.changes(1, 2).collect()} == {*((f"d/f{k}.py", "changed") for k in range(8)), ("d/f9.py", "deleted"), ("new.py", "new")}
+
+    real = versions.Snapshots._publish
+    monkeypatch.setattr(versions.Snapshots, "_publish", lambda self, entry: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        own.commit(net)
+    monkeypatch.setattr(versions.Snapshots, "_publish", real)
+    assert own.versions() == [1, 2] and own.read().count() == 100_000 and _stored(root) > second
+
+    other = versions.Snapshots(spark, str(root))
+    beaten = []
+
+    def slow(self, entry):  # another writer publishes first
+        if not beaten:
+            beaten.append(entry["version"])
+            monkeypatch.setattr(versions.Snapshots, "_publish", real)
+            other.commit(spark.createDataFrame([("other.py", "added", "o")], "path string, change_type string, content string"))
+        return real(self, entry)
+
+    monkeypatch.setattr(versions.Snapshots, "_publish", slow)
+    assert own.commit(spark.createDataFrame([("mine.py", "added", "m")], "path string, change_type string, content string")) == 4 and beaten == [3]
+    assert own.read().where("path in ('mine.py', 'other.py')").count() == 2
+    with pytest.raises(ValueError, match="several"):
+        own.commit(net.unionByName(net))
+    assert own.commit(net.limit(0)) == 5 and own.entry()["manifest"] == own.entry(4)["manifest"]
+    assert own.vacuum(keep=2, older_than=0) > 0 and own.versions() == [4, 5] and own.read().count() == 100_002 and own.read(4).count() == 100_002
+    with pytest.raises(ValueError, match="no version"):
+        own.read(1)
+    assert own.commit(own.read().select("path", F.lit("deleted").alias("change_type"), F.lit(None).cast("string").alias("content"))) == 6 and own.read().count() == 0
+
+
+def test_replacing_writes_what_differs(spark, tmp_path):
+    from corpusloom.sources.versions import Snapshots
+
+    own = Snapshots(spark, str(tmp_path / "r"), buckets=32)
+    files = spark.range(500).select(F.concat(F.lit("f"), "id").alias("path"), F.col("id").cast("string").alias("content"))
+    own.replace(files)
+    own.replace(files.where("path <> 'f7'").withColumn("content", F.when(F.col("path") == "f8", "eight").otherwise(F.col("content"))))
+    assert own.entry()["touched"] <= 2 and own.entry()["file_count"] == 499
+    assert [(r.version, r.touched > 2) for r in own.history().orderBy("version").collect()] == [(1, True), (2, False)]
