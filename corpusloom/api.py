@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import logging
 import os
 import time
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import catalog, chunks, graph, search, symbols, telemetry, vectors
+from .operators import catalog, chunks, graph, merkle, search, symbols, telemetry, vectors
 from .sources import ingest, scratch, tables
 from .sources.versions import Snapshots
 
@@ -87,7 +88,7 @@ ARGUMENTS: dict[str, dict[str, Arg]] = {
     "index_file": {"path": _text()},
     "list_repos": {},
     "resolve_repo": {"path": _text()},
-    "get_file_tree": {"path_prefix": _text(False)},
+    "get_file_tree": {"path_prefix": _text(False), "include_summaries": Arg(bool, False)},
     "get_file_outline": {"file_path": _text(False), "file_paths": Arg(list, [])},
     "get_symbol_source": {"symbol_id": _text(False), "symbol_ids": Arg(list, []), "verify": Arg(bool, False), "context_lines": Arg(int, 0, low=0, high=50)},
     "get_file_content": {"file_path": _text(), "start_line": Arg(int), "end_line": Arg(int)},
@@ -292,8 +293,11 @@ class Corpus:
 
     # ---- catalog
 
-    def get_file_tree(self, path_prefix: str) -> dict:
-        return {"tree": _list(catalog.file_tree(self.files, path_prefix).orderBy("directory"))}
+    def get_file_tree(self, path_prefix: str, include_summaries: bool) -> dict:
+        """The nested tree of a corpus, whose files are at most as many as its cap, and the sums of each directory."""
+        root = merkle.nested(self.files, path_prefix, include_summaries).where("directory = ''").first()
+        below = self.files.where(F.startswith("path", F.lit(path_prefix))).count()
+        return {"path_prefix": path_prefix, "tree": json.loads(root.tree) if root else [], "file_count": below, "directories": _list(catalog.file_tree(self.files, path_prefix).orderBy("directory"))}
 
     def get_file_outline(self, file_path: str, file_paths: list[str]) -> dict:
         asked = _ids(file_path, file_paths, "file_path")

@@ -207,6 +207,14 @@ def tree_hash(files: DataFrame) -> DataFrame:
     return files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("tree_sha256"), F.count("*").alias("file_count"))
 
 
+def fixture_digest(files: DataFrame) -> DataFrame:
+    """digest and file_count of a fixture by top directory: SHA-256 over each path in order, a line feed, and the 32 bytes of the content's digest. One sequence, so
+    a directory's list is one row; fixtures are small, and merkle.fold is the way for corpora."""
+    entry = F.concat(F.hex(F.col("path").cast("binary")), F.lit("0A"), F.upper(F.sha2(F.col("content").cast("binary"), 256)))
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))), lambda x: x["e"]), "")
+    return files.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory")).agg(F.concat(F.lit("sha256:"), F.sha2(F.unhex(own), 256)).alias("digest"), F.count("*").alias("file_count"))
+
+
 def latest_per_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """Each path with the longest root that contains it: a path is joined by equality with each of its own ancestors."""
     parts = F.split("path", "/")

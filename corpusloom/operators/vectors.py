@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,28 +43,95 @@ def _checked(v: Column) -> Column:
     return F.when(valid(v), v).otherwise(F.raise_error(F.lit("a vector is empty, not finite or of zero norm")).cast("array<double>"))
 
 
-#: Bytes of queries that are sent to every task at most.
-MOST_QUERY_BYTES = 64 << 20
+#: Bytes of queries that are sent to every task at most, and scores that a task holds at once.
+MOST_QUERY_BYTES, _CELLS = 64 << 20, 2 << 20
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def matrix(column, what: str = "vector") -> np.ndarray:
+    """The vectors of an Arrow column as rows; an error if one is null, empty, not finite, of zero norm, or of another size than the others."""
+    ends = column.value_lengths().to_numpy(zero_copy_only=False) if len(column) else np.zeros(0)
+    if column.null_count or (len(ends) and not ends.min()):
+        raise ValueError(f"a {what} is empty, not finite or of zero norm")
+    if len(ends) and (ends != ends[0]).any():
+        raise ValueError("vectors of unequal sizes")
+    out = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not (np.isfinite(out).all() and out.any(1).all()):
+        raise ValueError(f"a {what} is empty, not finite or of zero norm")
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+class Best:
+    """The k best (score, id) of each query so far; ties by id."""
+
+    def __init__(self, k: int):
+        self.k, self.query, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        q, s, i = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
+        order = np.lexsort((i, -s, q))
+        q = q[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+        rank = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        keep = rank < self.k
+        self.query, self.score, self.id = q[keep], s[order][keep], i[order][keep]
+
+
+def near(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of v) that hold the k best of v for each of q, with all that tie with the last. Both are of unit length."""
+    score = q @ v.T
+    if v.shape[0] > k:
+        last = np.partition(score, v.shape[0] - k, axis=1)[:, -k]
+        return np.nonzero(score >= last[:, None] - 1e-9)
+    return np.nonzero(np.ones(score.shape, bool))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank of the k nearest of each query in its namespace; ties by id. Vectors that are not valid, and queries of another
     size than the vectors, are errors.
 
-    queries (query_id, namespace, embedding) is a stated set: it is collected in blocks of bounded bytes, and each block goes once over all vectors, which keep
-    k rows for each query and task before anything is shuffled."""
-    q = queries.select("query_id", "namespace", _double(_checked(F.col("embedding"))).alias("q")).withColumn("qn", norm(F.col("q")))
-    size = q.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    queries (query_id, namespace, embedding) is a stated set: it is collected in blocks of bounded bytes, and each block goes once over all vectors. Scores are
+    products of matrices; a task keeps k rows for each query, whose scores it computes again by one and the same sum, so that equal vectors tie
+    exactly and products rounded in another order cannot decide."""
+    spark = vectors.sparkSession
+    q = queries.select("query_id", F.col("namespace").cast("string").alias("namespace"), "embedding")
+    size = q.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)) * 8 + 64)).first()[0] or 0
     parts = max(1, -(-size // MOST_QUERY_BYTES))
+    v = vectors.select(F.col("namespace").cast("string").alias("namespace"), F.col("id").cast("string").alias("id"), "embedding")
+    kind = queries.schema["query_id"].dataType
     out = None
-    v = vectors.select("namespace", "id", _double(_checked(F.col("embedding"))).alias("v")).withColumn("vn", norm(F.col("v")))
     for p in range(parts):
-        own = q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        met = v.join(F.broadcast(own), "namespace")
-        sizes = F.when(F.size("q") == F.size("v"), dot(F.col("q"), F.col("v"))).otherwise(F.raise_error(F.lit("vectors of unequal sizes")).cast("double"))
-        score = F.least(F.greatest(sizes / (F.col("qn") * F.col("vn")), F.lit(-1.0)), F.lit(1.0))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        best = met.select("query_id", "id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+        own = (q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)).toArrow().combine_chunks()
+        spaces = own["namespace"].to_pylist()
+        by_space = {n: np.array([j for j, x in enumerate(spaces) if x == n], np.int64) for n in set(spaces)}
+        asked = {n: (at, unit(matrix(own["embedding"].take(at).combine_chunks()))) for n, at in by_space.items()}
+        sent = spark.sparkContext.broadcast(asked)
+
+        def run(batches, sent=sent):
+            best = Best(k)
+            for b in batches:
+                names = np.array(b.column(0).to_pylist(), object)
+                for n, (at, m) in sent.value.items():
+                    rows = np.flatnonzero(names == n)
+                    if not len(rows):
+                        continue
+                    x = matrix(b.column(2).take(rows))
+                    if x.shape[1] != m.shape[1]:
+                        raise ValueError("vectors of unequal sizes")
+                    x, ids = unit(x), np.array(b.column(1).take(rows).to_pylist())
+                    step = max(1, _CELLS // len(rows))
+                    for a in range(0, len(m), step):
+                        i, j = near(m[a : a + step], x, k)
+                        best.add(at[a + i], np.clip(np.einsum("ij,ij->i", m[a + i], x[j]), -1, 1), ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.id.tolist(), pa.string()), pa.array(best.score)], ["at", "id", "score"])
+
+        names = spark.createDataFrame(own.select(["query_id"]).append_column("at", pa.array(np.arange(len(own)))))
+        found = v.mapInArrow(run, "at long, id string, score double")
+        rank = F.row_number().over(W.partitionBy("at").orderBy(F.desc("score"), "id"))
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "at").select(F.col("query_id").cast(kind).alias("query_id"), "id", "score", "rank")
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, chunks, evaluation, graph, search, symbols, telemetry, vectors
+from ..operators import ann, catalog, chunks, evaluation, graph, merkle, search, symbols, telemetry, vectors
 from ..sources import ingest, scratch, versions
 from ..sources import tables as t
 from ..streaming import changes
@@ -132,6 +132,13 @@ def mean_measures(spark, sf_dir):
     return found.select("query_count", F.round("mean_recall", 6).alias("mean_recall"), F.round("mean_mrr", 6).alias("mean_mrr"))
 
 
+@_query()
+def ann_topk(spark, sf_dir):
+    """The ten nearest of each query by the inverted file, with as many probes as a recall of 0.95 needs; measured in tests/test_ann.py."""
+    found = ann.nearest(t.vectors(spark, sf_dir), _asked(spark, sf_dir), 10, scratch.folder(spark, "ann"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @_query("SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) > 0) AS n_valid FROM embeddings")
 def vector_validation(spark, sf_dir):
     return t.vectors(spark, sf_dir).agg(F.count("*").alias("n"), F.count(F.when(vectors.valid(F.col("embedding")), 1)).alias("n_valid"))
@@ -249,7 +256,11 @@ def scoped_ignores(spark, sf_dir):
     return catalog.scoped_ignored(f, catalog.ignore_rules(f.unionByName(own).unionByName(root)))
 
 
-@_query()
+_BLOCKS = "substring(sha256({0}), 1, 3)"
+
+
+@_query(f"""WITH {_FILES}, b AS (SELECT string_split(path, '/')[1] AS directory, {_BLOCKS.format('path')} AS block, sha256(string_agg(path || chr(0) || sha256(coalesce(content, '')) || chr(10), '' ORDER BY path)) AS d, count(*) AS n FROM files WHERE path IS NOT NULL GROUP BY 1, 2)
+ SELECT directory, sha256(string_agg(d, '' ORDER BY block)) AS tree_sha256, CAST(sum(n) AS BIGINT) AS file_count FROM b GROUP BY 1""")
 def tree_digest(spark, sf_dir):
     return catalog.tree_digest(t.files(spark, sf_dir))
 
@@ -264,6 +275,49 @@ def incremental_snapshot(spark, sf_dir):
     return ingest.incremental(stored, current.select("path", "content"))
 
 
+@_query(f"""WITH {_FILES} SELECT string_split(path, '/')[1] AS directory, 'sha256:' || sha256(unhex(string_agg(hex(encode(path)) || '0A' || sha256(content), '' ORDER BY path))) AS digest, count(*) AS file_count FROM files GROUP BY 1""")
+def fixture_digest(spark, sf_dir):
+    return catalog.fixture_digest(t.files(spark, sf_dir))
+
+
+def _fold_sql(name: str, children: str) -> str:
+    """name: directory, digest, file_count, size_bytes of children (directory, name, kind, digest, n, size)."""
+    return f"""{name}_b AS (SELECT directory, {_BLOCKS.format('name')} AS block, sha256(string_agg(name || chr(0) || kind || chr(0) || digest || chr(10), '' ORDER BY name)) AS d, sum(n) AS n, sum(size) AS size FROM ({children}) GROUP BY 1, 2),
+ {name} AS (SELECT directory, sha256(string_agg(block || d, '' ORDER BY block)) AS digest, sum(n) AS n, sum(size) AS size FROM {name}_b GROUP BY 1)"""
+
+
+_UP = "SELECT regexp_replace(directory, '/?[^/]*$', '') AS directory, string_split(directory, '/')[-1] AS name, 'd' AS kind, digest, n, size FROM "
+
+
+@_query(f"""WITH {_FILES}, leaf AS (SELECT regexp_replace(path, '/[^/]*$', '') AS directory, string_split(path, '/')[-1] AS name, 'f' AS kind, sha256(coalesce(content, '')) AS digest, 1 AS n, coalesce(size_bytes, 0) AS size FROM files),
+ {_fold_sql("two", "FROM leaf")}, {_fold_sql("one", _UP + "two")}, {_fold_sql("zero", _UP + "one")}, every AS (FROM two UNION ALL FROM one UNION ALL FROM zero)
+ SELECT directory, digest, CAST(n AS BIGINT) AS file_count, CAST(size AS BIGINT) AS size_bytes FROM every""")
+def merkle_directories(spark, sf_dir):
+    """Digest, files and bytes of every directory."""
+    return merkle.fold(t.files(spark, sf_dir))[0]
+
+
+@_query(ORACLE_SQL["file_diff"])
+def merkle_diff(spark, sf_dir):
+    """The files that differ between two stored trees, found from their roots down."""
+    f = t.files(spark, sf_dir)
+    at = scratch.folder(spark, "trees")
+    a = merkle.Tree(spark, f"{at}/a").write(f.where("size_bytes % 10 <> 1"))
+    b = f.where("size_bytes % 10 <> 2").withColumn("content", F.when(F.col("size_bytes") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return merkle.diff(a, merkle.Tree(spark, f"{at}/b").write(b))
+
+
+_NEST = """SELECT {up} AS directory, '[' || string_agg(node, ',' ORDER BY name) || ']' AS tree FROM {rows} GROUP BY 1"""
+_DIRECTORY = """SELECT directory AS place, string_split(directory, '/')[-1] AS name, '{{"children":' || tree || ',"path":"' || string_split(directory, '/')[-1] || '/","type":"dir"}}' AS node FROM {0}"""
+
+
+@_query(f"""WITH {_FILES}, leaf AS (SELECT regexp_replace(path, '/[^/]*$', '') AS place, string_split(path, '/')[-1] AS name, '{{"language":"' || CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' ELSE 'sql' END || '","path":"' || path || '","symbol_count":0,"type":"file"}}' AS node FROM files),
+ two AS ({_NEST.format(up="place", rows="leaf")}), one AS ({_NEST.format(up="string_split(place, '/')[1]", rows="(" + _DIRECTORY.format("two") + ")")}), zero AS ({_NEST.format(up="''", rows="(" + _DIRECTORY.format("one") + ")")})
+ FROM two UNION ALL FROM one UNION ALL FROM zero""")
+def nested_tree(spark, sf_dir):
+    return merkle.nested(t.files(spark, sf_dir))
+
+
 _COMMITS = f"""WITH {_FILES}, first AS (SELECT path, content FROM files WHERE size_bytes % 10 <> 1),
  second AS (SELECT path, CASE WHEN size_bytes % 7 = 0 AND size_bytes % 10 <> 1 THEN content || '!' ELSE content END AS content, size_bytes FROM files WHERE size_bytes % 10 NOT IN (1, 2) OR (size_bytes % 10 = 1 AND size_bytes % 3 = 0)),
  third AS (SELECT path, content FROM second WHERE size_bytes % 10 <> 1 OR size_bytes % 2 = size_bytes % 4 UNION ALL SELECT path, 'back' FROM files WHERE size_bytes % 10 = 2 AND size_bytes % 4 = 0)"""

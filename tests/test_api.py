@@ -31,7 +31,7 @@ def test_all_tools_have_arguments():
 CASES = {
     "list_repos": ({}, lambda r: [x["repo"] for x in r["repos"]] == ["local/corpus", "local/other"]),
     "resolve_repo": ({"path": "/a/b"}, lambda r: r["repo"].startswith("local/b-") and not r["indexed"]),
-    "get_file_tree": ({"path_prefix": "src/"}, lambda r: r["tree"][0] == {"directory": "(root)", "file_count": 4, "size_bytes": sum(len(c) for p, c in FILES if p.startswith("src/"))}),
+    "get_file_tree": ({"path_prefix": "src/"}, lambda r: [x["path"] for x in r["tree"]] == ["app/", "utils/"] and r["tree"][1]["children"][0] == {"language": "typescript", "path": "src/utils/helper.ts", "symbol_count": 0, "type": "file"} and r["file_count"] == 4 and r["directories"][0] == {"directory": "(root)", "file_count": 4, "size_bytes": sum(len(c) for p, c in FILES if p.startswith("src/"))}),
     "get_file_outline": ({"file_paths": ["m.sql", "no"]}, lambda r: r["results"][0]["language"] == "sql" and "error" in r["results"][1]),
     "get_file_content": ({"file_path": "src/app/main.ts", "start_line": "2"}, lambda r: r["content"].startswith("import def") and r["end_line"] == 2),
     "get_symbol_source": ({"symbol_ids": ["helper", "no"]}, lambda r: r["results"][0]["source"] == "export const helper = 1" and "error" in r["results"][1]),
