@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import ann, catalog, chunks, evaluation, graph, merkle, search, symbols, telemetry, vectors
 from ..sources import ingest, scratch, versions
 from ..sources import tables as t
-from ..streaming import changes
+from ..streaming import changes, cumulative, keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -656,12 +656,41 @@ def tumbling_buckets(spark, sf_dir):
 
 @_query("""WITH RECURSIVE e AS (SELECT CAST(user_id % 10 AS INT) AS folder, CAST(user_id AS VARCHAR) AS path, CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'modified' WHEN 'signup' THEN 'added' WHEN 'purchase' THEN 'added' ELSE 'deleted' END AS c,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), f AS (SELECT folder, path, rn, c AS s FROM e WHERE rn = 1
- UNION ALL SELECT e.folder, e.path, e.rn, CASE WHEN f.s = 'added' AND e.c = 'deleted' THEN 'none' WHEN f.s = 'added' AND e.c = 'modified' THEN 'added' WHEN f.s = 'deleted' AND e.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND e.c = 'modified' THEN 'deleted' ELSE e.c END FROM f JOIN e ON e.path = f.path AND e.rn = f.rn + 1)
+ UNION ALL SELECT e.folder, e.path, e.rn, CASE WHEN f.s = 'added' AND e.c = 'deleted' THEN 'none' WHEN f.s = 'added' AND e.c = 'modified' THEN 'added' WHEN f.s = 'modified' AND e.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND e.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND e.c = 'modified' THEN 'deleted' ELSE e.c END FROM f JOIN e ON e.path = f.path AND e.rn = f.rn + 1)
  SELECT folder, path, s AS change_type FROM (SELECT *, max(rn) OVER (PARTITION BY path) AS m FROM f) WHERE rn = m AND s <> 'none'""")
 def change_coalescing(spark, sf_dir):
     return changes.coalesce(t.changes(spark, sf_dir), "folder")
 
 
+@_query(f"""WITH RECURSIVE e AS (SELECT CAST(user_id % 10 AS INT) AS folder, CAST(user_id AS VARCHAR) AS path, CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'modified' WHEN 'signup' THEN 'added' WHEN 'purchase' THEN 'added' ELSE 'deleted' END AS c,
+  ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM e),
+ n AS (SELECT *, row_number() OVER (PARTITION BY path, burst ORDER BY ts, event_id) AS rn FROM g), f AS (SELECT folder, path, burst, rn, c AS s FROM n WHERE rn = 1
+ UNION ALL SELECT n.folder, n.path, n.burst, n.rn, CASE WHEN f.s = 'added' AND n.c = 'deleted' THEN 'none' WHEN f.s = 'added' AND n.c = 'modified' THEN 'added' WHEN f.s = 'modified' AND n.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND n.c = 'added' THEN 'modified' WHEN f.s = 'deleted' AND n.c = 'modified' THEN 'deleted' ELSE n.c END
+  FROM f JOIN n ON n.path = f.path AND n.burst = f.burst AND n.rn = f.rn + 1), b AS (SELECT path, burst, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_changes FROM g GROUP BY 1, 2)
+ SELECT folder, f.path, s AS change_type, first_at, last_at, n_changes FROM f JOIN b ON f.path = b.path AND f.burst = b.burst AND f.rn = b.n_changes WHERE s <> 'none'""")
+def change_bursts(spark, sf_dir):
+    """The batch twin of streaming.keyed.bursts."""
+    return keyed.batch_bursts(t.changes(spark, sf_dir), 3600.0)
+
+
+_TOTALS = """tool_name, CAST(sum(greatest(logical, 1)) AS BIGINT) AS call_count, CAST(sum(request_tokens) AS BIGINT) AS request_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens_saved) AS BIGINT) AS input_tokens_saved,
+ CAST(sum(output_tokens_saved) AS BIGINT) AS output_tokens_saved, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, min(captured_at) AS first_recorded_at"""
+
+
+@_query(f"""WITH {_CALLS} SELECT {_TOTALS.replace("logical", "1")}, (SELECT count(DISTINCT session) FROM calls) AS session_count FROM calls GROUP BY tool_name""")
+def cumulative_totals(spark, sf_dir):
+    """A snapshot restored from the calls of some days, then later calls in two batches, the second of which comes twice."""
+    calls = t.call_events(spark, sf_dir)
+    third = F.pmod(F.unix_timestamp(F.col("captured_at").cast("timestamp")) / 86400, F.lit(3)).cast("int")
+    own = cumulative.Cumulative(spark, scratch.folder(spark, "totals"))
+    own.add(calls.where(third == 0), 0, "before")
+    kept = cumulative.Cumulative(spark, own.path)  # as a new process finds it
+    for batch in (0, 1, 1):
+        kept.add(calls.where(third == batch + 1), batch)
+    sessions = kept.snapshot().select("session_count")
+    return kept.tools().select("tool_name", *cumulative.COUNTERS, F.col("first_recorded_at").cast("timestamp_ntz").alias("first_recorded_at")).crossJoin(F.broadcast(sessions))  # one row
+
+
 @_query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(strlen(text)) AS BIGINT) AS size_bytes FROM conversations GROUP BY role")
 def conversation_roles(spark, sf_dir):
     c = t.table(spark, sf_dir, "conversations")

@@ -14,7 +14,7 @@ def _merge(before: Column, now: Column) -> Column:
     return (
         F.when(before.isNull() | (before == "none"), now)
         .when((before == "added") & (now == "deleted"), "none").when((before == "added") & (now == "modified"), "added")
-        .when((before == "modified") & (now == "deleted"), "deleted").when((before == "deleted") & (now == "added"), "modified")
+        .when((before == "modified") & (now == "added"), "modified").when((before == "modified") & (now == "deleted"), "deleted").when((before == "deleted") & (now == "added"), "modified")
         .when((before == "deleted") & (now == "modified"), "deleted").otherwise(now)
     )
 

@@ -282,7 +282,7 @@ def test_coalesce_is_a_fold(spark):
     net = {}
     for _, path, now, _, _ in sorted((r for r in rows if r[2] != "other"), key=lambda r: (r[1], r[3], r[4])):
         before = net.get(path, "none")
-        net[path] = {("added", "deleted"): "none", ("added", "modified"): "added", ("deleted", "added"): "modified", ("deleted", "modified"): "deleted"}.get((before, now), now)
+        net[path] = {("added", "deleted"): "none", ("added", "modified"): "added", ("modified", "added"): "modified", ("deleted", "added"): "modified", ("deleted", "modified"): "deleted"}.get((before, now), now)
     got = changes.coalesce(spark.createDataFrame(rows, "folder int, path string, change_type string, event_time timestamp, seq long"), "folder")
     assert {r.path: r.change_type for r in got.collect()} == {p: s for p, s in net.items() if s != "none"}
 
