@@ -27,8 +27,8 @@ from .sources import ingest, scratch, tables
 from .sources.versions import Snapshots
 
 _TRUE, _FALSE = {"true", "1", "yes", "on"}, {"false", "0", "no", "off"}
-#: Items of one batch at most.
-MOST_BATCH = 256
+#: Items of one batch at most, and rows of a list that has no limit of its own; a longer one says that it is truncated.
+MOST_BATCH, MOST_ROWS = 256, 50_000
 
 
 class RequestError(ValueError):
@@ -324,8 +324,11 @@ class Corpus:
     def get_symbol_diff(self) -> dict:
         if self.other is None:
             raise RequestError("there is no other corpus to compare with")
-        rows = _list(catalog.symbol_diff(self._symbols(), self.other._symbols()).orderBy("file", "name", "kind"))
-        return {s: [r for r in rows if r["status"] == s] for s in ("added", "removed", "changed")} | {"unchanged_count": sum(r["status"] == "unchanged" for r in rows)}
+        diff = catalog.symbol_diff(self._symbols(), self.other._symbols())
+        n = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
+        rows = _list(diff.where("status <> 'unchanged'").orderBy("file", "name", "kind").limit(MOST_ROWS))
+        out = {s: [r for r in rows if r["status"] == s] for s in ("added", "removed", "changed")} | {"unchanged_count": n.get("unchanged", 0)}
+        return out | ({"truncated": True} if sum(n.values()) - n.get("unchanged", 0) > len(rows) else {})
 
     # ---- search
 
@@ -412,8 +415,12 @@ class Corpus:
         if file_path:
             rows = _list(graph.importers(self.imports, file_path, max_results))
             return {"file_path": file_path, "importer_count": self.imports.where(F.col("resolved") == file_path).select("source_file").distinct().count(), "importers": rows}
-        counts = {r.resolved: r["count"] for r in self.imports.where(F.col("resolved").isin(*asked)).groupBy("resolved").count().collect()}
-        return {"results": [{"file_path": p, "importer_count": counts.get(p, 0), "importers": _list(graph.importers(self.imports, p, max_results))} for p in asked]}
+        found: dict[str, list[dict]] = {}
+        for r in _list(graph.importers_of(self.imports, asked, max_results).orderBy("path", "file")):
+            found.setdefault(r.pop("path"), []).append(r)
+        counts = {p: own[0]["importer_count"] for p, own in found.items()}
+        rows = lambda p: [{k: v for k, v in r.items() if k != "importer_count"} for r in found.get(p, [])]
+        return {"results": [{"file_path": p, "importer_count": counts.get(p, 0), "importers": rows(p)} for p in asked]}
 
     def find_references(self, identifier, identifiers, max_results) -> dict:
         asked = _ids(identifier, identifiers, "identifier")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import Steps
 
 #: Import statements. Groups: clause and specifier where there are two.
 _JS_FROM = r"""(?md)^\s*import\s+(.+?)\s+from\s+['"]([^'"]+)['"]"""
@@ -38,33 +39,41 @@ def _js_names(clause: Column) -> Column:
     return _names(F.concat(F.array(default), braces, star))
 
 
+def _slashes(c: Column) -> Column:
+    return F.replace(tx.trim_unicode(c), F.lit("."), F.lit("/"))
+
+
+def _module(part: Column) -> Column:
+    return _slashes(F.regexp_replace(part, r"\s+as\s+.*$", ""))
+
+
 def extract_imports(files: DataFrame, strict_language: bool = False) -> DataFrame:
     """source_file, specifier, names of all import statements. Every pattern runs on every file, as parity asks; strict_language runs
-    those of the file's language only."""
-    src = files.select(F.col("path").alias("source_file"), "content", tx.language_of(F.col("path")).alias("lang"))
-    none = F.array().cast("array<string>")
-
-    def found(pattern: str, languages: tuple[str, ...], two: bool = False):
-        df = src.where(F.col("lang").isin(*languages)) if strict_language else src
-        whole = df.select("source_file", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("m"))
-        groups = [F.regexp_extract("m", pattern, k).alias(f"g{k}") for k in ((1, 2) if two else (1,))]
-        return whole.select("source_file", *groups)
-
-    js = ("javascript", "typescript", "vue")
-    slash = lambda c: F.replace(tx.trim_unicode(c), F.lit("."), F.lit("/"))
-    out = [found(_JS_FROM, js, True).select("source_file", F.col("g2").alias("specifier"), _js_names(F.col("g1")).alias("names"))]
-    for pattern, languages in ((_JS_BARE, js), (_REQUIRE, js), (_INCLUDE, ("c", "cpp")), (_REF, ("sql",))):
-        out.append(found(pattern, languages).select("source_file", F.col("g1").alias("specifier"), none.alias("names")))
-    py_names = F.transform(F.split("g2", ","), lambda p: F.regexp_replace(p, r"\s+as\s+.*$", ""))
-    out.append(found(_PY_FROM, ("python",), True).select("source_file", slash(F.col("g1")).alias("specifier"), _names(py_names).alias("names")))
-    plain = found(_PY_IMPORT, ("python",)).where(~F.contains(tx.trim_unicode(F.col("g1")), F.lit(" import "))).select("source_file", F.explode(F.split("g1", ",")).alias("part"))
-    module = slash(F.regexp_replace("part", r"\s+as\s+.*$", ""))
-    alias = F.regexp_extract("part", r"\s+as\s+(\S+)", 1)
-    out.append(plain.select("source_file", module.alias("specifier"), _names(F.array(F.when(alias != "", alias).otherwise(tx.path_base(module)))).alias("names")))
-    rows = out[0]
-    for o in out[1:]:
-        rows = rows.unionByName(o)
-    return rows.withColumn("specifier", tx.trim_unicode(F.col("specifier"))).where("specifier <> ''")
+    those of the file's language only. Contents are read once: all patterns' matches of a file are one list, and a match is taken apart as its kind asks."""
+    lang = tx.language_of(F.col("path"))
+    js, none = ("javascript", "typescript", "vue"), F.array().cast("array<string>")
+    part = lambda pattern, k: F.regexp_extract("m", pattern, k)
+    one = lambda specifier, names=none: F.array(F.struct(specifier.alias("specifier"), names.alias("names")))
+    py_names = _names(F.transform(F.split(part(_PY_FROM, 2), ","), lambda p: F.regexp_replace(p, r"\s+as\s+.*$", "")))
+    alias = lambda p: F.regexp_extract(p, r"\s+as\s+(\S+)", 1)
+    named = lambda p: _names(F.array(F.when(alias(p) != "", alias(p)).otherwise(tx.path_base(_module(p)))))
+    modules = F.transform(F.split(part(_PY_IMPORT, 1), ","), lambda p: F.struct(_module(p).alias("specifier"), named(p).alias("names")))
+    plain = F.when(~F.contains(tx.trim_unicode(part(_PY_IMPORT, 1)), F.lit(" import ")), modules)
+    kinds = [
+        (_JS_FROM, js, one(part(_JS_FROM, 2), _js_names(part(_JS_FROM, 1)))), (_JS_BARE, js, one(part(_JS_BARE, 1))), (_REQUIRE, js, one(part(_REQUIRE, 1))),
+        (_INCLUDE, ("c", "cpp"), one(part(_INCLUDE, 1))), (_REF, ("sql",), one(part(_REF, 1))),
+        (_PY_FROM, ("python",), one(_slashes(part(_PY_FROM, 1)), py_names)), (_PY_IMPORT, ("python",), plain),
+    ]
+    tagged = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("m"))
+    lists, taken = [], None
+    for k, (pattern, languages, records) in enumerate(kinds):
+        matches = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
+        found = F.transform(matches, tagged(k))
+        lists.append(F.when(lang.isin(*languages), found).otherwise(F.array().cast("array<struct<kind:int,m:string>>")) if strict_language else found)
+        taken = F.when(F.col("kind") == k, records) if taken is None else taken.when(F.col("kind") == k, records)
+    rows = files.where("content is not null").select(F.col("path").alias("source_file"), F.explode(F.concat(*lists)).alias("x")).select("source_file", "x.*")
+    rows = rows.select("source_file", F.explode(taken).alias("r")).select("source_file", tx.trim_unicode(F.col("r.specifier")).alias("specifier"), "r.names")
+    return rows.where("specifier <> ''")
 
 
 def _resolved_dots(c: Column) -> Column:
@@ -84,18 +93,33 @@ def candidates() -> Column:
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports with resolved: the first candidate that is a file; else the first file (by path) whose path goes on from a candidate with
-    a suffix or `/index.` and a suffix. Both are joins by equality: a file is keyed by every beginning that it can stand for."""
-    rows = imports.withColumn("_row", F.monotonically_increasing_id()).withColumn("_c", candidates())
-    asked = rows.select("_row", F.posexplode("_c").alias("pos", "key"))
+    a suffix or `/index.` and a suffix. Both are joins by equality: a file is keyed by every beginning that it can stand for, and what a specifier means is found
+    once for each file that has it, by these two names and no row numbers."""
+    key = ["source_file", "specifier"]
+    asked = imports.select(*key).distinct().select(*key, F.posexplode(candidates()).alias("pos", "key"))
     paths = files.select("path")
     parts = F.split(tx.path_base(F.col("path")), r"\.")
     folder = F.regexp_replace("path", "[^/]*$", "")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.concat(folder, F.array_join(F.slice(parts, 1, k), ".")))
     index = F.when(F.startswith(tx.path_base(F.col("path")), F.lit("index.")), F.array(F.regexp_replace("path", "/[^/]*$", ""))).otherwise(F.array().cast("array<string>"))
-    keyed = paths.where(F.size(parts) > 1).select("path", F.explode(F.concat(starts, index)).alias("key")).groupBy("key").agg(F.min("path").alias("path"))
-    exact = asked.join(paths.select(F.col("path").alias("key")), "key").groupBy("_row").agg(F.min_by("key", "pos").alias("exact"))
-    near = asked.join(keyed, "key").groupBy("_row").agg(F.min_by("path", "pos").alias("near"))
-    return rows.join(exact, "_row", "left").join(near, "_row", "left").withColumn("resolved", F.coalesce("exact", "near")).drop("_row", "_c", "exact", "near")
+    keyed = paths.where(F.size(parts) > 1).select("path", F.explode(F.concat(starts, index)).alias("key")).groupBy("key").agg(F.min("path").alias("near"))
+    known = paths.select(F.col("path").alias("key")).distinct().withColumn("is_file", F.lit(True))
+    met = asked.join(known, "key", "left").join(keyed, "key", "left").where("is_file or near is not null")
+    best = met.groupBy(*key).agg(F.min_by("key", F.when(F.col("is_file"), F.col("pos"))).alias("exact"), F.min_by("near", F.when(F.col("near").isNotNull(), F.col("pos"))).alias("near"))
+    return imports.drop("resolved").join(best.select(*key, F.coalesce("exact", "near").alias("resolved")), key, "left").select(*[c for c in imports.columns if c != "resolved"], "resolved")
+
+
+def importers_of(imports: DataFrame, paths: list[str], most: int = 50) -> DataFrame:
+    """path, importer_count, file, specifier, names, has_importers: as importers(), for many files in one pass; the first `most` importers of each by
+    name, with how many there are."""
+    most = max(1, min(most, 200))
+    own = imports.where(F.col("resolved").isin(*paths)).groupBy(F.col("resolved").alias("path"), "source_file").agg(F.min(F.struct("specifier", "names")).alias("m"))
+    w = W.partitionBy("path").orderBy("source_file")
+    counts = own.groupBy("path").agg(F.count("*").alias("importer_count"))
+    few = own.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k").join(counts, "path")
+    asked = few.select("source_file").distinct()
+    imported = imports.where("resolved is not null").select(F.col("resolved").alias("source_file")).join(asked, "source_file", "left_semi").distinct().withColumn("_has", F.lit(True))
+    return few.join(imported, "source_file", "left").select("path", "importer_count", F.col("source_file").alias("file"), "m.specifier", "m.names", F.coalesce("_has", F.lit(False)).alias("has_importers"))
 
 
 def importers(imports: DataFrame, path: str, most: int = 50) -> DataFrame:
@@ -118,13 +142,23 @@ def references(imports: DataFrame, identifiers: list[str]) -> DataFrame:
     return hits.groupBy("m.identifier", F.col("source_file").alias("file"), "specifier").agg(F.min("m.match_type").alias("match_type"))
 
 
+def _holding(files: DataFrame, identifiers: dict[str, str]) -> DataFrame:
+    """path, identifier, low of the files whose content has an identifier. One expression for each, outside of any lambda, so that the content is
+    lower-cased once a file."""
+    content = F.lower("content")
+    hits = [F.when(F.contains(content, F.lit(low)), F.struct(F.lit(i).alias("identifier"), F.lit(low).alias("low"))) for i, low in identifiers.items()]
+    if not hits:
+        return files.select("path", F.lit("").alias("identifier"), F.lit("").alias("low")).where("false")
+    return files.select("path", F.explode(F.array_compact(F.array(*hits))).alias("w")).select("path", "w.*")
+
+
 def check_references(imports: DataFrame, files: DataFrame, symbols: DataFrame, identifiers: list[str]) -> DataFrame:
     """identifier, import_files, content_files: files that import it; files that contain it as text but do not define it."""
     by_import = references(imports, identifiers).groupBy("identifier").agg(F.countDistinct("file").alias("import_files"))
     words = F.array(*[F.lit(i) for i in identifiers])
-    holds = files.select("path", F.explode(F.filter(words, lambda w: F.contains(F.lower("content"), F.lower(w)))).alias("identifier"))
+    holds = _holding(files, {i: i.lower() for i in identifiers})
     defines = symbols.select(F.col("file").alias("path"), F.lower("name").alias("low")).distinct()
-    loose = holds.withColumn("low", F.lower("identifier")).join(defines, ["path", "low"], "left_anti")
+    loose = holds.join(defines, ["path", "low"], "left_anti")
     by_content = loose.groupBy("identifier").agg(F.count("*").alias("content_files"))
     asked = files.sparkSession.range(1).select(F.explode(words).alias("identifier"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -135,9 +169,7 @@ def content_references(files: DataFrame, symbols: DataFrame, identifiers: list[s
     """identifier, file, line, text (clamped) of the lines that contain an identifier without regard to case, in files that do not define a symbol of
     that name: those of the first `most_files` (1 to 100) such files by path for each identifier."""
     most_files = max(1, min(most_files, 100))
-    asked = F.array(*[F.struct(F.lit(i).alias("identifier"), F.lit(i.strip().lower()).alias("low")) for i in dict.fromkeys(identifiers) if i.strip()])
-    content = F.lower("content")
-    holds = files.select("path", F.explode(F.filter(asked, lambda w: F.contains(content, w["low"]))).alias("w")).select("path", "w.*")
+    holds = _holding(files, {i: i.strip().lower() for i in identifiers if i.strip()})
     defines = symbols.select(F.col("file").alias("path"), F.lower(tx.trim_unicode(F.col("name"))).alias("low")).distinct()
     loose = holds.join(defines, ["path", "low"], "left_anti")
     first = loose.withColumn("_k", F.row_number().over(W.partitionBy("identifier").orderBy("path"))).where(F.col("_k") <= most_files).drop("_k")
@@ -148,18 +180,20 @@ def content_references(files: DataFrame, symbols: DataFrame, identifiers: list[s
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int, direction: str = "imports") -> tuple[DataFrame, DataFrame]:
     """(nodes with level, edges met) within `depth` (1 to 3) steps of the start nodes. Each step is a join of the frontier with the edges
-    and an anti-join with what was seen; edges from nodes of a level below depth are kept, also to nodes already seen."""
+    and an anti-join with what was seen; edges from nodes of a level below depth are kept, also to nodes already seen. The distinct edges
+    and each frontier are written, so that no step computes them again."""
     depth = max(1, min(depth, 3))
+    steps = Steps(edges.sparkSession, "bfs")
     e = edges.select("source", "target").where("source <> target").distinct()
     if direction == "importers":
         e = e.select(F.col("target").alias("source"), F.col("source").alias("target"))
     elif direction == "both":
         e = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    nodes = start.select(F.col(start.columns[0]).alias("node")).distinct().withColumn("level", F.lit(0))
-    front = nodes
+    e = steps.save(e)
+    nodes = front = steps.save(start.select(F.col(start.columns[0]).alias("node")).distinct().withColumn("level", F.lit(0)))
     for level in range(1, depth + 1):
         reached = front.join(e, front.node == e.source).select(F.col("target").alias("node")).distinct()
-        front = reached.join(nodes.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
+        front = steps.save(reached.join(nodes.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         nodes = nodes.unionByName(front)
     met = e.join(nodes.where(F.col("level") < depth).select(F.col("node").alias("source")), "source", "left_semi")
     return nodes, met

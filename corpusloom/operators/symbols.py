@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.scratch import Steps
 
 #: Kinds that can be asked for.
 KINDS = ("function", "class", "method", "constant", "type", "template", "import")
@@ -111,9 +112,10 @@ _EXTERNAL = r"^[A-Z][\w.]*$"
 
 def class_bases(symbols: DataFrame) -> DataFrame:
     """name, base of each class: what follows extends (up to implements, which is no base) and implements, else the capitalised names in the
-    parentheses of a definition."""
+    parentheses of a definition. A base ends where a brace, a parenthesis or a type parameter begins."""
     own = symbols.where(F.lower("kind") == "class").select("name", F.coalesce("signature", F.lit("")).alias("sig"))
-    names = lambda text: F.filter(F.transform(F.split(text, ","), tx.trim_unicode), lambda b: b != "")
+    bare = lambda b: tx.trim_unicode(F.regexp_extract(b, r"^([^{(<]*)", 1))
+    names = lambda text: F.filter(F.transform(F.split(text, ","), bare), lambda b: b != "")
     extends = F.regexp_replace(F.regexp_extract("sig", _EXTENDS, 1), r"(?is)(^|\s)implements\b.*$", "")
     named = F.concat(names(extends), names(F.regexp_extract("sig", _IMPLEMENTS, 1)))
     inside = F.filter(names(F.regexp_extract("sig", _IN_PARENTHESES, 1)), lambda b: b.rlike(_EXTERNAL))
@@ -125,21 +127,14 @@ def closure(bases: DataFrame, start: str, up: bool = True) -> DataFrame:
     each level is one join with the bases, and only classes not met before go on, so that cycles end."""
     spark = bases.sparkSession
     near, far = ("name", "base") if up else ("base", "name")
-    steps = bases.select(F.col(near).alias("near"), F.col(far).alias("far")).persist()
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    seen = spark.createDataFrame([(start, 0)], "name string, level int")
-    front, held, level = seen, None, 0
+    written = Steps(spark, "closure")
+    steps = written.save(bases.select(F.col(near).alias("near"), F.col(far).alias("far")))
+    seen = front = spark.createDataFrame([(start, 0)], "name string, level int")
+    level = 0
     while True:
         level += 1
         met = front.join(steps, front.name == steps.near).select(F.col("far").alias("name")).distinct()
-        front = met.join(seen, "name", "left_anti").withColumn("level", F.lit(level))
-        grown = keep(seen.unionByName(front))
-        more = grown.where(F.col("level") == level).head(1)
-        if held is not None:
-            held.unpersist()
-        seen = held = grown
-        front = seen.where(F.col("level") == level)
-        if not more:
-            break
-    steps.unpersist()
-    return seen.where("level > 0")
+        front = written.save(met.join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(level)))
+        if not front.head(1):
+            return seen.where("level > 0")
+        seen = written.save(seen.unionByName(front))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -157,7 +158,12 @@ def hashed_embedding(text: Column, dimensions: int = 64, bucket: Callable[[Colum
     bucket = bucket or F.xxhash64
     own = F.transform(tx.tokenize(text), lambda x: F.pmod(bucket(x), F.lit(dimensions)).cast("int"))
     own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(0)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(own, lambda b: b == d)).cast("double"))
+
+    @F.pandas_udf("array<double>")
+    def counts(buckets: pd.Series) -> pd.Series:
+        return buckets.map(lambda b: np.bincount(b, minlength=dimensions).astype(float))
+
+    return counts(own)
 
 
 def embed_chunks(chunks: DataFrame, namespace: str, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:

@@ -408,31 +408,29 @@ def token_overlap(spark, sf_dir):
     return asked.join(s.withColumnRenamed("id", "b"), "token").where("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("overlap"))
 
 
-@_query("""WITH RECURSIVE b AS (SELECT n_name AS name, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region),
- up AS (SELECT base AS name, 1 AS level FROM b WHERE name = (SELECT min(n_name) FROM nation) UNION ALL SELECT b.base, up.level + 1 FROM up JOIN b ON up.name = b.name)
+_CLASSES = "b AS (SELECT 'C' || p_partkey AS name, 'C' || (p_partkey // 3) AS base FROM part WHERE p_partkey <> p_partkey // 3 UNION ALL SELECT 'C' || p_partkey, 'I' || (p_partkey % 10) FROM part)"
+
+
+@_query(f"""WITH RECURSIVE {_CLASSES}, up AS (SELECT base AS name, 1 AS level FROM b WHERE name = 'C' || (SELECT max(p_partkey) FROM part) UNION ALL SELECT b.base, up.level + 1 FROM up JOIN b ON up.name = b.name)
  SELECT name, CAST(min(level) AS INT) AS level FROM up GROUP BY 1""")
 def class_ancestors(spark, sf_dir):
-    return symbols.closure(_bases(spark, sf_dir), _first_nation(spark, sf_dir))
+    last = t.table(spark, sf_dir, "part").agg(F.concat(F.lit("C"), F.max("p_partkey"))).first()[0]
+    return symbols.closure(_bases(spark, sf_dir), last)
 
 
-@_query("""WITH RECURSIVE b AS (SELECT n_name AS name, r_name AS base FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region),
- dn AS (SELECT name, 1 AS level FROM b WHERE base = 'WORLD' UNION ALL SELECT b.name, dn.level + 1 FROM dn JOIN b ON dn.name = b.base)
+@_query(f"""WITH RECURSIVE {_CLASSES}, dn AS (SELECT name, 1 AS level FROM b WHERE base = 'C1' UNION ALL SELECT b.name, dn.level + 1 FROM dn JOIN b ON dn.name = b.base)
  SELECT name, CAST(min(level) AS INT) AS level FROM dn GROUP BY 1""")
 def class_descendants(spark, sf_dir):
-    return symbols.closure(_bases(spark, sf_dir), "WORLD", up=False)
+    return symbols.closure(_bases(spark, sf_dir), "C1", up=False)
 
 
 def _bases(spark, sf_dir) -> DataFrame:
-    """Nations as classes that extend their regions, which extend WORLD, parsed from signatures."""
-    n, r = t.table(spark, sf_dir, "nation"), t.table(spark, sf_dir, "region")
-    own = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("name"), F.concat(F.lit("class N("), F.initcap("r_name"), F.lit(")")).alias("signature"), F.col("r_name").alias("_r"))
-    up = r.select(F.col("r_name").alias("name"), F.lit("class R extends WORLD").alias("signature"))
-    parsed = symbols.class_bases(own.withColumn("signature", F.concat(F.lit("class "), F.lit("N extends "), F.replace("_r", F.lit(" "), F.lit("_")))).drop("_r").unionByName(up).withColumn("kind", F.lit("class")))
-    return parsed.select("name", F.replace("base", F.lit("_"), F.lit(" ")).alias("base"))
-
-
-def _first_nation(spark, sf_dir) -> str:
-    return t.table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
+    """Parts as classes, parsed from signatures of several forms: each extends the part with a third of its number, and implements one of ten interfaces."""
+    key = F.col("p_partkey")
+    up, own = F.concat(F.lit("C"), F.floor(key / 3).cast("string")), F.concat(F.lit("C"), key.cast("string"))
+    face = F.concat(F.lit("I"), (key % 10).cast("string"))
+    forms = F.when(key % 2 == 0, F.concat(F.lit("export class "), own, F.lit(" extends "), up, F.lit(" implements "), face, F.lit("<T> {"))).otherwise(F.concat(F.lit("class "), own, F.lit("("), up, F.lit("<T>, "), face, F.lit("):")))
+    return symbols.class_bases(t.table(spark, sf_dir, "part").select(own.alias("name"), F.lit("class").alias("kind"), forms.alias("signature")))
 
 
 # ---- imports and graph ---------------------------------------------------------------------------------------------
