@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import catalog, chunks, graph, merkle, search, symbols, telemetry, vectors
+from .operators import catalog, chunks, graph, history, merkle, search, symbols, telemetry, vectors
 from .sources import ingest, scratch, tables
 from .sources.versions import Snapshots
 
@@ -101,7 +101,7 @@ ARGUMENTS: dict[str, dict[str, Arg]] = {
     "check_references": {"identifier": _text(False), "identifiers": Arg(list, []), "search_content": Arg(bool, True), "max_content_results": _count(20, 100)},
     "search_columns": {"query": _text(), "model_pattern": _text(False), "max_results": _count(20, 500)},
     "get_context_bundle": {"symbol_id": _text(False), "symbol_ids": Arg(list, []), "include_callers": Arg(bool, False), "output_format": Arg(str, "json", choices=("json", "markdown"))},
-    "get_session_stats": {"now": _text(False)},
+    "get_session_stats": {"now": _text(False), "trend_windows": Arg(list, [])},
     "get_dependency_graph": {"file": _text(), "direction": Arg(str, "imports", choices=("imports", "importers", "both")), "depth": _count(1, 3)},
     "get_symbol_diff": {},
     "get_class_hierarchy": {"class_name": _text()},
@@ -146,6 +146,8 @@ class Corpus:
     indexed_at: dt.datetime | None = None
     stream: Any = None
     meta_fields: list[str] | None = None
+    totals: Any = None  # streaming.cumulative.Cumulative: the totals of all sessions
+    commits: DataFrame | None = None  # commit, parent
     kept: Snapshots | None = None  # the versions that files come from, once a folder is indexed
     _imports: DataFrame | None = field(default=None, repr=False)
 
@@ -498,12 +500,24 @@ class Corpus:
 
     # ---- telemetry and freshness
 
-    def get_session_stats(self, now: str) -> dict:
+    def get_session_stats(self, now: str, trend_windows: list[str]) -> dict:
+        """The session's totals, those of all sessions where they are kept, and for each asked window its points with their tools."""
         if self.calls is None:
             raise RequestError("there are no recorded calls")
+        if unknown := [w for w in trend_windows if w not in telemetry.WINDOWS]:
+            raise RequestError(f"unknown trend window: {unknown[0]}")
         own = telemetry.normalise_calls(self.calls)
         at = now or dt.datetime.now(dt.UTC).strftime("%Y-%m-%d %H:%M:%S")
-        return {"total": _list(telemetry.rollup(own))[0], "tools": _list(telemetry.rollup(own, "tool_name").orderBy("tool_name")), "costs": _list(telemetry.competitor_costs(own)), "windows": _list(telemetry.trends(own, at))[0]}
+        out = {"total": _list(telemetry.rollup(own))[0], "tools": _list(telemetry.rollup(own, "tool_name").orderBy("tool_name")), "costs": _list(telemetry.competitor_costs(own)), "windows": _list(telemetry.trends(own, at))[0]}
+        if self.totals is not None:
+            out["cumulative"] = _list(self.totals.snapshot())[0] | {"tools": _list(self.totals.tools().orderBy("tool_name"))}
+        windows = {}
+        for w in dict.fromkeys(trend_windows):  # as many points as the window has steps
+            tools: dict = {}
+            for r in _list(telemetry.trend_by_tool(own, w, at).orderBy("bucket", "tool_name")):
+                tools.setdefault(r.pop("bucket"), []).append(r)
+            windows[w] = [p | {"tools": tools.get(p["bucket"], [])} for p in _list(telemetry.trend(own, w, at).orderBy("bucket"))]
+        return out | {"trend_windows": windows}
 
     def wait_for_fresh(self, timeout_ms: int) -> dict:
         from .streaming.changes import wait_for_fresh
@@ -511,8 +525,15 @@ class Corpus:
         return {"fresh": True if self.stream is None else wait_for_fresh(self.stream, timeout_ms)}
 
     def check_freshness(self, current_head: str) -> dict:
+        """Whether the corpus has been indexed at this head, and where the commits are known, how many it lacks."""
         fresh = None if not (current_head and self.head) else current_head == self.head
-        return {"fresh": fresh, "indexed_head": self.head or None, "current_head": current_head or None}
+        out = {"fresh": fresh, "indexed_head": self.head or None, "current_head": current_head or None}
+        if self.commits is not None and fresh is not None:
+            try:
+                out["commits_behind"] = 0 if fresh else history.distance(self.commits, self.head, current_head)
+            except ValueError:  # a head that the table does not have
+                out["commits_behind"] = None
+        return out
 
 
 @dataclass

@@ -179,6 +179,27 @@ def limited(discovered: DataFrame, cap: int) -> DataFrame:
     return met.withColumn("skip_reason", F.when(F.col("skip_reason").isNull() & F.col("_in").isNull(), "file_limit").otherwise(F.col("skip_reason"))).drop("_in")
 
 
+def discover_remote(listing: DataFrame, ignore: list[str] | None = None, extra_ignore: list[str] | None = None, excluded_secrets: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """raw_path, path, blob_sha, skip_reason of a remote tree's listing (path, size_bytes, blob_sha or null), before any content is fetched. A remote tree has an
+    order of reasons of its own: the language is judged before secrets. path: without blanks and slashes at its ends, `.` parts and doubled slashes; a blank
+    one is skip_file, one that leaves the tree path_traversal. A file without a blob hash has that of its path."""
+    raw = F.coalesce("path", F.lit(""))
+    bare = F.regexp_replace(tx.trim_unicode(F.replace(raw, F.lit("\\"), F.lit("/"))), r"^(\./)?/*|/+$", "")
+    parts = F.filter(F.split(bare, "/"), lambda p: (p != "") & (p != "."))
+    fold = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), a), -1) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    df = listing.select(F.col("path").alias("raw_path"), "size_bytes", bare.alias("_bare"), fold.alias("_parts"), F.lower(tx.trim_unicode(F.col("blob_sha"))).alias("_sha"))
+    df = df.withColumn("path", F.array_join("_parts", "/"))
+    path = F.col("path")
+    reason = (
+        F.when(F.col("_bare") == "", "skip_file").when((path == "") | (F.get("_parts", F.lit(0)) == ".."), "path_traversal")
+        .when(F.exists("_parts", lambda p: tx.trim_unicode(p).isin("", *SKIPPED_DIRECTORIES)), "skip_dir").when(ignored(path, ignore or []), "gitignore").when(ignored(path, extra_ignore or []), "extra_ignore")
+        .when(tx.language_of(path).isNull(), "wrong_extension").when(likely_secret(path, excluded_secrets), "secret").when(F.col("size_bytes") > MOST_BYTES, "too_large")
+    )
+    sha = F.when(F.coalesce("_sha", F.lit("")) != "", F.col("_sha")).otherwise(F.sha2(path.cast("binary"), 256))
+    out = df.select("raw_path", "path", sha.alias("blob_sha"), reason.alias("skip_reason"))
+    return out if cap is None else limited(out, cap)
+
+
 def skip_counts(discovered: DataFrame) -> DataFrame:
     """All reasons with their counts, zeros included."""
     spark = discovered.sparkSession

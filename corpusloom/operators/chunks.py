@@ -99,10 +99,18 @@ IMPORT_LINES = {
 
 
 def import_lines(files: DataFrame) -> DataFrame:
-    """path, import_lines of files that have any."""
+    """path, import_lines of files that have any. In Go all lines of a block from `import (` to its `)` are import lines."""
     regex = F.try_element_at(F.create_map(*[F.lit(x) for kv in IMPORT_LINES.items() for x in kv]), tx.language_of(F.col("path")))
-    own = F.filter(F.split("content", "\r?\n", -1), lambda x: F.regexp_like(x, F.col("_regex")))
-    return files.withColumn("_regex", regex).where("_regex is not null").select("path", own.alias("import_lines")).where(F.size("import_lines") > 0)
+    lines = F.split("content", "\r?\n", -1)
+    own = F.filter(lines, lambda x: F.regexp_like(x, F.col("_regex")))
+    state = lambda inside, a, x: F.struct(inside.alias("inside"), F.concat(a["own"], F.array(x)).alias("own"))
+    fold = F.aggregate(
+        lines, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("own")),
+        lambda a, x: F.when(a["inside"], state(tx.trim_unicode(x) != ")", a, x)).when(tx.trim_unicode(x) == "import (", state(F.lit(True), a, x)).when(F.regexp_like(x, F.col("_regex")), state(F.lit(False), a, x)).otherwise(a),
+        lambda a: a["own"],
+    )
+    taken = F.when(tx.language_of(F.col("path")) == "go", fold).otherwise(own)
+    return files.withColumn("_regex", regex).where("_regex is not null").select("path", taken.alias("import_lines")).where(F.size("import_lines") > 0)
 
 
 def context_bundle(symbols: DataFrame, files: DataFrame, imports: DataFrame, ids: list[str], callers: bool = False) -> DataFrame:

@@ -51,9 +51,14 @@ def combine_runs(stored: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*stored.columns))
 
 
-def runs_in_order(runs: DataFrame, most: int | None = None, **wanted: str) -> DataFrame:
-    """Runs in order of captured_at and run_id, those with the given values of DIMENSIONS (blank: any); the newest `most` if given."""
+def runs_in_order(runs: DataFrame, most: int | None = None, since: str | None = None, exclude_run_id: str = "", **wanted: str) -> DataFrame:
+    """Runs in order of captured_at and run_id, those with the given values of DIMENSIONS (blank: any), captured at or after `since`, and but for one run; the
+    newest `most` if given. Times are compared to the second."""
     own = runs
+    if since is not None:
+        own = own.where(F.unix_timestamp(F.col("captured_at").cast("timestamp")) >= F.unix_timestamp(F.lit(since).cast("timestamp")))
+    if exclude_run_id.strip():
+        own = own.where(F.col("run_id") != exclude_run_id.strip())
     for name, value in wanted.items():
         if name not in DIMENSIONS:
             raise ValueError(f"runs are not selected by {name}")
@@ -87,3 +92,16 @@ def token_savings(cases: DataFrame, files: DataFrame, payloads: DataFrame) -> Da
     saved = F.col("baseline_tokens") - F.col("tool_tokens")
     ratio = F.when(F.col("baseline_tokens") <= 0, 0.0).otherwise(F.round(saved / F.col("baseline_tokens"), 6))
     return met.select("case_id", "baseline_tokens", "tool_tokens", saved.alias("tokens_saved"), ratio.alias("saved_ratio"))
+
+
+def run_trend(runs: DataFrame, current: DataFrame, competitors: list[str]) -> DataFrame:
+    """competitor, captured_at, tokens_saved, cost_saved_usd, savings_pct: a point for each run and competitor, and one for the current report.
+
+    runs and current: captured_at, tokens_saved, savings_pct and scores, a map from competitor to a struct (tokens_saved, cost_saved_usd, savings_pct). A run
+    without a competitor's score counts with its own totals and no cost; the current report's share is that of the whole."""
+    names = F.array(*map(F.lit, competitors)).cast("array<string>")
+    point = lambda df: df.select("*", F.explode(names).alias("competitor")).withColumn("score", F.try_element_at("scores", F.col("competitor")))
+    tokens = F.coalesce("score.tokens_saved", "tokens_saved").cast("long").alias("tokens_saved")
+    cost = F.round(F.coalesce("score.cost_saved_usd", F.lit(0.0)), 6).alias("cost_saved_usd")
+    past = point(runs).select("competitor", "captured_at", tokens, cost, F.round(F.when(F.col("score").isNotNull(), F.col("score.savings_pct")).otherwise(F.col("savings_pct")), 6).alias("savings_pct"))
+    return past.unionByName(point(current).select("competitor", "captured_at", tokens, cost, F.round("savings_pct", 6).alias("savings_pct")))

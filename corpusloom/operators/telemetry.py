@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def cost(inputs: Column, outputs: Column, price: tuple[float, float]) -> Column:
 def competitor_costs(calls: DataFrame, *keys: str, pricing: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Cost avoided for each price list, from tokens summed first: one pass, rounded once."""
     sums = calls.groupBy(*keys).agg(F.sum("input_tokens_saved").alias("i"), F.sum("output_tokens_saved").alias("o"))
-    rows = F.array(*[F.struct(F.lit(name).alias("competitor"), cost(F.col("i"), F.col("o"), price).alias("cost_avoided_usd")) for name, price in (pricing or PRICING).items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("competitor"), cost(F.col("i"), F.col("o"), price).alias("cost_avoided_usd")) for name, price in normal_pricing(pricing)[0].items()])
     return sums.select(*keys, F.col("i").alias("input_tokens_saved"), F.col("o").alias("output_tokens_saved"), F.explode(rows).alias("c")).select(*keys, "input_tokens_saved", "output_tokens_saved", "c.*")
 
 
@@ -60,6 +62,33 @@ def trend(calls: DataFrame, window: str, now: str) -> DataFrame:
     return spine.join(sums, "b", "left").select(F.timestamp_seconds("b").cast("timestamp_ntz").alias("bucket"), zero("call_count"), zero("total_tokens"), zero("tokens_saved"))
 
 
+def trend_by_tool(calls: DataFrame, window: str, now: str) -> DataFrame:
+    """The points of a trend window by tool: bucket, tool_name, sums of the calls there; only tools that were called have a row. calls as from
+    normalise_calls; a batch counts its logical calls."""
+    span, step = WINDOWS[window]
+    limit, moment = F.lit(now).cast("timestamp"), F.col("captured_at").cast("timestamp")
+    own = calls.where((moment >= limit - F.expr(f"interval {span} seconds")) & (moment < limit))
+    bucket = F.timestamp_seconds((F.floor(F.unix_seconds(moment) / step) * step).cast("long")).cast("timestamp_ntz")
+    sums = [F.sum("logical_calls").alias("call_count"), *[F.sum(c).alias(c) for c in _COUNTS if c != "logical_calls"]]
+    return own.groupBy(bucket.alias("bucket"), "tool_name").agg(*sums)
+
+
+def normal_pricing(pricing: dict[str, tuple[float, float]] | None) -> tuple[dict[str, tuple[float, float]], list[str]]:
+    """(prices, warnings): every known price list, its own default in the place of a price that is missing, not finite or negative; unknown lists are
+    left out. Names are compared without case and blanks at their ends."""
+    given = {name.strip().lower(): own for name, own in (pricing or {}).items()}
+    out, warnings = {}, []
+    for name, default in PRICING.items():
+        both = []
+        for kind, price, fallback in zip(("input", "output"), given.get(name, default), default, strict=True):
+            good = isinstance(price, (int, float)) and math.isfinite(price) and price >= 0
+            both.append(float(price) if good else fallback)
+            if not good:
+                warnings.append(f"{name} {kind} pricing must be finite and non-negative; using default {fallback:g} USD/MTok")
+        out[name] = (both[0], both[1])
+    return out, warnings
+
+
 def trends(calls: DataFrame, now: str) -> DataFrame:
     """All windows in one scan: conditional sums."""
     t, limit = F.col("captured_at").cast("timestamp"), F.lit(now).cast("timestamp")
@@ -112,7 +141,7 @@ def benchmark_delta(runs: DataFrame, pricing: dict[str, tuple[float, float]] | N
     """Of runs with baseline and tool tokens (in, out): tokens saved, ratio, and cost saved for each price list (may be negative)."""
     base, own = F.col("baseline_in") + F.col("baseline_out"), F.col("tool_in") + F.col("tool_out")
     df = runs.withColumns({"tokens_saved": base - own, "saved_ratio": F.when(base <= 0, 0.0).otherwise(F.round((base - own) / base, 6))})
-    return df.withColumns({f"{name}_usd": cost(F.col("baseline_in") - F.col("tool_in"), F.col("baseline_out") - F.col("tool_out"), price) for name, price in (pricing or PRICING).items()})
+    return df.withColumns({f"{name}_usd": cost(F.col("baseline_in") - F.col("tool_in"), F.col("baseline_out") - F.col("tool_out"), price) for name, price in normal_pricing(pricing)[0].items()})
 
 
 def logical_calls(batch_size: Column, succeeded: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ann, catalog, chunks, evaluation, graph, merkle, search, symbols, telemetry, vectors
+from ..operators import ann, catalog, chunks, evaluation, graph, history, merkle, search, symbols, telemetry, vectors
 from ..sources import ingest, scratch, versions
 from ..sources import tables as t
 from ..streaming import changes, cumulative, keyed
@@ -563,6 +563,50 @@ def _calls(spark, sf_dir) -> DataFrame:
     return telemetry.normalise_calls(t.call_events(spark, sf_dir))
 
 
+@_query(f"""WITH {_CALLS} SELECT time_bucket(INTERVAL 1 DAY, captured_at, TIMESTAMP '1970-01-01') AS bucket, tool_name, count(*) AS call_count, CAST(sum(request_tokens) AS BIGINT) AS request_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens,
+ CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens_saved) AS BIGINT) AS input_tokens_saved, CAST(sum(output_tokens_saved) AS BIGINT) AS output_tokens_saved, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved
+ FROM calls WHERE captured_at >= TIMESTAMP '{_NOW}' - INTERVAL 30 DAY AND captured_at < TIMESTAMP '{_NOW}' GROUP BY 1, 2""")
+def trend_by_tool(spark, sf_dir):
+    return telemetry.trend_by_tool(_calls(spark, sf_dir), "last_30d", _NOW)
+
+
+_COMMIT_GRAPH = "p AS (SELECT o_orderkey AS c, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 1 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey > 2)"
+_REACH = "{0} AS (SELECT {1} AS c UNION SELECT parent FROM p JOIN {0} ON p.c = {0}.c)"
+
+
+def _commit_graph(spark, sf_dir) -> DataFrame:
+    """Orders as commits: each follows the one with half its number, and every fifth merges the one with a third of it."""
+    o, key = t.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    pair = lambda df, n: df.select(key.cast("string").alias("commit"), F.floor(key / n).cast("string").alias("parent"))
+    return pair(o.where("o_orderkey > 1"), 2).unionByName(pair(o.where("o_orderkey % 5 = 0 and o_orderkey > 2"), 3)).unionByName(o.where("o_orderkey <= 1").select(key.cast("string").alias("commit"), F.lit(None).cast("string").alias("parent")))
+
+
+@_query(f"""WITH RECURSIVE {_COMMIT_GRAPH}, h AS (SELECT max(o_orderkey) AS h FROM orders), {_REACH.format("a", "h").replace("SELECT h AS c", "SELECT h AS c FROM h")}, {_REACH.format("b", "h // 3").replace("SELECT h // 3 AS c", "SELECT h // 3 AS c FROM h")}
+ SELECT CAST(c AS VARCHAR) AS commit FROM a WHERE c NOT IN (SELECT c FROM b)""")
+def commits_ahead(spark, sf_dir):
+    """What the last commit has that the one with a third of its number has not."""
+    head = t.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return history.ahead(_commit_graph(spark, sf_dir), str(head // 3), str(head))
+
+
+_RAW = """raw AS (SELECT CASE doc_id % 6 WHEN 0 THEN './' || path WHEN 1 THEN ' /' || replace(path, '/', chr(92)) || ' ' WHEN 2 THEN 'a/../' || path WHEN 3 THEN '../' || path WHEN 4 THEN 'node_modules//' || path ELSE replace(path, '.', '_secret.') END AS raw_path,
+  path, size_bytes, CASE WHEN doc_id % 4 = 0 THEN ' ' || upper(sha256(path)) END AS blob_sha, doc_id % 6 AS k FROM (SELECT *, CAST(regexp_extract(path, '/doc_(\\d+)\\.', 1) AS BIGINT) AS doc_id FROM files))"""
+
+
+@_query(f"""WITH {_FILES}, {_RAW}, c AS (SELECT *, CASE k WHEN 3 THEN '../' || path WHEN 4 THEN 'node_modules/' || path WHEN 5 THEN replace(path, '.', '_secret.') ELSE path END AS p FROM raw)
+ SELECT raw_path, p AS path, CASE WHEN blob_sha IS NULL THEN sha256(p) ELSE sha256(path) END AS blob_sha, CASE WHEN k = 3 THEN 'path_traversal' WHEN k = 4 THEN 'skip_dir' WHEN regexp_matches(p, '^src3/') THEN 'gitignore' WHEN regexp_matches(p, '[^/]*_1[^/]*\\.sql$') THEN 'extra_ignore' WHEN k = 5 THEN 'secret' WHEN size_bytes > 512000 THEN 'too_large' END AS skip_reason FROM c WHERE path IS NOT NULL""")
+def remote_discovery(spark, sf_dir):
+    """A remote tree's listing with raw paths of all kinds."""
+    f = t.files(spark, sf_dir).where("path is not null").withColumn("id", F.regexp_extract("path", r"/doc_(\d+)\.", 1).cast("long"))
+    path, k = F.col("path"), F.col("id") % 6
+    raw = (
+        F.when(k == 0, F.concat(F.lit("./"), path)).when(k == 1, F.concat(F.lit(" /"), F.replace(path, F.lit("/"), F.lit("\\")), F.lit(" "))).when(k == 2, F.concat(F.lit("a/../"), path))
+        .when(k == 3, F.concat(F.lit("../"), path)).when(k == 4, F.concat(F.lit("node_modules//"), path)).otherwise(F.replace(path, F.lit("."), F.lit("_secret.")))
+    )
+    listed = f.select(raw.alias("path"), "size_bytes", F.when(F.col("id") % 4 == 0, F.concat(F.lit(" "), F.upper(F.sha2(path.cast("binary"), 256)))).alias("blob_sha"))
+    return catalog.discover_remote(listed, ignore=["src3/"], extra_ignore=["*_1*.sql"])
+
+
 _ROLLUP = """count(*) AS call_count, CAST(sum(request_tokens) AS BIGINT) AS request_tokens, CAST(sum(response_tokens) AS BIGINT) AS response_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(input_tokens_saved) AS BIGINT) AS input_tokens_saved,
  CAST(sum(output_tokens_saved) AS BIGINT) AS output_tokens_saved, CAST(sum(tokens_saved) AS BIGINT) AS tokens_saved, count(*) AS logical_calls, round(sum(duration_ms), 6) AS duration_ms, min(captured_at) AS first_call_at, max(captured_at) AS last_call_at"""
 

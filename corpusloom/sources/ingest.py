@@ -148,3 +148,8 @@ def counts(stored: DataFrame, after: DataFrame) -> dict[str, int]:
     found = {r.origin: r["count"] for r in after.groupBy("origin").count().collect()}
     gone = stored.join(after.select("path"), "path", "left_anti").count()
     return {"new": found.get("new", 0), "changed": found.get("changed", 0), "kept": found.get("kept", 0), "deleted": gone}
+
+
+def touched_paths(changed: DataFrame, new: DataFrame) -> DataFrame:
+    """path: each of either list once, without blank ones."""
+    return changed.select(F.trim("path").alias("path")).unionByName(new.select(F.trim("path").alias("path"))).where("path <> ''").distinct()

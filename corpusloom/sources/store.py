@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -148,12 +149,51 @@ class SnapshotStore:
         return snapshot_deltas(own, ["call_count", "total_tokens", "tokens_saved"], series=["tool_name"])
 
 
+_SYMBOL = "struct<id:string,name:string,kind:string,file:string,language:string,line:int,end_line:int,signature:string,summary:string,docstring:string,keywords:array<string>,byte_length:int,content_hash:string>"
+_INDEX = f"""repo string, owner string, name string, display_name string, source_root string, indexed_at string, index_version int, git_head string, file_count long, symbol_count long,
+ files map<string,string>, file_blob_shas map<string,string>, file_mtimes map<string,long>, languages map<string,long>, symbols array<{_SYMBOL}>"""
+#: The version of an index file that names none.
+INDEX_VERSION = 1
+
+
+@dataclass(frozen=True)
+class IndexFiles:
+    """What JSON index files hold, as tables: repos (a row each), files (repo, path, content_hash, blob_sha, mtime), symbols, languages (repo, language, n)."""
+
+    repos: DataFrame
+    files: DataFrame
+    symbols: DataFrame
+    languages: DataFrame
+
+
+def _index_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_INDEX).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def read_index(spark: SparkSession, path: str) -> IndexFiles:
+    """JSON index files (one object each), of which whole repositories are taken over. A file that is not JSON, and one without a repo, is an error; a count
+    that is missing is that of what the file holds; files that only the hashes of blobs or the times name are there, too."""
+    rows = _index_rows(spark, path)
+    named = F.when(F.trim(F.coalesce("repo", F.lit(""))) != "", F.col("repo")).otherwise(F.raise_error(F.lit("an index file has no repo")).cast("string"))
+    rows = rows.withColumn("repo", named)
+    none = lambda c, kind: F.coalesce(c, F.create_map().cast(kind))
+    hashes, blobs, times, languages = none("files", "map<string,string>"), none("file_blob_shas", "map<string,string>"), none("file_mtimes", "map<string,bigint>"), none("languages", "map<string,bigint>")
+    n_files, n_symbols = F.size(F.map_keys(hashes)).cast("long"), F.coalesce(F.size("symbols"), F.lit(0)).cast("long")
+    count = lambda c, own: F.when(F.coalesce(c, F.lit(0)) > 0, F.col(c)).otherwise(own).alias(c)
+    repos = rows.select(
+        "repo", F.coalesce(F.nullif("display_name", F.lit("")), F.substring_index("repo", "/", -1)).alias("display_name"), "source_root", F.col("indexed_at").cast("timestamp").alias("indexed_at"),
+        F.when(F.coalesce("index_version", F.lit(0)) > 0, F.col("index_version")).otherwise(INDEX_VERSION).alias("index_version"), "git_head", count("file_count", n_files), count("symbol_count", n_symbols),
+    )
+    paths = F.array_distinct(F.concat(F.map_keys(hashes), F.map_keys(blobs), F.map_keys(times)))
+    files = rows.select("repo", F.explode(paths).alias("path"), hashes.alias("_h"), blobs.alias("_b"), times.alias("_t"))
+    files = files.select("repo", "path", *[F.try_element_at(c, F.col("path")).alias(n) for c, n in (("_h", "content_hash"), ("_b", "blob_sha"), ("_t", "mtime"))])
+    return IndexFiles(repos, files, rows.select("repo", F.explode("symbols").alias("s")).select("repo", "s.*"), rows.select("repo", F.explode(languages).alias("language", "n")))
+
+
 def read_index_json(spark: SparkSession, path: str) -> DataFrame:
-    """Symbols of JSON index files (one object each, with repo, source_files and symbols): repo and the fields of every symbol. Fields that a symbol
-    lacks are null; a file without symbols has no rows; a file that is not JSON is an error."""
-    symbol = "struct<id:string,name:string,kind:string,file:string,language:string,line:int,end_line:int,signature:string,summary:string,docstring:string,keywords:array<string>,byte_length:int,content_hash:string>"
-    rows = spark.read.schema(f"repo string, symbols array<{symbol}>").option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    return rows.select("repo", F.explode("symbols").alias("s")).select("repo", "s.*")
+    """Symbols of JSON index files: repo and the fields of every symbol. Fields that a symbol lacks are null; a file without symbols has no rows; a file
+    that is not JSON is an error."""
+    return _index_rows(spark, path).select("repo", F.explode("symbols").alias("s")).select("repo", "s.*")
 
 
 def report(rows: DataFrame, title: str, most: int = 1000) -> tuple[str, str]:

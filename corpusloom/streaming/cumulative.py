@@ -45,7 +45,7 @@ def merged(*parts: DataFrame) -> DataFrame:
 def overall(tools: DataFrame, session_count: int = 0, pricing: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row over all tools, with the cost avoided by each price list."""
     own = tools.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS], F.min("first_recorded_at").alias("first_recorded_at"), F.max("last_recorded_at").alias("last_recorded_at"))
-    prices = {f"{n}_usd": telemetry.cost(F.col("input_tokens_saved"), F.col("output_tokens_saved"), p) for n, p in (pricing or telemetry.PRICING).items()}
+    prices = {f"{n}_usd": telemetry.cost(F.col("input_tokens_saved"), F.col("output_tokens_saved"), p) for n, p in telemetry.normal_pricing(pricing)[0].items()}
     return own.withColumn("session_count", F.lit(session_count).cast("long")).withColumns(prices)
 
 
