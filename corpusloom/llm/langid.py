@@ -1,8 +1,8 @@
 """Language identification with bit-sliced Bloom filters over byte n-grams.
 
-Every slot of the filter holds a bit mask of languages; the masks at an n-gram's slots, and-ed, are the languages that
-contain it, all in one look. A language's share of a text's n-grams, corrected for its filter's rate of false
-positives, decides.
+Every slot of the filter holds a bit mask of languages; the masks at an n-gram's slots, and-ed, are all languages that
+contain it, in one look. A second filter of the same kind holds the languages in which an n-gram is not rare. A language's shares of a text's
+n-grams in both, corrected for its filters' rates of false positives, decide.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from ._columns import append, named, released, text_blocks
 from ._words import LOWER
 
 GRAM = 4
-#: Address bits of a filter at least, and n-grams of a language for each slot at most.
-_BITS, _HASHES, _LOAD = 19, 3, 0.12
+#: Address bits of a filter at least, and n-grams of a language for each slot at most, while the filter has at most so many bytes (all planes):
+#: beyond that, slots are shared by more n-grams, false positives rise and are corrected for, and the filter counts for less.
+_BITS, _HASHES, _LOAD, MOST_FILTER_BYTES = 19, 3, 0.12, 64 << 20
 #: Languages of one plane of masks, and n-grams that are brought to the driver at once.
 _PLANE, _AT_ONCE = 64, 2_000_000
 #: N-grams that a task counts before it hands them on.
@@ -60,33 +61,76 @@ def _slots(codes: np.ndarray, k: int, bits: int) -> np.ndarray:
     return ((codes.astype(np.uint64) + np.uint64(1)) * _FACTORS[k] >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _corrected(masks: np.ndarray, false_positives: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text and language, the share of n-grams in the language's filter, without what false positives add."""
+    slots = [_slots(codes, k, masks.shape[1].bit_length() - 1) for k in range(_HASHES)]
+    total = np.diff(starts)
+    out = np.empty((len(total), len(false_positives)))
+    for lang in range(len(false_positives)):
+        if lang % _PLANE == 0:
+            plane = masks[lang // _PLANE]
+            found = plane[slots[0]] & plane[slots[1]] & plane[slots[2]]
+        hits = np.concatenate([[0], np.cumsum(found >> found.dtype.type(lang % _PLANE) & found.dtype.type(1), dtype=np.int64)])
+        out[:, lang] = (hits[starts[1:]] - hits[starts[:-1]]) / np.maximum(total, 1)
+    return np.clip((out - false_positives) / np.maximum(1 - false_positives, 1e-9), 0, 1)
+
+
 @dataclass
 class Model:
+    """masks: a row for each 64 languages, a column for each slot; every n-gram that was seen in a language is there. common: the same for n-grams that are
+    not rare in it."""
+
     languages: list[str]
-    masks: np.ndarray  # a row for each 64 languages, a column for each slot
+    masks: np.ndarray
     false_positives: np.ndarray
+    common: np.ndarray
+    common_false_positives: np.ndarray
 
     def shares(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text and language, the corrected share of n-grams; and whether each text has an n-gram of letters."""
+        """For each text and language, the corrected share of n-grams that the language contains; and whether each text has an n-gram of letters."""
+        codes, starts = grams(data, offsets)
+        return _corrected(self.masks, self.false_positives, codes, starts), np.diff(starts) > 1
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean of both filters' shares, the first weighted by how seldom it errs; and whether each text has an n-gram of letters."""
         codes, starts = grams(data, offsets)
-        slots = [_slots(codes, k, self.masks.shape[1].bit_length() - 1) for k in range(_HASHES)]
-        total = np.diff(starts)
-        out = np.empty((len(total), len(self.languages)))
-        for lang in range(len(self.languages)):
-            if lang % _PLANE == 0:
-                plane = self.masks[lang // _PLANE]
-                found = plane[slots[0]] & plane[slots[1]] & plane[slots[2]]
-            hits = np.concatenate([[0], np.cumsum(found >> found.dtype.type(lang % _PLANE) & found.dtype.type(1), dtype=np.int64)])
-            out[:, lang] = (hits[starts[1:]] - hits[starts[:-1]]) / np.maximum(total, 1)
-        return np.clip((out - self.false_positives) / (1 - self.false_positives), 0, 1), total > 1
+        weight = 1 - self.false_positives
+        held, common = _corrected(self.masks, self.false_positives, codes, starts), _corrected(self.common, self.common_false_positives, codes, starts)
+        return (weight * held + common) / (1 + weight), np.diff(starts) > 1
+
+
+def _filled(chosen: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of a table of (gram, lang) and each language's rate of false positives. N-grams reach the driver in blocks by their value; only the masks
+    stay there."""
+    counts = {r.lang: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), _PLANE) <= np.iinfo(k).bits)
+    planes = -(-len(languages) // _PLANE)
+    most = int(np.log2(MOST_FILTER_BYTES / (max(planes, 1) * np.dtype(kind).itemsize)))
+    bits = min(most, max(_BITS, int(np.ceil(np.log2(max(counts.values(), default=1) / _LOAD)))))
+    masks = np.zeros((planes, 1 << bits), kind)
+    number = {name: k for k, name in enumerate(languages)}
+    parts = max(1, -(-sum(counts.values()) // _AT_ONCE))
+    for p in range(parts):
+        own = (chosen if parts == 1 else chosen.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == p)).toArrow()
+        codes = own.column("gram").to_numpy().astype(np.uint64)
+        coded = own.column("lang").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        of = coded.indices.to_numpy()
+        for j, name in enumerate(coded.dictionary.to_pylist()):
+            k = number[name]
+            for h in range(_HASHES):
+                masks[k // _PLANE][_slots(codes[of == j], h, bits)] |= kind(1 << k % _PLANE)
+    fills = [np.count_nonzero(masks[k // _PLANE] >> kind(k % _PLANE) & kind(1)) / (1 << bits) for k in range(len(languages))]
+    return masks, np.array(fills) ** _HASHES
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: float = 2e-6, against_best: float = 0.1) -> Model:
     """Count the n-grams of every row with a language, and fill the filters.
 
-    A language's filter takes the n-grams that have at least `least_share` of its n-grams and at least `against_best` of the share that they have in
-    any language; the filters are as large as the language with the most of them needs. Every language has a filter. Rows without a text or a
-    language are left out; repeated rows count each, and n-grams at a threshold are taken."""
+    A language's filter takes every n-gram of its rows; the filter of common ones takes those that have at least `least_share` of its n-grams and at least
+    `against_best` of the share that they have in any language. The filters are as large as the language with the most of them needs, up to
+    MOST_FILTER_BYTES. Every language has both. Rows without a text or a language are left out; repeated rows count each, and n-grams at a
+    threshold are taken; texts are read whole, however long."""
     rows = docs.where(named(lang).isNotNull() & named(text).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
 
     def count(batches):
@@ -127,36 +171,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: fl
     best = shares.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("langs"))
     chosen = best.select("gram", "best", F.explode("langs").alias("x")).where((F.col("x.share") >= least_share) & (F.col("x.share") >= against_best * F.col("best"))).select("gram", "x.lang")
     chosen = Scratch(docs.sparkSession, "langid").save(chosen, "chosen")
-    counts = {r.lang: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(r.lang for r in totals.select("lang").collect())
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), _PLANE) <= np.iinfo(k).bits)
-    bits = max(_BITS, int(np.ceil(np.log2(max(counts.values(), default=1) / _LOAD))))
-    masks = np.zeros((-(-len(languages) // _PLANE), 1 << bits), kind)
-    number = {name: k for k, name in enumerate(languages)}
-    groups: list[list[str]] = []
-    room = 0
-    for name in counts:
-        if not groups or counts[name] > room:
-            groups.append([])
-            room = _AT_ONCE
-        groups[-1].append(name)
-        room -= counts[name]
-    for names in groups:
-        own = chosen.where(F.col("lang").isin(names)).toArrow()
-        codes = own.column("gram").to_numpy().astype(np.uint64)
-        coded = own.column("lang").combine_chunks().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        of = coded.indices.to_numpy()
-        for j, name in enumerate(coded.dictionary.to_pylist()):
-            k = number[name]
-            for h in range(_HASHES):
-                masks[k // _PLANE][_slots(codes[of == j], h, bits)] |= kind(1 << k % _PLANE)
-    fills = [np.count_nonzero(masks[k // _PLANE] >> kind(k % _PLANE) & kind(1)) / (1 << bits) for k in range(len(languages))]
-    return Model(languages, masks, np.array(fills) ** _HASHES)
+    return Model(languages, *_filled(by_gram.select("gram", "lang"), languages), *_filled(chosen, languages))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", none: str = "und") -> DataFrame:
-    """docs with lang_pred and score (the best language's part of all corrected shares). `none` with score 0 for a null text, one
+    """docs with lang_pred and score (the best language's part of all corrected shares); repeated rows get the same, and an empty table gives none. `none` with score 0 for a null text, one
     without a letter, or a model of no language; the first language with score 0 where no n-gram is known. Of equals the first
     language by name wins. Columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -173,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", none: str = "und
                     names += [none] * (hi - lo)
                     scores += [0.0] * (hi - lo)
                     continue
-                shares, some = m.shares(data, offsets)
+                shares, some = m.evidence(data, offsets)
                 ascii_ = np.concatenate([[0], np.cumsum(_LETTER[LOWER[data]] & (data < 0x80))])
                 sure = ascii_[offsets[1:]] > ascii_[offsets[:-1]]
                 best, total = shares.argmax(axis=1), shares.sum(axis=1)

@@ -472,6 +472,27 @@ def test_language_shares_plainly(spark):
         assert shares[0].tolist() == pytest.approx(want)
 
 
+def test_filters_hold_every_gram(spark, monkeypatch):
+    """Each n-gram of a training text returns its language, however rare it is there; also if n-grams come in blocks and the filter may not grow."""
+    table = [("a", "zebra " * 500 + "unter"), ("a", "zebra quilt"), ("b", "unter dem berg " * 500 + "zebra"), ("c", "ñandú"), ("c", None), (None, "zzz")]
+    df = spark.createDataFrame(table, "lang string, text string")
+
+    def held():
+        model = langid.fit(df)
+        for lang, text in table:
+            if lang and text:
+                shares, _ = model.shares(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+                assert shares[0, model.languages.index(lang)] == 1
+        return model
+
+    model = held()
+    assert langid.identify(df, model).where("lang is not null and text is not null and lang_pred <> lang").count() == 0
+    monkeypatch.setattr(langid, "_AT_ONCE", 7)
+    monkeypatch.setattr(langid, "MOST_FILTER_BYTES", 64)
+    small = held()
+    assert small.masks.nbytes <= 64 and small.false_positives.max() > 0.1 > model.false_positives.max()
+
+
 def test_more_languages_than_a_mask_has_bits(spark):
     rng = np.random.default_rng(4)
     names = ["l%02d" % k for k in range(70)]
