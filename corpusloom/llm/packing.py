@@ -2,7 +2,8 @@
 
 Each partition packs its pieces best-fit (longest first). Bins that are nearly full are final; the underfull ones go up as
 items of the next round, in which a few partitions become one, until one is left. A task holds at most `most_items` items at
-once; where more than that would meet at the top, the tree ends with several roots. Only lengths and keys
+once, counted by the pieces that they carry, whatever the number of bins; what is packed before the next ones are taken leaves few bins underfull, and these
+meet others in the next round. Where more pieces than that would meet at the top, the tree ends with several roots. Only lengths and keys
 travel: token ids are counted and digested where they are made.
 """
 
@@ -221,11 +222,15 @@ def _round(bins: DataFrame, capacity: int, slack: int, most_items: int, level: i
 
         parts, held = [], 0
         for b in batches:
-            parts.append(b)
-            held += b.num_rows
-            if held >= most_items:
-                yield from packed(parts)
-                parts, held = [], 0
+            while b.num_rows:
+                carried = np.cumsum(np.asarray(b.column(0).value_lengths()))
+                n = max(1, int(np.searchsorted(carried, most_items - held, "right")))
+                parts.append(b.slice(0, n))
+                held += int(carried[min(n, b.num_rows) - 1])
+                b = b.slice(n)
+                if held >= most_items or b.num_rows:
+                    yield from packed(parts)
+                    parts, held = [], 0
         if held:
             yield from packed(parts)
 
@@ -254,8 +259,8 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, sla
         if last:
             break
         rest = out.where("not full").select("members", "fill")
-        left = rest.count()
-        if not left:
+        left, bins_left = rest.agg(F.coalesce(F.sum(F.size("members")), F.lit(0)), F.count("*")).first()
+        if not bins_left:
             break
         here = rest.rdd.getNumPartitions() if parts is None else parts
         parts = max(-(-here // fan_in), -(-left // most_items))
