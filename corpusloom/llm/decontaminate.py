@@ -6,7 +6,7 @@ length, so most positions are never looked at. Where the shift is zero, the buck
 taken, and each one whose first word agrees is compared directly, word for word.
 
 The documents are read once and never shuffled. Patterns are sent to the tasks only while the benchmark has at most
-`most_windows`; a larger one is searched in blocks of whole items, each of about so many.
+`most_windows`; a larger one is searched in blocks of about so many windows each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._columns import append, named, text_blocks
+from ._columns import append, named, released, small_batches, text_blocks, without
 from ._store import Scratch
 from ._words import ALNUM_SPLIT, LOWER, mix, prefix_sums, range_hashes, word_ranges
 
@@ -120,11 +120,10 @@ _FIELDS = [
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(docs: DataFrame, text: str, groups: list[Patterns], more: bool) -> DataFrame:
-    """docs with _FIELDS; more: add to what an earlier block of items has found."""
+def _scan(docs: DataFrame, text: str, groups: list[Patterns]) -> DataFrame:
+    """docs with _FIELDS."""
     sent = docs.sparkSession.sparkContext.broadcast(groups)
-    base = docs.withColumnsRenamed({"hit_spans": "_had_spans", "hit_items": "_had_items"}) if more else docs
-    names = base.columns
+    names = [c for c in docs.columns if c.lower() not in {f.name for f in _FIELDS}]
 
     def make():
         searches = sent.value
@@ -154,18 +153,45 @@ def _scan(docs: DataFrame, text: str, groups: list[Patterns], more: bool) -> Dat
 
         return work
 
-    out = append(base, _FIELDS, make)
-    if not more:
-        return out
-    merged = F.aggregate(
-        F.array_sort(F.concat("hit_spans", "_had_spans")),
+    return append(docs, _FIELDS, make)
+
+
+def _windows(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """item, m, pattern: the distinct windows of each item, made where the items are: a long item's are as many rows as any others."""
+    items = benchmark.select(named(item_id).cast("string").alias("item"), named(item_text).cast("string").alias("text")).where("text is not null")
+
+    def run(batches):
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for m, texts in windows_of([(item, text)], window).items():
+                    own = list(texts)
+                    for k in range(0, len(own), 10_000):
+                        part = own[k : k + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array([m] * len(part), pa.int32()), pa.array(part, pa.binary())], ["item", "m", "pattern"])
+
+    small_batches(benchmark.sparkSession)
+    return items.mapInArrow(released(run), "item string, m int, pattern binary").distinct()
+
+
+def _patterns(windows: DataFrame) -> list[Patterns]:
+    """The search tables of a bounded number of windows."""
+    texts: dict[int, dict[bytes, list[str | None]]] = defaultdict(lambda: defaultdict(list))
+    for r in windows.toLocalIterator():
+        texts[r.m][bytes(r.pattern)].append(r.item)
+    return [Patterns(m, own) for m, own in sorted(texts.items())]
+
+
+def _merged(spans, items) -> tuple:
+    """Lists of all blocks for one text as one list of spans that do not touch, and one of items, null last."""
+    whole = F.aggregate(
+        F.array_sort(F.flatten(spans)),
         F.array().cast(_FIELDS[1].dataType),
         lambda a, x: F.when(
             (F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["begin"]),
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(a, F.array(x))),
     )
-    return out.withColumns({"hit_spans": merged, "hit_items": F.array_sort(F.array_union("hit_items", "_had_items"))}).drop("_had_spans", "_had_items")
+    return whole, F.array_sort(F.array_distinct(F.flatten(items)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_windows: int = 100_000) -> DataFrame:
@@ -174,20 +200,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     Columns of docs with these names are replaced; others stay. A null or empty text has no words and is clean; a null or
     empty item text has no window; items that repeat count once by id; items without an id count as one, a null at the end of hit_items, which
-    n_items counts and items_sha256 leaves out; an empty benchmark leaves all clean. Repeated rows of docs each get a result.
+    n_items counts and items_sha256 leaves out; an empty benchmark leaves all clean. Repeated rows of docs each get a result; long texts are searched
+    whole.
+
+    A benchmark of more than most_windows distinct windows is dealt into blocks by a hash of the window, whatever items they come from. Each
+    block is one pass over docs that writes what it has found for a text, under 128 bits of hash of the text; docs are joined with that by these bits.
     """
-    items = benchmark.select(named(item_id).cast("string").alias("item"), named(item_text).alias("text"))
-    words = F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(F.greatest(words - (window - 1), F.lit(1)))).first()[0] or 0
-    parts = max(1, -(-total // most_windows))
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    out = docs
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        groups = [Patterns(m, texts) for m, texts in sorted(windows_of([(r.item, r.text) for r in own.collect()], window).items())]
-        out = _scan(out, text, groups, k > 0)
-        if parts > 1:
-            out = scratch.save(out, f"block{k}")
+    every = scratch.save(_windows(benchmark, item_id, item_text, window), "windows")
+    total = every.select("m", "pattern").distinct().count()
+    parts = max(1, -(-total // most_windows))
+    if parts == 1:
+        out = _scan(docs, text, _patterns(every))
+    else:
+        key = [F.xxhash64(named(text)).alias("_k0"), F.xxhash64(F.lit("decontaminate"), named(text)).alias("_k1")]
+        blocks = None
+        for k in range(parts):
+            groups = _patterns(every.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == k))
+            found = _scan(docs.select(named(text).alias("text")).where("text is not null"), "text", groups).where("size(hit_spans) > 0")
+            own = [F.xxhash64("text").alias("_k0"), F.xxhash64(F.lit("decontaminate"), F.col("text")).alias("_k1")]
+            found = scratch.save(found.select(*own, "hit_spans", "hit_items").groupBy("_k0", "_k1").agg(F.first("hit_spans").alias("hit_spans"), F.first("hit_items").alias("hit_items")), f"block{k}")
+            blocks = found if blocks is None else blocks.unionByName(found)
+        spans, ids = _merged(F.col("s"), F.col("i"))
+        hits = blocks.groupBy("_k0", "_k1").agg(F.collect_list("hit_spans").alias("s"), F.collect_list("hit_items").alias("i")).select("_k0", "_k1", spans.alias("hit_spans"), ids.alias("hit_items"))  # as many as blocks
+        base = without(docs, [f.name for f in _FIELDS])
+        words = F.regexp_count(F.translate(named(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+        base = base.select("*", F.coalesce(words, F.lit(0)).cast("long").alias("n_words"), *key).join(hits, ["_k0", "_k1"], "left").drop("_k0", "_k1")
+        out = base.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in _FIELDS[1:]})
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -428,6 +428,38 @@ def test_warc_round_trip(spark):
         warc.restore(records, broken).collect()
 
 
+def test_long_items_in_bounded_blocks(spark, monkeypatch):
+    """One long item, and items without ids, are dealt by window: no block has many more than asked for, and the results are those of one block."""
+    r = np.random.default_rng(9)
+    words = lambda n: " ".join("w%d" % x for x in r.integers(0, 10**6, n))
+    long, short = words(3000), [words(20) for _ in range(60)]
+    items = spark.createDataFrame([("long", long), ("long", long), *((None, t) for t in short), ("tiny", "w1 w2"), ("null", None)], "item_id string, text string")
+    cut = long.split()
+    texts = [" ".join(cut[500:530]) + " other words " + short[3], words(40), short[5] + " " + " ".join(cut[-13:]), "", None, "W1 w2 and"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, n_hit string")
+    sizes = []
+    real = decontaminate._patterns
+    monkeypatch.setattr(decontaminate, "_patterns", lambda w: (sizes.append(w.select("m", "pattern").distinct().count()), real(w))[1])
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    whole = rows(decontaminate.digest(decontaminate.decontaminate(docs, items)), *columns)
+    assert len(sizes) == 1
+    blocks = rows(decontaminate.digest(decontaminate.decontaminate(docs, items, most_windows=400)), *columns)
+    assert blocks == whole and len(sizes) > 8 and max(sizes[1:]) < 600
+    plain = brute.contamination([(k, t) for k, t in enumerate(texts)], [("long", long), *((f"n{k}", t) for k, t in enumerate(short)), ("tiny", "w1 w2")])
+    assert [w[:3] for w in whole if w[0] < len(texts)] == sorted(tuple(x[:3]) for x in plain)
+
+
+def test_packing_counts_the_pieces_that_bins_carry(spark):
+    """Very many tiny pieces, packed a few thousand at a time in every round: all are there, without gaps, and hardly a bin more than the fewest."""
+    items = spark.range(60_000, numPartitions=12).select("id", (F.col("id") % 3 + 1).alias("length"))
+    got = packing.pack(items, capacity=64, most_items=2_000, slack=0).toPandas()
+    assert sorted(got.id) == list(range(60_000))
+    got = got.sort_values(["sequence_id", "offset"])
+    ends = got.groupby("sequence_id").length.cumsum()
+    assert (ends - got.length == got.offset).all() and ends.max() <= 64
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 64) + 3
+
+
 # ---- op8, op10 -----------------------------------------------------------------------------------------------------
 
 
