@@ -327,15 +327,33 @@ def test_toxicity_scores_plainly(docs, texts):
 
 
 def test_toxicity_thresholds_of_unseen_rows(spark, monkeypatch):
-    """Scores at which thresholds are cut come from models that were not trained on the same rows, and all rows make the model that is returned."""
+    """Scores at which thresholds are cut come from models that were not trained on the same rows, and all rows make the model that is returned. Trainings are
+    tasks, where nothing can be watched: the parts are watched here, and the tasks' scores and model are held against them."""
+    table = spark.createDataFrame([(k, f"text number {k}", "en", k % 2) for k in range(60)], "doc_id long, text string, lang string, toxic int")
+    held = []
+    cut = toxicity.thresholds
+    monkeypatch.setattr(toxicity, "thresholds", lambda scores, marks, langs: held.append((scores, marks)) or cut(scores, marks, langs))
+    model, _ = toxicity.fit(table, table.select("doc_id", "toxic"))
+    rows = sorted(((str(r.doc_id), r.text, r.toxic) for r in table.collect()))
+    texts, marks, fold = [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([zlib.crc32(r[0].encode()) // 4 % 3 for r in rows])
+    for k in range(3):
+        _, here, scores = toxicity._part(k, texts, marks, fold)
+        assert held[0][0][here].tolist() == pytest.approx(scores.tolist(), abs=1e-5)
+    assert model.scores(*_slots_of(model, texts)) == pytest.approx(toxicity.train(texts, marks.tolist()).scores(*_slots_of(model, texts)), abs=1e-5)
     seen, scored = [], []
     train, score = toxicity.train, toxicity.score_texts
     monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(set(texts)) or train(texts, labels, epochs=1))
     monkeypatch.setattr(toxicity, "score_texts", lambda model, texts: scored.append(set(texts)) or score(model, texts))
-    table = spark.createDataFrame([(k, f"text number {k}", "en", k % 2) for k in range(60)], "doc_id long, text string, lang string, toxic int")
-    toxicity.fit(table, table.select("doc_id", "toxic"))
-    assert len(seen) == len(scored) + 1 == 4 and len(seen[-1]) == 60 and set().union(*scored) == seen[-1]
-    assert all(not a & b for a, b in zip(seen, scored))
+    assert [toxicity._part(k, texts, marks, fold)[1].tolist() for k in range(3)] == [np.flatnonzero(fold == k).tolist() for k in range(3)]
+    assert len(seen) == len(scored) == 3 and set().union(*scored) == set(texts) and len(held) == 1 and held[0][1].tolist() == marks.tolist()
+    assert all(not a & b and len(a) + len(b) == 60 for a, b in zip(seen, scored))
+    assert toxicity._part(7, texts, marks, fold)[0] is None
+
+
+def _slots_of(model, texts):
+    data = [t.encode() for t in texts]
+    slots, first = toxicity.word_slots(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return model.index()[slots], first
 
 
 # ---- op6 -----------------------------------------------------------------------------------------------------------
