@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.scratch import Steps
+from . import trigrams
+
+#: Identifiers that are looked for one by one.
+FEW = 8
 
 #: Import statements. Groups: clause and specifier where there are two.
 _JS_FROM = r"""(?md)^\s*import\s+(.+?)\s+from\s+['"]([^'"]+)['"]"""
@@ -143,8 +147,10 @@ def references(imports: DataFrame, identifiers: list[str]) -> DataFrame:
 
 
 def _holding(files: DataFrame, identifiers: dict[str, str]) -> DataFrame:
-    """path, identifier, low of the files whose content has an identifier. One expression for each, outside of any lambda, so that the content is
-    lower-cased once a file."""
+    """path, identifier, low of the files whose content has an identifier. For a few, one expression each, outside of any lambda, so that the content is
+    lower-cased once a file; many are found by one automaton."""
+    if len(identifiers) > FEW:
+        return trigrams.holding(files, identifiers)
     content = F.lower("content")
     hits = [F.when(F.contains(content, F.lit(low)), F.struct(F.lit(i).alias("identifier"), F.lit(low).alias("low"))) for i, low in identifiers.items()]
     if not hits:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ann, catalog, chunks, evaluation, graph, history, merkle, search, symbols, telemetry, vectors
+from ..operators import ann, catalog, chunks, evaluation, graph, history, merkle, search, symbols, telemetry, trigrams, vectors
 from ..sources import ingest, scratch, versions
 from ..sources import tables as t
 from ..streaming import changes, cumulative, keyed
@@ -82,6 +82,18 @@ def search_text_by_file(spark, sf_dir):
     return search.by_file(search.matching_lines(t.lines(t.files(spark, sf_dir)), "and", file_pattern="src1*/en/*.py"))
 
 
+@_query(f"""WITH {_LINES} SELECT path, line, {_CLAMP} AS text, CAST(greatest((length(text) - length(replace(lower(text), 'license', ''))) / 7, 1) AS INT) AS score
+  FROM lines WHERE contains(lower(text), 'license')""")
+def trigram_search(spark, sf_dir):
+    return trigrams.build(t.files(spark, sf_dir).where("path is not null"), scratch.folder(spark, "trigrams")).search("license")
+
+
+@_query(f"""WITH {_LINES} SELECT path, line, {_CLAMP} AS text, CAST(len(regexp_extract_all(text, '(?i)(?:licen[cs]e|copyright)[ a-z]*(?:the|and)')) AS INT) AS score
+  FROM lines WHERE regexp_matches(text, '(?i)(?:licen[cs]e|copyright)[ a-z]*(?:the|and)')""")
+def trigram_regex(spark, sf_dir):
+    return trigrams.build(t.files(spark, sf_dir).where("path is not null"), scratch.folder(spark, "trigrams")).search("(?:licen[cs]e|copyright)[ a-z]*(?:the|and)", is_regex=True)
+
+
 def _vector_sql(k: int, queries: str) -> str:
     return f"""q AS (SELECT vec_id AS query_id, label AS q_label, embedding AS qe FROM embeddings WHERE {queries}),
  pairs AS (SELECT query_id, q_label, vec_id, label, list_sum(list_transform(range(1, len(qe) + 1), lambda i: CAST(qe[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) /
