@@ -240,10 +240,12 @@ def _round(bins: DataFrame, capacity: int, slack: int, most_items: int, level: i
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, slack: int = 8, fan_in: int = 8, most_items: int = 400_000) -> DataFrame:
     """items with sequence_id and offset: every item whole in one sequence of at most `capacity`, sequences gapless from 0.
 
-    Lengths are 1 to capacity. Columns of the same names are replaced. Null lengths are an error. Bins within `slack` of the capacity are final.
+    Lengths are 1 to capacity. Columns of the same names are replaced. Null lengths are an error. Bins within `slack` of the capacity are final. items
+    are written first: where they come from a tokenizer, its workers and those of the packing are then not in memory at the same time.
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
+    items = scratch.save(items, "items")
     own = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
     size = named(length).cast("long")
     size = F.when(size.between(1, capacity), size).otherwise(F.raise_error(F.lit("a length is null, below 1 or above the capacity")).cast("long"))
