@@ -25,11 +25,11 @@ def chunk(files: DataFrame, repo: str, most_lines: int = 80, most_bytes: int = 3
             F.struct(a["starts"].alias("starts"), (a["lines"] + 1).alias("lines"), (a["bytes"] + F.when(a["lines"] > 0, 1).otherwise(0) + size).alias("bytes"), at.alias("at"))
         )
 
-    df = df.withColumn("starts", F.aggregate("parts", start, step)["starts"])
-    last = F.coalesce(F.get(F.col("starts"), F.col("k") + 1) - 1, F.size("parts"))
-    df = df.select("path", "language", "parts", "starts", F.posexplode("starts").alias("k", "start_line")).withColumn("end_line", last)
-    df = df.withColumn("chunk_text", F.array_join(F.slice("parts", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n"))
-    df = df.where((F.size("parts") > 0) & (tx.trim_unicode(F.col("chunk_text")) != ""))
+    ranges = F.aggregate("parts", start, step, lambda a: F.transform(a["starts"], lambda s, k: F.struct(s.alias("start_line"), F.coalesce(F.get(a["starts"], k + 1) - 1, a["at"]).alias("end_line"))))
+    body = lambda r: F.array_join(F.slice("parts", r["start_line"], F.greatest(r["end_line"] - r["start_line"] + 1, F.lit(0))), "\n")
+    cut = F.transform(ranges, lambda r: F.struct(r["start_line"].alias("start_line"), r["end_line"].alias("end_line"), body(r).alias("chunk_text")))
+    df = df.where(F.size("parts") > 0).select("path", "language", F.explode(cut).alias("c")).select("path", "language", "c.*")  # a chunk's row does not carry the file
+    df = df.where(tx.trim_unicode(F.col("chunk_text")) != "")
     ident = F.sha1(F.array_join(F.array(F.lit(repo), F.col("path"), F.col("start_line").cast("string"), F.col("end_line").cast("string"), tx.trim_unicode(F.col("chunk_text"))), "\0").cast("binary"))
     return df.select("path", "language", ident.alias("chunk_id"), "start_line", "end_line", "chunk_text")
 
