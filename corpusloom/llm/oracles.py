@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, THRESHOLD
 from .suffix import LENGTH, PASSAGE_LENGTH, PASSAGE_WORDS
 
 _WORDS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -50,17 +49,6 @@ WARC = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesc
    + CASE WHEN page_id = owner THEN 0 ELSE strlen('WARC-Refers-To: <urn:page:>..WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest..') + strlen(CAST(owner AS VARCHAR)) END
    + strlen(CAST(http + CASE WHEN page_id = owner THEN n ELSE 0 END AS VARCHAR)) + http + CASE WHEN page_id = owner THEN n ELSE 0 END + 4 AS BIGINT) AS record_bytes FROM t"""
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
-_GRAMS = "CASE WHEN len(w) = 1 THEN w ELSE [w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))] END"
-
-LICENSES = f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, text FROM documents), u AS (SELECT doc_id, k AS line, p[k] AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM l) UNION ALL SELECT doc_id, 0, text FROM l WHERE len(p) > 1),
- a AS (SELECT doc_id, line, {_GRAMS} AS g FROM (SELECT doc_id, line, {_WORDS.format('t')} AS w FROM u) WHERE len(w) > 0), b AS (SELECT id, name, {_GRAMS} AS g FROM (SELECT id, name, {_WORDS.format('t')} AS w FROM (VALUES {_TEMPLATES}) v(id, name, t))),
- ac AS (SELECT doc_id, line, n, gram, count(*) AS c FROM (SELECT doc_id, line, len(g) AS n, unnest(g) AS gram FROM a) GROUP BY ALL), bc AS (SELECT id, name, n, gram, count(*) AS c FROM (SELECT id, name, len(g) AS n, unnest(g) AS gram FROM b) GROUP BY ALL),
- m AS (SELECT doc_id, line, bc.name, 2.0 * sum(least(ac.c, bc.c)) / (ac.n + bc.n) AS dice FROM ac JOIN bc ON ac.gram = bc.gram GROUP BY doc_id, line, ac.n, bc.id, bc.name, bc.n),
- best AS (SELECT doc_id, line, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, name) AS rn FROM m WHERE dice >= {THRESHOLD}) WHERE rn = 1),
- per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best GROUP BY 1), top AS (SELECT doc_id, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS rn FROM best) WHERE rn = 1)
- SELECT d.doc_id, coalesce(per.n, 0) AS n_matches, coalesce(per.names, '') AS licenses, top.name AS best_license, CAST(round(top.dice, 6) AS DOUBLE) AS best_dice FROM documents d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN top ON d.doc_id = top.doc_id"""
-
 
 def url_filters(rules: list[tuple[str, str, str]]) -> str:
     """Every rule against every page; the longest that fits decides."""

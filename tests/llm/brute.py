@@ -108,3 +108,46 @@ def components(prints, most=2):
     for i, d in enumerate(ids):
         least[top(i)] = min(d, least.get(top(i), d))
     return {d: least[top(i)] for i, d in enumerate(ids)}
+
+
+def _word_pairs(text):
+    w = ALNUM.findall(text.translate(_UPPER))
+    return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
+
+
+def license_matches(text, templates, bodies, least=0.7):
+    """(line, licence, dice) of a text: of every line and of the whole text the best template (ties by name); then, from the best down, runs of
+    lines against templates and full texts. A run goes if it overlaps a better one, or has a line that matches the same licence or any at
+    least as well; it is not told if the whole text matches the same licence."""
+    known = [(name, _word_pairs(t)) for name, t in templates]
+    more = known + [(name, _word_pairs(t)) for name, t in bodies]
+    sizes = {id(v): v.total() for _, v in more}
+
+    def dice(u, v):
+        a, b = u.total(), sizes[id(v)]
+        if not a or 2 * min(a, b) < least * (a + b):
+            return 0.0
+        return 2 * (u & v).total() / (a + b)
+
+    lines = (text or "").split("\n")
+    out = []
+    for line, unit in [*enumerate(lines, 1)] + ([(0, text)] if len(lines) > 1 else []):
+        u = _word_pairs(unit)
+        score, name = min((-dice(u, v), name) for name, v in known)
+        if -score >= least:
+            out.append((line, name, -score))
+    taken, whole = {line: (d, name) for line, name, d in out if line}, {name for line, name, _ in out if not line}
+    runs = []
+    for a in range(1, len(lines) + 1):
+        for z in range(a, len(lines) + 1):
+            u = _word_pairs("\n".join(lines[a - 1 : z]))
+            runs += [(-d, z - a, a, name) for name, v in more if (d := dice(u, v)) >= least]
+    used = set()
+    for score, length, a, name in sorted(runs):
+        own = range(a, a + length + 1)
+        if used & {*own} or any(k in taken and (taken[k][1] == name or taken[k][0] >= -score) for k in own):
+            continue
+        used |= {*own}
+        if name not in whole:
+            out.append((a, name, -score))
+    return out

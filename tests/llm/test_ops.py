@@ -6,6 +6,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -64,6 +65,24 @@ def test_distances_plainly(spark):
     assert plain(junk, both).max() < outliers.CHI2_REJECT  # which plain moments of all rows would not see
 
 
+def test_least_determinant_exhaustively(spark):
+    """The estimate is that of the subset which, of all of its size, has the least determinant; scaled and refined as numpy does it."""
+    rng = np.random.default_rng(21)
+    names, floors = list(outliers.FLOORS), np.diag(np.square(list(outliers.FLOORS.values())))
+    x = np.concatenate([rng.normal(size=(12, 6)), rng.normal(size=(4, 6)) + 25])
+    spread = lambda own: np.cov(own.T, bias=True) + floors
+    far = lambda own: np.einsum("ni,ij,nj->n", x - own.mean(0), np.linalg.inv(spread(own)), x - own.mean(0))
+    best = min(combinations(range(16), 12), key=lambda k: np.linalg.slogdet(spread(x[list(k)]))[1])
+    assert best == tuple(range(12))
+    d2 = far(x[list(best)])
+    scale = max(np.sort(d2)[7] / outliers.CHI2_MEDIAN, 1)
+    want = far(x[d2 <= outliers.CHI2_REFINE * scale])
+    table = spark.createDataFrame([(k, "g", *map(float, r)) for k, r in enumerate(x)], ["id", "k", *names]).repartition(3)
+    found = outliers.estimates(table.drop("id"), ["k"], Scratch(spark, "test"))
+    got = dict(outliers._meet(table, found, ["k"]).select("id", outliers._distance()).collect())
+    assert [got[k] for k in range(16)] == pytest.approx(want.tolist(), rel=1e-6)
+
+
 def test_outliers(spark, docs, none):
     found = outliers.reject_outliers(docs)
     assert found.count() == docs.count()
