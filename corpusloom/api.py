@@ -13,6 +13,7 @@ import json
 import logging
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -120,6 +121,10 @@ def _ids(one: str, many: list[str], what: str) -> list[str]:
     return list(dict.fromkeys(many or [one]))
 
 
+def _paths(one: str, many: list[str]) -> list[str]:
+    return list(dict.fromkeys(map(tx.clean_path, _ids(one, many, "file_path"))))
+
+
 def _list(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -129,6 +134,43 @@ def repo_id(path: str) -> str:
     return f"local/{clean.rsplit('/', 1)[-1]}-{hashlib.sha1(clean.encode()).hexdigest()[:8]}"
 
 
+def _roots(spark: SparkSession, path: str) -> list[str] | None:
+    """The folder of a path and the root of the version control that it is in, where that is another one; None if there is no such path. Links of
+    local paths are followed."""
+    path = path if "://" in path else os.path.realpath(os.path.expanduser(path))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    if fs.getFileStatus(at).isFile():
+        path, at = path.rsplit("/", 1)[0] or "/", at.getParent()
+    steps = 0
+    while at is not None and not fs.exists(hadoop(at, ".git")):  # a folder, or the file of a worktree
+        at, steps = at.getParent(), steps + 1
+    own = path.rstrip("/") or "/"
+    return [own] if at is None or not steps else [own, own.rsplit("/", steps)[0] or "/"]
+
+
+def _resolved(spark: SparkSession, path: str, find: Callable[[str], Corpus | None]) -> dict:
+    """The answer of resolve_repo: the corpus of the path's folder, else that of the version control's root."""
+    asked = path.strip()
+    roots = _roots(spark, asked or ".")
+    if roots is None:
+        return {"found": False, "indexed": False, "error": f"Path does not exist: {asked}"}
+    for root in roots:
+        own = find(root)
+        if own is not None:
+            language = tx.language_of(F.col("path")).alias("language")
+            languages = {r.language: r["count"] for r in own.files.select(language).groupBy("language").count().collect()}
+            return {
+                "found": True, "indexed": True, "repo": own.name, "source_root": own.root, "display_name": own.root.rsplit("/", 1)[-1],
+                "symbol_count": own.symbols.count() if own.symbols is not None else 0, "file_count": sum(languages.values()),
+                "languages": {k: n for k, n in sorted(languages.items(), key=lambda x: x[0] or "") if k}, "indexed_at": own.indexed_at and own.indexed_at.isoformat(),
+            }
+    return {"found": True, "indexed": False, "repo": repo_id(roots[0]), "hint": "call index_folder to index this path"}
+
+
 @dataclass
 class Corpus:
     """Tables of one corpus. Only files is needed; imports are extracted and resolved from it once, when first asked for."""
@@ -284,8 +326,7 @@ class Corpus:
         return {"repos": sorted(({"repo": c.name, "file_count": c.files.count(), "indexed_at": c.indexed_at and c.indexed_at.isoformat()} for c in own), key=lambda r: r["repo"])}
 
     def resolve_repo(self, path: str) -> dict:
-        own = repo_id(path)
-        return {"repo": own, "indexed": own == self.name}
+        return _resolved(self.spark, path, lambda root: self if repo_id(root) == self.name else None)
 
     def invalidate_cache(self) -> dict:
         if self._imports is not None:
@@ -302,12 +343,13 @@ class Corpus:
         return {"path_prefix": path_prefix, "tree": json.loads(root.tree) if root else [], "file_count": below, "directories": _list(catalog.file_tree(self.files, path_prefix).orderBy("directory"))}
 
     def get_file_outline(self, file_path: str, file_paths: list[str]) -> dict:
-        asked = _ids(file_path, file_paths, "file_path")
+        asked = _paths(file_path, file_paths)
         own = self.files.where(F.col("path").isin(*asked)).select("path", tx.language_of(F.col("path")).alias("language"))
         found = {r.path: {"file": r.path, "language": r.language, "symbols": []} for r in own.collect()}
         return {"results": [found.get(p, {"file": p, "error": f"File not found: {p}"}) for p in asked]}
 
     def get_file_content(self, file_path: str, start_line: int | None, end_line: int | None) -> dict:
+        file_path = tx.clean_path(file_path)
         own = self.files.where(F.col("path") == file_path)
         row = catalog.content_slice(own, start_line or 1, end_line or 2**31 - 1).first()
         if row is None:
@@ -413,8 +455,9 @@ class Corpus:
     # ---- relations
 
     def find_importers(self, file_path, file_paths, max_results) -> dict:
-        asked = _ids(file_path, file_paths, "file_path")
+        asked = _paths(file_path, file_paths)
         if file_path:
+            file_path = asked[0]
             rows = _list(graph.importers(self.imports, file_path, max_results))
             return {"file_path": file_path, "importer_count": self.imports.where(F.col("resolved") == file_path).select("source_file").distinct().count(), "importers": rows}
         found: dict[str, list[dict]] = {}
@@ -455,6 +498,7 @@ class Corpus:
         return self.imports.where("resolved is not null").select(F.col("source_file").alias("source"), F.col("resolved").alias("target"))
 
     def get_dependency_graph(self, file, direction, depth) -> dict:
+        file = tx.clean_path(file)
         start = self.files.where(F.col("path") == file).select("path")
         if not start.head(1):
             raise RequestError(f"File not found: {file}")
@@ -580,9 +624,7 @@ class Workspace:
             if tool == "list_repos":
                 return {"repos": [{"repo": n, "file_count": c.files.count(), "indexed_at": c.indexed_at and c.indexed_at.isoformat()} for n, c in sorted(self.corpora.items())]}
             if tool == "resolve_repo":
-                path = str(given.get("path", "")).rstrip("/")
-                own = self._of_path(path)
-                return {"repo": own.name if own else repo_id(path), "indexed": own is not None}
+                return _resolved(self.spark, str(given.get("path", "")), lambda root: own if (own := self._open(root)).name == repo_id(root) else None)
             if tool == "get_symbol_diff":
                 a, b = (self._find(str(given.pop(k, "") or "")) for k in ("repo_a", "repo_b"))
                 return replace(a, other=b).call(tool, given)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -98,11 +99,35 @@ def language_of(path: Column) -> Column:
 
 
 def normal_path(c: Column) -> Column:
-    """Trimmed, with forward slashes, without `.` parts, doubled and trailing slashes. (`..` is for the caller to resolve.)"""
+    """Trimmed, with forward slashes, without `.` parts, doubled and trailing slashes; `..` takes the part before it away, is lost at the root and
+    stays at the begin of a relative path. The folder itself is empty."""
     p = F.replace(trim_unicode(c), F.lit("\\"), F.lit("/"))
-    for pattern, to in ((r"/{2,}", "/"), (r"(?<=^|/)(?:\./)+", ""), (r"/\.$", ""), (r"(?<=.)/$", "")):
-        p = F.regexp_replace(p, pattern, to)
-    return p
+    rooted = F.startswith(p, F.lit("/"))
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        back = F.when(last.isNotNull() & (last != ".."), F.slice(kept, 1, F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part == "..", back).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
+    folded = F.when(F.array_contains(parts, ".."), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(folded, "/"))
+
+
+def chunk_path(c: Column) -> Column:
+    """normal_path of a path inside a repository, whatever slashes stand around it; empty for one that leads out of it."""
+    p = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^\s*(?:\./)?/*", "")
+    p = normal_path(p)
+    return F.when((p == "..") | F.startswith(p, F.lit("../")), "").otherwise(p)
+
+
+def clean_path(path: str) -> str:
+    """What normal_path gives, of one argument."""
+    p = path.strip().replace("\\", "/")
+    if not p:
+        return ""
+    p = posixpath.normpath(("/" if p.startswith("/") else "") + p.lstrip("/"))
+    return "" if p == "." else p
 
 
 def glob_to_regex(pattern: str) -> str | None:

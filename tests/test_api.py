@@ -30,7 +30,7 @@ def test_all_tools_have_arguments():
 
 CASES = {
     "list_repos": ({}, lambda r: [x["repo"] for x in r["repos"]] == ["local/corpus", "local/other"]),
-    "resolve_repo": ({"path": "/a/b"}, lambda r: r["repo"].startswith("local/b-") and not r["indexed"]),
+    "resolve_repo": ({"path": "/tmp"}, lambda r: r["repo"].startswith("local/tmp-") and r["found"] and not r["indexed"]),
     "get_file_tree": ({"path_prefix": "src/"}, lambda r: [x["path"] for x in r["tree"]] == ["app/", "utils/"] and r["tree"][1]["children"][0] == {"language": "typescript", "path": "src/utils/helper.ts", "symbol_count": 0, "type": "file"} and r["file_count"] == 4 and r["directories"][0] == {"directory": "(root)", "file_count": 4, "size_bytes": sum(len(c) for p, c in FILES if p.startswith("src/"))}),
     "get_file_outline": ({"file_paths": ["m.sql", "no"]}, lambda r: r["results"][0]["language"] == "sql" and "error" in r["results"][1]),
     "get_file_content": ({"file_path": "src/app/main.ts", "start_line": "2"}, lambda r: r["content"].startswith("import def") and r["end_line"] == 2),
@@ -135,7 +135,8 @@ def test_workspace(spark, tmp_path):
     after = {r.id for r in w.corpora[first["repo"]].chunk_vectors.collect()}
     assert len(after) == 3 and len(after & vectors_before) == 2
     assert w.call("index_folder", {"path": str(one), "changed_paths": ["../x"]}) == {"error": "a changed path is outside the folder"}
-    assert w.call("resolve_repo", {"path": str(two / "c.py")}) == {"repo": second["repo"], "indexed": True}
+    found = w.call("resolve_repo", {"path": str(two / "c.py")})
+    assert (found["repo"], found["indexed"], found["source_root"]) == (second["repo"], True, str(two))
     assert w.call("index_file", {"path": str(two / "c.py")})["repo"] == second["repo"]
     assert "error" in w.call("index_file", {"path": "/nowhere/x.py"}) and "error" in w.call("get_file_tree", {"repo": "nothing"}) and "error" in w.call("get_file_tree", {})
     assert w.call("search_text", {"repo": "one", "query": "helper", "retrieval_mode": "semantic"})["result_count"] > 0

@@ -1,13 +1,17 @@
-"""Smaller parts: commits, run trends, prices, index files, import blocks, remote listings."""
+"""Smaller parts: commits, run trends, prices, index files, import blocks, remote listings, paths, repositories of paths, workloads."""
 
 import datetime as dt
 import json
+import posixpath
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import api
-from corpusloom.operators import catalog, chunks, evaluation, history, symbols, telemetry
+from corpusloom.functions import text as tx
+from corpusloom.operators import catalog, chunks, evaluation, history, symbols, telemetry, workloads
 from corpusloom.sources import ingest, store
 from corpusloom.streaming.cumulative import Cumulative
 
@@ -110,3 +114,60 @@ def test_session_stats_with_windows(spark, tmp_path):
     assert [t["tool_name"] for p in got["trend_windows"]["last_7d"] for t in p["tools"]] == ["b", "a"]
     assert corpus.call("get_session_stats", {"trend_windows": ["last_year"]}) == {"error": "unknown trend window: last_year"}
     assert corpus.call("get_session_stats", {"now": "2024-01-10 00:00:00"})["trend_windows"] == {}
+
+
+def test_paths_that_go_up(spark):
+    """Paths with `.`, `..`, doubled slashes, back slashes and blanks, as the standard library cleans them."""
+    r = random.Random(2)
+    rows = ["", " ", ".", "/", "..", "/..", "../..", "a/..", "/a/../..", "a/../../b", " a\\\\b\\..\\c ", "./a/./b/.", "//a//b/", "/a/b/../../../c"]
+    rows += ["".join(r.choice(["a", "b", "..", ".", "/", "//", "/"]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    got = spark.createDataFrame([(p,) for p in rows], "p string").select("p", tx.normal_path(F.col("p")).alias("n"), tx.chunk_path(F.col("p")).alias("c")).collect()
+    for x in got:
+        plain = x.p.strip().replace("\\", "/")
+        plain = re.sub("^/+", "/", posixpath.normpath(plain)) if plain else ""
+        assert x.n == ("" if plain == "." else plain) == tx.clean_path(x.p), x.p
+        inside = x.p.replace("\\", "/").strip().removeprefix("./").strip("/")
+        inside = posixpath.normpath(inside) if inside else ""
+        assert x.c == ("" if inside in (".", "..") or inside.startswith("../") else inside), x.p
+
+
+def test_resolve_repo(spark, tmp_path):
+    """A file's folder, then the root of the version control around it; links are followed; other folders are told how to be indexed."""
+    top, inner = tmp_path / "top", tmp_path / "top/deep/inner"
+    inner.mkdir(parents=True)
+    (top / ".git").mkdir()
+    (inner / "a.py").write_text("x = 1\n")
+    (top / "b.sql").write_text("select 1\n")
+    (tmp_path / "alias").symlink_to(inner)
+    w = api.Workspace(spark)
+    ask = lambda p: w.call("resolve_repo", {"path": str(p)})
+    assert ask(inner / "a.py") == {"found": True, "indexed": False, "repo": api.repo_id(str(inner)), "hint": "call index_folder to index this path"}
+    assert ask(tmp_path / "gone") == {"found": False, "indexed": False, "error": f"Path does not exist: {tmp_path}/gone"}
+    repo = w.call("index_folder", {"path": str(top)})["repo"]
+    for p in (inner / "a.py", inner, top, tmp_path / "alias", str(top) + "/"):
+        got = ask(p)
+        assert (got["repo"], got["source_root"], got["display_name"], got["file_count"], got["languages"], got["symbol_count"]) == (repo, str(top), "top", 2, {"python": 1, "sql": 1}, 0)
+        assert got["found"] and got["indexed"] and got["indexed_at"]
+    assert not ask(tmp_path)["indexed"]  # the folder above is not version controlled
+    assert w.corpora[repo].call("resolve_repo", {"path": str(inner)})["indexed"]
+    (inner / ".git").write_text("gitdir: elsewhere\n")  # a worktree of its own
+    assert not ask(inner)["indexed"]
+    assert w.call("get_file_content", {"file_path": " ./deep/../deep//inner/a.py"})["content"] == "x = 1\n"
+
+
+def test_workloads(spark):
+    files = spark.createDataFrame([(f"src/f{k}.ts", f"import {{ Name{k} }} from './f{k + 1}'\n", 40) for k in range(5)], "path string, content string, size_bytes long")
+    corpus = api.Corpus(files)
+    paths, names = workloads.paths(files, 100), workloads.identifiers(corpus.imports, files, 100)
+    assert paths == [f"src/f{k}.ts" for k in range(5)] == workloads.paths(files, 5) and names[:5] == [f"Name{k}" for k in range(5)] and set(names) >= {f"f{k}" for k in range(6)}
+    assert names == sorted(names) and len({n.lower() for n in names}) == len(names) and workloads.identifiers(corpus.imports, files, 3) == names[:3]
+    assert workloads.selection(paths, 3, 4) == [paths[k] for k in (2, 3, 4, 0)] and workloads.selection([], 0) == []
+    for name, (_, argument) in workloads.WORKLOADS.items():
+        runs = workloads.run(spark, corpus.call, name, paths if argument == "file_paths" else names, runs=2, batch=3)
+        assert [(r.run, r["items"], r.failed, r.error) for r in runs.orderBy("run").collect()] == [(0, 3, False, None), (1, 3, False, None)]
+        total = evaluation.throughput(runs, "workload").first()
+        assert total.workload == name and total.items_per_s > 0 and total.error_rate == 0 and total.p95_ms >= total.p50_ms
+    broken = workloads.run(spark, lambda *_: {"error": "no"}, "tool_find_importers_fixture", paths, runs=2).collect()
+    assert [(r["items"], r.ms, r.error) for r in broken] == [(0, None, "no")] * 2
+    with pytest.raises(ValueError):
+        workloads.run(spark, corpus.call, "other", paths)
