@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.operators import symbols
 from corpusloom.plans import registry
 from corpusloom.sources import tables as t
 
@@ -92,3 +94,17 @@ def test_whole_sources(spark):
         lines = (d[p.p_partkey % len(d)] or "").split("\n")
         a, z = (max(min(k, len(lines)), 1) for k in (p.p_size, p.p_size + 3))
         assert got[p.p_partkey].source == "\n".join(x.removesuffix("\r") for x in lines[a - 1 : z])
+
+
+def test_token_overlap_meets_lists_not_ids(spark):
+    """Equal names are compared once; repeated ids count together, and an id without tokens or a null id is in no pair."""
+    rows = [(str(k), "red ring" if k % 2 else "old_ring Red") for k in range(1500)] + [("7", "redRing"), ("x", "?"), (None, "red ring"), ("y", None)]
+    s = spark.createDataFrame(rows, "id string, name string")
+    met = symbols.token_overlap(s, F.expr("id in ('0', '7')"))
+    tokens = defaultdict(Counter)
+    for i, name in rows:
+        if i is not None and name is not None:
+            tokens[i].update(set(re.findall("[a-z0-9]{2,}", re.sub("([a-z])([A-Z])", r"\1_\2", name).lower())))
+    shared = lambda a, b: sum(n * tokens[b][w] for w, n in tokens[a].items())
+    want = {(a, b, shared(a, b)) for a in ("0", "7") for b in tokens if a != b and shared(a, b)}
+    assert {tuple(r) for r in met.collect()} == want and met.count() == len(want) == 2998
