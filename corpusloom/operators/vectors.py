@@ -44,8 +44,8 @@ def _checked(v: Column) -> Column:
     return F.when(valid(v), v).otherwise(F.raise_error(F.lit("a vector is empty, not finite or of zero norm")).cast("array<double>"))
 
 
-#: Bytes of queries that are sent to every task at most, and scores that a task holds at once.
-MOST_QUERY_BYTES, _CELLS = 64 << 20, 2 << 20
+#: Bytes of queries that are sent to every task at most, scores that a task holds at once, and vectors that they are of.
+MOST_QUERY_BYTES, _CELLS, _ROWS = 64 << 20, 2 << 20, 8192
 
 
 def matrix(column, what: str = "vector") -> np.ndarray:
@@ -80,10 +80,20 @@ class Best:
         keep = rank < self.k
         self.query, self.score, self.id = q[keep], s[order][keep], i[order][keep]
 
+    def least(self, n: int) -> np.ndarray:
+        """The last score that each of the queries 0 to n has; minus infinity, if it has fewer than k."""
+        out = np.full(n, -np.inf)
+        full = np.flatnonzero(np.bincount(self.query, minlength=n) == self.k)
+        out[full] = self.score[np.searchsorted(self.query, full, "right") - 1]
+        return out
 
-def near(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of q, row of v) that hold the k best of v for each of q, with all that tie with the last. Both are of unit length."""
+
+def near(q: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of v) that hold the k best of v for each of q, with all that tie with the last. Both are of unit length. least: a score for each
+    of q below which nothing is wanted; where all have one, that is what decides."""
     score = q @ v.T
+    if least is not None and np.isfinite(least).all():
+        return np.nonzero(score >= least[:, None] - 1e-9)
     if v.shape[0] > k:
         last = np.partition(score, v.shape[0] - k, axis=1)[:, -k]
         return np.nonzero(score >= last[:, None] - 1e-9)
@@ -96,14 +106,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     queries (query_id, namespace, embedding) is a stated set: it is collected in blocks of bounded bytes, and each block goes once over all vectors. Scores are
     products of matrices; a task keeps k rows for each query, whose scores it computes again by one and the same sum, so that equal vectors tie
-    exactly and products rounded in another order cannot decide."""
+    exactly and products rounded in another order cannot decide. What is kept is sorted by small groups of queries, and a vector enters only where it is no
+    worse than the last; vectors are dealt out evenly, however few files they are in."""
     spark = vectors.sparkSession
     q = queries.select("query_id", F.col("namespace").cast("string").alias("namespace"), "embedding")
     size = q.agg(F.sum(F.coalesce(F.size("embedding"), F.lit(0)) * 8 + 64)).first()[0] or 0
     parts = max(1, -(-size // MOST_QUERY_BYTES))
     v = vectors.select(F.col("namespace").cast("string").alias("namespace"), F.col("id").cast("string").alias("id"), "embedding")
+    v = v.repartition(2 * spark.sparkContext.defaultParallelism)
     kind = queries.schema["query_id"].dataType
-    out = None
+    out, group, most = None, max(1, _CELLS // _ROWS), _ROWS
     for p in range(parts):
         own = (q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)).toArrow().combine_chunks()
         spaces = own["namespace"].to_pylist()
@@ -112,22 +124,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         sent = spark.sparkContext.broadcast(asked)
 
         def run(batches, sent=sent):
-            best = Best(k)
+            best: dict = {}
             for b in batches:
                 names = np.array(b.column(0).to_pylist(), object)
                 for n, (at, m) in sent.value.items():
                     rows = np.flatnonzero(names == n)
-                    if not len(rows):
-                        continue
-                    x = matrix(b.column(2).take(rows))
-                    if x.shape[1] != m.shape[1]:
-                        raise ValueError("vectors of unequal sizes")
-                    x, ids = unit(x), np.array(b.column(1).take(rows).to_pylist())
-                    step = max(1, _CELLS // len(rows))
-                    for a in range(0, len(m), step):
-                        i, j = near(m[a : a + step], x, k)
-                        best.add(at[a + i], np.clip(np.einsum("ij,ij->i", m[a + i], x[j]), -1, 1), ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(best.query), pa.array(best.id.tolist(), pa.string()), pa.array(best.score)], ["at", "id", "score"])
+                    for r in range(0, len(rows), most):
+                        x = matrix(b.column(2).take(rows[r : r + most]))
+                        if x.shape[1] != m.shape[1]:
+                            raise ValueError("vectors of unequal sizes")
+                        x, ids = unit(x), np.array(b.column(1).take(rows[r : r + most]).to_pylist())
+                        for a in range(0, len(m), group):
+                            own, q = best.setdefault((n, a), Best(k)), m[a : a + group]
+                            i, j = near(q, x, k, own.least(len(q)))
+                            if len(i):
+                                own.add(i, np.clip(np.einsum("ij,ij->i", q[i], x[j]), -1, 1), ids[j])
+            for (n, a), own in best.items():
+                at = sent.value[n][0][a : a + group]
+                yield pa.RecordBatch.from_arrays([pa.array(at[own.query]), pa.array(own.id.tolist(), pa.string()), pa.array(own.score)], ["at", "id", "score"])
 
         names = spark.createDataFrame(own.select(["query_id"]).append_column("at", pa.array(np.arange(len(own)))))
         found = v.mapInArrow(run, "at long, id string, score double")
@@ -183,12 +197,22 @@ def sync_chunks(stored: DataFrame, chunks: DataFrame, touched: DataFrame, namesp
     return kept.unionByName(embed_chunks(new, namespace, embed).select(*stored.columns))
 
 
-def recall_at_k(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
-    """query_id, recall: distinct relevant ids in the first k over all relevant ones (relevance above 0)."""
+def judged_by_label(ranked: DataFrame, vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What recall_at_k and mrr_at_k need where the vectors (id, label) of a query's label (query_id, q_label) are relevant to it: judgments of what is ranked,
+    and how many are relevant in all (query_id, total). A label's vectors are counted, never paired with its queries."""
+    own, labels = vectors.select("id", "label").distinct(), queries.select("query_id", "q_label").distinct()
+    met = ranked.select("query_id", "id").distinct().join(labels, "query_id").join(own, "id").where("label = q_label")
+    total = labels.join(own.groupBy(F.col("label").alias("q_label")).agg(F.count("*").alias("total")), "q_label").groupBy("query_id").agg(F.sum("total").alias("total"))
+    return met.select("query_id", "id", F.lit(1).alias("relevance")), total
+
+
+def recall_at_k(ranked: DataFrame, judged: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """query_id, recall: distinct relevant ids in the first k over all relevant ones (relevance above 0). total (query_id, total): how many there are, where
+    judged has only those that are ranked."""
     relevant = judged.where("relevance > 0").select("query_id", "id").distinct()
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("total"))
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("total")) if total is None else total
     found = ranked.where(F.col("rank") <= k).select("query_id", "id").distinct().join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("found"))
-    asked = ranked.select("query_id").unionByName(judged.select("query_id")).distinct()
+    asked = ranked.select("query_id").unionByName(judged.select("query_id")).unionByName(total.select("query_id")).distinct()
     return asked.join(total, "query_id", "left").join(found, "query_id", "left").select("query_id", F.coalesce(F.coalesce("found", F.lit(0)) / F.col("total"), F.lit(0.0)).alias("recall"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import symbols
+from corpusloom.operators import symbols, vectors
 from corpusloom.plans import registry
 from corpusloom.sources import tables as t
 
@@ -108,3 +108,31 @@ def test_token_overlap_meets_lists_not_ids(spark):
     shared = lambda a, b: sum(n * tokens[b][w] for w, n in tokens[a].items())
     want = {(a, b, shared(a, b)) for a in ("0", "7") for b in tokens if a != b and shared(a, b)}
     assert {tuple(r) for r in met.collect()} == want and met.count() == len(want) == 2998
+
+
+def test_relevance_by_label_is_counted(spark):
+    """Judgments are of what is ranked, not of every vector of a query's label; recall is over all of these."""
+    v = spark.createDataFrame([("main", str(k), [1.0, k / 100], k % 2 if k % 7 else None) for k in range(60)], "namespace string, id string, embedding array<double>, label int")
+    q = v.where("cast(id as int) % 5 = 0").select(F.col("id").alias("query_id"), "namespace", "embedding", F.col("label").alias("q_label"))
+    ranked = vectors.top_k(v, q, 4).cache()
+    judged, total = vectors.judged_by_label(ranked, v, q)
+    every = q.join(v.select("id", "label"), F.col("q_label") == F.col("label")).select("query_id", "id", F.lit(1).alias("relevance"))
+    assert judged.count() <= 12 * 4 < every.count()
+    assert sorted(vectors.recall_at_k(ranked, judged, 4, total).collect()) == sorted(vectors.recall_at_k(ranked, every, 4).collect())
+    assert sorted(vectors.mrr_at_k(ranked, judged, 4).collect()) == sorted(vectors.mrr_at_k(ranked, every, 4).collect())
+
+
+def test_best_of_groups_of_queries(spark, monkeypatch):
+    """Small products, many batches and many equal vectors: what is kept is what a full sort keeps."""
+    monkeypatch.setattr(vectors, "_CELLS", 15)
+    monkeypatch.setattr(vectors, "_ROWS", 5)
+    rng = np.random.default_rng(4)
+    rows = [("ab"[k % 2], f"v{k}", rng.integers(1, 3, 3).astype(float).tolist()) for k in range(90)]
+    v = spark.createDataFrame(rows, "namespace string, id string, embedding array<double>")
+    met = vectors.top_k(v, v.where("id like '%0'").withColumnRenamed("id", "query_id"), 7).collect()
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in met}
+    for n, i, e in rows:
+        if i.endswith("0"):
+            cos = lambda x: float(np.dot(e, x) / np.sqrt(np.dot(e, e) * np.dot(x, x)))
+            want = sorted(((-round(cos(x), 12), j) for m, j, x in rows if m == n))[:7]
+            assert [got[i, k + 1][0] for k in range(7)] == [j for _, j in want]
