@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import symbols, vectors
+from corpusloom.operators import graph as imports_graph
+from corpusloom.operators import history, symbols, vectors
 from corpusloom.plans import registry
 from corpusloom.sources import tables as t
 
@@ -136,3 +137,43 @@ def test_best_of_groups_of_queries(spark, monkeypatch):
             cos = lambda x: float(np.dot(e, x) / np.sqrt(np.dot(e, e) * np.dot(x, x)))
             want = sorted(((-round(cos(x), 12), j) for m, j, x in rows if m == n))[:7]
             assert [got[i, k + 1][0] for k in range(7)] == [j for _, j in want]
+
+
+def test_one_question_needs_no_generations(spark, monkeypatch):
+    """What head reaches and base does not, followed from these two only; a round writes what it meets for the first time."""
+    monkeypatch.setattr(history, "generations", lambda parents: pytest.fail("generations of all commits"))
+    rng = np.random.default_rng(5)
+    above = {k: sorted({int(x) for x in rng.integers(max(0, k - 6), k, 1 + k % 3)}) if k else [] for k in range(40)}
+    df = spark.createDataFrame([(str(k), str(p)) for k, ps in above.items() for p in ps] + [("0", None)], "commit string, parent string")
+
+    def reach(k):
+        out, todo = set(), [k]
+        while todo:
+            if (x := todo.pop()) not in out:
+                out.add(x)
+                todo += above[x]
+        return out
+
+    for base, head in ((30, 39), (39, 30), (12, 12)):
+        assert sorted(int(r[0]) for r in history.ahead(df, str(base), str(head)).collect()) == sorted(reach(head) - reach(base))
+    with pytest.raises(ValueError, match="Commit not found: 99"):
+        history.ahead(df, "3", "99")
+
+
+def test_a_specifier_is_resolved_once(spark, monkeypatch):
+    """Not once for every file that imports it; a relative one once for each folder."""
+    calls = spark.sparkContext.accumulator(0)
+    paths = [f"{'ab'[k % 2]}/f{k}.py" for k in range(200)]
+    files = spark.createDataFrame([(p,) for p in [*paths, "pkg/m.py", "a/near.py", "b/near.py"]], "path string")
+    found = spark.createDataFrame([(p, s, ["x"]) for p in paths for s in ("pkg/m", "./near", "none")], "source_file string, specifier string, names array<string>")
+    plain = imports_graph.resolve_imports(found, files)
+    assert {(r.source_file, r.specifier, r.resolved) for r in plain.collect()} == {x for p in paths for x in ((p, "pkg/m", "pkg/m.py"), (p, "./near", f"{p[0]}/near.py"), (p, "none", None))}
+    assert [(r.file, r.specifier, r.has_importers) for r in imports_graph.importers(plain, "pkg/m.py", 3).collect()] == [(p, "pkg/m", False) for p in sorted(paths)[:3]]
+
+    @F.udf("array<string>")
+    def asked(specifier):
+        calls.add(1)
+        return [specifier]
+
+    monkeypatch.setattr(imports_graph, "candidates", lambda: asked("specifier"))
+    assert imports_graph.resolve_imports(found, files).count() == 600 and calls.value <= 20
