@@ -98,9 +98,12 @@ def candidates() -> Column:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports with resolved: the first candidate that is a file; else the first file (by path) whose path goes on from a candidate with
     a suffix or `/index.` and a suffix. Both are joins by equality: a file is keyed by every beginning that it can stand for, and what a specifier means is found
-    once for each file that has it, by these two names and no row numbers."""
-    key = ["source_file", "specifier"]
-    asked = imports.select(*key).distinct().select(*key, F.posexplode(candidates()).alias("pos", "key"))
+    once for each folder whose files have it, and once in all if it is not relative, however many files import it."""
+    spec = F.col("specifier")
+    relative = F.startswith(spec, F.lit("./")) | F.startswith(spec, F.lit("../"))
+    own = imports.drop("resolved").withColumn("_folder", F.when(relative, F.regexp_replace("source_file", "[^/]*$", "")).otherwise(""))
+    key = ["_folder", "specifier"]
+    asked = own.select(*key).distinct().select(*key, F.col("_folder").alias("source_file")).select(*key, F.posexplode(candidates()).alias("pos", "key"))
     paths = files.select("path")
     parts = F.split(tx.path_base(F.col("path")), r"\.")
     folder = F.regexp_replace("path", "[^/]*$", "")
@@ -110,7 +113,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = paths.select(F.col("path").alias("key")).distinct().withColumn("is_file", F.lit(True))
     met = asked.join(known, "key", "left").join(keyed, "key", "left").where("is_file or near is not null")
     best = met.groupBy(*key).agg(F.min_by("key", F.when(F.col("is_file"), F.col("pos"))).alias("exact"), F.min_by("near", F.when(F.col("near").isNotNull(), F.col("pos"))).alias("near"))
-    return imports.drop("resolved").join(best.select(*key, F.coalesce("exact", "near").alias("resolved")), key, "left").select(*[c for c in imports.columns if c != "resolved"], "resolved")
+    return own.join(best.select(*key, F.coalesce("exact", "near").alias("resolved")), key, "left").select(*[c for c in imports.columns if c != "resolved"], "resolved")
 
 
 def importers_of(imports: DataFrame, paths: list[str], most: int = 50) -> DataFrame:
@@ -127,11 +130,14 @@ def importers_of(imports: DataFrame, paths: list[str], most: int = 50) -> DataFr
 
 
 def importers(imports: DataFrame, path: str, most: int = 50) -> DataFrame:
-    """Files that import a file (one record of each, the first by specifier), and whether anything imports them."""
-    own = imports.where(F.col("resolved") == path).groupBy("source_file").agg(F.min(F.struct("specifier", "names")).alias("m"))
-    imported = imports.where("resolved is not null").select(F.col("resolved").alias("source_file")).distinct().withColumn("_has", F.lit(True))
+    """Files that import a file (one record of each, the first by specifier), and whether anything imports them. The first files by name are chosen before
+    their records are looked at."""
+    hits = imports.where(F.col("resolved") == path)
+    few = F.broadcast(hits.select("source_file").distinct().orderBy("source_file").limit(max(1, min(most, 200))))  # so many at most
+    own = hits.join(few, "source_file").groupBy("source_file").agg(F.min(F.struct("specifier", "names")).alias("m"))
+    imported = imports.select(F.col("resolved").alias("source_file")).join(few, "source_file", "left_semi").distinct().withColumn("_has", F.lit(True))
     met = own.join(imported, "source_file", "left").select(F.col("source_file").alias("file"), "m.specifier", "m.names", F.coalesce("_has", F.lit(False)).alias("has_importers"))
-    return met.orderBy("file", "specifier").limit(max(1, min(most, 200)))
+    return met.orderBy("file", "specifier")
 
 
 def references(imports: DataFrame, identifiers: list[str]) -> DataFrame:
