@@ -1,6 +1,7 @@
 """A trigram index of files: searches open only the files that can match.
 
-Every file's distinct trigrams of normalised characters are rows of a postings table, sorted by trigram, so that a reader skips all others. A literal query is a
+Every file's distinct trigrams of normalised characters are in a postings table, sorted by trigram, so that a reader skips all others: a row holds
+those files of a trigram that one task has met together. A literal query is a
 conjunction of its trigrams. A regular expression is a formula over the literals that every match must have: what stands in sequence is joined by
 and, alternatives by or, and a part that may be absent demands nothing. Files that satisfy the formula are read, from the buckets that hold them,
 and searched by the same functions as without an index, so the rows are the same.
@@ -27,7 +28,10 @@ from ..sources import tables
 from . import search as scan
 
 _FILES = "path string, content string, size_bytes long, doc long"
-_POSTINGS = "gram long, doc long"
+_POSTINGS = "gram long, docs array<long>"
+
+#: Characters whose trigrams are sorted at once.
+_AT_ONCE = 1 << 21
 
 #: Letters that match an ASCII letter without regard to case, though lower-casing does not make them one; and the dot that lower-casing
 #: leaves behind a capital i with a dot.
@@ -124,7 +128,7 @@ class Index:
         wanted = sorted({g for x in literals(formula) for g in grams_of(x)})
         if formula is None or not wanted:
             return None
-        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("gram").isin(*wanted))
+        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("gram").isin(*wanted)).select("gram", F.explode("docs").alias("doc"))
         return rows.groupBy("doc").agg(F.collect_set("gram").alias("found")).where(_holds(formula, F.col("found"))).select("doc")  # as many as the query has
 
     def files(self, formula: Formula) -> DataFrame:
@@ -149,16 +153,41 @@ def build(files: DataFrame, path: str, buckets: int = 64) -> Index:
     own.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/files")
 
     def run(batches):
+        def rows(texts, docs):
+            """Of each trigram the texts that have it; a trigram across two texts is none."""
+            c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            size = np.array([len(x) for x in texts])
+            text = np.repeat(np.arange(len(texts)), size)
+            gram, text = (c[:-2] << 42 | c[1:-1] << 21 | c[2:], text[: len(c) - 2]) if len(c) > 2 else (c[:0], text[:0])
+            own = np.arange(len(gram)) + 2 < np.cumsum(size)[text]
+            gram, text = gram[own], text[own]
+            order = np.argsort(gram, kind="stable")  # texts stay in order
+            gram, text = gram[order], text[order]
+            first = np.ones(len(gram), bool)
+            first[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+            gram, text = gram[first], text[first]
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+            for k in range(0, len(starts), 50_000):
+                part = starts[k : k + 50_000]
+                end = starts[k + 50_000] if k + 50_000 < len(starts) else len(gram)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(part - part[0], end - part[0]).astype(np.int32)), pa.array(docs[text[part[0] : end]]))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[part]), lists], ["gram", "docs"])
+
+        held, docs, size = [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.fromiter(grams_of(normal(text)), np.int64)
-                for k in range(0, len(own), 50_000):
-                    part = own[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc))], ["gram", "doc"])
-
-    # by ranges of trigram and file: a trigram that all files have is in several files of the index
+                held.append(normal(text))
+                docs.append(doc)
+                size += len(held[-1])
+                if size >= _AT_ONCE:
+                    yield from rows(held, np.array(docs))
+                    held, docs, size = [], [], 0
+        if held:
+            yield from rows(held, np.array(docs))
+
+    # dealt out by trigram and by files, without a look at the rows before: a trigram that all files have is in several files of the index
     postings = own.where("content is not null").select("doc", F.lower("content")).mapInArrow(run, _POSTINGS)
-    postings.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    postings.repartition("gram", F.pmod(F.get("docs", F.lit(0)), F.lit(8))).sortWithinPartitions("gram").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     return Index(spark, path, buckets)
 
 

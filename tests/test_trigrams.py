@@ -60,3 +60,15 @@ def test_many_identifiers(spark, monkeypatch):
         monkeypatch.setattr(graph, "FEW", few)
         rows[few] = listed(graph.content_references(df, names, asked)), listed(graph.check_references(imports, df, names, asked))
     assert rows[0] == rows[100] and len(rows[0][0]) >= 8
+
+
+def test_postings_are_lists_of_files(spark, tmp_path):
+    """A row holds many files of a trigram; together they are each file's distinct trigrams, none of them across two files."""
+    texts = [f"same words in file {k}\nand more {k % 7}" for k in range(300)] + ["", "ab", None, "aaaaaa", "\U0001f600é\U0001f601 x"]
+    df = frame(spark, texts)
+    trigrams.build(df, str(tmp_path / "i"), 4)
+    postings = spark.read.parquet(str(tmp_path / "i/postings"))
+    doc = {r.path: r.doc for r in df.select("path", F.xxhash64("path").alias("doc")).collect()}
+    want = sorted((g, doc[f"d/{k}.py"]) for k, text in enumerate(texts) if text is not None for g in trigrams.grams_of(trigrams.normal(text.lower())))
+    assert sorted((r.gram, d) for r in postings.collect() for d in r.docs) == want
+    assert postings.count() < len(want) / 4
