@@ -111,6 +111,23 @@ def test_token_overlap_meets_lists_not_ids(spark):
     assert {tuple(r) for r in met.collect()} == want and met.count() == len(want) == 2998
 
 
+def test_token_overlap_deals_pairs_out(spark, monkeypatch):
+    """Blocks of few bytes are many tasks, and the pairs of a whole block are not held at once: the two loops are compiled apart."""
+    monkeypatch.setattr(symbols, "_BLOCK", 7)
+    names = ["red ring", "Red_ring", "blue ring", "old red bolt", "?", "green nut"]
+    s = spark.createDataFrame([(str(k), names[k % 6]) for k in range(240)], "id string, name string")
+    met = symbols.token_overlap(s, F.expr("cast(id as int) % 4 < 3"))
+    assert met.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    tokens = [set(re.findall("[a-z0-9]{2,}", n.lower())) for n in names]
+    shared = lambda a, b: len(tokens[a % 6] & tokens[b % 6])
+    want = {(str(a), str(b), shared(a, b)) for a in range(240) for b in range(240) if a % 4 < 3 and a != b and shared(a, b)}
+    rows = met.collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    loops = re.findall(r"\*\((\d+)\) Generate explode\(([ab]_ids)", plan)
+    assert sorted(ids for _, ids in loops) == ["a_ids", "b_ids"] and loops[0][0] != loops[1][0]
+
+
 def test_relevance_by_label_is_counted(spark):
     """Judgments are of what is ranked, not of every vector of a query's label; recall is over all of these."""
     v = spark.createDataFrame([("main", str(k), [1.0, k / 100], k % 2 if k % 7 else None) for k in range(60)], "namespace string, id string, embedding array<double>, label int")
